@@ -160,7 +160,7 @@ def degrade(
         d = resample_linear(d, track, columns, resample_s, label)
     if downsample_s or resample_s:
         row_key = [*track.key, track.order]
-        track = Track(track.key, track.order, (), track.chunk_s)
+        track = track.without_tie()
     if missing:
         d = add_missing_values(d, row_key, shares, seed)
         blanked = [c for c in shares if c in d.columns]

@@ -51,6 +51,9 @@ class Track:
     def with_key(self, *key: str) -> Track:
         return Track(tuple(key), self.order, self.tie, self.chunk_s)
 
+    def without_tie(self) -> Track:
+        return Track(self.key, self.order, (), self.chunk_s)
+
 
 def _local(parts: Sequence[str], order: Sequence[Column]) -> WindowSpec:
     return Window.partitionBy(*parts).orderBy(*order)
@@ -148,12 +151,16 @@ def known_neighbours(
     columns: Sequence[str],
     position: str = "time",
     ahead: bool = True,
+    own_ahead: bool = True,
+    next_name: str | None = None,
 ) -> DataFrame:
     """Last and next known value of each column, seen from every row (the row itself included).
 
     Adds ``{c}__pv`` / ``{c}__pp`` (value and position of the last known one), with ``ahead`` also
     ``{c}__nv`` / ``{c}__np``, and ``_pos``, the position of the row: its time or its row number.
     The next known value is read over the reversed order, never over an unbounded following frame.
+    ``own_ahead=False`` looks for the next value only after the row; ``next_name`` also adds the time
+    of the row after.
     """
     key, parts = list(track.key), track.parts
     d = df.withColumn("_chunk", track.chunk())
@@ -170,10 +177,14 @@ def known_neighbours(
             aggs += [F.max_by(c, here[c]).alias(f"{c}__pv"), F.max(here[c]).alias(f"{c}__pp")]
             if ahead:
                 aggs += [F.min_by(c, here[c]).alias(f"{c}__nv"), F.min(here[c]).alias(f"{c}__np")]
+        if next_name:
+            aggs.append(F.min(track.order).alias("_first"))
         per = d.groupBy(*parts).agg(*aggs)
         per = per.withColumn("_off", F.coalesce(F.sum("_n").over(_earlier(key)), F.lit(0)))
         shift = F.col("_off") if position == "row" else F.lit(0)
         carry = [F.col("_off")]
+        if next_name:
+            carry.append(F.lead("_first").over(Window.partitionBy(*key).orderBy("_chunk")).alias("_after"))
         for c in columns:
             carry += [
                 F.last(f"{c}__pv", True).over(_earlier(key)).alias(f"{c}__cpv"),
@@ -188,8 +199,10 @@ def known_neighbours(
         offset = shift
 
     back = _local(parts, track.asc()).rowsBetween(Window.unboundedPreceding, 0)
-    fore = _local(parts, track.desc()).rowsBetween(Window.unboundedPreceding, 0)
+    fore = _local(parts, track.desc()).rowsBetween(Window.unboundedPreceding, 0 if own_ahead else -1)
     added: dict[str, Column] = {}
+    if next_name:
+        added[next_name] = F.lead(track.order).over(_local(parts, track.asc()))
     for c in columns:
         added[f"{c}__pv"] = F.last(c, True).over(back)
         added[f"{c}__pp"] = F.last(here[c], True).over(back) + offset
@@ -202,7 +215,9 @@ def known_neighbours(
     ends = ["pv", "pp", "nv", "np"] if ahead else ["pv", "pp"]
     filled = {f"{c}__{e}": F.coalesce(f"{c}__{e}", f"{c}__c{e}") for c in columns for e in ends}
     filled["_pos"] = F.col("_pos") + offset
-    return d.withColumns(filled).drop("_chunk", "_off", *[f"{c}__c{e}" for c in columns for e in ends])
+    if next_name:
+        filled[next_name] = F.coalesce(next_name, "_after")
+    return d.withColumns(filled).drop("_chunk", "_off", "_after", *[f"{c}__c{e}" for c in columns for e in ends])
 
 
 def drop_neighbours(df: DataFrame, columns: Sequence[str]) -> DataFrame:

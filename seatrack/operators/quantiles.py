@@ -8,6 +8,8 @@ only counted, and the few values inside it are counted per distinct value and ra
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,16 +17,20 @@ from pyspark.sql import functions as F
 ACCURACY = 100_000
 
 
-def _bracket(c: str, p: float, accuracy: int) -> tuple[Column, Column]:
-    # Groups no larger than the sketch are bracketed by their extremes: at most `accuracy` values.
+def _brackets(c: str, probs: Sequence[float], accuracy: int) -> list[tuple[Column, Column]]:
+    """Bounds around each wanted rank, all read from one sketch of the column."""
     margin = 4.0 / accuracy
+    marks = [F.lit(min(max(p + d, 0.0), 1.0)) for p in probs for d in (-margin, margin)]
+    sketch = F.percentile_approx(c, F.array(*marks), F.lit(accuracy))
+    # Groups no larger than the sketch are bracketed by their extremes: at most `accuracy` values.
     small = F.count(c) <= accuracy
-    lo = F.percentile_approx(c, F.lit(max(p - margin, 0.0)), F.lit(accuracy))
-    hi = F.percentile_approx(c, F.lit(min(p + margin, 1.0)), F.lit(accuracy))
-    return (
-        F.when(small | F.lit(p - margin <= 0), F.min(c)).otherwise(lo),
-        F.when(small | F.lit(p + margin >= 1), F.max(c)).otherwise(hi),
-    )
+    return [
+        (
+            F.when(small | F.lit(p - margin <= 0), F.min(c)).otherwise(F.get(sketch, F.lit(2 * j))),
+            F.when(small | F.lit(p + margin >= 1), F.max(c)).otherwise(F.get(sketch, F.lit(2 * j + 1))),
+        )
+        for j, p in enumerate(probs)
+    ]
 
 
 def exact_quantiles(
@@ -41,49 +47,50 @@ def exact_quantiles(
     """
     by = list(by)
     d = df.select(*by, *[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in columns])
-    slots = [(i, j, c, p) for i, c in enumerate(columns) for j, p in enumerate(probs)]
-    marks = []
-    for i, j, c, p in slots:
-        lo, hi = _bracket(c, p, accuracy)
-        marks += [lo.alias(f"lo_{i}_{j}"), hi.alias(f"hi_{i}_{j}")]
+    marks = [
+        e.alias(f"{side}_{i}_{j}")
+        for i, c in enumerate(columns)
+        for j, pair in enumerate(_brackets(c, probs, accuracy))
+        for side, e in zip(("lo", "hi"), pair, strict=True)
+    ]
     bounds = d.groupBy(*by).agg(*marks)
-
+    packed = bounds.select(*[F.col(c).alias(f"_b_{c}") for c in by], F.struct(*[c for c in bounds.columns if c not in by]).alias("_m"))
     if by:
-        keyed = bounds.withColumnsRenamed({c: f"_b_{c}" for c in by})
         on = [F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in by]
-        marked = d.join(F.broadcast(keyed), on, "inner")
-        lo_hi = {(i, j): (F.col(f"lo_{i}_{j}"), F.col(f"hi_{i}_{j}")) for i, j, _, _ in slots}
+        marked = d.join(F.broadcast(packed), on, "inner").drop(*[f"_b_{c}" for c in by])
     else:
-        marked = d.withColumn("_m", bounds.select(F.struct(*bounds.columns).alias("m")).scalar())
-        lo_hi = {(i, j): (F.col(f"_m.lo_{i}_{j}"), F.col(f"_m.hi_{i}_{j}")) for i, j, _, _ in slots}
-
-    entries, below = [], []
-    for i, j, c, _ in slots:
-        lo, hi = lo_hi[i, j]
-        entries.append(
-            F.when(
-                F.col(c).between(lo, hi),
-                F.struct(F.lit(i).alias("f"), F.lit(j).alias("q"), F.col(c).alias("v")),
+        marked = d.withColumn("_m", packed.scalar())
+
+    candidates, slots = [], []
+    for i, c in enumerate(columns):
+        inside = [F.col(c).between(F.col(f"_m.lo_{i}_{j}"), F.col(f"_m.hi_{i}_{j}")) for j in range(len(probs))]
+        candidates.append(F.when(reduce(or_, inside), F.struct(F.lit(i).alias("f"), F.col(c).alias("v"))))
+        slots += [
+            F.struct(
+                F.lit(i).alias("f"), F.lit(j).alias("q"), F.first(f"_m.lo_{i}_{j}").alias("lo"),
+                F.first(f"_m.hi_{i}_{j}").alias("hi"), F.count_if(F.col(c) < F.col(f"_m.lo_{i}_{j}")).alias("below"),
+                F.count(c).alias("n"),
             )
-        )
-        below.append(F.struct(F.lit(i).alias("f"), F.lit(j).alias("q"),
-                              F.count_if(F.col(c) < lo).alias("below"), F.count(c).alias("n")))
-    inside = (
-        marked.select(*by, F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e"))
-        .groupBy(*by, "e.f", "e.q", "e.v")
+            for j in range(len(probs))
+        ]
+    values = (
+        marked.select(*by, F.explode(F.filter(F.array(*candidates), lambda e: e.isNotNull())).alias("e"))
+        .groupBy(*by, "e.f", "e.v")
         .agg(F.count(F.lit(1)).alias("k"))
     )
-    counts = marked.groupBy(*by).agg(F.array(*below).alias("b")).select(*by, F.explode("b").alias("b"))
-    counts = counts.select(*by, "b.f", "b.q", "b.below", "b.n")
-    ranked = inside.withColumn("upto", F.sum("k").over(Window.partitionBy(*by, "f", "q").orderBy("v")))
-
+    counts = marked.groupBy(*by).agg(F.array(*slots).alias("b")).select(*by, F.explode("b").alias("b")).select(*by, "b.*")
+    # One row per group, column and probability against the distinct values inside the brackets.
+    left, right = F.broadcast(counts).alias("c"), values.alias("v")
+    on = [F.col(f"c.{c}").eqNullSafe(F.col(f"v.{c}")) for c in (*by, "f")]
+    on.append(F.col("v.v").between(F.col("c.lo"), F.col("c.hi")))
+    joined = right.join(left, on, "inner").select(
+        *[F.col(f"c.{c}") for c in (*by, "f", "q", "n", "below")], "v.v", "v.k"
+    )
+    upto = F.col("below") + F.sum("k").over(Window.partitionBy(*by, "f", "q").orderBy("v"))
     probs_of = F.array(*[F.lit(float(p)) for p in probs])
     names = F.array(*[F.lit(c) for c in columns])
-    cond = [counts[c].eqNullSafe(ranked[c]) for c in (*by, "f", "q")]
-    pos = F.element_at(probs_of, counts["q"] + 1) * (counts["n"] - 1)
-    joined = counts.join(ranked, cond, "left").select(
-        *[counts[c] for c in by], counts["f"], counts["q"], counts["n"], pos.alias("pos"),
-        ranked["v"], (counts["below"] + ranked["upto"]).alias("upto"),
+    joined = joined.withColumns(
+        {"pos": F.element_at(probs_of, F.col("q") + 1) * (F.col("n") - 1), "upto": upto}
     )
     at = {
         "x0": F.min(F.when(F.col("upto") > F.floor("pos"), F.col("v"))),

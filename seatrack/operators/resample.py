@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from seatrack import schema as S
 from seatrack.operators.clean import clamp, dedup_on_key
-from seatrack.operators.ordered import DAY, Track, drop_neighbours, known_neighbours, next_time
-from seatrack.operators.series import on_line
+from seatrack.operators.ordered import DAY, Track, known_neighbours, next_time
 
 
 def bucket(order: str, seconds: int) -> Column:
@@ -106,29 +105,57 @@ def downsample_first(df: DataFrame, track: Track, columns: Sequence[str], second
     return out.na.drop(subset=list(columns))
 
 
-def exact_grid(df: DataFrame, track: Track, seconds: int, columns: Sequence[str]) -> DataFrame:
-    """Only rows exactly on the grid, missing slots as NULL rows, from the first hit to the slot of the
-    last row."""
+def grid_hits(df: DataFrame, track: Track, seconds: int, columns: Sequence[str]) -> DataFrame:
+    """Rows exactly on the grid (first per time), with ``_until``, the slot of the last row of the key."""
     unique = dedup_on_key(df, [*track.key, track.order], [track.order, *track.tie])
     d, slot = _slot_from_origin(unique, track, seconds)
-    d = d.withColumn("_slot", slot)
-    hit = F.col("_slot") == F.col(track.order)
-    ends = d.groupBy(*track.key).agg(F.max("_slot").alias("_until"))
-    hits = d.where(hit).select(*track.key, track.order, *columns)
-    return fill_grid(hits.join(ends, list(track.key), "left"), track, seconds, until="_until")
+    ends = df.groupBy(*track.key).agg(F.max(track.order).alias("_last"), F.min(track.order).alias("_begin"))
+    hits = d.where(slot == F.col(track.order)).select(*track.key, track.order, *columns)
+    origin = F.floor(F.col("_begin") / DAY) * DAY
+    until = origin + F.floor((F.col("_last") - origin) / seconds) * seconds
+    return hits.join(ends.select(*track.key, until.alias("_until")), list(track.key), "left")
+
+
+def filled_grid(
+    df: DataFrame, track: Track, step_s: int, lines: Sequence[str], fills: Sequence[str] = (),
+    hold: Sequence[str] = (), back: Sequence[str] = (), max_gap_s: int | None = None, until: str | None = None,
+) -> DataFrame:
+    """Complete grid with filled values, computed while the slots are produced.
+
+    Times must lie on the grid, one row per slot. ``lines`` are interpolated over time (between known
+    values at most ``max_gap_s`` apart), ``hold`` columns then keep their last known value and ``back``
+    columns take the next one. The neighbours are found among the messages, before the grid is expanded,
+    so neither windows nor shuffles run over the much larger grid.
+    """
+    every = list(dict.fromkeys([*lines, *fills]))
+    t = F.col(track.order)
+    d = known_neighbours(df, track, every, own_ahead=False, next_name="_next")
+    last = F.coalesce(F.col("_next") - step_s, F.col(until) if until else t)
+    d = d.withColumn("_slot", F.explode(F.sequence(t, F.greatest(last, t), F.lit(step_s).cast("bigint"))))
+    at, own = F.col("_slot"), F.col("_slot") == t
+    values = {}
+    for c in every:
+        pv, pp, nv, np_ = (F.col(f"{c}__{e}") for e in ("pv", "pp", "nv", "np"))
+        options = [F.when(own, F.col(c))]
+        if c in lines:
+            line = pv + (nv - pv) * ((at - pp) / (np_ - pp))
+            options.append(line if max_gap_s is None else F.when(np_ - pp <= max_gap_s, line))
+        if c in hold:
+            options.append(pv)
+        if c in back:
+            options.append(nv)
+        values[c] = F.coalesce(*options)
+    return d.select(*track.key, at.alias(track.order), *[v.alias(c) for c, v in values.items()])
 
 
 def resample_linear(
     df: DataFrame, track: Track, columns: Sequence[str], seconds: int, label: str | None = "label"
 ) -> DataFrame:
     """Exact grid hits, linear interpolation (the last value goes on), label filled, incomplete rows dropped."""
-    every = [*columns, label] if label else list(columns)
-    d = exact_grid(df, track, seconds, every)
-    d = known_neighbours(d, track, every, position="time")
-    filled = {c: F.coalesce(F.col(c), on_line(c), F.col(f"{c}__pv")) for c in columns}
-    if label:
-        filled[label] = F.coalesce(f"{label}__pv", f"{label}__nv")
-    return drop_neighbours(d.withColumns(filled), every).na.drop(subset=every)
+    labels = [label] if label else []
+    hits = grid_hits(df, track, seconds, [*columns, *labels])
+    d = filled_grid(hits, track.without_tie(), seconds, columns, labels, [*columns, *labels], labels, until="_until")
+    return d.na.drop(subset=[*columns, *labels])
 
 
 def key_mode(df: DataFrame, key: Sequence[str], column: str) -> DataFrame:
@@ -142,8 +169,9 @@ def resample_with_mode(
     df: DataFrame, track: Track, columns: Sequence[str], seconds: int, label: str = "label"
 ) -> DataFrame:
     """Exact grid hits, ends filled both ways, one label per key (its mode), all-NULL rows dropped."""
-    d = exact_grid(df, track, seconds, columns)
-    d = fill_columns(d, track, columns).na.drop("all", subset=list(columns))
+    hits = grid_hits(df, track, seconds, columns)
+    d = filled_grid(hits, track.without_tie(), seconds, columns, hold=columns, back=columns, until="_until")
+    d = d.na.drop("all", subset=list(columns))
     return d.join(key_mode(df, track.key, label), list(track.key), "left")
 
 
@@ -166,19 +194,7 @@ def scoring_grid(
     limit and held at the ends, known limits clamped."""
     columns = [*continuous, *static]
     if exact_only:
-        d = exact_grid(df, track, step_s, columns)
+        d, until = grid_hits(df, track, step_s, columns), "_until"
     else:
-        d = to_fixed_grid(df.select(*track.key, track.order, *track.tie, *columns), track, step_s)
-        d = d.drop(*track.tie)
-        track = Track(track.key, track.order, (), track.chunk_s)
-    return clamp(fill_columns(d, track, continuous, static))
-
-
-def fill_columns(d: DataFrame, track: Track, continuous: Sequence[str], static: Sequence[str] = ()) -> DataFrame:
-    """Interpolate over time and hold the ends; static columns are filled, never interpolated."""
-    every = [*continuous, *static]
-    d = known_neighbours(d, track, every, position="time")
-    filled = {c: F.coalesce(F.col(c), on_line(c), F.col(f"{c}__pv"), F.col(f"{c}__nv")) for c in continuous}
-    filled |= {c: F.coalesce(f"{c}__pv", f"{c}__nv") for c in static}
-    return drop_neighbours(d.withColumns(filled), every)
-
+        d, until = align(df.select(*track.key, track.order, *track.tie, *columns), track, step_s), None
+    return clamp(filled_grid(d, track.without_tie(), step_s, continuous, static, columns, columns, until=until))

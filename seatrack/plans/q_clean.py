@@ -134,7 +134,7 @@ def _skew_sql(columns):
  round(CASE WHEN abs(sk_rot) > 1 THEN CASE WHEN rot >= 0 THEN ln(1 + rot) ELSE -ln(1 - rot) END ELSE rot END, 6) AS rot
  FROM msg, sk""", f"sk AS (SELECT {_skew_sql(['sog', 'draught', 'rot'])})"))
 def _(spark, sf):
-    return rounded(clean.reduce_skewness(messages(spark, sf)).select("event_id", "sog", "draught", "rot"))
+    return rounded(clean.reduce_skewness(messages(spark, sf)).select("event_id", "sog", "draught", "rot"), 6)
 
 
 _STATS_SQL = "stats AS (SELECT {}  FROM msg)".format(
@@ -147,7 +147,7 @@ _STATS_SQL = "stats AS (SELECT {}  FROM msg)".format(
 def _(spark, sf):
     m = messages(spark, sf)
     d = clean.normalize(m, profile.column_stats(m, S.CONTINUOUS), S.CONTINUOUS, exclude=["trawling"])
-    return rounded(d.select("event_id", "trawling", *S.CONTINUOUS))
+    return rounded(d.select("event_id", "trawling", *S.CONTINUOUS), 6)
 
 
 @query("p18_denormalize", sql_with(
@@ -155,7 +155,7 @@ def _(spark, sf):
 def _(spark, sf):
     m = messages(spark, sf)
     d = clean.denormalize(m, profile.column_stats(m, S.POSITION_FEATURES), S.POSITION_FEATURES)
-    return rounded(d.select("event_id", "latitude", "longitude"))
+    return rounded(d.select("event_id", "latitude", "longitude"), 6)
 
 
 @query("p19_complete_numeric_rows", sql_with(
@@ -193,7 +193,7 @@ def _(spark, sf):
 @query("p23b_impute_mean", sql_with(
     "SELECT event_id, round(coalesce(sog, (SELECT avg(sog) FROM msg)), 6) AS sog, round(coalesce(rot, (SELECT avg(rot) FROM msg)), 6) AS rot FROM msg"))
 def _(spark, sf):
-    return rounded(clean.impute_mean(messages(spark, sf), ["sog", "rot"]).select("event_id", "sog", "rot"))
+    return rounded(clean.impute_mean(messages(spark, sf), ["sog", "rot"]).select("event_id", "sog", "rot"), 6)
 
 
 @query("p24_sigmoid_threshold", sql_with("""SELECT event_id, round(p, 6) AS probability, CASE WHEN p >= 0.5 THEN 1 ELSE 0 END AS at_least,
@@ -278,7 +278,7 @@ def _(spark, sf):
     o = spark.read.parquet(f"{sf}/orders.parquet").withColumn("month", F.date_format("o_orderdate", "yyyy-MM"))
     q = wide_quantiles(o, ["o_totalprice"], [0.25, 0.75], by=["month"])
     j = o.join(F.broadcast(q), "month", "left")  # one row per calendar month
-    return rounded(j.select("o_orderkey", F.col("o_totalprice_q0").alias("q1"), F.col("o_totalprice_q1").alias("q3")))
+    return rounded(j.select("o_orderkey", F.col("o_totalprice_q0").alias("q1"), F.col("o_totalprice_q1").alias("q3")), 6)
 
 
 _SLOTS = "slots AS (SELECT mmsi, CAST(floor(epoch / 86400) * 86400 AS BIGINT) AS epoch, max(event_id) AS event_id FROM msg GROUP BY 1, 2)"
