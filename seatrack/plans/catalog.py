@@ -1,6 +1,6 @@
 """Loads every module that registers queries."""
 
-from seatrack.plans import flagship, q_clean, q_profile, q_series  # noqa: F401
+from seatrack.plans import flagship, q_clean, q_degrade, q_profile, q_risk, q_series  # noqa: F401
 from seatrack.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
