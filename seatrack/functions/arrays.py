@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,3 +26,8 @@ def array_mode(values: Column) -> Column:
         lambda v: F.struct((-F.size(F.filter(known, lambda x: x == v))).alias("neg"), v.alias("v")),
     )
     return F.array_min(counted)["v"]
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once per row, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), 0)

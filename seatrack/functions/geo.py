@@ -38,6 +38,16 @@ def segments_cross(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
     return (s1 * s2 < 0) & (s3 * s4 < 0)
 
 
+def boxes_meet(a: tuple[Column, ...], b: tuple[Column, ...], margin: float) -> Column:
+    """Whether the bounding boxes of two segments come within a margin of each other."""
+    return (
+        (F.least(a[0], a[2]) <= F.greatest(b[0], b[2]) + margin)
+        & (F.greatest(a[0], a[2]) >= F.least(b[0], b[2]) - margin)
+        & (F.least(a[1], a[3]) <= F.greatest(b[1], b[3]) + margin)
+        & (F.greatest(a[1], a[3]) >= F.least(b[1], b[3]) - margin)
+    )
+
+
 def segments_within(a: tuple[Column, ...], b: tuple[Column, ...], radius: float) -> Column:
     """Whether two segments come as close as ``radius`` degrees."""
     r2 = F.lit(radius * radius)

@@ -67,19 +67,25 @@ def add_missing_values(
                 for c, p in present.items()
             }
         )
+    d = missing_flags(df, row_key, present, seed)
+    return d.withColumns({c: F.when(~F.col(f"_hit_{c}"), F.col(c)) for c in present}).drop(*[f"_hit_{c}" for c in present])
+
+
+def missing_flags(df: DataFrame, row_key: Sequence[str], shares: Mapping[str, float], seed: int = 42) -> DataFrame:
+    """Adds ``_hit_{feature}`` for exactly ``int(n*p/100)`` rows per feature."""
     hashes = df.select(
         F.explode(
-            F.array(*[F.struct(F.lit(c).alias("feature"), row_hash(f"{seed}:{c}", *row_key).alias("_h")) for c in present])
+            F.array(*[F.struct(F.lit(c).alias("feature"), row_hash(f"{seed}:{c}", *row_key).alias("_h")) for c in shares])
         ).alias("_e")
     ).select("_e.*")
     factor = F.element_at(
-        F.create_map(*[x for c, p in present.items() for x in (F.lit(c), F.lit(float(p) / 100.0))]), F.col("feature")
+        F.create_map(*[x for c, p in shares.items() for x in (F.lit(c), F.lit(float(p) / 100.0))]), F.col("feature")
     )
     cuts = hash_cuts(hashes, ["feature"], "_h", {"cut": F.floor(F.col("n") * factor)})
-    row = cuts.agg(*[F.max(F.when(F.col("feature") == c, F.col("cut"))).alias(c) for c in present])
+    row = cuts.agg(*[F.max(F.when(F.col("feature") == c, F.col("cut"))).alias(c) for c in shares])
     d = df.withColumn("_cut", single_row(row))
-    blank = {c: row_hash(f"{seed}:{c}", *row_key) <= F.col(f"_cut.{c}") for c in present}
-    return d.withColumns({c: F.when(F.coalesce(b, F.lit(False)), None).otherwise(F.col(c)) for c, b in blank.items()}).drop("_cut")
+    hit = {f"_hit_{c}": F.coalesce(row_hash(f"{seed}:{c}", *row_key) <= F.col(f"_cut.{c}"), F.lit(False)) for c in shares}
+    return d.withColumns(hit).drop("_cut")
 
 
 def key_percent(seed: int, key: str, low: float, high: float) -> Column:
@@ -135,11 +141,45 @@ def all_corrupted_versions(
     df: DataFrame, levels: Sequence[float], row_key: Sequence[str], shares: Mapping[str, float],
     duplicate_percent: float = 30, key: str = "trajectory_id", label: str = "label", seed: int = 42,
 ) -> DataFrame:
-    """Every combination of degradations, told apart by ``variant``."""
+    """Every combination of degradations, told apart by ``variant``.
+
+    Equals :func:`apply_corruption` per variant. Which cells, rows and trajectories are hit depends only
+    on hashes (for irregular sampling also on whether rows were duplicated before), so each choice is
+    made once and marked on the rows, and the variants are projections of the marked rows.
+    """
+    present = [c for c in shares if c in df.columns]
+    ids = df.where(F.col(label) == 1).select(key).distinct().withColumn("_h", row_hash(seed, key))
+    noise = single_row(hash_cuts(ids, [], "_h", {f"l{i}": share(p) for i, p in enumerate(levels)}))
+    blanks = missing_flags(df, row_key, {c: shares[c] for c in present}, seed)
+    marked = blanks.withColumns({f"_blank_{c}": F.when(~F.col(f"_hit_{c}"), F.col(c)) for c in present})
+    marked = marked.drop(*[f"_hit_{c}" for c in present])
+    variants = corruption_variants(levels)
     out = None
-    for name, steps, level in corruption_variants(levels):
-        one = apply_corruption(df, steps, level, row_key, shares, duplicate_percent, key, label, seed)
-        one = one.withColumn("variant", F.lit(name))
+    for dupes in (False, True):
+        d, keys = marked, list(row_key)
+        if dupes:
+            d, keys = add_duplicates(marked, row_key, duplicate_percent, seed), [*row_key, "copy_no"]
+        hashes = d.select(key, row_hash(seed, *keys).alias("_h"))
+        wanted = F.floor(F.col("n") * (key_percent(seed, key, 1, 10) / 100.0))
+        d = d.join(hash_cuts(hashes, [key], "_h", {"_cut": wanted}), key, "left")
+        d = d.withColumns({"_gone": F.coalesce(row_hash(seed, *keys) <= F.col("_cut"), F.lit(False)), "_noise": noise,
+                           "_id": row_hash(seed, key)})
+        chosen = [
+            F.struct(
+                F.lit(name).alias("name"), F.lit("missing" in steps).alias("missing"),
+                F.lit("irregular" in steps).alias("irregular"),
+                F.lit(-1 if level is None else levels.index(level)).alias("level"),
+            )
+            for name, steps, level in variants
+            if ("dupes" in steps) == dupes
+        ]
+        d = d.withColumn("_v", F.explode(F.array(*chosen))).where(~(F.col("_v.irregular") & F.col("_gone")))
+        flipped = F.lit(False)
+        for i in range(len(levels)):
+            flipped = flipped | ((F.col("_v.level") == i) & F.coalesce(F.col("_id") <= F.col(f"_noise.l{i}"), F.lit(False)))
+        values = {c: F.when(F.col("_v.missing"), F.col(f"_blank_{c}")).otherwise(F.col(c)) for c in present}
+        values[label] = F.when(flipped, 0).otherwise(F.col(label))
+        one = d.select(*[values[c].alias(c) if c in values else F.col(c) for c in df.columns], F.col("_v.name").alias("variant"))
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -1,20 +1,23 @@
 """Cable zones, closeness of vessels and forecasts to cables, and the risk level.
 
-Cables are a small fixed asset. For per-row predicates their segments travel as one array (a scalar
-subquery of at most ``MAX_ARRAY_SEGMENTS`` entries, checked); each row first keeps the segments whose
-bounding box it can reach and computes distances only for those. :func:`near_pairs` is the way for
-larger line sets: an equi-join on grid cells.
+Positions are joined with the cables on grid cells. Forecast paths carry their own positions in an
+array; for them the segments (a small fixed asset of at most ``MAX_ARRAY_SEGMENTS``, checked) travel as
+one array from a scalar subquery, and each path first keeps the segments its bounding box can reach.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seatrack import schema as S
-from seatrack.functions.geo import along, local_metres, point_segment_sq, segments_within
+from seatrack.functions.arrays import let
+from seatrack.functions.geo import along, boxes_meet, local_metres, point_segment_sq, segments_within
 
 MAX_ARRAY_SEGMENTS = 10_000
+CELL = 0.1  # degrees
 SEGMENT = ("lon1", "lat1", "lon2", "lat2")
 
 
@@ -33,7 +36,7 @@ def segment_array(segments: DataFrame) -> Column:
     few = F.count(F.lit(1)) <= MAX_ARRAY_SEGMENTS
     listed = F.sort_array(F.collect_list(F.struct("cable", "seg_no", *SEGMENT)))
     limited = segments.limit(MAX_ARRAY_SEGMENTS + 1)  # one more than allowed, so that the check can fail
-    too_many = F.raise_error(F.lit("too many segments for an array, use near_pairs"))
+    too_many = F.raise_error(F.lit("too many segments for an array"))
     return limited.agg(F.when(few, listed).otherwise(too_many).alias("s")).scalar()
 
 
@@ -46,77 +49,117 @@ def _ends(s: Column) -> tuple[Column, ...]:
     return tuple(s[c] for c in SEGMENT)
 
 
-def _reachable(segments: Column, x_lo: Column, x_hi: Column, y_lo: Column, y_hi: Column) -> Column:
+def _box(x_lo: Column, x_hi: Column, y_lo: Column, y_hi: Column) -> Column:
+    return F.struct(
+        x_lo.alias("x_lo"), x_hi.alias("x_hi"), y_lo.alias("y_lo"), y_hi.alias("y_hi"),
+        F.col("_segments").alias("segments"),
+    )
+
+
+def _reachable(b: Column) -> Column:
     """Segments whose bounding box meets the given box."""
     return F.filter(
-        segments,
-        lambda s: (F.least(s["lon1"], s["lon2"]) <= x_hi)
-        & (F.greatest(s["lon1"], s["lon2"]) >= x_lo)
-        & (F.least(s["lat1"], s["lat2"]) <= y_hi)
-        & (F.greatest(s["lat1"], s["lat2"]) >= y_lo),
+        b["segments"],
+        lambda s: (F.least(s["lon1"], s["lon2"]) <= b["x_hi"])
+        & (F.greatest(s["lon1"], s["lon2"]) >= b["x_lo"])
+        & (F.least(s["lat1"], s["lat2"]) <= b["y_hi"])
+        & (F.greatest(s["lat1"], s["lat2"]) >= b["y_lo"]),
     )
 
 
-def with_candidates(df: DataFrame, segments: DataFrame, lat: Column, lon: Column, margin: Column,
-                    lon_margin: Column | None = None, name: str = "_near") -> DataFrame:
-    """Adds the segments that a position can reach within a margin in degrees."""
-    wide = margin if lon_margin is None else lon_margin
-    d = df.withColumn("_segments", segment_array(segments))
-    box = (lon - wide, lon + wide, lat - margin, lat + margin)
-    return d.withColumn(name, _reachable(F.col("_segments"), *box)).drop("_segments")
+def cable_cells(segments: DataFrame, margin: float, lon_margin: float, cell: float = CELL) -> DataFrame:
+    """Grid cells (``_cx, _cy``) with the segments that come within the margins of them."""
+    s = segments
+    for name, m, a, b in (("_cx", lon_margin, "lon1", "lon2"), ("_cy", margin, "lat1", "lat2")):
+        lo, hi = F.floor((F.least(a, b) - m) / cell), F.floor((F.greatest(a, b) + m) / cell)
+        s = s.withColumn(name, F.explode(F.sequence(lo, hi)))
+    reach = max(margin, lon_margin) + cell * 0.7072  # half the diagonal of a cell
+    centre = ((F.col("_cx") + 0.5) * cell, (F.col("_cy") + 0.5) * cell)
+    return s.where(point_segment_sq(*centre, *[F.col(c) for c in SEGMENT]) <= reach * reach)
+
+
+def _cell_of(df: DataFrame, lat: str, lon: str, cell: float = CELL) -> DataFrame:
+    return df.withColumns({"_cx": F.floor(F.col(lon) / cell), "_cy": F.floor(F.col(lat) / cell)})
+
+
+def _position_predicate(df: DataFrame, segments: DataFrame, lat: str, lon: str, margin: float, lon_margin: float,
+                        name: str, test: Callable[[Column], Column]) -> DataFrame:
+    """Whether ``test`` holds for some segment within the margins (degrees).
+
+    Positions meet the segments of their grid cell in an equi-join, so almost all of them are settled by
+    a hash lookup; distances are computed for the few in cells that a cable passes.
+    """
+    cells = cable_cells(segments, margin, lon_margin).groupBy("_cx", "_cy").agg(
+        F.collect_list(F.struct(*SEGMENT)).alias("_near")
+    )
+    d = _cell_of(df, lat, lon).join(cells, ["_cx", "_cy"], "left")
+    known = F.col(lat).isNotNull() & F.col(lon).isNotNull()
+    hit = F.when(F.col("_near").isNull(), F.when(known, F.lit(False))).otherwise(F.exists("_near", test))
+    return d.withColumn(name, hit).drop("_cx", "_cy", "_near")
 
 
 def in_zone(df: DataFrame, segments: DataFrame, metres: float = S.CRITICAL_ZONE_M, lat: str = "latitude",
             lon: str = "longitude", name: str = "in_zone") -> DataFrame:
     """Whether the position lies less than the zone width from a cable."""
     r = zone_radius(metres)
-    d = with_candidates(df, segments, F.col(lat), F.col(lon), F.lit(r))
-    inside = F.exists("_near", lambda s: point_segment_sq(F.col(lon), F.col(lat), *_ends(s)) < r * r)
-    return d.withColumn(name, inside).drop("_near")
+    y, x = F.col(lat), F.col(lon)
+    return _position_predicate(
+        df, segments, lat, lon, r, r, name, lambda s: point_segment_sq(x, y, *_ends(s)) < r * r
+    )
 
 
 def near_cable(df: DataFrame, segments: DataFrame, radius_m: float = S.NEAR_CABLE_M, lat: str = "latitude",
                lon: str = "longitude", name: str = "near_cable") -> DataFrame:
     """Whether the closest point (in degrees) of some segment is at most ``radius_m`` metres away."""
     y, x = F.col(lat), F.col(lon)
-    margin = F.lit(radius_m / 110_000.0)  # a degree of latitude is never shorter than 110 km
-    d = with_candidates(df, segments, y, x, margin, margin / F.cos(F.radians(y)))
+    # A degree of latitude is never shorter than 110 km, one of longitude not below 80 degrees than 19 km.
+    margin, lon_margin = radius_m / 110_000.0, radius_m / 19_000.0
 
     def close(s: Column) -> Column:
         t = along(x, y, *_ends(s))
         foot_x, foot_y = s["lon1"] + t * (s["lon2"] - s["lon1"]), s["lat1"] + t * (s["lat2"] - s["lat1"])
         return local_metres(y, x, foot_y, foot_x) <= radius_m
 
-    return d.withColumn(name, F.exists("_near", close)).drop("_near")
+    return _position_predicate(df, segments, lat, lon, margin, lon_margin, name, close)
 
 
-def _with_path_candidates(df: DataFrame, segments: DataFrame, metres: float, path: str) -> DataFrame:
+def _path_predicate(df: DataFrame, segments: DataFrame, metres: float, path: str, name: str,
+                    test: Callable[[Column, float], Column]) -> DataFrame:
+    """Adds ``test(candidates, radius)``, where the candidates are the segments near the whole path.
+
+    Box and candidates are bound once per row, not once per position and segment.
+    """
     r = zone_radius(metres)
     p = F.col(path)
     lats, lons = F.transform(p, lambda q: q["latitude"]), F.transform(p, lambda q: q["longitude"])
-    d = df.withColumn("_segments", segment_array(segments))
-    box = (F.array_min(lons) - r, F.array_max(lons) + r, F.array_min(lats) - r, F.array_max(lats) + r)
-    return d.withColumn("_near", F.coalesce(_reachable(F.col("_segments"), *box), F.array())).drop("_segments")
+    box = _box(F.array_min(lons) - r, F.array_max(lons) + r, F.array_min(lats) - r, F.array_max(lats) + r)
+
+    def with_box(b: Column) -> Column:
+        return let(F.coalesce(_reachable(b), F.array()), lambda candidates: test(candidates, r))
 
+    return df.withColumn("_segments", segment_array(segments)).withColumn(name, let(box, with_box)).drop("_segments")
 
-def _point_inside(q: Column, r: float) -> Column:
-    return F.exists("_near", lambda s: point_segment_sq(q["longitude"], q["latitude"], *_ends(s)) < r * r)
+
+def _point_inside(q: Column, candidates: Column, r: float) -> Column:
+    return F.exists(candidates, lambda s: point_segment_sq(q["longitude"], q["latitude"], *_ends(s)) < r * r)
 
 
 def forecast_zone_steps(df: DataFrame, segments: DataFrame, metres: float = S.CRITICAL_ZONE_M, path: str = "forecast",
                         name: str = "zone_steps") -> DataFrame:
     """Indices (from 0) of all forecast positions inside the zone."""
-    r = zone_radius(metres)
-    d = _with_path_candidates(df, segments, metres, path)
-    flags = F.transform(path, lambda q, i: F.when(_point_inside(q, r), i))
-    return d.withColumn(name, F.filter(flags, lambda i: i.isNotNull())).drop("_near")
+
+    def inside(candidates: Column, r: float) -> Column:
+        flags = F.transform(path, lambda q, i: F.when(_point_inside(q, candidates, r), i))
+        return F.filter(flags, lambda i: i.isNotNull())
+
+    return _path_predicate(df, segments, metres, path, name, inside)
 
 
 def any_forecast_in_zone(df: DataFrame, segments: DataFrame, metres: float = S.CRITICAL_ZONE_M,
                          path: str = "forecast", name: str = "any_in_zone") -> DataFrame:
-    r = zone_radius(metres)
-    d = _with_path_candidates(df, segments, metres, path)
-    return d.withColumn(name, F.exists(path, lambda q: _point_inside(q, r))).drop("_near")
+    return _path_predicate(
+        df, segments, metres, path, name, lambda near, r: F.exists(path, lambda q: _point_inside(q, near, r))
+    )
 
 
 def first_forecast_in_zone(df: DataFrame, segments: DataFrame, metres: float = S.CRITICAL_ZONE_M,
@@ -128,17 +171,20 @@ def first_forecast_in_zone(df: DataFrame, segments: DataFrame, metres: float = S
 def path_crosses_zone(df: DataFrame, segments: DataFrame, metres: float = S.CRITICAL_ZONE_M, path: str = "forecast",
                       name: str = "crosses_zone") -> DataFrame:
     """Whether the line through the forecast positions touches the zone."""
-    r = zone_radius(metres)
-    d = _with_path_candidates(df, segments, metres, path)
-    n = F.size(path)
+    p, n = F.col(path), F.greatest(F.size(path), F.lit(1))
 
-    def step_touches(q: Column, i: Column) -> Column:
-        nxt = F.get(F.col(path), F.least(i + 1, n - 1))
-        step = (q["longitude"], q["latitude"], nxt["longitude"], nxt["latitude"])
-        return F.exists("_near", lambda s: segments_within(step, _ends(s), r))
+    def touches(candidates: Column, r: float) -> Column:
+        def step_touches(e: Column) -> Column:
+            a, b = e["a"], e["b"]
+            step = (a["longitude"], a["latitude"], b["longitude"], b["latitude"])
+            return F.exists(candidates, lambda s: boxes_meet(step, _ends(s), r) & segments_within(step, _ends(s), r))
 
-    touches = F.exists(F.transform(path, step_touches), lambda hit: hit)
-    return d.withColumn(name, touches).drop("_near")
+        here = F.when(n == 1, p).otherwise(F.slice(p, 1, n - 1))
+        ahead = F.when(n == 1, p).otherwise(F.slice(p, 2, n - 1))
+        steps = F.arrays_zip(here.alias("a"), ahead.alias("b"))
+        return F.when(F.size(candidates) == 0, False).otherwise(F.exists(steps, step_touches))
+
+    return _path_predicate(df, segments, metres, path, name, touches)
 
 
 def risk_levels(df: DataFrame, segments: DataFrame, critical_m: float = S.CRITICAL_ZONE_M, entry_m: float = S.ENTRY_ZONE_M,
@@ -155,20 +201,10 @@ def risk_levels(df: DataFrame, segments: DataFrame, critical_m: float = S.CRITIC
     return d.withColumn(name, level).drop("_crosses", "_entry", "_lat0", "_lon0")
 
 
-def near_pairs(df: DataFrame, segments: DataFrame, metres: float, lat: str = "latitude", lon: str = "longitude",
-               cell: float = 0.1) -> DataFrame:
+def near_pairs(df: DataFrame, segments: DataFrame, metres: float, lat: str = "latitude", lon: str = "longitude") -> DataFrame:
     """Position x segment pairs closer than the zone width, joined on the grid cells a segment can reach."""
     r = zone_radius(metres)
-    s = segments
-    for name, a, b in (("_cx", "lon1", "lon2"), ("_cy", "lat1", "lat2")):
-        lo = F.floor((F.least(a, b) - r) / cell)
-        hi = F.floor((F.greatest(a, b) + r) / cell)
-        s = s.withColumn(name, F.explode(F.sequence(lo, hi)))
-    reach = r + cell * 0.7072  # half the diagonal of a cell
-    centre = ((F.col("_cx") + 0.5) * cell, (F.col("_cy") + 0.5) * cell)
-    s = s.where(point_segment_sq(*centre, *[F.col(c) for c in SEGMENT]) <= reach * reach)
-    cells = df.withColumns({"_cx": F.floor(F.col(lon) / cell), "_cy": F.floor(F.col(lat) / cell)})
+    cells = cable_cells(segments, r, r)
     sq = point_segment_sq(F.col(lon), F.col(lat), *[F.col(c) for c in SEGMENT])
-    return (
-        cells.join(s, ["_cx", "_cy"]).withColumn("dist_deg", F.sqrt(sq)).where(F.col("dist_deg") < r).drop("_cx", "_cy")
-    )
+    joined = _cell_of(df, lat, lon).join(cells, ["_cx", "_cy"])
+    return joined.withColumn("dist_deg", F.sqrt(sq)).where(F.col("dist_deg") < r).drop("_cx", "_cy")
