@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from seatrack.operators.metrics import classification_scores
 from seatrack.operators.selection import single_row
+from seatrack.sources.staging import stage
 
 
 def standard_scale(train: DataFrame, others: Sequence[DataFrame], columns: Sequence[str]) -> list[DataFrame]:
@@ -77,7 +78,8 @@ def compare_classifiers(
         head = [Imputer(strategy="mean", inputCols=features, outputCols=inputs)]
     head.append(VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep"))
     prepared = Pipeline(stages=head).fit(train)
-    fit_on = prepared.transform(train).select("features", label)
+    # Every model makes many passes over the training vectors.
+    fit_on = stage(prepared.transform(train).select("features", label), "training-vectors")
     check_on = prepared.transform(val).select("features", label)
     out = None
     for model_name, model in (models or classifiers(label)).items():

@@ -127,14 +127,26 @@ def filled_grid(
     columns take the next one. The neighbours are found among the messages, before the grid is expanded,
     so neither windows nor shuffles run over the much larger grid.
     """
-    every = list(dict.fromkeys([*lines, *fills]))
+    d = grid_neighbours(df, track, list(dict.fromkeys([*lines, *fills])))
+    return expand_grid(d, track, step_s, lines, fills, hold, back, max_gap_s, until)
+
+
+def grid_neighbours(df: DataFrame, track: Track, columns: Sequence[str]) -> DataFrame:
+    """Messages on the grid with the known neighbours of each column and ``_next``, the next slot taken."""
+    return known_neighbours(df, track, columns, own_ahead=False, next_name="_next")
+
+
+def expand_grid(
+    d: DataFrame, track: Track, step_s: int, lines: Sequence[str], fills: Sequence[str] = (), hold: Sequence[str] = (),
+    back: Sequence[str] = (), max_gap_s: int | None = None, until: str | None = None,
+) -> DataFrame:
+    """Second half of :func:`filled_grid`: every row emits its slot and the empty ones after it."""
     t = F.col(track.order)
-    d = known_neighbours(df, track, every, own_ahead=False, next_name="_next")
     last = F.coalesce(F.col("_next") - step_s, F.col(until) if until else t)
     d = d.withColumn("_slot", F.explode(F.sequence(t, F.greatest(last, t), F.lit(step_s).cast("bigint"))))
     at, own = F.col("_slot"), F.col("_slot") == t
     values = {}
-    for c in every:
+    for c in dict.fromkeys([*lines, *fills]):
         pv, pp, nv, np_ = (F.col(f"{c}__{e}") for e in ("pv", "pp", "nv", "np"))
         options = [F.when(own, F.col(c))]
         if c in lines:
@@ -148,6 +160,28 @@ def filled_grid(
     return d.select(*track.key, at.alias(track.order), *[v.alias(c) for c, v in values.items()])
 
 
+def drop_gappy_keys(
+    d: DataFrame, track: Track, step_s: int, columns: Sequence[str], hold: Sequence[str], max_gap_s: int
+) -> DataFrame:
+    """Drop the keys whose expanded grid would keep a NULL in some column, before expanding it.
+
+    A ``hold`` column stays complete once it is known. The others need known neighbours at most
+    ``max_gap_s`` apart around every slot that no message fills.
+    """
+    bad = F.lit(False)
+    for c in columns:
+        pv, pp, np_ = (F.col(f"{c}__{e}") for e in ("pv", "pp", "np"))
+        unknown = F.col(c).isNull()
+        if c in hold:
+            bad = bad | pv.isNull()
+            continue
+        near = F.coalesce(np_ - pp <= max_gap_s, F.lit(False))
+        adjacent = np_ - F.col(track.order) <= step_s
+        bad = bad | (unknown & ~near) | (~unknown & np_.isNotNull() & ~near & ~adjacent)
+    good = d.groupBy(*track.key).agg(F.count_if(bad).alias("_bad")).where("_bad = 0")
+    return d.join(good.select(*track.key), list(track.key), "left_semi")
+
+
 def resample_linear(
     df: DataFrame, track: Track, columns: Sequence[str], seconds: int, label: str | None = "label"
 ) -> DataFrame:
