@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
@@ -45,11 +45,10 @@ def _as_double(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def random_forest(train: DataFrame, features: Sequence[str], label: str, trees: int = 100, depth: int = 10, seed: int = 42):
     """Assembler and random forest fitted on rows complete in the features."""
-    stages = [
-        VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip"),
-        RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=trees, maxDepth=depth, seed=seed),
-    ]
-    return Pipeline(stages=stages).fit(_as_double(train, [*features, label]))
+    assembler = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
+    forest = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=trees, maxDepth=depth, seed=seed)
+    vectors = assembler.transform(_as_double(train, [*features, label])).select("features", label)
+    return PipelineModel([assembler, forest.fit(stage(vectors, "training-vectors"))])
 
 
 def classifiers(label: str, seed: int = 42) -> dict[str, object]:
@@ -151,7 +150,8 @@ def forest_regressors(train: DataFrame, features: Sequence[str], targets: Sequen
     """One random-forest regressor per target: ``{target: fitted model}``."""
     assembled = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip").transform(
         _as_double(train, [*features, *targets])
-    )
+    ).select("features", *targets)
+    assembled = stage(assembled, "training-vectors")  # each target makes many passes over it
     return {
         t: RandomForestRegressor(featuresCol="features", labelCol=t, predictionCol=f"{t}_pred", numTrees=trees,
                                  maxDepth=10, seed=seed).fit(assembled)

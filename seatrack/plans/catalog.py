@@ -4,6 +4,7 @@ from seatrack.plans import (  # noqa: F401
     flagship,
     q_clean,
     q_degrade,
+    q_flows,
     q_models,
     q_profile,
     q_risk,

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from seatrack import schema as S
 from seatrack.operators import clean, degrade, joins, metrics, models, profile, resample, risk, series, split
 from seatrack.operators.ordered import Track
-from seatrack.sources import writers
+from seatrack.sources import readers, writers
 from seatrack.sources.staging import stage
 
 
@@ -76,9 +76,7 @@ def export_with_stats(prepared: DataFrame, path: str, version: str, mode: str =
     features = [c for c in S.MODEL_FEATURES if c in written.columns]
     stats = profile.column_stats(written, features)
     writers.write_stats(stats, f"{path}/{mode}/{version}/stats")
-    return written.sparkSession.read.schema("feature string, mean double, std double").json(
-        f"{path}/{mode}/{version}/stats"
-    )
+    return readers.read_stats(prepared.sparkSession, f"{path}/{mode}/{version}/stats")
 
 
 def training_sequences(

@@ -112,10 +112,14 @@ METRES_SQL = f"""sqrt(pow(radians((y1 + tt * (y2 - y1)) - latitude) * (6378137.0
 NEAR_SQL = DIST_SQL.replace("{metres}", METRES_SQL)
 
 
-@query("s11_cable_segments", "WITH " + SEG_SQL + " SELECT cable, CAST(seg_no AS INT) AS seg_no, x1 AS lon1, y1 AS lat1, x2 AS lon2, y2 AS lat2, n AS vessels_near FROM seg, (SELECT count(*) AS n FROM events)")
+@query("s11_cable_segments", sql_with(f"""SELECT cable, CAST(seg_no AS INT) AS seg_no, x1 AS lon1, y1 AS lat1, x2 AS lon2, y2 AS lat2, count(*) FILTER (d2 < {degrees(3738)} * {degrees(3738)}) AS positions_near FROM (
+ SELECT *, {sq_sql('longitude', 'latitude', 'tt')} AS d2 FROM (SELECT longitude, latitude, seg.*, {along_sql('longitude', 'latitude')} AS tt FROM msg, seg)) GROUP BY ALL""", SEG_SQL))
 def _(spark, sf):
-    n = messages(spark, sf).agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
-    return segments(spark).withColumn("vessels_near", n)
+    s = segments(spark)
+    near = risk.near_pairs(messages(spark, sf), s, 3738).groupBy("cable", "seg_no").agg(F.count(F.lit(1)).alias("n"))
+    return s.join(near, ["cable", "seg_no"], "left").select(
+        "cable", "seg_no", *risk.SEGMENT, F.coalesce("n", F.lit(0)).alias("positions_near")
+    )
 
 
 @query("g1_in_zone", sql_with(f"SELECT event_id, d2 < {degrees(1602)} * {degrees(1602)} AS in_zone FROM near", SEG_SQL, NEAR_SQL))
