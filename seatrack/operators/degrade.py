@@ -17,6 +17,7 @@ from seatrack.operators.ordered import Track, row_numbers
 from seatrack.operators.resample import downsample_first, resample_linear
 from seatrack.operators.selection import PREFIX, hash_cuts, hash_number, row_hash, single_row
 from seatrack.operators.series import interpolate
+from seatrack.sources.staging import stage
 
 
 def share(percent: float) -> Column:
@@ -189,11 +190,16 @@ def degrade(
     label: str = "label", irregular: bool = False, downsample_s: int | None = None, resample_s: int | None = None,
     missing: bool = False, impute: str | None = None, duplicates: bool = False, seed: int = 42,
 ) -> DataFrame:
-    """Configured chain: irregular sampling, down- or resampling, missing values with imputation, duplicates."""
+    """Configured chain: irregular sampling, down- or resampling, missing values with imputation, duplicates.
+
+    Every step reads its input more than once, so the result of each step but the last is staged.
+    """
     key = track.key[0]
+    later = [bool(downsample_s or resample_s), missing, duplicates]
     d = df
     if irregular:
         d = drop_irregularly(d, row_key, key, seed=seed)
+        d = stage(d, "irregular") if any(later) else d
     if downsample_s:
         d = downsample_first(d, track, [*columns, label], downsample_s)
     if resample_s:
@@ -201,8 +207,10 @@ def degrade(
     if downsample_s or resample_s:
         row_key = [*track.key, track.order]
         track = track.without_tie()
+        d = stage(d, "sampled") if any(later[1:]) else d
     if missing:
         d = add_missing_values(d, row_key, shares, seed)
+        d = stage(d, "holes") if duplicates or impute in ("mean", "linear") else d
         blanked = [c for c in shares if c in d.columns]
         if impute == "zero":
             d = impute_constant(d, blanked)
@@ -210,6 +218,7 @@ def degrade(
             d = impute_mean(d, blanked)
         elif impute == "linear":
             d = interpolate(d, track, blanked, by="row", ends="both")
+        d = stage(d, "imputed") if duplicates and impute in ("mean", "linear") else d
     if duplicates:
         d = add_duplicates(d, row_key, seed=seed).drop("copy_no")
     return d

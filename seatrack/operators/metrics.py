@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-SPLITS = 256
+RANGES = 64
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -41,6 +41,14 @@ def confusion_matrix(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     return counts.withColumn("row_percent", F.col("n") * 100.0 / whole)
 
 
+def _locate(value: Column, lo: int, hi: int) -> Column:
+    """Number of the range a value falls into, by binary search over the marks ``_m.m0 ..``."""
+    if lo == hi:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    return F.when(value <= F.col(f"_m.m{mid}"), _locate(value, lo, mid)).otherwise(_locate(value, mid + 1, hi))
+
+
 def precision_recall_curve(df: DataFrame, truth: str, score: str) -> DataFrame:
     """One row per distinct score as threshold, from the highest down.
 
@@ -48,15 +56,17 @@ def precision_recall_curve(df: DataFrame, truth: str, score: str) -> DataFrame:
     about equally many rows and shifted by the totals of the ranges above.
     """
     d = df.where(F.col(score).isNotNull())
-    marks = d.agg(F.percentile_approx(score, F.array(*[F.lit(i / SPLITS) for i in range(1, SPLITS)]), F.lit(10_000)).alias("m"))
+    shares = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
+    marks = d.agg(F.percentile_approx(score, shares, F.lit(10_000)).alias("m"))
     per_score = d.groupBy(F.col(score).alias("threshold")).agg(
         F.count_if(F.col(truth) == 1).alias("_pos"), F.count(F.lit(1)).alias("_n")
     )
-    ranged = per_score.withColumn("_m", marks.select(F.array_distinct("m").alias("m")).scalar()).withColumn(
-        "_range", F.size(F.filter("_m", lambda x: x < F.col("threshold")))
+    fields = F.struct(*[F.get("m", i).alias(f"m{i}") for i in range(RANGES - 1)])
+    ranged = per_score.withColumn("_m", marks.select(fields.alias("m")).scalar()).withColumn(
+        "_range", _locate(F.col("threshold"), 0, RANGES - 1)
     ).drop("_m")
     totals = ranged.groupBy("_range").agg(F.sum("_pos").alias("_rp"), F.sum("_n").alias("_rn"))
-    above = Window.orderBy(F.col("_range").desc()).rowsBetween(Window.unboundedPreceding, -1)  # <= 256 rows
+    above = Window.orderBy(F.col("_range").desc()).rowsBetween(Window.unboundedPreceding, -1)  # <= 64 rows
     totals = totals.select(
         "_range", F.coalesce(F.sum("_rp").over(above), F.lit(0)).alias("_ap"),
         F.coalesce(F.sum("_rn").over(above), F.lit(0)).alias("_an"), F.sum("_rp").over(Window.partitionBy()).alias("_all"),
@@ -75,7 +85,7 @@ def precision_recall_curve(df: DataFrame, truth: str, score: str) -> DataFrame:
 def pr_curve_area(curve: DataFrame) -> DataFrame:
     """Trapezoid area under the curve, starting at recall 0 with precision 1.
 
-    The first point of each score range needs the last point of the range above; there are at most 256
+    The first point of each score range needs the last point of the range above; there are at most 64
     of those.
     """
     edge = curve.groupBy("_range").agg(F.min_by(F.struct("recall", "precision"), "threshold").alias("_last"))

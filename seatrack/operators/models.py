@@ -79,7 +79,7 @@ def compare_classifiers(
     prepared = Pipeline(stages=head).fit(train)
     # Every model makes many passes over the training vectors.
     fit_on = stage(prepared.transform(train).select("features", label), "training-vectors")
-    check_on = prepared.transform(val).select("features", label)
+    check_on = stage(prepared.transform(val).select("features", label), "validation-vectors")
     out = None
     for model_name, model in (models or classifiers(label)).items():
         scored = model.fit(fit_on).transform(check_on)

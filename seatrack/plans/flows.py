@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from seatrack import schema as S
 from seatrack.operators import clean, degrade, joins, metrics, models, profile, resample, risk, series, split
-from seatrack.operators.ordered import Track
+from seatrack.operators.ordered import Track, track_row_numbers
 from seatrack.sources import readers, writers
 from seatrack.sources.staging import stage
 
@@ -114,14 +114,27 @@ def cable_risk(
 
     Only the windows near a cable reach the model; only those it calls trawling get a risk level.
     """
-    rows = stage(scoring_rows(messages, track, step_s), "scoring")
-    windows = series.sliding_windows(rows, track.without_tie(), S.MODEL_FEATURES, size, step)
-    return risk_of_windows(windows, track, segments, stats, load_models, near_m, critical_m, entry_m)
+    bare = track.without_tie()
+    rows = stage(track_row_numbers(stage(scoring_rows(messages, track, step_s), "scoring"), bare), "numbered")
+    rn = F.col("rn")
+    ends = rows.where((rn >= size) & ((rn - size) % step == 0)).select(
+        *track.key, F.floor((rn - size) / step).alias("window_no"), "latitude", "longitude"
+    )
+    ends = risk.near_cable(ends, segments, near_m, name="_near").where("_near").select(*track.key, "window_no")
+    # Each row joins the windows it lies in; with the list of wanted windows most rows end here.
+    first = F.greatest(F.ceil((rn - size) / step), F.lit(0))
+    members = rows.withColumn("window_no", F.explode(F.sequence(first, F.floor((rn - 1) / step))))
+    windows = members.join(ends, [*track.key, "window_no"]).groupBy(*track.key, "window_no").agg(
+        F.min(track.order).alias("window_start"), F.max(track.order).alias("window_end"),
+        F.sort_array(F.collect_list(F.struct(track.order, *S.MODEL_FEATURES))).alias("window"),
+    )
+    return risk_of_windows(windows, track, segments, stats, load_models, critical_m, entry_m)
 
 
 def latest_risk(
     messages: DataFrame, track: Track, segments: DataFrame, stats: DataFrame,
-    load_models: Callable[[], tuple[models.Model, models.Model]], step_s: int = 10, size: int = 30, **radii: float,
+    load_models: Callable[[], tuple[models.Model, models.Model]], step_s: int = 10, size: int = 30,
+    near_m: float = S.ENTRY_ZONE_M, critical_m: float = S.CRITICAL_ZONE_M, entry_m: float = S.ENTRY_ZONE_M,
 ) -> DataFrame:
     """Score only the newest full window of each vessel."""
     rows = stage(scoring_rows(messages, track, step_s), "scoring")
@@ -131,18 +144,18 @@ def latest_risk(
         F.lit(0).cast("bigint").alias("window_no"), F.min(track.order).alias("window_start"),
         F.max(track.order).alias("window_end"), F.sort_array(F.collect_list(entry)).alias("window"),
     ).where(F.size("window") == size)
-    return risk_of_windows(windows, track, segments, stats, load_models, **radii)
+    last = F.element_at("window", -1)
+    windows = windows.withColumns({"_lat": last["latitude"], "_lon": last["longitude"]})
+    windows = risk.near_cable(windows, segments, near_m, "_lat", "_lon", "_near").where("_near").drop("_near", "_lat", "_lon")
+    return risk_of_windows(windows, track, segments, stats, load_models, critical_m, entry_m)
 
 
 def risk_of_windows(
     windows: DataFrame, track: Track, segments: DataFrame, stats: DataFrame,
-    load_models: Callable[[], tuple[models.Model, models.Model]], near_m: float = S.ENTRY_ZONE_M,
+    load_models: Callable[[], tuple[models.Model, models.Model]],
     critical_m: float = S.CRITICAL_ZONE_M, entry_m: float = S.ENTRY_ZONE_M,
 ) -> DataFrame:
-    """Closeness filter, completeness check, normalisation, model, risk level."""
-    last = F.element_at("window", -1)
-    windows = windows.withColumns({"_lat": last["latitude"], "_lon": last["longitude"]})
-    windows = risk.near_cable(windows, segments, near_m, "_lat", "_lon", "_near").where("_near").drop("_near", "_lat", "_lon")
+    """Completeness check, normalisation, model and risk level of windows near a cable."""
     incomplete = F.exists("window", lambda r: clean.any_of([r[c].isNull() for c in S.MODEL_FEATURES]))
     windows = windows.withColumns(
         {
@@ -173,12 +186,12 @@ def study_inputs(
     shares: Mapping[str, float], lags: Sequence[int] = (1, 5), horizon: int = 5, seed: int = 42, **degradation,
 ) -> DataFrame:
     """Split by trajectory, degrade, add lags and future positions: one table with ``split``."""
-    d = split.split_rows(trajectories, track.key[0], "label", 0.7, 0.1, seed)
+    d = stage(split.split_rows(trajectories, track.key[0], "label", 0.7, 0.1, seed), "split")
     columns = ["latitude", "longitude", *features]
     sampled = degradation.get("downsample_s") or degradation.get("resample_s")
     parts = []
     for name in ("train", "val", "test"):
-        part = stage(d.where(F.col("split") == name).drop("split"), f"split-{name}")
+        part = d.where(F.col("split") == name).drop("split")
         part = degrade.degrade(part, track, row_key, shares, columns, seed=seed, **degradation)
         parts.append(part.withColumn("split", F.lit(name)))
     d = stage(split.union_splits(parts), "degraded")
