@@ -123,11 +123,13 @@ def describe(df: DataFrame, column: str) -> DataFrame:
 def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
     """Counts in equal bins between minimum and maximum, the last bin closed; empty bins included."""
     d = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("_v"))
-    edges = d.agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+    ends = d.agg(F.min("_v").alias("a"), F.max("_v").alias("b"))
+    half = F.when(F.col("a") == F.col("b"), 0.5).otherwise(0.0)  # a constant column gets a width of one
+    edges = ends.select((F.col("a") - half).alias("lo"), (F.col("b") + half).alias("hi"))
     d = d.withColumn("_e", single_row(edges))
     lo, hi = F.col("_e.lo"), F.col("_e.hi")
     index = F.least(F.floor(F.try_divide((F.col("_v") - lo) * bins, hi - lo)), F.lit(bins - 1))
-    filled = d.groupBy(F.coalesce(index, F.lit(0)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    filled = d.groupBy(index.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     frame = edges.where(F.col("lo").isNotNull()).select(
         "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")
     )
