@@ -67,23 +67,24 @@ def _reachable(b: Column) -> Column:
     )
 
 
-def cable_cells(segments: DataFrame, margin: float, lon_margin: float, cell: float = CELL) -> DataFrame:
+def cable_cells(segments: DataFrame, margin: float, lon_margin: Column | float, cell: float = CELL) -> DataFrame:
     """Grid cells (``_cx, _cy``) with the segments that come within the margins of them."""
-    s = segments
+    s = segments.withColumn("_lon_margin", F.lit(lon_margin))
+    lon_margin = F.col("_lon_margin")
     for name, m, a, b in (("_cx", lon_margin, "lon1", "lon2"), ("_cy", margin, "lat1", "lat2")):
         lo, hi = F.floor((F.least(a, b) - m) / cell), F.floor((F.greatest(a, b) + m) / cell)
         s = s.withColumn(name, F.explode(F.sequence(lo, hi)))
-    reach = max(margin, lon_margin) + cell * 0.7072  # half the diagonal of a cell
+    reach = F.greatest(lon_margin, F.lit(margin)) + cell * 0.7072  # half the diagonal of a cell
     centre = ((F.col("_cx") + 0.5) * cell, (F.col("_cy") + 0.5) * cell)
-    return s.where(point_segment_sq(*centre, *[F.col(c) for c in SEGMENT]) <= reach * reach)
+    return s.where(point_segment_sq(*centre, *[F.col(c) for c in SEGMENT]) <= reach * reach).drop("_lon_margin")
 
 
 def _cell_of(df: DataFrame, lat: str, lon: str, cell: float = CELL) -> DataFrame:
     return df.withColumns({"_cx": F.floor(F.col(lon) / cell), "_cy": F.floor(F.col(lat) / cell)})
 
 
-def _position_predicate(df: DataFrame, segments: DataFrame, lat: str, lon: str, margin: float, lon_margin: float,
-                        name: str, test: Callable[[Column], Column]) -> DataFrame:
+def _position_predicate(df: DataFrame, segments: DataFrame, lat: str, lon: str, margin: float,
+                        lon_margin: Column | float, name: str, test: Callable[[Column], Column]) -> DataFrame:
     """Whether ``test`` holds for some segment within the margins (degrees).
 
     Positions meet the segments of their grid cell in an equi-join, so almost all of them are settled by
@@ -112,8 +113,10 @@ def near_cable(df: DataFrame, segments: DataFrame, radius_m: float = S.NEAR_CABL
                lon: str = "longitude", name: str = "near_cable") -> DataFrame:
     """Whether the closest point (in degrees) of some segment is at most ``radius_m`` metres away."""
     y, x = F.col(lat), F.col(lon)
-    # A degree of latitude is never shorter than 110 km, one of longitude not below 80 degrees than 19 km.
-    margin, lon_margin = radius_m / 110_000.0, radius_m / 19_000.0
+    # A degree of latitude is never shorter than 110 km; one of longitude shrinks with the cosine.
+    margin = radius_m / 110_000.0
+    northmost = F.least(F.greatest(F.abs("lat1"), F.abs("lat2")) + margin, F.lit(89.9))
+    lon_margin = margin / F.cos(F.radians(northmost))
 
     def close(s: Column) -> Column:
         t = along(x, y, *_ends(s))
