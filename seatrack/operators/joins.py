@@ -25,10 +25,6 @@ def keep_listed(df: DataFrame, listed: DataFrame, on: Sequence[str]) -> DataFram
     return df.join(listed.select(*on), list(on), "left_semi")
 
 
-def drop_listed(df: DataFrame, listed: DataFrame, on: Sequence[str]) -> DataFrame:
-    return df.join(listed.select(*on), list(on), "left_anti")
-
-
 def null_profile(df: DataFrame, columns: Sequence[str], key: Sequence[str] = ("mmsi",)) -> DataFrame:
     """NULL counts per column next to the row count of each vessel, from a single aggregate."""
     return df.groupBy(*key).agg(

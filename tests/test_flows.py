@@ -73,3 +73,15 @@ def test_horizons_and_config_checks(spark):
         clean.check_sampling(True, True, True)
     with pytest.raises(ValueError):
         clean.check_sampling(True, False, False)
+
+
+def test_cables_from_a_file_and_results_to_json(spark, tmp_path):
+    lines = ["Cable,Point,Latitude,Longitude", "A,Start,1.0,2.0", "A,End,4.0,5.0", "A,Bend_10,3.0,4.0", "A,Bend_2,2.0,3.0", "B,Start,0,0", "B,End,1,1"]
+    (tmp_path / "cables.csv").write_text("\n".join(lines) + "\n")
+    seg = risk.cable_segments(readers.read_cables(spark, str(tmp_path / "cables.csv")))
+    got = sorted((r.cable, r.lon1, r.lat1, r.lon2, r.lat2) for r in seg.collect())
+    assert got == [("A", 2.0, 1.0, 3.0, 2.0), ("A", 3.0, 2.0, 4.0, 3.0), ("A", 4.0, 3.0, 5.0, 4.0), ("B", 0.0, 0.0, 1.0, 1.0)]
+    results = spark.createDataFrame([(1, [(1.0, 2.0)])], "risk_level int, forecast array<struct<latitude:double,longitude:double>>")
+    writers.write_results(results, str(tmp_path / "results"))
+    back = spark.read.json(str(tmp_path / "results")).first()
+    assert back.risk_level == 1 and back.forecast[0].longitude == 2.0
