@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seatrack.llm import crf, fm, mixing, packing, phrases, quality, simhash, store, tokencount
+from seatrack.llm import crf, fm, mixing, packing, phrases, quality, simhash, store, substring, tokencount
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -147,3 +147,9 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phrase fingerprints of every document and of its edit."""
     return phrases.phrase_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of documents that are kept in another document."""
+    return substring.repeated_passages(table(spark, sf_dir, "documents")).drop("text_hash")

@@ -114,3 +114,19 @@ def combine(*parts: np.ndarray) -> np.ndarray:
     for p in parts:
         out = mix(out * np.uint64(0x9E3779B97F4A7C15) + p)
     return out
+
+
+def hash_runs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of every run of hashes; runs may overlap. Works block by block."""
+    out = np.zeros(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(starts, starts[i] + _STEP)))
+        low, high = int(starts[i]), int(ends[i:j].max())
+        up, down = _powers(_RADIX, high - low + 1), _powers(_INVERSE, high - low + 1)
+        total = np.zeros(high - low + 1, np.uint64)
+        np.cumsum(mix(values[low:high]) * up[:high - low], out=total[1:])
+        a, b = starts[i:j] - low, ends[i:j] - low
+        out[i:j] = (total[b] - total[a]) * down[a] + (b - a).astype(np.uint64)
+        i = j
+    return mix(out)
