@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seatrack.llm import crf, fm, mixing, packing, phrases, quality, simhash, store, substring, tokencount
+from seatrack.llm import crf, fm, mixing, ngrams, packing, phrases, quality, simhash, store, substring, tokencount
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -153,3 +153,12 @@ def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of documents that are kept in another document."""
     return substring.repeated_passages(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
+@query
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every document under a model of nine tenths of them."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = key_hash(10) == 0
+    scored = ngrams.score(docs, ngrams.train(docs.filter(~held_out)))
+    return scored.withColumn("held_out", held_out).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
