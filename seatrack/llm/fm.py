@@ -155,3 +155,17 @@ def classify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
 
     rows = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     return rows.mapInArrow(score, f"_key {kind.simpleString()}, score double").withColumnRenamed("_key", key)
+
+
+def accepted(docs: DataFrame, model: Model, text: str = "text", least: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, all columns, with a score of ``least`` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def score(texts):
+        import pandas as pd
+
+        column = pa.array(texts, pa.string())
+        return pd.Series(np.concatenate([probability(scores(shared.value, *features(off, data))[0]) for _, _, off, data in tokens.chunks(column)] or [np.zeros(0)]))
+
+    return docs.filter(score(F.coalesce(F.col(text), F.lit(""))) >= least)
