@@ -57,6 +57,10 @@ def _time(share: Column, kind: Column, schedules: tuple) -> Column:
     return out
 
 
+def _order(key: str, text: str) -> Column:
+    return F.md5(F.concat_ws("-", F.coalesce(F.col(key).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text), F.lit("")))))
+
+
 def mix_plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
              weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: int = 2, schedules: tuple = SCHEDULES) -> DataFrame:
     """One row per document: key, ``size, source_size, target, taken, first_position, second_position``.
@@ -72,7 +76,7 @@ def mix_plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: s
     body = F.coalesce(F.col(text), F.lit(""))
     rows = stage(docs.select(
         F.col(key).alias("_key"), F.col(source).alias("_source"), F.regexp_count(body, F.lit(_WORD)).cast("long").alias("_size"),
-        F.md5(F.concat_ws("-", F.coalesce(F.col(key).cast("string"), F.lit("")), F.md5(body))).alias("_order")), "mix-sizes")
+        _order(key, text).alias("_order")), "mix-sizes")
     rows = rows.withColumn("_bucket", F.substring("_order", 1, BUCKET_DIGITS))
     buckets = rows.groupBy("_source", "_bucket").agg(F.sum("_size").alias("_words"))
     ahead = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -93,22 +97,23 @@ def mix_plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: s
         time(at).alias("first_position"), time(F.col("_total") + at).alias("second_position"))
 
 
-def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", position: str = "position", **options) -> DataFrame:
     """The copies the mix takes, with all columns of ``docs`` and their ``position``, range-sorted by it.
 
-    A copy taken in part keeps its leading words.
+    A copy taken in part keeps its leading words. A column of ``docs`` called like ``position`` is replaced.
     """
     plan = mix_plan(docs, key, text, source, **options)
-    plan = plan.select(F.col(key).alias("_k"), F.col("order_hash").alias("_o"), F.col(source).alias("_s"), F.col("size").alias("_size"),
-                       "taken", "first_position", "second_position").filter("taken > 0").dropDuplicates(["_k", "_o", "_s"])
-    body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.withColumn("_llm_order", F.md5(F.concat_ws("-", F.coalesce(F.col(key).cast("string"), F.lit("")), F.md5(body))))
-    copies = F.filter(F.array(
-        F.struct(F.col("first_position").alias("position"), F.least("taken", "_size").alias("words")),
-        F.struct(F.col("second_position").alias("position"), (F.col("taken") - F.col("_size")).alias("words"))), lambda c: c["words"] > 0)
-    out = (rows.join(plan, rows["_llm_order"].eqNullSafe(plan["_o"]) & rows[key].eqNullSafe(plan["_k"]) & rows[source].eqNullSafe(plan["_s"]))
-           .withColumn("_llm_copy", F.explode(copies)))
-    cut = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), 1, F.col("_llm_copy")["words"].cast("int")), "")
-    return (out.withColumn(text, F.when(F.col("_llm_copy")["words"] < F.col("_size"), cut).otherwise(F.col(text)))
-            .withColumn("position", F.col("_llm_copy")["position"])
-            .select(*docs.columns, "position").repartitionByRange(F.col("position"), F.col(key)).sortWithinPartitions("position", key))
+    first, again = F.least("taken", "size"), F.col("taken") - F.col("size")
+    copies = F.filter(F.array(F.struct(F.col("first_position").alias("at"), first.alias("words")),
+                              F.struct(F.col("second_position").alias("at"), again.alias("words"))), lambda c: c["words"] > 0)
+    plan = plan.filter("taken > 0").select(
+        F.col(key).alias("_llm_k"), F.col("order_hash").alias("_llm_o"), F.col(source).alias("_llm_s"), F.col("size").alias("_llm_size"),
+        copies.alias("_llm_copies")).dropDuplicates(["_llm_k", "_llm_o", "_llm_s"])
+    rows = docs.withColumn("_llm_order", _order(key, text))
+    out = (rows.join(plan, (F.col("_llm_order") == F.col("_llm_o")) & F.col(key).eqNullSafe(F.col("_llm_k")) & F.col(source).eqNullSafe(F.col("_llm_s")))
+           .withColumn("_llm_copy", F.explode("_llm_copies")))
+    words = F.col("_llm_copy")["words"]
+    cut = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), 1, words.cast("int")), "")
+    return (out.withColumn(text, F.when(words < F.col("_llm_size"), cut).otherwise(F.col(text))).withColumn(position, F.col("_llm_copy")["at"])
+            .select(*[c for c in docs.columns if c != position], position)
+            .repartitionByRange(F.col(position), F.col(key)).sortWithinPartitions(position, key))

@@ -91,8 +91,11 @@ def _line_rows(rows: DataFrame) -> DataFrame:
         "_key", "_host", "_digest", "_pos", F.xxhash64("_line").alias("_hash"), (count_of(F.col("_line"), " ") + 1).alias("_words"))
 
 
-def _same_row(a: DataFrame, b: DataFrame) -> Column:
-    return a["_key"].eqNullSafe(b["_key"]) & a["_host"].eqNullSafe(b["_host"]) & (a["_digest"] == b["_digest"])
+def _left_by_row(rows: DataFrame, more: DataFrame) -> DataFrame:
+    """``rows`` with the columns that ``more`` has for them, else null."""
+    more = more.withColumnsRenamed({"_key": "_k", "_host": "_h", "_digest": "_d"})
+    same = F.col("_key").eqNullSafe(F.col("_k")) & F.col("_host").eqNullSafe(F.col("_h")) & (F.col("_digest") == F.col("_d"))
+    return rows.join(more, same, "left")
 
 
 def frequent_lines(rows: DataFrame, lines: DataFrame, share: float, least: int) -> DataFrame:
@@ -128,10 +131,9 @@ def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", host
     rows = _with_row(docs, key, text, host)
     lost = (_hits(rows, share, least).groupBy("_key", "_host", "_digest", "_pos").agg(F.max("_words").alias("_words"))
             .groupBy("_key", "_host", "_digest").agg(F.sum("_words").alias("_removed")))
-    measured = text_measures(rows, "_body")
-    removed = F.coalesce(lost["_removed"], F.lit(0).cast("long"))
-    return measured.join(lost, _same_row(measured, lost), "left").select(
-        measured["_key"].alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+    removed = F.coalesce(F.col("_removed"), F.lit(0).cast("long"))
+    return _left_by_row(text_measures(rows, "_body"), lost).select(
+        F.col("_key").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         base_failed().alias("base_failed"), removed.alias("n_frequent_words"),
         (~base_failed() & (F.col("n_words") - removed >= min_words) & (removed <= depleted * F.col("n_words"))).alias("kept"))
 
@@ -143,4 +145,4 @@ def without_frequent_lines(docs: DataFrame, key: str = "doc_id", text: str = "te
     gone = (_hits(rows, share, least).groupBy("_key", "_host", "_digest").agg(F.collect_set("_hash").alias("_gone")))
     none = F.array().cast("array<bigint>")
     kept = F.filter(F.split("_body", "\n", -1), lambda x: ~F.array_contains(F.coalesce(F.col("_gone"), none), F.xxhash64(_normal(x))))
-    return rows.join(gone, _same_row(rows, gone), "left").select(rows["_key"].alias(key), F.array_join(kept, "\n").alias(text))
+    return _left_by_row(rows, gone).select(F.col("_key").alias(key), F.array_join(kept, "\n").alias(text))

@@ -34,7 +34,8 @@ def piece_counter(path: str) -> Callable[[list[str]], list[int]]:
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     apart = (not any("▁" in model.id_to_piece(i).lstrip("▁") for i in range(model.get_piece_size()))
              and model.normalize("ａ  é́ x") == "▁ａ▁▁é́▁x")
-    memo: dict[str, int] = {}
+    # No text gives one space mark alone, which a space at the end leaves: the empty part stands for it.
+    memo = {"": 3 if model.is_unknown(model.piece_to_id("▁")) else 1}
 
     def parts(text: str) -> list[str]:
         cut = text.split(" ")
