@@ -1,8 +1,7 @@
 """Cable zones, closeness of vessels and forecasts to cables, and the risk level.
 
-Positions are joined with the cables on grid cells. Forecast paths carry their own positions in an
-array; for them the segments (a small fixed asset of at most ``MAX_ARRAY_SEGMENTS``, checked) travel as
-one array from a scalar subquery, and each path first keeps the segments its bounding box can reach.
+Positions and the steps of forecast paths are joined with the cables on grid cells, so neither the number of
+segments nor that of paths is bounded. Paths are compared once per distinct path and joined back by it.
 """
 
 from __future__ import annotations
@@ -13,10 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seatrack import schema as S
-from seatrack.functions.arrays import let
 from seatrack.functions.geo import along, boxes_meet, local_metres, point_segment_sq, segments_within
 
-MAX_ARRAY_SEGMENTS = 10_000
 CELL = 0.1  # degrees
 SEGMENT = ("lon1", "lat1", "lon2", "lat2")
 
@@ -31,15 +28,6 @@ def cable_segments(points: DataFrame) -> DataFrame:
     ).where(F.col("lon2").isNotNull())
 
 
-def segment_array(segments: DataFrame) -> Column:
-    """All segments as one array-valued scalar subquery; fails on sets too large for it."""
-    few = F.count(F.lit(1)) <= MAX_ARRAY_SEGMENTS
-    listed = F.sort_array(F.collect_list(F.struct("cable", "seg_no", *SEGMENT)))
-    limited = segments.limit(MAX_ARRAY_SEGMENTS + 1)  # one more than allowed, so that the check can fail
-    too_many = F.raise_error(F.lit("too many segments for an array"))
-    return limited.agg(F.when(few, listed).otherwise(too_many).alias("s")).scalar()
-
-
 def zone_radius(metres: float) -> float:
     """Zone width in degrees, one degree taken as 111,320 m."""
     return metres / S.METRES_PER_DEGREE
@@ -49,24 +37,6 @@ def _ends(s: Column) -> tuple[Column, ...]:
     return tuple(s[c] for c in SEGMENT)
 
 
-def _box(x_lo: Column, x_hi: Column, y_lo: Column, y_hi: Column) -> Column:
-    return F.struct(
-        x_lo.alias("x_lo"), x_hi.alias("x_hi"), y_lo.alias("y_lo"), y_hi.alias("y_hi"),
-        F.col("_segments").alias("segments"),
-    )
-
-
-def _reachable(b: Column) -> Column:
-    """Segments whose bounding box meets the given box."""
-    return F.filter(
-        b["segments"],
-        lambda s: (F.least(s["lon1"], s["lon2"]) <= b["x_hi"])
-        & (F.greatest(s["lon1"], s["lon2"]) >= b["x_lo"])
-        & (F.least(s["lat1"], s["lat2"]) <= b["y_hi"])
-        & (F.greatest(s["lat1"], s["lat2"]) >= b["y_lo"]),
-    )
-
-
 def cable_cells(segments: DataFrame, margin: float, lon_margin: Column | float, cell: float = CELL) -> DataFrame:
     """Grid cells (``_cx, _cy``) with the segments that come within the margins of them."""
     s = segments.withColumn("_lon_margin", F.lit(lon_margin))
@@ -126,43 +96,36 @@ def near_cable(df: DataFrame, segments: DataFrame, radius_m: float = S.NEAR_CABL
     return _position_predicate(df, segments, lat, lon, margin, lon_margin, name, close)
 
 
-def _path_predicate(df: DataFrame, segments: DataFrame, metres: float, path: str, name: str,
-                    test: Callable[[Column, float], Column]) -> DataFrame:
-    """Adds ``test(candidates, radius)``, where the candidates are the segments near the whole path.
-
-    Box and candidates are bound once per row, not once per position and segment.
-    """
-    r = zone_radius(metres)
-    p = F.col(path)
-    lats, lons = F.transform(p, lambda q: q["latitude"]), F.transform(p, lambda q: q["longitude"])
-    box = _box(F.array_min(lons) - r, F.array_max(lons) + r, F.array_min(lats) - r, F.array_max(lats) + r)
-
-    def with_box(b: Column) -> Column:
-        return let(F.coalesce(_reachable(b), F.array()), lambda candidates: test(candidates, r))
-
-    return df.withColumn("_segments", segment_array(segments)).withColumn(name, let(box, with_box)).drop("_segments")
+def _distinct_paths(df: DataFrame, path: str) -> DataFrame:
+    return df.select(F.col(path).alias("_path")).where(F.size("_path") > 0).distinct()
 
 
-def _point_inside(q: Column, candidates: Column, r: float) -> Column:
-    return F.exists(candidates, lambda s: point_segment_sq(q["longitude"], q["latitude"], *_ends(s)) < r * r)
+def _with_hits(df: DataFrame, hits: DataFrame, path: str) -> DataFrame:
+    """``df`` with the columns that ``hits`` has for its path; a row without hits keeps NULL there."""
+    hits = hits.withColumnRenamed("_path", "_hit_path").withColumn("_hash", F.xxhash64("_hit_path"))
+    return df.join(hits, (F.xxhash64(path) == F.col("_hash")) & (F.col(path) == F.col("_hit_path")), "left").drop("_hit_path", "_hash")
 
 
 def forecast_zone_steps(df: DataFrame, segments: DataFrame, metres: float = S.CRITICAL_ZONE_M, path: str = "forecast",
                         name: str = "zone_steps") -> DataFrame:
-    """Indices (from 0) of all forecast positions inside the zone."""
-
-    def inside(candidates: Column, r: float) -> Column:
-        flags = F.transform(path, lambda q, i: F.when(_point_inside(q, candidates, r), i))
-        return F.filter(flags, lambda i: i.isNotNull())
+    """Indices (from 0) of all forecast positions inside the zone.
 
-    return _path_predicate(df, segments, metres, path, name, inside)
+    The positions of the distinct paths meet the segments of their grid cell in an equi-join.
+    """
+    r = zone_radius(metres)
+    at = _distinct_paths(df, path).select("_path", F.posexplode("_path").alias("_i", "_at"))
+    at = _cell_of(at.withColumns({"_y": F.col("_at.latitude"), "_x": F.col("_at.longitude")}), "_y", "_x")
+    near = at.join(cable_cells(segments, r, r), ["_cx", "_cy"])
+    inside = near.where(point_segment_sq(F.col("_x"), F.col("_y"), *[F.col(c) for c in SEGMENT]) < r * r)
+    hits = inside.groupBy("_path").agg(F.sort_array(F.collect_set("_i")).alias("_inside"))
+    none = F.when(F.col(path).isNotNull(), F.array().cast("array<int>"))
+    return _with_hits(df, hits, path).withColumn(name, F.coalesce("_inside", none)).drop("_inside")
 
 
 def any_forecast_in_zone(df: DataFrame, segments: DataFrame, metres: float = S.CRITICAL_ZONE_M,
                          path: str = "forecast", name: str = "any_in_zone") -> DataFrame:
-    return _path_predicate(
-        df, segments, metres, path, name, lambda near, r: F.exists(path, lambda q: _point_inside(q, near, r))
-    )
+    d = forecast_zone_steps(df, segments, metres, path, "_steps")
+    return d.withColumn(name, F.size("_steps") > 0).drop("_steps")
 
 
 def first_forecast_in_zone(df: DataFrame, segments: DataFrame, metres: float = S.CRITICAL_ZONE_M,
@@ -173,21 +136,23 @@ def first_forecast_in_zone(df: DataFrame, segments: DataFrame, metres: float = S
 
 def path_crosses_zone(df: DataFrame, segments: DataFrame, metres: float = S.CRITICAL_ZONE_M, path: str = "forecast",
                       name: str = "crosses_zone") -> DataFrame:
-    """Whether the line through the forecast positions touches the zone."""
-    p, n = F.col(path), F.greatest(F.size(path), F.lit(1))
-
-    def touches(candidates: Column, r: float) -> Column:
-        def step_touches(e: Column) -> Column:
-            a, b = e["a"], e["b"]
-            step = (a["longitude"], a["latitude"], b["longitude"], b["latitude"])
-            return F.exists(candidates, lambda s: boxes_meet(step, _ends(s), r) & segments_within(step, _ends(s), r))
-
-        here = F.when(n == 1, p).otherwise(F.slice(p, 1, n - 1))
-        ahead = F.when(n == 1, p).otherwise(F.slice(p, 2, n - 1))
-        steps = F.arrays_zip(here.alias("a"), ahead.alias("b"))
-        return F.when(F.size(candidates) == 0, False).otherwise(F.exists(steps, step_touches))
+    """Whether the line through the forecast positions touches the zone.
 
-    return _path_predicate(df, segments, metres, path, name, touches)
+    Each step of a distinct path meets the segments of all cells its bounding box covers; a lone position
+    is a step of length zero.
+    """
+    r = zone_radius(metres)
+    steps = _distinct_paths(df, path).select("_path", F.posexplode("_path").alias("_i", "_a"))
+    ahead = F.when(F.size("_path") == 1, F.col("_a")).otherwise(F.get("_path", F.col("_i") + 1))
+    steps = steps.withColumn("_b", ahead).where("_b IS NOT NULL").select(
+        "_path", F.col("_a.longitude").alias("_ax"), F.col("_a.latitude").alias("_ay"),
+        F.col("_b.longitude").alias("_bx"), F.col("_b.latitude").alias("_by"))
+    for cell, a, b in (("_cx", "_ax", "_bx"), ("_cy", "_ay", "_by")):
+        steps = steps.withColumn(cell, F.explode(F.sequence(F.floor(F.least(a, b) / CELL), F.floor(F.greatest(a, b) / CELL))))
+    step, ends = tuple(F.col(c) for c in ("_ax", "_ay", "_bx", "_by")), tuple(F.col(c) for c in SEGMENT)
+    near = steps.join(cable_cells(segments, r, r), ["_cx", "_cy"])
+    hits = near.where(boxes_meet(step, ends, r) & segments_within(step, ends, r)).select("_path").distinct().withColumn("_touches", F.lit(True))
+    return _with_hits(df, hits, path).withColumn(name, F.coalesce("_touches", F.lit(False))).drop("_touches")
 
 
 def risk_levels(df: DataFrame, segments: DataFrame, critical_m: float = S.CRITICAL_ZONE_M, entry_m: float = S.ENTRY_ZONE_M,

@@ -164,7 +164,8 @@ def risk_of_windows(
             "_stats": clean.stats_row(stats, S.MODEL_FEATURES),
         }
     ).withColumn("window", F.transform("window", _z_scores)).drop("_stats")
-    scored = models.score_windows(windows, load_models, S.MODEL_FEATURES, S.POSITION_FEATURES)
+    # Written, as the paths are compared apart from their rows: the models run once.
+    scored = stage(models.score_windows(windows, load_models, S.MODEL_FEATURES, S.POSITION_FEATURES), "scored")
     d = risk.risk_levels(scored, segments, critical_m, entry_m, keep_negative=False)
     return d.select(
         *track.key, "window_no", "window_start", "window_end", "forecast",

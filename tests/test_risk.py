@@ -5,8 +5,8 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from seatrack.operators import risk
 from seatrack.plans.q_risk import segments
@@ -114,9 +114,29 @@ def test_paths(spark, points, cables):
     assert [x.any_in_zone for x in d.where("id = 10000").collect()] == [False]
 
 
-def test_too_many_segments_fail_loudly(spark, cables):
-    many = spark.range(risk.MAX_ARRAY_SEGMENTS + 5).select(
-        F.lit("x").alias("cable"), F.col("id").cast("int").alias("seg_no"), *[F.lit(1.0).alias(c) for c in risk.SEGMENT])
-    d = spark.createDataFrame([(1, [(1.0, 1.0), (1.1, 1.1)])], "id int, forecast array<struct<latitude:double,longitude:double>>")
-    with pytest.raises(Exception, match="too many segments"):
-        risk.path_crosses_zone(d, many).collect()
+def test_many_segments_agree_with_brute_force(spark):
+    rng = random.Random(7)
+    lines = [(f"c{i}", 0, x, y, x + rng.uniform(-0.05, 0.05), y + rng.uniform(-0.05, 0.05))
+             for i in range(50_000) for x, y in [(rng.uniform(0, 40), rng.uniform(40, 65))]]
+    cables = spark.createDataFrame(lines, "cable string, seg_no int, lon1 double, lat1 double, lon2 double, lat2 double")
+    rows = [(i, [(rng.uniform(40, 65), rng.uniform(0, 40))]) for i in range(40)]
+    rows = [(i, [(y + 0.05 * k, x - 0.03 * k) for k in range(3)]) for i, [(y, x)] in rows] + [(40, None), (41, []), (42, rows[0][1])]
+    d = spark.createDataFrame(rows, "id int, forecast array<struct<latitude:double,longitude:double>>")
+    d = risk.path_crosses_zone(risk.forecast_zone_steps(d, cables), cables)
+    assert "SinglePartition" not in d._jdf.queryExecution().executedPlan().toString()
+    x1, y1, x2, y2 = (np.array([s[k] for s in lines]) for k in (2, 3, 4, 5))
+    r = 1602 / 111320
+
+    def closest(px, py):
+        t = np.clip(((px - x1) * (x2 - x1) + (py - y1) * (y2 - y1)) / ((x2 - x1) ** 2 + (y2 - y1) ** 2), 0, 1)
+        return np.hypot(px - x1 - t * (x2 - x1), py - y1 - t * (y2 - y1)).min()
+
+    for x in d.collect():
+        path = x.forecast or []
+        want = [i for i, p in enumerate(path) if closest(p.longitude, p.latitude) < r]
+        assert x.zone_steps == (want if x.forecast is not None else None)
+        dense = [(a.longitude + (b.longitude - a.longitude) * f / 40, a.latitude + (b.latitude - a.latitude) * f / 40)
+                 for a, b in zip(path, path[1:] or path) for f in range(41)]
+        least = min((closest(*p) for p in dense), default=9.0)
+        assert x.crosses_zone or least > r
+        assert not x.crosses_zone or least <= r + 0.002
