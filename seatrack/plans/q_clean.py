@@ -79,23 +79,22 @@ def _(spark, sf):
     return clean.label_to_int(d)
 
 
-@query("p11_split_inputs", sql_with("SELECT trawling, count(*) AS n FROM msg GROUP BY trawling"))
+@query("p11_split_inputs", sql_with("SELECT * EXCLUDE (mmsi, ts, trawling) FROM msg"))
 def _(spark, sf):
-    _, y = clean.split_inputs(messages(spark, sf), forecasting=False)
-    return y.groupBy("trawling").agg(F.count(F.lit(1)).alias("n"))
+    x, y = clean.split_inputs(messages(spark, sf), forecasting=False)
+    assert y.columns == ["trawling"]
+    return x
 
 
-@query("p11b_split_inputs_forecast", sql_with("""SELECT sog, y_lat_1, y_lon_2 FROM (
- SELECT sog, lead(latitude, 1) OVER w AS y_lat_1, lead(longitude, 2) OVER w AS y_lon_2
- FROM msg WINDOW w AS (PARTITION BY mmsi ORDER BY epoch, event_id)) WHERE y_lon_2 IS NOT NULL"""))
+@query("p11b_split_inputs_forecast", sql_with("""SELECT * EXCLUDE (mmsi, ts, trawling, whole) FROM (
+ SELECT *, lead(longitude, 2) OVER w AS whole
+ FROM msg WINDOW w AS (PARTITION BY mmsi ORDER BY epoch, event_id)) WHERE whole IS NOT NULL"""))
 def _(spark, sf):
     d = series.forecasting_target(messages(spark, sf), T, steps=2)
     d = series.wide_future(d, 2, prefix=("y_lat_", "y_lon_"))
     x, y = clean.split_inputs(d, steps=2)
-    assert not [c for c in x.columns if c.startswith("y_")]
     assert y.columns == ["y_pair_1", "y_pair_2"]
-    assert "sog" in x.columns
-    return d.select("sog", "y_lat_1", "y_lon_2")
+    return x
 
 
 @query("p12_label_trawling", sql_with(

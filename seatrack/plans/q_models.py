@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.sql import functions as F
 
 from seatrack import schema as S
@@ -53,9 +52,9 @@ def _labelled(spark, sf):
 
 @query("m1_random_forest")
 def _(spark, sf):
-    train, val = _labelled(spark, sf)
-    model = models.random_forest(train, _X, "trawling", trees=20, depth=6)
-    scored = model.transform(val.withColumns({c: F.col(c).cast("double") for c in [*_X, "trawling"]}))
+    d = split_rows(messages(spark, sf))
+    model = models.random_forest(d.where("split = 'train'"), _X, "trawling")
+    scored = model.transform(d.where("split = 'test'").withColumns({c: F.col(c).cast("double") for c in [*_X, "trawling"]}))
     return metrics.classification_scores(scored, "trawling", "prediction")
 
 
@@ -86,23 +85,16 @@ def _(spark, sf):
 @query("m3_compare_classifiers")
 def _(spark, sf):
     train, val = _labelled(spark, sf)
-    common = {"featuresCol": "features", "labelCol": "trawling"}
-    small = {
-        "logistic_regression": LogisticRegression(maxIter=20, regParam=0.02, **common),
-        "decision_tree": DecisionTreeClassifier(maxDepth=5, seed=42, **common),
-        "random_forest": RandomForestClassifier(numTrees=10, maxDepth=5, seed=42, **common),
-        "boosted_trees": GBTClassifier(maxDepth=4, maxIter=5, stepSize=0.3, subsamplingRate=0.5, seed=42, **common),
-    }
     features = ["sog", "cog", "heading", "draught"]
-    zero = models.compare_classifiers(train, val, features, "trawling", "zero", small)
-    return zero.unionByName(models.compare_classifiers(train, val, features, "trawling", "mean", small))
+    zero = models.compare_classifiers(train, val, features, "trawling", "zero")
+    return zero.unionByName(models.compare_classifiers(train, val, features, "trawling", "mean"))
 
 
 @query("m4_forest_regressor")
 def _(spark, sf):
     d = series.future_value(messages(spark, sf).select("mmsi", "epoch", "event_id", "latitude", "longitude"), T, horizon=1)
     targets = ["latitude_future1", "longitude_future1"]
-    fitted = models.forest_regressors(d, ["latitude", "longitude"], targets, trees=10)
+    fitted = models.forest_regressors(d, ["latitude", "longitude"], targets)
     predicted = models.forest_predict(d, fitted, ["latitude", "longitude"])
     return metrics.position_errors(predicted, [(t, f"{t}_pred") for t in targets])
 
@@ -184,7 +176,7 @@ def _(spark, sf):
 @query("m12_feature_importance")
 def _(spark, sf):
     train, _ = _labelled(spark, sf)
-    fitted = models.random_forest(train, _X, "trawling", trees=10, depth=5)
+    fitted = models.random_forest(train, _X, "trawling")
     return models.feature_importance(fitted.stages[-1], _X, spark)
 
 

@@ -55,11 +55,10 @@ def _(spark, sf):
     return clean.drop_hollow_vessels(messages(spark, sf), S.CONTINUOUS).select("event_id", "mmsi")
 
 
-@query("a4_drop_incomplete_vessels", sql_with("""SELECT event_id, mmsi FROM msg WHERE epoch % 7 = 0 AND mmsi IN (
- SELECT mmsi FROM msg WHERE epoch % 7 = 0 GROUP BY mmsi HAVING count(*) = count(draught) AND count(*) = count(heading))"""))
+@query("a4_drop_incomplete_vessels", sql_with("""SELECT event_id, mmsi FROM msg WHERE mmsi IN (
+ SELECT mmsi FROM msg GROUP BY mmsi HAVING count(*) = count(gear_type) AND count(*) = count(width))"""))
 def _(spark, sf):
-    d = messages(spark, sf).where("epoch % 7 = 0")  # a sparser track, so that complete vessels occur
-    return clean.drop_incomplete_vessels(d, ["draught", "heading"]).select("event_id", "mmsi")
+    return clean.drop_incomplete_vessels(messages(spark, sf), ["gear_type", "width"]).select("event_id", "mmsi")
 
 
 _IQR = """mq AS (SELECT strftime(ts, '%Y-%m') AS mo, quantile_cont(latitude, 0.25) AS a1, quantile_cont(latitude, 0.75) AS a3,

@@ -173,29 +173,27 @@ def _(spark, sf):
     return rounded(series.window_features(messages(spark, sf), T, ["sog", "cog"], [], "trawling", 5, 2))
 
 
-@query("w15_majority_sequences", sql_with("""SELECT s.mmsi, s.epoch, CAST(round_even(avg(r.label), 0) AS INT) AS label, count(r.sog) AS known FROM lab s JOIN lab r ON r.mmsi = s.mmsi AND r.rn BETWEEN s.rn AND s.rn + 3
- WHERE s.rn + 3 <= s.n GROUP BY s.mmsi, s.epoch, s.rn HAVING count(r.label) = 4""", ROWS_SQL, "lab AS (SELECT *, CASE WHEN event_id % 19 <> 0 THEN trawling END AS label FROM num)"))
+@query("w15_majority_sequences", sql_with("""SELECT w.mmsi, w.epoch, w.label, CAST(r.rn - w.rn AS INT) AS pos, r.sog FROM (SELECT s.mmsi, s.epoch, s.rn, CAST(round_even(avg(r.label), 0) AS INT) AS label FROM lab s JOIN lab r ON r.mmsi = s.mmsi AND r.rn BETWEEN s.rn AND s.rn + 3
+ WHERE s.rn + 3 <= s.n GROUP BY s.mmsi, s.epoch, s.rn HAVING count(r.label) = 4) w JOIN lab r ON r.mmsi = w.mmsi AND r.rn BETWEEN w.rn AND w.rn + 3""", ROWS_SQL, "lab AS (SELECT *, CASE WHEN event_id % 19 <> 0 THEN trawling END AS label FROM num)"))
 def _(spark, sf):
     m = messages(spark, sf).withColumn("label", F.when(F.col("event_id") % 19 != 0, F.col("trawling")))
     d = series.majority_sequences(m, T, ["sog"], "label", 4)
-    known = F.size(F.filter("sequence", lambda r: r["sog"].isNotNull())).cast("bigint")
-    return d.select("mmsi", "epoch", "label", known.alias("known"))
+    return d.select("mmsi", "epoch", "label", F.posexplode("sequence").alias("pos", "_r")).select("mmsi", "epoch", "label", "pos", "_r.sog")
 
 
-@query("w16_delayed_sequences", sql_with("""SELECT s.mmsi, s.epoch, max(t.latitude) AS latitude_target, round(sum(r.longitude), 9) AS lon_sum FROM num s JOIN num r ON r.mmsi = s.mmsi AND r.rn BETWEEN s.rn AND s.rn + 3
- JOIN num t ON t.mmsi = s.mmsi AND t.rn = s.rn + 7 GROUP BY s.mmsi, s.epoch, s.rn""", ROWS_SQL))
+@query("w16_delayed_sequences", sql_with("""SELECT s.mmsi, s.epoch, t.latitude AS latitude_target, CAST(r.rn - s.rn AS INT) AS pos, r.longitude FROM num s JOIN num r ON r.mmsi = s.mmsi AND r.rn BETWEEN s.rn AND s.rn + 3
+ JOIN num t ON t.mmsi = s.mmsi AND t.rn = s.rn + 7""", ROWS_SQL))
 def _(spark, sf):
     d = series.delayed_sequences(messages(spark, sf), T, ["longitude"], ["latitude"], 4, 3)
-    total = F.aggregate("sequence", F.lit(0.0), lambda a, r: a + r["longitude"])
-    return d.select("mmsi", "epoch", "latitude_target", F.round(total, 9).alias("lon_sum"))
+    return d.select("mmsi", "epoch", "latitude_target", F.posexplode("sequence").alias("pos", "_r")).select(
+        "mmsi", "epoch", "latitude_target", "pos", "_r.longitude")
 
 
-@query("w17_lookback_positions", sql_with("""SELECT s.mmsi, s.epoch, CAST((r.rn - s.rn + 3) * 2 AS INT) AS pos, r.latitude AS value, t.latitude AS latitude_target FROM num s JOIN num r ON r.mmsi = s.mmsi AND r.rn BETWEEN s.rn - 3 AND s.rn - 1
- JOIN num t ON t.mmsi = s.mmsi AND t.rn = s.rn + 1 WHERE s.rn > 3""", ROWS_SQL))
+@query("w17_lookback_positions", sql_with("""SELECT s.mmsi, s.epoch, CAST((r.rn - s.rn + 3) * 2 + o.o AS INT) AS pos, CASE o.o WHEN 0 THEN r.latitude ELSE r.longitude END AS value, t.latitude AS latitude_target FROM num s JOIN num r ON r.mmsi = s.mmsi AND r.rn BETWEEN s.rn - 3 AND s.rn - 1
+ JOIN num t ON t.mmsi = s.mmsi AND t.rn = s.rn + 1 CROSS JOIN (VALUES (0), (1)) o(o) WHERE s.rn > 3""", ROWS_SQL))
 def _(spark, sf):
     d = series.lookback_positions(messages(spark, sf), T, lookback=3)
-    d = d.select("mmsi", "epoch", "latitude_target", F.posexplode("past").alias("pos", "value")).where("pos % 2 = 0")
-    return d
+    return d.select("mmsi", "epoch", "latitude_target", F.posexplode("past").alias("pos", "value"))
 
 
 @query("w18_check_windows", sql_with("SELECT mmsi, window_no, window_start, rows, reason FROM checked", window_check_sql(5, 2, S.MODEL_FEATURES, True)))

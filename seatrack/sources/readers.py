@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,7 +45,7 @@ def read_messages(spark: SparkSession, path: str | Sequence[str], dedup: bool =
 
 def file_date(name: Column) -> Column:
     """Date in a name like ``aisdk-2025-01-31...csv``; NULL for other names."""
-    text = F.regexp_extract(name, r"aisdk-(\d{4}-\d{2}-\d{2}).*\.csv", 1)
+    text = F.regexp_extract(name, r"^aisdk-(\d{4}-\d{2}-\d{2}).*\.csv$", 1)
     return F.try_to_timestamp(F.nullif(text, F.lit("")), F.lit("yyyy-MM-dd")).cast("date")
 
 
@@ -77,9 +77,14 @@ def read_xy(spark: SparkSession, paths: Sequence[str], features: Sequence[str],
 
 
 def cable_points(df: DataFrame) -> DataFrame:
-    """``Cable, Point, Latitude, Longitude`` rows with an explicit ``point_no``: Start, Bend_1, ..., End."""
-    bend = F.expr("try_cast(regexp_extract(`Point`, 'Bend_([0-9]+)', 1) AS INT)")
-    no = F.when(F.col("Point") == "Start", 0).when(F.col("Point") == "End", 1_000_000).otherwise(bend)
+    """``Cable, Point, Latitude, Longitude`` rows with an explicit ``point_no``: Start, Bend_1, ..., End.
+
+    The end comes after the last bend whatever its number; any other point name fails, as its place is unknown.
+    """
+    bend = F.expr("try_cast(regexp_extract(`Point`, '^Bend_([0-9]+)$', 1) AS INT)")
+    last = F.coalesce(F.max(bend).over(Window.partitionBy("Cable")), F.lit(0)) + 1
+    unknown = F.raise_error(F.concat(F.lit("unknown cable point: "), F.coalesce("Point", F.lit("NULL")))).cast("int")
+    no = F.when(F.col("Point") == "Start", 0).when(F.col("Point") == "End", last).when(bend.isNotNull(), bend).otherwise(unknown)
     return df.select(
         F.col("Cable").alias("cable"), no.alias("point_no"),
         F.col("Latitude").cast("double").alias("latitude"), F.col("Longitude").cast("double").alias("longitude"),
