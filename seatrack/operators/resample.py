@@ -51,6 +51,20 @@ def align(df: DataFrame, track: Track, step_s: int, on_collision: str = "first")
     return df.withColumn(track.order, bucket(track.order, step_s))
 
 
+def _emit_slots(d: DataFrame, track: Track, last: Column, step_s: int) -> DataFrame:
+    """Adds ``_slot``: the slot of each row and the empty ones up to ``last``.
+
+    A gap is cut into pieces of at most a day, dealt by key and piece, before the slots are produced: no
+    array is longer than a day, and a long gap is filled by many tasks.
+    """
+    t, step = F.col(track.order), F.lit(step_s).cast("bigint")
+    day = max(DAY - DAY % step_s, step_s)
+    pieces = d.withColumn("_end", F.greatest(last, t))
+    pieces = pieces.withColumn("_from", F.explode(F.sequence(t, F.col("_end"), F.lit(day).cast("bigint")))).repartition(*track.key, "_from")
+    to = F.least(F.col("_end"), F.col("_from") + day - step_s)
+    return pieces.withColumn("_slot", F.explode(F.sequence("_from", to, step))).drop("_from", "_end")
+
+
 def fill_grid(
     df: DataFrame, track: Track, step_s: int, constant: Sequence[str] = (), until: str | None = None
 ) -> DataFrame:
@@ -63,7 +77,7 @@ def fill_grid(
     t = F.col(track.order)
     d = next_time(df, track, "_next")
     last = F.coalesce(F.col("_next") - step_s, F.col(until) if until else t)
-    d = d.withColumn("_slot", F.explode(F.sequence(t, F.greatest(last, t), F.lit(step_s).cast("bigint"))))
+    d = _emit_slots(d, track, last, step_s)
     own = F.col("_slot") == t
     kept = {*track.key, *constant, track.order, "_next", "_slot"}
     if until:
@@ -143,7 +157,7 @@ def expand_grid(
     """Second half of :func:`filled_grid`: every row emits its slot and the empty ones after it."""
     t = F.col(track.order)
     last = F.coalesce(F.col("_next") - step_s, F.col(until) if until else t)
-    d = d.withColumn("_slot", F.explode(F.sequence(t, F.greatest(last, t), F.lit(step_s).cast("bigint"))))
+    d = _emit_slots(d, track, last, step_s)
     at, own = F.col("_slot"), F.col("_slot") == t
     values = {}
     for c in dict.fromkeys([*lines, *fills]):
@@ -203,10 +217,11 @@ def resample_with_mode(
     df: DataFrame, track: Track, columns: Sequence[str], seconds: int, label: str = "label"
 ) -> DataFrame:
     """Exact grid hits, ends filled both ways, one label per key (its mode), all-NULL rows dropped."""
-    hits = grid_hits(df, track, seconds, columns)
-    d = filled_grid(hits, track.without_tie(), seconds, columns, hold=columns, back=columns, until="_until")
-    d = d.na.drop("all", subset=list(columns))
-    return d.join(key_mode(df, track.key, label), list(track.key), "left")
+    # The label joins the few hits, not the grid; as one value per key it fills like any other column.
+    hits = grid_hits(df, track, seconds, columns).join(key_mode(df, track.key, label), list(track.key), "left")
+    both = [*columns, label]
+    d = filled_grid(hits, track.without_tie(), seconds, columns, [label], both, both, until="_until")
+    return d.na.drop("all", subset=list(columns))
 
 
 def upsample(
