@@ -8,9 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-RANGES = 64
-
-
 def _ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
@@ -53,20 +50,22 @@ def precision_recall_curve(df: DataFrame, truth: str, score: str) -> DataFrame:
     """One row per distinct score as threshold, from the highest down.
 
     Equal scores collapse in the map tasks. Running totals are taken inside ranges of scores that hold
-    about equally many rows and shifted by the totals of the ranges above.
+    about equally many rows and shifted by the totals of the ranges above. There are as many ranges as
+    shuffle partitions, but at least 64.
     """
+    ranges = max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     d = df.where(F.col(score).isNotNull())
-    shares = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
-    marks = d.agg(F.percentile_approx(score, shares, F.lit(10_000)).alias("m"))
+    shares = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+    marks = d.agg(F.percentile_approx(score, shares, F.lit(100 * ranges)).alias("m"))
     per_score = d.groupBy(F.col(score).alias("threshold")).agg(
         F.count_if(F.col(truth) == 1).alias("_pos"), F.count(F.lit(1)).alias("_n")
     )
-    fields = F.struct(*[F.get("m", i).alias(f"m{i}") for i in range(RANGES - 1)])
+    fields = F.struct(*[F.get("m", i).alias(f"m{i}") for i in range(ranges - 1)])
     ranged = per_score.withColumn("_m", marks.select(fields.alias("m")).scalar()).withColumn(
-        "_range", _locate(F.col("threshold"), 0, RANGES - 1)
+        "_range", _locate(F.col("threshold"), 0, ranges - 1)
     ).drop("_m")
     totals = ranged.groupBy("_range").agg(F.sum("_pos").alias("_rp"), F.sum("_n").alias("_rn"))
-    above = Window.orderBy(F.col("_range").desc()).rowsBetween(Window.unboundedPreceding, -1)  # <= 64 rows
+    above = Window.orderBy(F.col("_range").desc()).rowsBetween(Window.unboundedPreceding, -1)  # one row per range
     totals = totals.select(
         "_range", F.coalesce(F.sum("_rp").over(above), F.lit(0)).alias("_ap"),
         F.coalesce(F.sum("_rn").over(above), F.lit(0)).alias("_an"), F.sum("_rp").over(Window.partitionBy()).alias("_all"),
@@ -85,8 +84,7 @@ def precision_recall_curve(df: DataFrame, truth: str, score: str) -> DataFrame:
 def pr_curve_area(curve: DataFrame) -> DataFrame:
     """Trapezoid area under the curve, starting at recall 0 with precision 1.
 
-    The first point of each score range needs the last point of the range above; there are at most 64
-    of those.
+    The first point of each score range needs the last point of the range above: one row per range.
     """
     edge = curve.groupBy("_range").agg(F.min_by(F.struct("recall", "precision"), "threshold").alias("_last"))
     order = Window.orderBy(F.col("_range").desc())

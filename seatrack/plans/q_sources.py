@@ -121,10 +121,11 @@ def _(spark, sf):
     return spark.read.parquet(f"{path}/train/v1/data")
 
 
-@query("s9b_export_metadata", sql_with("SELECT 'v1' AS version, 'train' AS mode, count(*) AS rows, count(DISTINCT mmsi) AS vessels, 12 AS columns FROM msg"))
+@query("s9b_export_metadata", sql_with("SELECT 'v1' AS version, 'train' AS mode, count(*) AS rows, count(DISTINCT mmsi) AS vessels, 12 AS columns, 'day files' AS sources, 'out' AS path FROM msg"))
 def _(spark, sf):
     exported = writers.training_columns(messages(spark, sf))
-    return writers.export_metadata(exported, "v1", "train").drop("schema")
+    d = writers.export_metadata(exported, "v1", "train", ["day files"], "out")
+    return d.drop("schema", "created", "partitions").withColumn("sources", F.array_join("sources", ","))
 
 
 @query("s10_stats_round_trip", sql_with(" UNION ALL ".join(

@@ -32,28 +32,31 @@ def training_columns(df: DataFrame, horizon: int = 0) -> DataFrame:
     return wide_future(d.select(*base, "future"), horizon, cast="float")
 
 
-def export_metadata(exported: DataFrame, version: str, mode: str) -> DataFrame:
-    """One row about an export: rows, vessels, number of columns, version, mode and schema."""
+def export_metadata(exported: DataFrame, version: str, mode: str, sources: Sequence[str] = (), path: str | None = None) -> DataFrame:
+    """One row about an export: rows, vessels, columns, schema, time of creation, source folders, output path
+    and the number of partitions it is read in."""
     return exported.agg(
         F.count(F.lit(1)).alias("rows"), F.count_distinct("mmsi").alias("vessels"),
     ).select(
         F.lit(version).alias("version"), F.lit(mode).alias("mode"), "rows", "vessels",
         F.lit(len(exported.columns)).alias("columns"), F.lit(exported.schema.simpleString()).alias("schema"),
+        F.current_timestamp().alias("created"), F.lit(list(sources)).cast("array<string>").alias("sources"), F.lit(path).alias("path"),
+        F.lit(exported.rdd.getNumPartitions()).alias("partitions"),
     )
 
 
 def write_training_set(df: DataFrame, path: str, version: str, mode: str = "train", horizon: int = 0,
-                       salt: int = 16) -> None:
+                       sources: Sequence[str] = ()) -> None:
     """Export as Parquet grouped by vessel, with a metadata row beside it.
 
-    Rows are spread by (vessel, hash of the time), so a very busy vessel does not end in one task.
+    Rows are spread by vessel and day, so a busy vessel takes as many tasks as it has days.
     """
     out = training_columns(df, horizon)
-    spread = out.repartition("mmsi", F.pmod(F.xxhash64("timestamp_epoch"), F.lit(salt)))
+    spread = out.repartition("mmsi", F.floor(F.col("timestamp_epoch") / 86_400))
     target = f"{path}/{mode}/{version}"
     spread.sortWithinPartitions("mmsi", "timestamp_epoch").write.mode("overwrite").parquet(f"{target}/data")
     written = df.sparkSession.read.parquet(f"{target}/data")
-    export_metadata(written, version, mode).write.mode("overwrite").json(f"{target}/metadata")
+    export_metadata(written, version, mode, sources, target).write.mode("overwrite").json(f"{target}/metadata")
 
 
 def write_stats(stats: DataFrame, path: str) -> None:
