@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from seatrack import schema as S
 from seatrack.operators import clean, degrade, joins, metrics, models, profile, resample, risk, series, split
-from seatrack.operators.ordered import Track, track_row_numbers
+from seatrack.operators.ordered import Track
 from seatrack.sources import readers, writers
 from seatrack.sources.staging import stage
 
@@ -112,19 +112,20 @@ def cable_risk(
 ) -> DataFrame:
     """Score the sliding windows of all vessels whose last position is near a cable.
 
-    Only the windows near a cable reach the model; only those it calls trawling get a risk level.
+    Only the windows near a cable reach the model; only those it calls trawling get a risk level. On the
+    complete grid the number of a row follows from its time, so the wanted windows are exploded into
+    times and meet the rows on (vessel, time).
     """
-    bare = track.without_tie()
-    rows = stage(track_row_numbers(stage(scoring_rows(messages, track, step_s), "scoring"), bare), "numbered")
-    rn = F.col("rn")
-    ends = rows.where((rn >= size) & ((rn - size) % step == 0)).select(
-        *track.key, F.floor((rn - size) / step).alias("window_no"), "latitude", "longitude"
-    )
-    ends = risk.near_cable(ends, segments, near_m, name="_near").where("_near").select(*track.key, "window_no")
-    # Each row joins the windows it lies in; with the list of wanted windows most rows end here.
-    first = F.greatest(F.ceil((rn - size) / step), F.lit(0))
-    members = rows.withColumn("window_no", F.explode(F.sequence(first, F.floor((rn - 1) / step))))
-    windows = members.join(ends, [*track.key, "window_no"]).groupBy(*track.key, "window_no").agg(
+    rows = stage(scoring_rows(messages, track, step_s), "scoring")
+    begin = rows.groupBy(*track.key).agg(F.min(track.order).alias("_begin"))
+    t = F.col(track.order)
+    ends = rows.select(*track.key, track.order, "latitude", "longitude")
+    ends = risk.near_cable(ends, segments, near_m, name="_close").where("_close").join(begin, list(track.key))
+    past = (t - F.col("_begin")) / step_s + 1 - size  # rows before the window
+    span = F.sequence(t - (size - 1) * step_s, t, F.lit(step_s).cast("bigint"))
+    members = ends.where((past >= 0) & (past % step == 0)).select(
+        *track.key, F.floor(past / step).alias("window_no"), F.explode(span).alias(track.order))
+    windows = rows.join(members, [*track.key, track.order]).groupBy(*track.key, "window_no").agg(
         F.min(track.order).alias("window_start"), F.max(track.order).alias("window_end"),
         F.sort_array(F.collect_list(F.struct(track.order, *S.MODEL_FEATURES))).alias("window"),
     )
@@ -136,26 +137,39 @@ def latest_risk(
     load_models: Callable[[], tuple[models.Model, models.Model]], step_s: int = 10, size: int = 30,
     near_m: float = S.ENTRY_ZONE_M, critical_m: float = S.CRITICAL_ZONE_M, entry_m: float = S.ENTRY_ZONE_M,
 ) -> DataFrame:
-    """Score only the newest full window of each vessel."""
+    """One row per vessel: its newest full window, scored if it ends near a cable.
+
+    ``status`` is ``scored``, ``not near a cable`` or ``too few rows``; label, logit, probability and
+    risk level (0 for a negative label) are NULL unless scored, ``zone_alert`` and forecast unless positive.
+    """
     rows = stage(scoring_rows(messages, track, step_s), "scoring")
     newest = series.last_rows(rows, track.without_tie(), size)  # at most `size` rows per vessel from here on
     entry = F.struct(track.order, *S.MODEL_FEATURES)
     windows = newest.groupBy(*track.key).agg(
         F.lit(0).cast("bigint").alias("window_no"), F.min(track.order).alias("window_start"),
         F.max(track.order).alias("window_end"), F.sort_array(F.collect_list(entry)).alias("window"),
-    ).where(F.size("window") == size)
+    )
     last = F.element_at("window", -1)
     windows = windows.withColumns({"_lat": last["latitude"], "_lon": last["longitude"]})
-    windows = risk.near_cable(windows, segments, near_m, "_lat", "_lon", "_near").where("_near").drop("_near", "_lat", "_lon")
-    return risk_of_windows(windows, track, segments, stats, load_models, critical_m, entry_m)
+    windows = risk.near_cable(windows, segments, near_m, "_lat", "_lon", "_close").drop("_lat", "_lon")
+    short, near = F.size("window") < size, F.coalesce("_close", F.lit(False))
+    status = F.when(short, "too few rows").when(near, "scored").otherwise("not near a cable")
+    windows = stage(windows.withColumn("status", status).drop("_close"), "newest")
+    scored = risk_of_windows(
+        windows.where("status = 'scored'").drop("status"), track, segments, stats, load_models, critical_m, entry_m, keep_negative=True)
+    return windows.select(*track.key, "status", "window_start", "window_end").join(
+        scored.drop("window_no", "window_start", "window_end"), list(track.key), "left")
 
 
 def risk_of_windows(
     windows: DataFrame, track: Track, segments: DataFrame, stats: DataFrame,
     load_models: Callable[[], tuple[models.Model, models.Model]],
-    critical_m: float = S.CRITICAL_ZONE_M, entry_m: float = S.ENTRY_ZONE_M,
+    critical_m: float = S.CRITICAL_ZONE_M, entry_m: float = S.ENTRY_ZONE_M, keep_negative: bool = False,
 ) -> DataFrame:
-    """Completeness check, normalisation, model and risk level of windows near a cable."""
+    """Completeness check, normalisation, model and risk level of windows near a cable.
+
+    ``zone_alert`` says whether a forecast position lies in the critical zone; it is NULL without a forecast.
+    """
     incomplete = F.exists("window", lambda r: clean.any_of([r[c].isNull() for c in S.MODEL_FEATURES]))
     windows = windows.withColumns(
         {
@@ -166,10 +180,12 @@ def risk_of_windows(
     ).withColumn("window", F.transform("window", _z_scores)).drop("_stats")
     # Written, as the paths are compared apart from their rows: the models run once.
     scored = stage(models.score_windows(windows, load_models, S.MODEL_FEATURES, S.POSITION_FEATURES), "scored")
-    d = risk.risk_levels(scored, segments, critical_m, entry_m, keep_negative=False)
+    d = risk.risk_levels(scored, segments, critical_m, entry_m, keep_negative=keep_negative)
+    d = risk.any_forecast_in_zone(d, segments, critical_m, name="_alert")
     return d.select(
-        *track.key, "window_no", "window_start", "window_end", "forecast",
-        F.round("probability", 4).alias("fishing_confidence"), "risk_level", "input", "used_fallback",
+        *track.key, "window_no", "window_start", "window_end", "label", "logit", "probability", "forecast",
+        F.round("probability", 4).alias("fishing_confidence"), "risk_level",
+        F.when(F.col("forecast").isNotNull(), F.col("_alert")).alias("zone_alert"), "input", "used_fallback",
     )
 
 

@@ -129,7 +129,10 @@ def _(spark, sf):
 @query("e7b_latest_risk")
 def _(spark, sf):
     d = flows.latest_risk(messages(spark, sf), T, segments(spark), train_stats(spark), load_linear_models, 3600, 30, near_m=20_000.0)
-    return _risk_columns(d)
+    return d.select(
+        "mmsi", "status", "window_start", "window_end", "label", "logit", "probability", "zone_alert", "risk_level",
+        "used_fallback", F.size("forecast").alias("steps"), F.size("input").alias("positions"),
+    )
 
 
 @query("e8_degradation_study")

@@ -37,6 +37,24 @@ def test_cable_risk_equals_scoring_every_window(spark):
     assert len(first.forecast) == 20 and len(first.input) == 12 and 0.5 <= first.fishing_confidence <= 1
 
 
+def test_latest_risk_answers_for_every_vessel(spark):
+    m, seg, stats = messages(spark, SF), segments(spark), train_stats(spark)
+    rows = flows.latest_risk(m, T, seg, stats, load_linear_models, 3600, 12, near_m=60_000.0).collect()
+    vessels = flows.scoring_rows(m, T, 3600).select("mmsi").distinct().count()
+    assert len(rows) == vessels == len({r.mmsi for r in rows})
+    assert "scored" in {r.status for r in rows}
+    far = flows.latest_risk(m, T, seg, stats, load_linear_models, 3600, 12, near_m=0.001)
+    assert {(r.status, r.label) for r in far.collect()} == {("not near a cable", None)}
+    for r in rows:
+        if r.status != "scored":
+            assert (r.label, r.logit, r.probability, r.risk_level, r.zone_alert) == (None,) * 5
+        elif r.label == 0:
+            assert r.risk_level == 0 and r.zone_alert is None and r.probability < 0.5
+        else:
+            assert r.risk_level in (1, 2, 3) and r.zone_alert in (True, False) and len(r.forecast) == 20
+            assert not r.zone_alert or r.risk_level == 3
+
+
 def test_bad_times_and_file_dates(spark):
     root = f"{staging_root(spark)}/test-files"
     row = {n: None for n, _ in S.MESSAGE_FILE_FIELDS}
