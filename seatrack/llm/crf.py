@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seatrack.llm import tokens
+from seatrack.llm.store import hash_cut
 
 BITS = 18
 AFFIX = 4
@@ -152,8 +153,9 @@ def fit(texts: list[str], langs: list[str], rounds: int = 30, rate: float = 0.3,
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", max_docs: int = 400,
           max_bytes: int = 65536, **options) -> Model | None:
     """Fit on at most ``max_docs`` documents of known language and at most ``max_bytes`` each, whole, with the smallest hash of their key."""
-    sample = (docs.filter(F.col(lang).isNotNull() & (F.octet_length(text) <= max_bytes))
-              .select(F.col(text).alias("_text"), F.col(lang).alias("_lang"), F.xxhash64(F.col(key).cast("string")).alias("_order"), F.xxhash64(text).alias("_tie"))
+    known, order = docs.filter(F.col(lang).isNotNull()), F.xxhash64(F.col(key).cast("string"))
+    sample = (known.filter((order <= hash_cut(known.count(), max_docs)) & (F.octet_length(text) <= max_bytes))
+              .select(F.col(text).alias("_text"), F.col(lang).alias("_lang"), order.alias("_order"), F.xxhash64(text).alias("_tie"))
               .orderBy("_order", "_tie", "_lang").limit(max_docs).toArrow())
     return fit(sample.column("_text").to_pylist(), sample.column("_lang").to_pylist(), **options)
 

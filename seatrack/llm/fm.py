@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seatrack.llm import tokens
+from seatrack.llm.store import hash_cut
 
 BITS = 18
 LEVELS = 16
@@ -127,8 +128,9 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     The sampled labels (bounded) are broadcast, so texts aren't shuffled; features of the sample come to
     the driver. Rows with a null label are left out; repeated rows count as often as they occur.
     """
-    chosen = (labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull())
-              .select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_label"), F.xxhash64(F.col(key).cast("string")).alias("_order"))
+    known, order = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()), F.xxhash64(F.col(key).cast("string"))
+    chosen = (known.filter(order <= hash_cut(known.count(), max_rows))
+              .select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_label"), order.alias("_order"))
               .orderBy("_order", "_k", "_label").limit(max_rows))
     rows = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     found = (rows.join(F.broadcast(chosen), F.col("_key") == F.col("_k")).select("_order", "_label", "_text")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -30,7 +29,11 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def local_path(path: str) -> str:
-    """The path that ``open`` takes for a file URI of a mounted shared folder."""
-    plain = path.removeprefix("file:")
-    return "/" + plain.lstrip("/") if os.path.isabs(plain) else plain
+def hash_cut(n: int, limit: int) -> int:
+    """The 64-bit hash that about ``limit`` of ``n`` evenly hashed rows don't exceed, with room for chance.
+
+    Rows above it leave before the ``limit`` smallest are gathered, so what meets there doesn't grow with the
+    number of tasks.
+    """
+    share = min(1.0, (limit + 6 * limit ** 0.5 + 10) / max(n, 1))
+    return min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))
