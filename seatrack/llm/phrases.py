@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,12 +30,18 @@ def parse(text: str, seen: set[str], start: int, end: int, stop: int) -> int:
     return start
 
 
-def signature(phrases: set[str]) -> np.ndarray:
-    """The ``KEEP`` smallest 48-bit hashes, ascending; all of a smaller set."""
+def hashes(phrases: Iterable[str], n: int) -> np.ndarray:
+    """48-bit hashes of ``n`` phrases, in any order: the smallest, or all of few."""
     from xxhash import xxh64_intdigest
 
-    hashes = np.unique(np.fromiter(map(xxh64_intdigest, phrases), np.uint64, len(phrases)) >> np.uint64(64 - _BITS))
-    return hashes[:KEEP]
+    out = np.fromiter(map(xxh64_intdigest, phrases), np.uint64, n) >> np.uint64(64 - _BITS)
+    # Twice as many as needed, so that equal hashes of different phrases leave enough.
+    return np.partition(out, 2 * KEEP)[:2 * KEEP] if n > 2 * KEEP else out
+
+
+def signature(*parts: np.ndarray) -> np.ndarray:
+    """The ``KEEP`` smallest hashes of all parts, ascending; all of a smaller set."""
+    return np.unique(np.concatenate(parts))[:KEEP]
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -49,20 +55,23 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 def fingerprint(text: str) -> np.ndarray:
     seen: set[str] = set()
     parse(text, seen, 0, 0, len(text))
-    return signature(seen)
+    return signature(hashes(seen, len(seen)))
 
 
 def text_and_edit(text: str, follower: str) -> tuple[str, np.ndarray, np.ndarray]:
-    """The edited text and both fingerprints. The common first part is parsed once."""
+    """The edited text and both fingerprints. The common first part is parsed and hashed once."""
     n = len(text)
     cut = n - n // 2
     edited = text[:cut] + follower[:n // 2]
     seen: set[str] = set()
     at = parse(text, seen, 0, 0, cut)
-    other = set(seen)
+    common, other = set(seen), set(seen)
     parse(text, seen, at, cut, n)
     parse(edited, other, at, cut, len(edited))
-    return edited, signature(seen), signature(other)
+    shared = hashes(common, len(common))
+    seen -= common
+    other -= common
+    return edited, signature(shared, hashes(seen, len(seen))), signature(shared, hashes(other, len(other)))
 
 
 def as_text(sig: np.ndarray) -> str:
