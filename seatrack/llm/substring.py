@@ -197,8 +197,9 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     found = stage(places.join(classes, F.col("digest") == F.col("_node")).select("_key", "_text_hash", "start", "words", F.col("_root").alias("class")), "repeats")
     keepers = stage(found.groupBy("class").agg(F.min("_key").alias("keep"), F.max("_key").alias("last")).filter("keep <> last")
                     .select(F.col("class").alias("c"), "keep"), "keepers")
+    # Dealt by document here, so that the join below is free to split the rows of a frequent class.
     extra = (found.join(keepers, (F.col("class") == F.col("c")) & (F.col("_key") != F.col("keep"))).select("_key", "_text_hash", "start", "words", "class", "keep")
-             .distinct())
+             .repartition("_key", "_text_hash").dropDuplicates(["_key", "_text_hash", "start"]))
     order = Window.partitionBy("_key", "_text_hash").orderBy("start")
     joined = (F.lag(F.col("start") + F.col("words")).over(order) == F.col("start")) & (F.lag("keep").over(order) == F.col("keep"))
     runs = extra.withColumn("_new", F.when(joined, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(order))
