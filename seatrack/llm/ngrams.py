@@ -193,16 +193,12 @@ def _ranks(model: Model, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
     return rank[back], count[back], before[back]
 
 
-def _bigrams(h: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the first and second token of every bigram in: tokens of all rows with their end, then the begin mark.
-
-    Returned as places into the sequence ``words and ends``; -1 stands for the begin of a text.
-    """
+def _previous(rows: np.ndarray) -> np.ndarray:
+    """Place of the token before each, in the sequence of all rows with their ends; -1 at the begin of a text."""
     n = len(rows) - 1
-    second = np.arange(len(h) + n)
-    first = second - 1
-    first[rows[:-1] + np.arange(n)] = -1
-    return first, second
+    out = np.arange(rows[-1] + n) - 1
+    out[rows[:-1] + np.arange(n)] = -1
+    return out
 
 
 def _with_ends(h: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -215,11 +211,9 @@ def _with_ends(h: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 def _pair_keys(model: Model, h: np.ndarray, rows: np.ndarray):
-    """Ranks and counts of all tokens, and the rank of what stands before each (V + 1: begin of text)."""
-    seq = _with_ends(h, rows)
-    rank, count, before = _ranks(model, seq)
-    first, _ = _bigrams(h, rows)
-    return rank, count, before, first
+    """Rank, count and earlier count of all tokens with the ends, and the place of the one before each."""
+    rank, count, before = _ranks(model, _with_ends(h, rows))
+    return rank, count, before, _previous(rows)
 
 
 def _count_pairs(model: Model, n_shards: int):
