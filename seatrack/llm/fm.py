@@ -163,11 +163,10 @@ def accepted(docs: DataFrame, model: Model, text: str = "text", least: float = 0
     """The rows of ``docs``, all columns, with a score of ``least`` or more."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(texts):
-        import pandas as pd
-
-        column = pa.array(texts, pa.string())
-        return pd.Series(np.concatenate([probability(scores(shared.value, *features(off, data))[0]) for _, _, off, data in tokens.chunks(column)] or [np.zeros(0)]))
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j, off, data in tokens.chunks(b.column(text)):
+                good = probability(scores(shared.value, *features(off, data))[0]) >= least
+                yield b.slice(i, j - i).filter(pa.array(good))
 
-    return docs.filter(score(F.coalesce(F.col(text), F.lit(""))) >= least)
+    return docs.mapInArrow(keep, docs.schema)

@@ -214,16 +214,21 @@ def without_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", m
     cuts = repeated_passages(docs, key, text, min_words).groupBy(key, "text_hash").agg(
         F.collect_list(F.struct("start_word", "n_words")).alias("_llm_cuts")).select(F.col(key).alias("_llm_k"), F.col("text_hash").alias("_llm_h"), "_llm_cuts")
 
-    @F.pandas_udf("string")
-    def cut(texts, spans):
-        import pandas as pd
+    names = docs.columns
 
-        return pd.Series([remove_words(t, [(s["start_word"], s["n_words"]) for s in x]) for t, x in zip(texts, spans, strict=True)])
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, len(b), 256):
+                part = b.slice(i, 256)
+                spans = ([(s["start_word"], s["n_words"]) for s in x] for x in part.column("_llm_cuts").to_pylist())
+                left = [remove_words(t.as_py(), x) for t, x in zip(part.column(text), spans, strict=True)]
+                columns = [pa.array(left, pa.string()) if c == text else part.column(c) for c in names]
+                yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array([x != "" for x in left]))
 
     marked = docs.join(cuts, F.col(key).eqNullSafe(F.col("_llm_k")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("_llm_h")), "left")
     whole = marked.filter("_llm_cuts IS NULL").select(*docs.columns)
-    less = marked.filter("_llm_cuts IS NOT NULL").withColumn(text, cut(F.col(text), F.col("_llm_cuts"))).filter(F.col(text) != "")
-    return whole.unionByName(less.select(*docs.columns))
+    less = marked.filter("_llm_cuts IS NOT NULL").select(*names, "_llm_cuts").mapInArrow(cut, docs.schema)
+    return whole.union(less)
 
 
 def remove_words(text: str, spans: list[tuple[int, int]]) -> str:
