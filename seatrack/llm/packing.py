@@ -5,8 +5,10 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from array import array
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +19,8 @@ from pyspark.sql.window import Window
 
 from seatrack.llm.store import stage
 
-MEMO = 400_000
+MEMO = 300_000
+LONG = 64
 TASK_ROWS = 50_000
 END = np.array([1], "<u4").tobytes()
 _PLAIN = re.compile("[\x21-\x7eÀ-ÖØ-öø-ÿ]*")
@@ -55,18 +58,27 @@ def id_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
              and cuts[0]["pattern"].get("Regex") == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
              and cuts[0]["behavior"] == "Removed" and cuts[0]["invert"] and not cuts[1]["use_regex"] and not cuts[1]["add_prefix_space"]
              and all(len(t["content"]) > 3 and t["content"].startswith("<|") for t in spec["added_tokens"]) and spec["post_processor"] is None)
-    letters, merge, memo = str.maketrans({chr(b): c for b, c in _byte_letters().items()}), tok.model.tokenize, {"": b""}
+    letters, merge = str.maketrans({chr(b): c for b, c in _byte_letters().items()}), tok.model.tokenize
+    memo: dict[str, bytes] = {"": b""}
+    pieces: dict[str, bytes] = {}
 
     def pack(ids: list[int]) -> bytes:
-        return np.array(ids, "<u4").tobytes()
+        return array("I", ids).tobytes()
 
     def whole(text: str) -> bytes:
         return pack(tok.encode(text, add_special_tokens=False).ids)
 
+    def piece(x: str) -> bytes:
+        found = pieces.get(x)
+        if found is None:
+            found = pieces[x] = pack([t.id for t in merge(x.encode().decode("latin-1").translate(letters))])
+        return found
+
     def part(p: str) -> bytes:
         if not _PLAIN.fullmatch(p):
             return whole(p)
-        return pack([t.id for x in _PIECE.findall(p.lower()) for t in merge(x.encode().decode("latin-1").translate(letters))])
+        low = p.lower()
+        return piece(low) if low.isalpha() else b"".join(map(piece, _PIECE.findall(low)))
 
     def encode(texts: list[str]) -> list[bytes]:
         out = []
@@ -75,21 +87,22 @@ def id_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
                 out.append(whole(text))
                 continue
             parts = text.replace("\n", " ").split(" ")
-            try:
-                out.append(b"".join(map(memo.__getitem__, parts)))
-            except KeyError:
-                new = {p: part(p) for p in set(parts) if p not in memo}
-                out.append(b"".join([memo[p] if p in memo else new[p] for p in parts]))
-                if len(memo) + len(new) <= MEMO:
-                    memo.update((p, ids) for p, ids in new.items() if len(p) <= 64)
+            new = set(parts).difference(memo)
+            for p in new:
+                memo[p] = part(p)
+            out.append(b"".join(map(memo.__getitem__, parts)))
+            for p in new:
+                if len(p) > LONG:
+                    del memo[p]
+            for held in (memo, pieces):
+                if len(held) > MEMO:  # those met first are the frequent ones
+                    for p in list(islice(reversed(held), MEMO // 4)):
+                        del held[p]
         return out
 
     return encode
 
 
-_ENCODERS: dict[str, Callable] = {}
-
-
 def token_pieces(docs: DataFrame, tokenizer: str, size: int = 4096, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Pieces of every document: key, ``piece, start, length, ids_crc32``.
 
@@ -99,8 +112,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, size: int = 4096, key: str = "
     rows = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Kept for the next tasks of this Python worker.
-        encode = _ENCODERS.setdefault(tokenizer, None) or _ENCODERS.__setitem__(tokenizer, id_encoder(tokenizer)) or _ENCODERS[tokenizer]
+        encode = id_encoder(tokenizer)  # its memo goes with the task
         for b in batches:
             for i in range(0, len(b), 256):
                 texts, row, out = b.column("_text")[i:i + 256].to_pylist(), [], []
