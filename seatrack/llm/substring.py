@@ -180,8 +180,9 @@ def similar_paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
 def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 18) -> DataFrame:
     """One row per passage to remove: key, ``text_hash, start_word, n_words, keep_<key>, component_id``.
 
-    A passage is a run of paragraphs of a document whose classes all are first kept in one and the same other document, the one with
-    the smallest key; runs of fewer than ``min_words`` words stay. As the first and last words of a passage
+    A passage is a run of paragraphs of ``min_words`` words and more that a document with a smaller key holds as well. What else holds
+    parts of it doesn't matter: spans that are just long enough are judged one by one, each kept by its smallest holder, and
+    those that overlap are put together; the holder of most of them is named. As the first and last words of a passage
     share a paragraph with their surroundings, one of 50 words is met with its inner 18 at least as a rule. Rows
     alike in key and text are one document; null keys never take part; null, empty and wordless texts have no passages.
     """
@@ -195,20 +196,41 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     exact = again.join(near.select(F.col("_node").alias("n")), F.col("_node") == F.col("n"), "left_anti")
     classes = stage(near.union(exact), "classes")
     found = stage(places.join(classes, F.col("digest") == F.col("_node")).select("_key", "_text_hash", "start", "words", F.col("_root").alias("class")), "repeats")
-    keepers = stage(found.groupBy("class").agg(F.min("_key").alias("keep"), F.max("_key").alias("last")).filter("keep <> last")
-                    .select(F.col("class").alias("c"), "keep"), "keepers")
-    # Dealt by document here, so that the join below is free to split the rows of a frequent class.
-    extra = (found.join(keepers, (F.col("class") == F.col("c")) & (F.col("_key") != F.col("keep"))).select("_key", "_text_hash", "start", "words", "class", "keep")
-             .repartition("_key", "_text_hash").dropDuplicates(["_key", "_text_hash", "start"]))
-    order = Window.partitionBy("_key", "_text_hash").orderBy("start")
-    joined = (F.lag(F.col("start") + F.col("words")).over(order) == F.col("start")) & (F.lag("keep").over(order) == F.col("keep"))
-    runs = extra.withColumn("_new", F.when(joined, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(order))
-    return (runs.groupBy("_key", "_text_hash", "_run", "keep")
-            .agg(F.min("start").alias("start_word"), F.sum("words").alias("n_words"), F.min("class").alias("component_id"))
-            .filter(F.col("n_words") >= min_words)
+    spans = stage(_spans(found, min_words), "spans")
+    keepers = stage(spans.groupBy("code").agg(F.min("_key").alias("keep"), F.max("_key").alias("last")).filter("keep <> last")
+                    .select(F.col("code").alias("c"), "keep"), "keepers")
+    # Dealt by document here, so that the join below is free to split the rows of a frequent span.
+    extra = (spans.join(keepers, (F.col("code") == F.col("c")) & (F.col("_key") != F.col("keep"))).select("_key", "_text_hash", "start", "stop", "component", "keep")
+             .repartition("_key", "_text_hash"))
+    order = Window.partitionBy("_key", "_text_hash").orderBy("start", "stop")
+    reached = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    joined = (F.col("start") < reached) | ((F.col("start") == reached) & (F.lag("keep").over(order) == F.col("keep")))
+    runs = extra.withColumn("_new", F.when(joined, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    shares = runs.groupBy("_key", "_text_hash", "_run", "keep").agg(
+        F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("component").alias("component"), F.sum(F.col("start") - F.col("stop")).alias("less"))
+    return (shares.groupBy("_key", "_text_hash", "_run")
+            .agg(F.min("start").alias("start_word"), (F.max("stop") - F.min("start")).alias("n_words"), F.min("component").alias("component_id"),
+                 F.min(F.struct("less", "keep"))["keep"].alias("keep"))
             .select(F.col("_key").alias(key), F.col("_text_hash").alias("text_hash"), "start_word", "n_words", F.col("keep").alias(f"keep_{key}"), "component_id"))
 
 
+def _spans(found: DataFrame, min_words: int) -> DataFrame:
+    """(``_key``, ``_text_hash``, start, stop, code, component): the shortest unbroken spans of ``min_words`` words and more from and up to
+    every repeated paragraph; ``code`` stands for their classes.
+
+    Any unbroken run of ``min_words`` words is a union of such spans, whichever other documents hold parts of it. So a run that
+    another document holds is found from a minimum per span alone, without pairs of documents.
+    """
+    rows = found.repartition("_key", "_text_hash").dropDuplicates(["_key", "_text_hash", "start"]).withColumn("stop", F.col("start") + F.col("words"))
+    document = Window.partitionBy("_key", "_text_hash")
+    parts = []
+    for frame in (document.orderBy("start").rangeBetween(0, min_words - 1), document.orderBy("stop").rangeBetween(1 - min_words, 0)):
+        wide = rows.select("_key", "_text_hash", F.min("start").over(frame).alias("start"), F.max("stop").over(frame).alias("stop"),
+                           F.sum("words").over(frame).alias("n"), F.xxhash64(F.collect_list("class").over(frame)).alias("code"), F.min("class").over(frame).alias("component"))
+        parts.append(wide.filter((F.col("n") >= min_words) & (F.col("n") == F.col("stop") - F.col("start"))).drop("n"))
+    return parts[0].union(parts[1]).dropDuplicates(["_key", "_text_hash", "start", "stop"])
+
+
 def without_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 18) -> DataFrame:
     """``docs`` without repeated passages; documents of which no word is left go. Other rows stay as they are."""
     cuts = repeated_passages(docs, key, text, min_words).groupBy(key, "text_hash").agg(
@@ -237,8 +259,6 @@ def remove_words(text: str, spans: list[tuple[int, int]]) -> str:
     starts, _, _ = tokens.find_words(np.array([0, len(data)]), np.frombuffer(data, np.uint8))
     keep = np.ones(len(data), bool)
     edges = np.append(starts, len(data))
-    left = len(starts)
     for first, n in spans:
         keep[edges[first]:edges[first + n]] = False
-        left -= n
-    return np.frombuffer(data, np.uint8)[keep].tobytes().decode() if left > 0 else ""
+    return np.frombuffer(data, np.uint8)[keep].tobytes().decode() if keep[starts].any() else ""

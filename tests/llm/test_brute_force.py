@@ -154,6 +154,20 @@ def test_planted_passages_are_met(spark):
     assert all(r["keep_doc_id"] == r["doc_id"] % 60 for r in got)
 
 
+def test_parts_in_older_documents_do_not_split_a_passage(spark):
+    rng = random.Random(21)
+    own = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    docs = []
+    for i in range(40):
+        lines = [" ".join(own(9)) for _ in range(3)]
+        docs += [(i, "\n".join([" ".join(own(30)), lines[1], " ".join(own(30))])),
+                 *((k + i, "\n".join([" ".join(own(30)), *lines, " ".join(own(30))])) for k in (100, 200))]
+    got = substring.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    # 18 words on neither side of the line that an older document has, and 27 in all.
+    assert sorted((r["doc_id"], r["start_word"], r["n_words"], r["keep_doc_id"]) for r in got) == [(200 + i, 30, 27, 100 + i) for i in range(40)]
+    assert substring.remove_words("a b c d", [(0, 3), (1, 2)]) == "d" and substring.remove_words("a b c", [(0, 2), (1, 2)]) == ""
+
+
 def test_similar_paragraphs(spark):
     rng = random.Random(12)
     base = [[f"v{rng.randrange(10**6)}" for _ in range(7)] for _ in range(20)]
