@@ -1,4 +1,4 @@
-"""Passages that recur in other documents: MinHash of small paragraphs cut by content."""
+"""Passages that recur in other documents: MinHash of lines and of paragraphs cut by content, exact spans of small ones."""
 
 from __future__ import annotations
 
@@ -14,19 +14,21 @@ from seatrack.llm.components import components
 from seatrack.llm.store import stage
 
 REACH = 4
+WIDE = 24
 WIDTH = 5
 BANDS = 3
 SIMILAR = 0.8
+_COLUMNS = 1 << 14
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 _SEEDS = tokens.mix(np.arange(101, 101 + BANDS, dtype=np.uint64))
 
 
-def paragraphs(off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes, word offsets of the rows, and first word, end and row of every paragraph.
+def levels(off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Word hashes, word offsets of the rows, and first word and end of every small paragraph, wide paragraph and line.
 
     A paragraph ends with its line, and inside a line before a word whose hash is smaller than those of the ``REACH``
-    words on either side, or in a run of one word after every eighth. Cuts depend on nearby words of the line alone, so a passage is cut alike
-    wherever it stands, but for its first and last few words.
+    (``WIDE``: 49 words on average) words on either side, or, small ones, in a run of one word after every eighth. Cuts depend on nearby
+    words of the line alone, so a passage is cut alike wherever it stands, but for its first and last few words.
     """
     low = tokens.LOWER[data]
     starts, ends, rows = tokens.find_words(off, low)
@@ -34,7 +36,7 @@ def paragraphs(off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarra
     lines = np.unique(np.concatenate([off, np.flatnonzero(data == 10) + 1]))
     first = np.unique(np.searchsorted(starts, lines))
     first = first[first < len(h)]
-    cut = np.zeros(len(h), bool)
+    cut, wide = np.zeros(len(h), bool), np.zeros(len(h), bool)
     if len(h):
         v = tokens.mix(h + np.uint64(1))
         inner = np.zeros(len(h), bool)
@@ -47,25 +49,43 @@ def paragraphs(off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarra
         line[first] = 1
         line = line.cumsum()
         at = np.flatnonzero(lowest)
-        cut[at[(line[at] == line[at - REACH]) & (line[at] == line[at + REACH])]] = True
+        at = at[(line[at] == line[at - REACH]) & (line[at] == line[at + REACH])]
+        cut[at] = True
+        at = at[(at >= WIDE) & (at < len(h) - WIDE)]
+        at = at[(line[at] == line[at - WIDE]) & (line[at] == line[at + WIDE])]
+        for k in range(REACH + 1, WIDE + 1):
+            at = at[(v[at] < v[at - k]) & (v[at] < v[at + k])]
+        wide[at] = True
         # A run of one word has no smallest hash: it is cut after every eighth.
         turn = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         place = np.arange(len(h)) - np.repeat(turn, np.diff(np.append(turn, len(h))))
         cut |= (place > 0) & (place % 8 == 0)
-        cut[first] = True
-    begin = np.flatnonzero(cut)
-    end = np.append(begin[1:], len(h))[:len(begin)]
+        cut[first] = wide[first] = True
+    begins = [np.flatnonzero(cut), np.flatnonzero(wide), first]
+    return h, rows, [(x, np.append(x[1:], len(h))[:len(x)]) for x in begins]
+
+
+def _whole(h: np.ndarray, parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """First words, ends, and which of them are no paragraph of a finer level, for every level."""
+    ends = np.full(len(h), -1)
+    for begin, end in parts:
+        yield begin, end, ends[begin] != end
+        ends[begin] = end
+
+
+def paragraphs(off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes, word offsets of the rows, and first word, end and row of every small paragraph."""
+    h, rows, parts = levels(off, data)
+    begin, end = parts[0]
     return h, rows, begin, end, np.searchsorted(rows, begin, "right") - 1
 
 
-def _shingles(h: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of the shingle at every word; the largest value where it would leave its paragraph."""
+def _shingles(h: np.ndarray) -> np.ndarray:
+    """Hash of the shingle at every word; the largest value where there is none."""
     out = np.full(len(h), _TOP)
     if len(h) >= WIDTH:
         n = len(h) - WIDTH + 1
         out[:n] = np.minimum(tokens.hash_runs(h, np.arange(n), np.arange(WIDTH, len(h) + 1)), _TOP - np.uint64(1))
-    stop = np.repeat(end, end - begin)
-    out[np.arange(len(h)) + WIDTH > stop] = _TOP
     return out
 
 
@@ -73,55 +93,61 @@ def _column(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x)
 
 
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for i, j, off, data in tokens.chunks(b.column("_text")):
-            h, rows, begin, end, row = paragraphs(off, data)
-            take = pa.array(row + i)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("_key").take(take), b.column("_text_hash").take(take), _column(begin - rows[row]), _column(end - begin),
-                 _column(tokens.hash_runs(h, begin, end))], ["_key", "_text_hash", "start", "words", "digest"])
+def _places(wide: bool):
+    """Small paragraphs with their places, or with ``wide`` also those of the other levels."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j, off, data in tokens.chunks(b.column("_text")):
+                h, rows, parts = levels(off, data)
+                for level, (begin, end, new) in enumerate(_whole(h, parts if wide else parts[:1])):
+                    begin, end = begin[new], end[new]
+                    row = np.searchsorted(rows, begin, "right") - 1
+                    take = pa.array(row + i)
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column("_key").take(take), b.column("_text_hash").take(take), _column(begin - rows[row]), _column(end - begin),
+                         _column(tokens.hash_runs(h, begin, end)), pa.array(np.full(len(begin), level > 0))],
+                        ["_key", "_text_hash", "start", "words", "digest", "wide"])
+
+    return run
 
 
-def _long(h: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _long(h: np.ndarray, parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Paragraphs that can be similar without being equal: four shingles at least, as 4 of 5 is the least share."""
-    some = end - begin >= WIDTH + 3
-    return begin[some], end[some]
+    for begin, end, new in _whole(h, parts):
+        some = new & (end - begin >= WIDTH + 3)
+        if some.any():
+            yield begin[some], end[some]
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for _, _, off, data in tokens.chunks(b.column("_text")):
-            h, _, all_begin, all_end, _ = paragraphs(off, data)
-            begin, end = _long(h, all_begin, all_end)
-            if not len(begin):
-                continue
-            s, digest = _shingles(h, all_begin, all_end), tokens.hash_runs(h, begin, end)
-            starts = np.column_stack([begin, end]).ravel()
-            starts = starts[:-1] if starts[-1] == len(h) else starts
-            found = []
-            for seed in _SEEDS:
-                values = tokens.mix(s ^ seed)
-                values[s == _TOP] = _TOP
-                found.append(tokens.mix(np.minimum.reduceat(values, starts)[::2] + seed))
-            # A paragraph that recurs in this part of the input is sent once.
-            pairs = np.unique(np.column_stack([np.concatenate(found), np.tile(digest, BANDS)]), axis=0)
-            yield pa.RecordBatch.from_arrays([_column(pairs[:, 0].copy()), _column(pairs[:, 1].copy())], ["band", "digest"])
+            h, _, parts = levels(off, data)
+            s, found, digests = _shingles(h), [], []
+            values = [tokens.mix(s ^ seed) for seed in _SEEDS]
+            for begin, end in _long(h, parts):
+                # The last shingles would leave the paragraph.
+                starts = np.column_stack([begin, end - WIDTH + 1]).ravel()
+                found += [tokens.mix(np.minimum.reduceat(v, starts)[::2] + seed) for v, seed in zip(values, _SEEDS)]
+                digests += [tokens.hash_runs(h, begin, end)] * BANDS
+            if found:
+                # A paragraph that recurs in this part of the input is sent once.
+                pairs = np.unique(np.column_stack([np.concatenate(found), np.concatenate(digests)]), axis=0)
+                yield pa.RecordBatch.from_arrays([_column(pairs[:, 0].copy()), _column(pairs[:, 1].copy())], ["band", "digest"])
 
 
 def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for _, _, off, data in tokens.chunks(b.column("_text")):
-            h, _, all_begin, all_end, _ = paragraphs(off, data)
-            begin, end = _long(h, all_begin, all_end)
-            if not len(begin):
-                continue
-            digest, some = np.unique(tokens.hash_runs(h, begin, end), return_index=True)
-            s, begin, n = _shingles(h, all_begin, all_end), begin[some], (end - begin)[some] - WIDTH + 1
-            ends = n.cumsum()
-            at = np.repeat(begin - (ends - n), n) + np.arange(n.sum())
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), _column(s[at]))
-            yield pa.RecordBatch.from_arrays([_column(digest), lists], ["digest", "shingles"])
+            h, _, parts = levels(off, data)
+            s = _shingles(h)
+            for begin, end in _long(h, parts):
+                digest, some = np.unique(tokens.hash_runs(h, begin, end), return_index=True)
+                begin, n = begin[some], (end - begin)[some] - WIDTH + 1
+                ends = n.cumsum()
+                at = np.repeat(begin - (ends - n), n) + np.arange(n.sum())
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), _column(s[at]))
+                yield pa.RecordBatch.from_arrays([_column(digest), lists], ["digest", "shingles"])
 
 
 def _colliding(rows: pa.Table, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -145,9 +171,14 @@ def _similar(rows: pa.Table, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
             sets = [np.unique(values[at[begin + i]:at[begin + i + 1]]) for i in some]
             _, back = np.unique(np.concatenate(sets), return_inverse=True)
             size = np.array([len(x) for x in sets])
-            table = np.zeros((len(sets), back.max() + 1), np.float32)
-            table[np.repeat(np.arange(len(sets)), size), back] = 1
-            common = table @ table.T
+            owner, common = np.repeat(np.arange(len(sets)), size), np.zeros((len(sets), len(sets)), np.float32)
+            order = np.argsort(back, kind="stable")
+            owner, back = owner[order], back[order]
+            for low in range(0, int(back[-1]) + 1, _COLUMNS):  # lines can be long
+                i, j = np.searchsorted(back, [low, low + _COLUMNS])
+                table = np.zeros((len(sets), min(_COLUMNS, int(back[-1]) + 1 - low)), np.float32)
+                table[owner[i:j], back[i:j] - low] = 1
+                common += table @ table.T
             a, b = np.nonzero(np.triu(common >= SIMILAR * (size[:, None] + size[None, :] - common) - 1e-4, 1))
             label = blocks.unite(label, some[a] + begin, some[b] + begin)
         begin = end
@@ -180,7 +211,8 @@ def similar_paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
 def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 18) -> DataFrame:
     """One row per passage to remove: key, ``text_hash, start_word, n_words, keep_<key>, component_id``.
 
-    A passage is a run of paragraphs of ``min_words`` words and more that a document with a smaller key holds as well. What else holds
+    Lines and wide paragraphs of ``min_words`` words and more that are similar to those of a document with a smaller key are passages.
+    So is a run of small paragraphs of ``min_words`` words and more that such a document holds as well. What else holds
     parts of it doesn't matter: spans that are just long enough are judged one by one, each kept by its smallest holder, and
     those that overlap are put together; the holder of most of them is named. As the first and last words of a passage
     share a paragraph with their surroundings, one of 50 words is met with its inner 18 at least as a rule. Rows
@@ -189,14 +221,18 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     docs = docs.filter(F.col(key).isNotNull())
     rows = _rows(docs, key, text)
     kind = rows.schema["_key"].dataType.simpleString()
-    places = rows.mapInArrow(_places, f"_key {kind}, _text_hash long, start long, words long, digest long")
+    schema = f"_key {kind}, _text_hash long, start long, words long, digest long, wide boolean"
+    places = rows.mapInArrow(_places(False), schema)
     again = (places.groupBy("digest").agg(F.min("_key").alias("low"), F.max("_key").alias("high"))
              .filter("low <> high").select(F.col("digest").alias("_node"), F.col("digest").alias("_root")))
     near = stage(similar_paragraphs(docs.select(text), text), "similar")
     exact = again.join(near.select(F.col("_node").alias("n")), F.col("_node") == F.col("n"), "left_anti")
-    classes = stage(near.union(exact), "classes")
-    found = stage(places.join(classes, F.col("digest") == F.col("_node")).select("_key", "_text_hash", "start", "words", F.col("_root").alias("class")), "repeats")
-    spans = stage(_spans(found, min_words), "spans")
+    classes = stage(near.withColumn("_near", F.lit(True)).union(exact.withColumn("_near", F.lit(False))), "classes")
+    found = stage(rows.mapInArrow(_places(True), schema).filter(f"NOT wide OR words >= {int(min_words)}").join(classes, F.col("digest") == F.col("_node"))
+                  .filter("NOT wide OR _near").select("_key", "_text_hash", "start", "words", F.col("_root").alias("class"), "wide"), "repeats")
+    whole = found.filter("wide").select("_key", "_text_hash", "start", (F.col("start") + F.col("words")).alias("stop"),
+                                        F.xxhash64(F.array("class")).alias("code"), F.col("class").alias("component"))
+    spans = stage(_spans(found.filter("NOT wide").drop("wide"), min_words).union(whole), "spans")
     keepers = stage(spans.groupBy("code").agg(F.min("_key").alias("keep"), F.max("_key").alias("last")).filter("keep <> last")
                     .select(F.col("code").alias("c"), "keep"), "keepers")
     # Dealt by document here, so that the join below is free to split the rows of a frequent span.

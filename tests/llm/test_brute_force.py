@@ -178,6 +178,36 @@ def test_similar_paragraphs(spark):
     assert near.count() == 0  # 3 of 4 shingles are too few
 
 
+def test_edited_paragraphs(spark):
+    rng = random.Random(22)
+    own = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    docs, lines = [], {}
+    for i in range(120):
+        line = own(45 + i % 20)
+        edited = [*line]
+        for at in rng.sample(range(len(line)), 1 + i % 2):
+            edited[at] = own(1)[0]
+        for k, x in ((i, line), (1000 + i, edited)):
+            docs.append((k, "\n".join(" ".join(y) for y in (own(60), x, own(60)))))
+            lines[k] = x
+    shingles = {k: {tuple(x[i:i + 5]) for i in range(len(x) - 4)} for k, x in lines.items()}
+    want = {1000 + i for i in range(120) if len(shingles[i] & shingles[1000 + i]) >= 0.8 * len(shingles[i] | shingles[1000 + i])}
+    got = substring.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    whole = {r["doc_id"] for r in got if (r["start_word"], r["n_words"], r["keep_doc_id"]) == (60, len(lines[r["doc_id"]]), r["doc_id"] - 1000)}
+    assert 20 < len(want) < 100 and whole <= want and len(whole) >= 0.95 * len(want)
+    # A wide paragraph of unbroken text.
+    w = own(3000)
+    begin, end = next((b, e) for b, e in zip(*substring.levels(*_bytes(" ".join(w)))[2][1]) if e - b >= 56 and 30 <= b and e <= 2970)
+    v = [*own(100), *w[begin - 30:begin + 30], own(1)[0], *w[begin + 31:end + 30], *own(100)]
+    got = substring.repeated_passages(spark.createDataFrame([(1, " ".join(w)), (2, " ".join(v))], "doc_id long, text string")).collect()
+    assert any(r["doc_id"] == 2 and r["start_word"] <= 130 and r["start_word"] + r["n_words"] >= 130 + end - begin for r in got)
+
+
+def _bytes(text):
+    data = np.frombuffer(text.encode(), np.uint8)
+    return np.array([0, len(data)]), data
+
+
 def test_near_copies(spark):
     rng = random.Random(13)
     own = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
