@@ -228,29 +228,37 @@ def without_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text"
     A fingerprint radius of 4 meets few pairs of a shingle similarity of 0.8 (they differ in ten bits on average), and bit ranges
     can't find candidates for a wide one. Candidates therefore share a band of two minima of the shingles (six
     bands: 99.8 % at 0.8); inside a bucket the bit-sliced comparison with a wide radius passes what 128 MinHash slots
-    then hold to ``similar`` (standard error 0.035 at 0.8, exact for short texts). Keys are integers; rows with null keys
-    all stay, rows alike in key and text are one document, wordless texts are copies of each other.
+    then hold to ``similar`` (standard error 0.035 at 0.8, exact for short texts). Keys are integers; nodes
+    are texts, so different texts under one key stay or go by themselves. Null keys come last, one row of a text that only they have stays. Rows alike in
+    key and text are one document, wordless texts are copies of each other.
     """
-    rows = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_body"))
-    rows = rows.select("_key", F.xxhash64("_body").alias("_digest"), F.col("_body").cast("binary").alias("_text"))
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.col(key).cast("long").alias("_key"), F.xxhash64(body).alias("_node"), body.cast("binary").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps, slots, bands = zip(*(_profile(t.as_py(), width) for t in b.column("_text")), strict=True) if len(b) else ((), (), ())
             yield pa.RecordBatch.from_arrays(
-                [b.column("_key"), b.column("_digest"), pa.array(fps, pa.int64()), pa.array(slots, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                ["_key", "_digest", "_fp", "_slots", "_bands"])
-
-    profiles = stage(rows.mapInArrow(run, "_key long, _digest long, _fp long, _slots binary, _bands array<long>"), "profiles")
-    # Copies are one node, named by their smallest key.
-    nodes = stage(profiles.groupBy("_digest", "_fp").agg(F.min("_key").alias("_node")), "nodes")
-    firsts = (profiles.join(nodes.select("_node"), F.col("_key") == F.col("_node")).dropDuplicates(["_node", "_fp", "_digest"])
-              .select("_node", "_fp", "_slots", F.explode("_bands").alias("_band")))
+                [b.column("_key"), b.column("_node"), pa.array(fps, pa.int64()), pa.array(slots, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                ["_key", "_node", "_fp", "_slots", "_bands"])
+
+    profiles = stage(rows.mapInArrow(run, "_key long, _node long, _fp long, _slots binary, _bands array<long>"), "profiles")
+    # Copies are one node, named by their text.
+    nodes = stage(profiles.groupBy("_node").agg(F.min("_key").alias("_least"), F.count("*").alias("_n")), "nodes")
+    firsts = profiles.select("_node", "_fp", "_slots", "_bands").dropDuplicates(["_node"]).select("_node", "_fp", "_slots", F.explode("_bands").alias("_band"))
     links = blocks.in_blocks(firsts, "_band", "_node", _near(radius, similar), "a long, b long")
-    near = stage(components(links, "a", "b", "near-copies"), "near")
-    same = profiles.join(nodes.withColumnRenamed("_digest", "_d").withColumnRenamed("_fp", "_f"), (F.col("_digest") == F.col("_d")) & (F.col("_fp") == F.col("_f")))
-    copies = same.filter("_key <> _node").select("_key", "_digest").union(
-        same.join(near.filter("_node <> _root").select(F.col("_node").alias("_n")), F.col("_node") == F.col("_n")).select("_key", "_digest"))
-    gone = stage(copies.distinct().select(F.col("_key").alias("_llm_k"), F.col("_digest").alias("_llm_d")), "copies")
-    kept = docs.join(gone, (F.col(key).cast("long") == F.col("_llm_k")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("_llm_d")), "left_anti")
-    return kept
+    near = stage(components(links, "a", "b", "near-copies"), "near").withColumnRenamed("_node", "_m")
+    nodes = stage(nodes.join(near, F.col("_node") == F.col("_m"), "left").withColumn("_root", F.coalesce("_root", "_node")).drop("_m"), "rooted")
+    best = (nodes.groupBy("_root").agg(F.min(F.struct(F.col("_least").isNull().alias("n"), F.col("_least").alias("k"), F.col("_node").alias("m"))).alias("_best"))
+            .select(F.col("_root").alias("_r"), F.col("_best")["m"].alias("_keep")))
+    named = stage(nodes.join(best, F.col("_root") == F.col("_r")).select(F.col("_node").alias("_m"), "_least", "_n", "_keep"), "survivors")
+    # Of a text that only rows without a key have, one row comes back.
+    unnamed = "_m = _keep AND _least IS NULL AND _n > 1"
+    copies = (profiles.select("_key", "_node").join(named, F.col("_node") == F.col("_m"))
+              .filter(f"_node <> _keep OR NOT _key <=> _least OR ({unnamed})"))
+    gone = stage(copies.select(F.col("_key").alias("_llm_k"), F.col("_node").alias("_llm_d")).distinct(), "copies")
+    digest = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    kept = docs.join(gone, F.col(key).cast("long").eqNullSafe(F.col("_llm_k")) & (digest == F.col("_llm_d")), "left_anti")
+    again = named.filter(unnamed).select(F.col("_m").alias("_llm_d"))
+    one = docs.filter(F.col(key).cast("long").isNull()).withColumn("_llm_x", digest).join(again, F.col("_llm_x") == F.col("_llm_d"), "left_semi")
+    return kept.union(one.dropDuplicates(["_llm_x"]).select(*docs.columns))

@@ -216,14 +216,14 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     parts of it doesn't matter: spans that are just long enough are judged one by one, each kept by its smallest holder, and
     those that overlap are put together; the holder of most of them is named. As the first and last words of a passage
     share a paragraph with their surroundings, one of 50 words is met with its inner 18 at least as a rule. Rows
-    alike in key and text are one document; null keys never take part; null, empty and wordless texts have no passages.
+    alike in key and text are one document, different texts under one key are different ones; null keys come last; null, empty and wordless texts have no passages.
     """
-    docs = docs.filter(F.col(key).isNotNull())
     rows = _rows(docs, key, text)
     kind = rows.schema["_key"].dataType.simpleString()
     schema = f"_key {kind}, _text_hash long, start long, words long, digest long, wide boolean"
     places = rows.mapInArrow(_places(False), schema)
-    again = (places.groupBy("digest").agg(F.min("_key").alias("low"), F.max("_key").alias("high"))
+    document = F.xxhash64("_key", "_text_hash")
+    again = (places.groupBy("digest").agg(F.min(document).alias("low"), F.max(document).alias("high"))
              .filter("low <> high").select(F.col("digest").alias("_node"), F.col("digest").alias("_root")))
     near = stage(similar_paragraphs(docs.select(text), text), "similar")
     exact = again.join(near.select(F.col("_node").alias("n")), F.col("_node") == F.col("n"), "left_anti")
@@ -233,20 +233,21 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     whole = found.filter("wide").select("_key", "_text_hash", "start", (F.col("start") + F.col("words")).alias("stop"),
                                         F.xxhash64(F.array("class")).alias("code"), F.col("class").alias("component"))
     spans = stage(_spans(found.filter("NOT wide").drop("wide"), min_words).union(whole), "spans")
-    keepers = stage(spans.groupBy("code").agg(F.min("_key").alias("keep"), F.max("_key").alias("last")).filter("keep <> last")
+    document = F.struct(F.col("_key").isNull().alias("n"), F.col("_key").alias("k"), F.col("_text_hash").alias("h"))
+    keepers = stage(spans.groupBy("code").agg(F.min(document).alias("keep"), F.max(document).alias("last")).filter("NOT keep <=> last")
                     .select(F.col("code").alias("c"), "keep"), "keepers")
     # Dealt by document here, so that the join below is free to split the rows of a frequent span.
-    extra = (spans.join(keepers, (F.col("code") == F.col("c")) & (F.col("_key") != F.col("keep"))).select("_key", "_text_hash", "start", "stop", "component", "keep")
+    extra = (spans.join(keepers, (F.col("code") == F.col("c")) & ~document.eqNullSafe(F.col("keep"))).select("_key", "_text_hash", "start", "stop", "component", "keep")
              .repartition("_key", "_text_hash"))
     order = Window.partitionBy("_key", "_text_hash").orderBy("start", "stop")
     reached = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    joined = (F.col("start") < reached) | ((F.col("start") == reached) & (F.lag("keep").over(order) == F.col("keep")))
+    joined = (F.col("start") < reached) | ((F.col("start") == reached) & F.lag("keep").over(order).eqNullSafe(F.col("keep")))
     runs = extra.withColumn("_new", F.when(joined, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     shares = runs.groupBy("_key", "_text_hash", "_run", "keep").agg(
         F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("component").alias("component"), F.sum(F.col("start") - F.col("stop")).alias("less"))
     return (shares.groupBy("_key", "_text_hash", "_run")
             .agg(F.min("start").alias("start_word"), (F.max("stop") - F.min("start")).alias("n_words"), F.min("component").alias("component_id"),
-                 F.min(F.struct("less", "keep"))["keep"].alias("keep"))
+                 F.min(F.struct("less", "keep"))["keep"]["k"].alias("keep"))
             .select(F.col("_key").alias(key), F.col("_text_hash").alias("text_hash"), "start_word", "n_words", F.col("keep").alias(f"keep_{key}"), "component_id"))
 
 

@@ -224,6 +224,26 @@ def test_near_copies(spark):
     assert {r["doc_id"] for r in simhash.without_near_copies(frame).collect()} == {k for k, _ in docs} - gone
 
 
+def test_shared_and_missing_keys(spark):
+    rng = random.Random(23)
+    own = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    a, b, c, d = (own(200) for _ in range(4))
+    near = [*a[:100], "other", *a[101:]]
+    docs = [(1, a), (7, near), (7, b), (7, c), (None, a), (None, d), (None, d), (None, [*d[:50], "other", *d[51:]])]
+    frame = spark.createDataFrame([(k, " ".join(w)) for k, w in docs], "doc_id long, text string")
+    kept = [(r["doc_id"], r["text"]) for r in simhash.without_near_copies(frame).collect()]
+    texts_of_d = {" ".join(w) for k, w in docs[5:]}
+    assert sorted(k for k, _ in kept if k) == [1, 7, 7] and {t for k, t in kept if k == 7} == {" ".join(b), " ".join(c)}
+    assert len([t for k, t in kept if k is None]) == 1 and {t for k, t in kept if k is None} <= texts_of_d
+    line = own(40)
+    docs = [(1, own(50), line), (1, own(50), line), (None, own(50), line), (2, own(50), own(40))]
+    rows = [(k, "\n".join(" ".join(y) for y in x)) for k, *x in docs]
+    got = substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] is None, r["start_word"], r["n_words"], r["keep_doc_id"]) for r in got) == [(False, 50, 40, 1), (True, 50, 40, 1)]
+    left = substring.without_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(" ".join(line) in r["text"] for r in left) == 1 and len(left) == 4
+
+
 def test_language_model_query(spark, texts):
     got = {r["doc_id"]: r for r in queries.op1_lm_scoring(spark, SF).collect()}
     seq = {k: [*words(t), None] for k, t in texts.items()}
