@@ -100,17 +100,33 @@ def mix_plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: s
 def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", position: str = "position", **options) -> DataFrame:
     """The copies the mix takes, with all columns of ``docs`` and their ``position``, range-sorted by it.
 
-    A copy taken in part keeps its leading words. A column of ``docs`` called like ``position`` is replaced.
+    A copy taken in part keeps its leading words. Repeated rows are numbered on both sides, so each gets its own share: different ones are
+    counted first and take ranges of numbers, as one row may stand for most of a source. A column of ``docs`` called like ``position`` is replaced.
     """
     plan = mix_plan(docs, key, text, source, **options)
     first, again = F.least("taken", "size"), F.col("taken") - F.col("size")
     copies = F.filter(F.array(F.struct(F.col("first_position").alias("at"), first.alias("words")),
                               F.struct(F.col("second_position").alias("at"), again.alias("words"))), lambda c: c["words"] > 0)
-    plan = plan.filter("taken > 0").select(
-        F.col(key).alias("_llm_k"), F.col("order_hash").alias("_llm_o"), F.col(source).alias("_llm_s"), F.col("size").alias("_llm_size"),
-        copies.alias("_llm_copies")).dropDuplicates(["_llm_k", "_llm_o", "_llm_s"])
+    names = ["_llm_k", "_llm_o", "_llm_s"]
+    plan = stage(plan.select(F.col(key).alias("_llm_k"), F.col("order_hash").alias("_llm_o"), F.col(source).alias("_llm_s"), F.col("size").alias("_llm_size"),
+                             copies.alias("_llm_copies")), "mix-plan")
+    again = stage(plan.groupBy(*names).agg(F.count("*").alias("_llm_n")).filter("_llm_n > 1").drop("_llm_n"), "mix-repeats")
+    again = again.select(*[F.col(c).alias(c + "r") for c in names])
+    repeated = (F.col("_llm_o") == F.col("_llm_or")) & F.col("_llm_k").eqNullSafe(F.col("_llm_kr")) & F.col("_llm_s").eqNullSafe(F.col("_llm_sr"))
+    taken = F.size("_llm_copies") > 0
     rows = docs.withColumn("_llm_order", _order(key, text))
-    out = (rows.join(plan, (F.col("_llm_order") == F.col("_llm_o")) & F.col(key).eqNullSafe(F.col("_llm_k")) & F.col(source).eqNullSafe(F.col("_llm_s")))
+    alike = (F.col("_llm_order") == F.col("_llm_o")) & F.col(key).eqNullSafe(F.col("_llm_k")) & F.col(source).eqNullSafe(F.col("_llm_s"))
+    single = rows.join(plan.filter(taken).join(again, repeated, "left_anti"), alike)
+    whole = rows.join(again, (F.col("_llm_order") == F.col("_llm_or")) & F.col(key).eqNullSafe(F.col("_llm_kr")) & F.col(source).eqNullSafe(F.col("_llm_sr")), "left_semi")
+    whole = whole.groupBy(*rows.columns).agg(F.count("*").alias("_llm_n"))
+    group = Window.partitionBy("_llm_order", key, source)
+    upto = F.sum("_llm_n").over(group.orderBy("_llm_order", *[c for c in docs.columns if c not in (key, source, text)]).rowsBetween(Window.unboundedPreceding, 0))
+    whole = whole.withColumn("_llm_upto", upto)
+    turns = (plan.join(again, repeated, "left_semi")
+             .withColumn("_llm_turn", F.row_number().over(Window.partitionBy(*names).orderBy("_llm_copies"))).filter(taken))
+    several = whole.join(turns, alike & (F.col("_llm_turn") <= F.col("_llm_upto")) & (F.col("_llm_turn") > F.col("_llm_upto") - F.col("_llm_n")))
+    wanted = [*rows.columns, "_llm_size", "_llm_copies"]
+    out = (single.select(*wanted).union(several.select(*wanted))
            .withColumn("_llm_copy", F.explode("_llm_copies")))
     words = F.col("_llm_copy")["words"]
     cut = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), 1, words.cast("int")), "")

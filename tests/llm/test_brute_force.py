@@ -14,7 +14,7 @@ from conftest import SF
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from seatrack.llm import blocks, components, crf, packing, phrases, queries, simhash, substring, tokencount, tokens
+from seatrack.llm import blocks, components, crf, mixing, packing, phrases, queries, simhash, substring, tokencount, tokens
 
 P = pytest.importorskip("public_tokenizers")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -244,6 +244,20 @@ def test_shared_and_missing_keys(spark):
     assert sum(" ".join(line) in r["text"] for r in left) == 1 and len(left) == 4
 
 
+def test_repeated_rows_are_mixed_by_their_own_shares(spark):
+    rows = [(1, "a b c d e f g h i j", "s", f"x{i % 2}") for i in range(20)] + [(k, f"w{k} v u", "t", "y") for k in range(2, 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    for share in (0.3, 1.5):
+        plan = mixing.mix_plan(docs, share=share).collect()
+        got = mixing.mixed_documents(docs, share=share).collect()
+        words_ = lambda s: sum(len(r["text"].split()) for r in got if r["source"] == s)
+        for s in "st":
+            assert words_(s) == sum(r["taken"] for r in plan if r["source"] == s) == round(next(r["target"] for r in plan if r["source"] == s))
+        positions = sorted(x for r in plan for x in (r["first_position"], r["second_position"]) if x is not None)
+        assert sorted(r["position"] for r in got) == positions
+    assert {r["lang"] for r in got if r["doc_id"] == 1} == {"x0", "x1"}
+
+
 def test_language_model_query(spark, texts):
     got = {r["doc_id"]: r for r in queries.op1_lm_scoring(spark, SF).collect()}
     seq = {k: [*words(t), None] for k, t in texts.items()}
