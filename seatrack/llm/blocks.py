@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 LIMIT = 2048
 _SLAB = 1 << 16
+_BYTES = 1 << 27
 
 
 def in_blocks(rows: DataFrame, key: str, item: str, compare: Callable, schema: str, limit: int = LIMIT) -> DataFrame:
@@ -35,7 +36,7 @@ def in_blocks(rows: DataFrame, key: str, item: str, compare: Callable, schema: s
         for b in _chain(batches):
             if b is not None:
                 held.append(b)
-                if sum(map(len, held)) < _SLAB:
+                if sum(map(len, held)) < _SLAB and sum(x.nbytes for x in held) < _BYTES:
                     continue
             if not held:
                 continue

@@ -185,6 +185,8 @@ def simhash(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
 
 SLOTS = 128
 BANDS = 6
+#: Pairs whose share of slots alike is so close to the limit are decided by their shingles: four standard errors.
+MARGIN = 0.14
 _SEEDS = tokens.mix(np.arange(301, 301 + 2 * BANDS, dtype=np.uint64))
 
 
@@ -201,34 +203,81 @@ def _profile(text: bytes, width: int) -> tuple[int, bytes, list[int]]:
     return _majority(parts), slots.tobytes(), tokens.combine(low[::2], low[1::2]).view(np.int64).tolist()
 
 
-def _near(radius: int, similar: float):
-    def compare(rows, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
-        fps = rows.column("_fp").to_numpy().astype(np.int64).view(np.uint64)
-        node = rows.column("_node").to_numpy()
-        slots = np.frombuffer(b"".join(rows.column("_slots").to_pylist()), "<u2").reshape(-1, SLOTS)
-        label = np.arange(len(fps))
-        for a, b in close_pairs(fps, ends, radius):
-            open_ = label[a] != label[b]
-            a, b = a[open_], b[open_]
-            for i in range(0, len(a), 1 << 15):
-                x, y = slots[a[i:i + (1 << 15)]], slots[b[i:i + (1 << 15)]]
-                used = ((x > 0) | (y > 0)).sum(1)
-                alike = ((x == y) & (x > 0)).sum(1) >= similar * used
-                label = blocks.unite(label, a[i:i + (1 << 15)][alike], b[i:i + (1 << 15)][alike])
-        moved = np.flatnonzero(label != np.arange(len(fps)))
+def _candidates(rows: pa.Table, ends: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of a block within the radius, with the share of slots alike; of pairs that meet in several bands, the first one."""
+    fps = rows.column("_fp").to_numpy().astype(np.int64).view(np.uint64)
+    band = rows.column("_band").to_numpy()
+    slots = np.frombuffer(b"".join(rows.column("_slots").to_pylist()), "<u2").reshape(-1, SLOTS)
+    bands = rows.column("_bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+    place = (bands == band[:, None]).argmax(1)
+    for a, b in close_pairs(fps, ends, radius):
+        for i in range(0, len(a), 1 << 15):
+            x, y = a[i:i + (1 << 15)], b[i:i + (1 << 15)]
+            first = (bands[x] == bands[y]).argmax(1) == place[x]
+            x, y = x[first], y[first]
+            p, q = slots[x], slots[y]
+            used = ((p > 0) | (q > 0)).sum(1)
+            yield x, y, ((p == q) & (p > 0)).sum(1) / used
+
+
+def _clear(radius: int, similar: float):
+    """Links between pairs that are near beyond doubt, and (band, node) of those that only their shingles decide."""
+    def compare(rows: pa.Table, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+        node, band = rows.column("_node").to_numpy(), rows.column("_band").to_numpy()
+        label, doubt = np.arange(len(node)), np.zeros(len(node), bool)
+        for a, b, alike in _candidates(rows, ends, radius):
+            label = blocks.unite(label, a[alike >= similar + MARGIN], b[alike >= similar + MARGIN])
+            open_ = (alike >= similar - MARGIN) & (alike < similar + MARGIN) & (label[a] != label[b])
+            doubt[a[open_]] = doubt[b[open_]] = True
+        moved, ask = np.flatnonzero(label != np.arange(len(label))), np.flatnonzero(doubt)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([node[moved], band[ask]])), pa.array(np.concatenate([node[label[moved]], node[ask]])),
+             pa.array(np.repeat([False, True], [len(moved), len(ask)]))], ["a", "b", "ask"])
+
+    return compare
+
+
+def _exact(radius: int, similar: float):
+    """Links between pairs of a block in doubt that have the similarity by their shingles."""
+    def compare(rows: pa.Table, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+        node, column = rows.column("_node").to_numpy(), rows.column("_shingles").combine_chunks()
+        values, at = column.values.to_numpy(), column.offsets.to_numpy()
+        label = np.arange(len(node))
+        for a, b, alike in _candidates(rows, ends, radius):
+            some = (alike >= similar - MARGIN) & (alike < similar + MARGIN)
+            for x, y in zip(a[some].tolist(), b[some].tolist(), strict=True):
+                if label[x] != label[y]:
+                    p, q = values[at[x]:at[x + 1]], values[at[y]:at[y + 1]]
+                    common = len(p) + len(q) - len(np.union1d(p, q))
+                    if common >= similar * (len(p) + len(q) - common) - 1e-9:
+                        label = blocks.unite(label, np.array([x]), np.array([y]))
+        moved = np.flatnonzero(label != np.arange(len(label)))
         yield pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[label[moved]])], ["a", "b"])
 
     return compare
 
 
+def _contents(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, len(b), 256):
+                part = b.slice(i, 256)
+                sets = [np.unique(np.concatenate(list(_shingle_hashes(t.as_py(), width)) or [np.zeros(1, np.uint64)])).view(np.int64) for t in part.column("_text")]
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(sets)))
+                yield pa.RecordBatch.from_arrays([part.column("_node"), lists], ["_node", "_shingles"])
+
+    return run
+
+
 def without_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similar: float = 0.8,
                         radius: int = 18) -> DataFrame:
     """``docs`` with one document of every group of near copies, the one with the smallest key.
 
     A fingerprint radius of 4 meets few pairs of a shingle similarity of 0.8 (they differ in ten bits on average), and bit ranges
     can't find candidates for a wide one. Candidates therefore share a band of two minima of the shingles (six
-    bands: 99.8 % at 0.8); inside a bucket the bit-sliced comparison with a wide radius passes what 128 MinHash slots
-    then hold to ``similar`` (standard error 0.035 at 0.8, exact for short texts). Keys are integers; nodes
+    bands: 99.8 % at 0.8); inside a bucket the bit-sliced comparison with a wide radius and 128 MinHash slots
+    (standard error 0.035 at 0.8) leave clear pairs and such as are held to ``similar`` by all their shingles, fetched for them alone. Keys are integers; nodes
     are texts, so different texts under one key stay or go by themselves. Null keys come last, one row of a text that only they have stays. Rows alike in
     key and text are one document, wordless texts are copies of each other.
     """
@@ -245,8 +294,16 @@ def without_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text"
     profiles = stage(rows.mapInArrow(run, "_key long, _node long, _fp long, _slots binary, _bands array<long>"), "profiles")
     # Copies are one node, named by their text.
     nodes = stage(profiles.groupBy("_node").agg(F.min("_key").alias("_least"), F.count("*").alias("_n")), "nodes")
-    firsts = profiles.select("_node", "_fp", "_slots", "_bands").dropDuplicates(["_node"]).select("_node", "_fp", "_slots", F.explode("_bands").alias("_band"))
-    links = blocks.in_blocks(firsts, "_band", "_node", _near(radius, similar), "a long, b long")
+    firsts = profiles.select("_node", "_fp", "_slots", "_bands").dropDuplicates(["_node"]).select("_node", "_fp", "_slots", "_bands", F.explode("_bands").alias("_band"))
+    found = stage(blocks.in_blocks(firsts, "_band", "_node", _clear(radius, similar), "a long, b long, ask boolean"), "clear-links")
+    doubt = found.filter("ask").select(F.col("a").alias("_band"), F.col("b").alias("_node")).distinct()
+    wanted = stage(doubt.groupBy("_node").agg(F.collect_list("_band").alias("_asked")).withColumnRenamed("_node", "_w"), "doubtful")
+    contents = (rows.select("_node", "_text").join(wanted.select("_w"), F.col("_node") == F.col("_w"), "left_semi").dropDuplicates(["_node"])
+                .mapInArrow(_contents(width), "_node long, _shingles array<long>"))
+    known = profiles.select("_node", "_fp", "_slots", "_bands").join(wanted, F.col("_node") == F.col("_w")).dropDuplicates(["_node"]).drop("_node")
+    asked = contents.join(known, F.col("_node") == F.col("_w")).select("_node", "_fp", "_slots", "_bands", "_shingles", F.explode("_asked").alias("_band"))
+    exact = blocks.in_blocks(asked, "_band", "_node", _exact(radius, similar), "a long, b long", limit=512)
+    links = found.filter("NOT ask").select("a", "b").union(exact)
     near = stage(components(links, "a", "b", "near-copies"), "near").withColumnRenamed("_node", "_m")
     nodes = stage(nodes.join(near, F.col("_node") == F.col("_m"), "left").withColumn("_root", F.coalesce("_root", "_node")).drop("_m"), "rooted")
     best = (nodes.groupBy("_root").agg(F.min(F.struct(F.col("_least").isNull().alias("n"), F.col("_least").alias("k"), F.col("_node").alias("m"))).alias("_best"))

@@ -224,6 +224,23 @@ def test_near_copies(spark):
     assert {r["doc_id"] for r in simhash.without_near_copies(frame).collect()} == {k for k, _ in docs} - gone
 
 
+def test_near_copies_are_held_to_exact_similarity(spark):
+    rng = random.Random(24)
+    own = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    docs, want = [], set()
+    for i in range(150):
+        w, edits = own(400), rng.randrange(5, 14)
+        v = list(w)
+        for at in rng.sample(range(0, 400, 6), edits):
+            v[at] = own(1)[0]
+        docs += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
+        a, b = ({tuple(x[j:j + 5]) for j in range(396)} for x in (w, v))
+        want |= {2 * i + 1} if len(a & b) >= 0.8 * len(a | b) else set()
+    kept = {r["doc_id"] for r in simhash.without_near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    gone = {k for k, _ in docs} - kept
+    assert 30 < len(want) < 140 and gone <= want and len(want - gone) <= 2  # bands meet 99.8 % at 0.8
+
+
 def test_shared_and_missing_keys(spark):
     rng = random.Random(23)
     own = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
