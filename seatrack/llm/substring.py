@@ -125,10 +125,14 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h, _, parts = levels(off, data)
             s, found, digests = _shingles(h), [], []
             values = [tokens.mix(s ^ seed) for seed in _SEEDS]
-            for begin, end in _long(h, parts):
+            for level, part in enumerate(parts):
+                # Every level has bands of its own: a line would meet the paragraphs in it, which are never similar.
+                begin, end = next(_long(h, [part]), (None, None))
+                if begin is None:
+                    continue
                 # The last shingles would leave the paragraph.
                 starts = np.column_stack([begin, end - WIDTH + 1]).ravel()
-                found += [tokens.mix(np.minimum.reduceat(v, starts)[::2] + seed) for v, seed in zip(values, _SEEDS)]
+                found += [tokens.mix(np.minimum.reduceat(v, starts)[::2] + seed + np.uint64(level)) for v, seed in zip(values, _SEEDS)]
                 digests += [tokens.hash_runs(h, begin, end)] * BANDS
             if found:
                 # A paragraph that recurs in this part of the input is sent once.
