@@ -126,7 +126,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s, found, digests = _shingles(h), [], []
             values = [tokens.mix(s ^ seed) for seed in _SEEDS]
             for level, part in enumerate(parts):
-                # Every level has bands of its own: a line would meet the paragraphs in it, which are never similar.
+                # Every level has bands of its own, as a line would meet the paragraphs in it; pairs across levels are not sought.
                 begin, end = next(_long(h, [part]), (None, None))
                 if begin is None:
                     continue
