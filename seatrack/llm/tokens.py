@@ -130,3 +130,14 @@ def hash_runs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         out[i:j] = (total[b] - total[a]) * down[a] + (b - a).astype(np.uint64)
         i = j
     return mix(out)
+
+
+def find_runs(off: np.ndarray, solid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of every run of solid bytes inside a row, and the run offsets of the rows."""
+    edge = np.zeros(len(solid) + 1, bool)
+    edge[off] = True
+    before = np.concatenate([[False], solid[:-1]])
+    after = np.concatenate([solid[1:], [False]])
+    starts = np.flatnonzero(solid & (~before[:len(solid)] | edge[:-1]))
+    ends = np.flatnonzero(solid & (~after[:len(solid)] | edge[1:])) + 1
+    return starts, ends, np.searchsorted(starts, off)
