@@ -31,6 +31,12 @@ def in_blocks(rows: DataFrame, key: str, item: str, compare: Callable, schema: s
              .withColumn("_block", F.xxhash64(key, F.least("_own", "_other"), F.greatest("_own", "_other")))
              .select("_block", *rows.columns))
 
+    dealt = dealt.repartition("_block").sortWithinPartitions("_block", item)
+    return dealt.mapInArrow(by_key("_block", compare), schema)
+
+
+def by_key(key: str, compare: Callable) -> Callable:
+    """For ``mapInArrow`` over rows sorted by a 64-bit key: ``compare(rows, ends)`` gets many whole groups of two rows and more at a time."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for b in _chain(batches):
@@ -41,7 +47,7 @@ def in_blocks(rows: DataFrame, key: str, item: str, compare: Callable, schema: s
             if not held:
                 continue
             whole = pa.Table.from_batches(held).combine_chunks()
-            block = whole.column("_block").to_numpy()
+            block = whole.column(key).to_numpy()
             ends = np.concatenate([np.flatnonzero(block[1:] != block[:-1]) + 1, [len(block)]])
             if b is not None:  # the last block may go on in the next batch
                 ends = ends[:-1]
@@ -53,8 +59,7 @@ def in_blocks(rows: DataFrame, key: str, item: str, compare: Callable, schema: s
                 if keep.any():
                     yield from compare(whole.slice(0, done).filter(pa.array(keep)), sizes[sizes > 1].cumsum())
 
-    dealt = dealt.repartition("_block").sortWithinPartitions("_block", item)
-    return dealt.mapInArrow(run, schema)
+    return run
 
 
 def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seatrack.llm import crf, decontaminate, fm, mixing, ngrams, packing, phrases, quality, simhash, store, substring, tokencount
+from seatrack.llm import crf, decontaminate, fm, mixing, ngrams, packing, phrases, quality, simhash, store, substring, tokencount, variants
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -164,6 +164,12 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("held_out", held_out).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequent near spelling and root of every word of the documents."""
+    return variants.spelling_variants(variants.word_counts(table(spark, sf_dir, "documents")))
+
+
 @query
 def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that stand in windows of benchmark items."""
