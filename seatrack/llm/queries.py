@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seatrack.llm import crf, decontaminate, fm, mixing, ngrams, packing, phrases, quality, simhash, store, substring, tokencount, variants
+from seatrack.llm import collocations, crf, decontaminate, fm, mixing, ngrams, packing, phrases, quality, simhash, store, substring, tokencount, variants
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -164,6 +164,41 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("held_out", held_out).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best phrases of every language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_phrase_collocations"] = rf"""
+WITH pieces AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang),
+grams AS (
+  SELECT lang, k, list_slice(w, i, i + k - 1) AS g, count(*) AS f
+  FROM (SELECT lang, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM pieces, range(1, 5) AS ks(k) WHERE len(w) >= k)
+  GROUP BY ALL HAVING count(*) >= 30),
+cuts AS (
+  SELECT c.lang, c.k, c.g, c.f AS a, l.f AS l, r.f AS r, cut, (2000000::HUGEINT * c.f) // (l.f + r.f) AS score
+  FROM (SELECT *, unnest(generate_series(1, k - 1)) AS cut FROM grams WHERE k > 1) c
+  JOIN grams l ON l.lang = c.lang AND l.g = list_slice(c.g, 1, cut)
+  JOIN grams r ON r.lang = c.lang AND r.g = list_slice(c.g, cut + 1, c.k)),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+inner_parts AS (
+  SELECT DISTINCT lang, list_slice(g, s, s + m - 1) AS g, f
+  FROM (SELECT lang, k, g, f, m, unnest(generate_series(1, k - m + 1)) AS s FROM grams, range(2, 4) AS ms(m) WHERE k > m)),
+kept AS (SELECT b.* FROM best b WHERE NOT EXISTS (SELECT 1 FROM inner_parts p WHERE p.lang = b.lang AND p.g = b.g AND 100 * p.f >= 80 * b.a)),
+ranked AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank,
+    array_to_string(g, ' ') AS phrase, a, l, r, score FROM kept)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+FROM ranked JOIN totals USING (lang) WHERE rank <= 2000"""
+
+
 @query
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frequent near spelling and root of every word of the documents."""
@@ -177,7 +212,6 @@ def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), models)
 
 
-_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _PLAIN = rf"regexp_extract_all({_LOWER}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')"
 ORACLES["op13_decontamination"] = rf"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_PLAIN} AS w FROM documents),
