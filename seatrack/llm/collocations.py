@@ -23,8 +23,8 @@ from seatrack.llm.ngrams import Shards, _added, _pack, _unpack, mapped, write_ar
 from seatrack.llm.store import shared_path, stage
 
 WORDS = 4
-#: Words of the dictionary in a file, records of a merged range, of a flush and of a packed run.
-SHARD_WORDS, RANGE, FLUSH, RUN = 1 << 20, 1 << 21, 1 << 22, 1 << 18
+#: Words of the dictionary in a file, records of a merged range, of a flush and of a packed run, and for one sampled boundary.
+SHARD_WORDS, RANGE, FLUSH, RUN, SAMPLE = 1 << 20, 1 << 21, 1 << 22, 1 << 18, 1 << 14
 _CHUNK = 1 << 23
 _BREAK, _GAP = np.zeros(256, bool), np.zeros(256, bool)
 _BREAK[[*b".,;:!?\n\x0b\x0c\r"]] = True
@@ -139,8 +139,9 @@ def _runs(words: Dictionary, step: int):
                 on[1:] &= w[:-1] != 0
                 after, going = [w], np.ones(len(w), bool)
                 for k in range(1, WORDS):
-                    going[:len(w) - k] &= on[k:]
-                    going[max(len(w) - k, 0):] = False
+                    n = max(len(w) - k, 0)
+                    going[:n] &= on[k:]
+                    going[n:] = False
                     after.append(np.where(going, np.roll(w, -k), np.uint64(0)))
                 some = after[1] != 0
                 high, low = after[0][some] << np.uint64(32) | after[1][some], after[2][some] << np.uint64(32) | after[3][some]
@@ -218,7 +219,7 @@ def _rows(docs: DataFrame, lang: str, text: str) -> DataFrame:
 
 def count_phrases(rows: DataFrame, words: Dictionary, n_words: int, least: int, span: int = RANGE) -> DataFrame:
     """The count stream: (g, k, w1..w4, f, first, last) of phrases of k words with f >= ``least``, the last two being counts of single words."""
-    step = max(1 << 14, n_words // 1_000_000)
+    step = max(SAMPLE, n_words // 1_000_000)
     runs = stage(rows.mapInArrow(_runs(words, step), "data array<binary>, sample array<long>"), "phrase-runs")
     sample = np.array([x["v"] for x in runs.select(F.explode("sample").alias("v")).collect()], np.int64).view(np.uint64).reshape(-1, 2)
     sample = sample[np.lexsort((sample[:, 1], sample[:, 0]))]

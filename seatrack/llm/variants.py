@@ -21,7 +21,7 @@ from seatrack.llm import blocks, tokens
 from seatrack.llm.store import stage
 
 LIMIT = 8192
-_CHUNK = 1 << 25
+_CHUNK = 1 << 22
 #: Bytes of runs of letters: A-Z, a-z and the two bytes of U+00C0 to U+00FF, whose first is always 0xC3.
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), 0xC3]] = True
@@ -30,12 +30,13 @@ _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), 0xC3]] = True
 def _counted(min_length: int, spoil: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            held: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
             for i, j, off, data in tokens.chunks(b.column("_text"), _CHUNK):
                 lead = data == 0xC3
                 solid = _LETTER[data]
                 solid[1:] |= lead[:-1]
                 starts, ends, rows = tokens.find_runs(off, solid)
-                leads = np.concatenate([[0], lead.cumsum()])
+                leads = np.concatenate([np.zeros(1, np.int32), lead.cumsum(dtype=np.int32)])
                 size = ends - starts - (leads[ends] - leads[starts])
                 row = np.repeat(np.arange(j - i), np.diff(rows))
                 long = size >= min_length
@@ -50,9 +51,16 @@ def _counted(min_length: int, spoil: int | None):
                     words = [str(raw[a:z], "utf-8") for a, z in zip(starts[hit].tolist(), ends[hit].tolist())]
                     extra = [w[:p] + w[p + 1:] for w, p in zip(words, at.tolist(), strict=True) if len(w) > min_length]
                     starts, ends = starts[~hit], ends[~hit]
-                _, first, n = np.unique(tokens.hash_spans(low, starts, ends), return_index=True, return_counts=True)
+                keys, first, n = np.unique(tokens.hash_spans(low, starts, ends), return_index=True, return_counts=True)
                 words = [str(raw[a:z], "utf-8") for a, z in zip(starts[first].tolist(), ends[first].tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(words + extra, pa.string()), pa.array(np.concatenate([n, np.ones(len(extra), np.int64)]))], ["word", "n"])
+                held.append((keys, n, pa.array(words, pa.string())))
+                if extra:
+                    yield pa.RecordBatch.from_arrays([pa.array(extra, pa.string()), pa.array(np.ones(len(extra), np.int64))], ["word", "n"])
+            if held:
+                keys, n = (np.concatenate(x) for x in list(zip(*held, strict=True))[:2])
+                _, first, back = np.unique(keys, return_index=True, return_inverse=True)
+                words = pa.concat_arrays([x for _, _, x in held]).take(pa.array(first))
+                yield pa.RecordBatch.from_arrays([words, pa.array(np.bincount(back, n, len(first)).astype(np.int64))], ["word", "n"])
 
     return run
 
