@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seatrack import schema as S
+from seatrack.operators.ordered import Track, join_key_values, key_values
 from seatrack.operators.quantiles import approx_wide_quantiles, wide_quantiles
 from seatrack.operators.selection import single_row
 
@@ -315,8 +316,12 @@ def vessel_day_examples(df: DataFrame, key: str = "mmsi", ts: str = "ts", limit:
     )
 
 
-def drop_hollow_vessels(df: DataFrame, columns: Sequence[str], key: Sequence[str] = ("mmsi",)) -> DataFrame:
-    """Drop vessels for which some column is NULL in every row."""
+def drop_hollow_vessels(df: DataFrame, columns: Sequence[str], key: Sequence[str] = ("mmsi",), track: Track | None = None) -> DataFrame:
+    """Drop vessels for which some column is NULL in every row; with ``track`` vessels are joined chunk by chunk."""
+    if track is not None:
+        counts = key_values(df, track, **{f"_n_{c}": ("sum", F.col(c).isNotNull().cast("bigint")) for c in columns})
+        counts = counts.where(all_of([F.col(f"_n_{c}") > 0 for c in columns]))
+        return join_key_values(df, counts.select(*track.parts), track, "left_semi")
     good = df.groupBy(*key).agg(*[F.count(c).alias(f"_n_{c}") for c in columns])
     good = good.where(all_of([F.col(f"_n_{c}") > 0 for c in columns]))
     return df.join(good.select(*key), list(key), "left_semi")

@@ -12,12 +12,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seatrack.operators.clean import all_of
+from seatrack.operators.ordered import Track, join_per_key
 
 
-def join_metadata(messages: DataFrame, meta: DataFrame, key: str = "mmsi", column: str = "gear_type") -> DataFrame:
-    """Left join of one gear type per vessel; a vessel listed twice does not multiply its rows."""
+def join_metadata(messages: DataFrame, meta: DataFrame, key: str = "mmsi", column: str = "gear_type",
+                  track: Track | None = None) -> DataFrame:
+    """Left join of one gear type per vessel; a vessel listed twice does not multiply its rows.
+
+    With ``track`` the join is on vessel and chunk, so a vessel with very many messages is spread over tasks.
+    """
     unique = meta.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(column).alias(column))
-    return messages.drop(column).join(unique, key, "left")
+    if track is None:
+        return messages.drop(column).join(unique, key, "left")
+    return join_per_key(messages.drop(column), unique, track.with_key(key))
 
 
 def keep_listed(df: DataFrame, listed: DataFrame, on: Sequence[str]) -> DataFrame:

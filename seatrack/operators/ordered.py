@@ -67,6 +67,40 @@ def _later(key: Sequence[str], chunk: str = "_chunk") -> WindowSpec:
     return Window.partitionBy(*key).orderBy(F.col(chunk).desc()).rowsBetween(Window.unboundedPreceding, -1)
 
 
+def join_per_key(
+    df: DataFrame, table: DataFrame, track: Track, how: str = "left", chunks_of: DataFrame | None = None
+) -> DataFrame:
+    """Join a table of one row per key on (key, chunk), so that a key with very many rows is spread over its chunks.
+
+    The rows of the table are first repeated for every chunk that the key has in ``chunks_of`` (by default ``df``; any
+    table that holds its chunks will do). A join on the key alone would leave the rows dealt by key, and Spark would
+    run windows and aggregates over (key, chunk) or (key, slot) on that partitioning.
+    """
+    if track.chunk_s is None:
+        return df.join(table, list(track.key), how)
+    source = df if chunks_of is None else chunks_of
+    chunk = F.coalesce(track.chunk(), F.lit(0))
+    chunks = source.select(*track.key, chunk.alias("_chunk")).distinct()
+    spread = chunks.join(table, list(track.key), "inner")
+    return df.withColumn("_chunk", chunk).join(spread, track.parts, how).drop("_chunk")
+
+
+def key_values(df: DataFrame, track: Track, **values: tuple[str, Column]) -> DataFrame:
+    """Values over all rows of a key, one row per (key, chunk): ``name=("min" | "max" | "sum", expression)``.
+
+    Every chunk is summed up first; the summaries of a key are few and are folded over its chunks.
+    """
+    fold = {"min": F.min, "max": F.max, "sum": F.sum}
+    per = df.withColumn("_chunk", track.chunk()).groupBy(*track.parts).agg(*[fold[kind](e).alias(n) for n, (kind, e) in values.items()])
+    whole = Window.partitionBy(*track.key)
+    return per.select(*track.parts, *[fold[kind](n).over(whole).alias(n) for n, (kind, _) in values.items()])
+
+
+def join_key_values(df: DataFrame, values: DataFrame, track: Track, how: str = "left") -> DataFrame:
+    """Join the result of :func:`key_values`."""
+    return df.withColumn("_chunk", track.chunk()).join(values, track.parts, how).drop("_chunk")
+
+
 def row_numbers(
     df: DataFrame,
     key: Sequence[str],

@@ -1,127 +1,97 @@
-"""Exact quantiles without sorting a column in one task.
+"""Exact quantiles by radix selection.
 
-Spark's exact ``percentile`` merges every distinct value of a group into one buffer. Here an
-approximate sketch of bounded size first brackets each wanted rank, the values below the bracket are
-only counted, and the few values inside it are counted per distinct value and ranked.
+Doubles are mapped to 64-bit integers of the same order. A histogram of their leading bits, counted per group and column
+with partial sums in the map tasks, tells in which bucket each wanted rank lies; the rows of that bucket alone are
+counted by the next bits, and so on until all bits are fixed. There is one path for every size: no sketch, no sorting
+of values, and no window over more rows than a histogram has buckets (2^22 at most, however many rows there are).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ACCURACY = 100_000
+#: Bits right of each digit: the leading 22, then 21, then the last 21 bits.
+SHIFTS = (42, 21, 0)
+#: Groups x columns x ranks up to which the table of wanted buckets is broadcast.
+BROADCAST_ROWS = 100_000
 
 
-def _brackets(c: str, probs: Sequence[float], accuracy: int) -> list[tuple[Column, Column]]:
-    """Bounds around each wanted rank, all read from one sketch of the column."""
-    margin = 4.0 / accuracy
-    marks = [F.lit(min(max(p + d, 0.0), 1.0)) for p in probs for d in (-margin, margin)]
-    sketch = F.percentile_approx(c, F.array(*marks), F.lit(accuracy))
-    # Groups no larger than the sketch are bracketed by their extremes: at most `accuracy` values.
-    small = F.count(c) <= accuracy
-    return [
-        (
-            F.when(small | F.lit(p - margin <= 0), F.min(c)).otherwise(F.get(sketch, F.lit(2 * j))),
-            F.when(small | F.lit(p + margin >= 1), F.max(c)).otherwise(F.get(sketch, F.lit(2 * j + 1))),
-        )
-        for j, p in enumerate(probs)
-    ]
+def ordered_bits(x: Column) -> Column:
+    """A 64-bit integer that rises with the double; NULL and NaN give NULL, both zeros the same.
+
+    It is the bit pattern of the absolute value, negated for negative values, found with exact arithmetic on powers of two.
+    """
+    size = F.abs(x)
+    near = F.greatest(F.floor(F.log2(F.when((size > 0) & (size < float("inf")), size))), F.lit(-1022))
+    two = lambda e: F.pow(F.lit(2.0), e.cast("double"))
+    # The logarithm may miss by one next to a power of two.
+    exponent = near + F.when(size >= two(near + 1), 1).when((size < two(near)) & (near > -1022), -1).otherwise(0)
+    bits = (exponent + 1022) * F.lit(1 << 52) + (size / two(exponent - 52)).cast("bigint")
+    bits = F.when(size == 0, F.lit(0)).when(size == float("inf"), F.lit(2047 << 52)).otherwise(bits).cast("bigint")
+    return F.when(x.isNotNull() & ~F.isnan(x), F.when(x < 0, -bits).otherwise(bits))
 
 
 def exact_quantiles(
-    df: DataFrame,
-    columns: Sequence[str],
-    probs: Sequence[float],
-    by: Sequence[str] = (),
-    accuracy: int = ACCURACY,
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = (), broadcast_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
     """Linearly interpolated quantiles as rows ``(*by, feature, p_index, p, quantile)``.
 
-    ``by`` must name columns with few distinct values (months, labels): one summary row per group is
-    broadcast. NULL and NaN values do not take part.
+    NULL and NaN values do not take part; a column without values in a group has no row. The wanted buckets (one row per group, column and rank)
+    are broadcast where their number is fixed or was counted to be at most ``broadcast_rows``; otherwise Spark joins them as it sees fit.
     """
-    by = list(by)
-    d = df.select(*by, *[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in columns])
-    marks = [
-        e.alias(f"{side}_{i}_{j}")
-        for i, c in enumerate(columns)
-        for j, pair in enumerate(_brackets(c, probs, accuracy))
-        for side, e in zip(("lo", "hi"), pair, strict=True)
-    ]
-    bounds = d.groupBy(*by).agg(*marks)
-    packed = bounds.select(*[F.col(c).alias(f"_b_{c}") for c in by], F.struct(*[c for c in bounds.columns if c not in by]).alias("_m"))
-    if by:
-        on = [F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in by]
-        marked = d.join(F.broadcast(packed), on, "inner").drop(*[f"_b_{c}" for c in by])
-    else:
-        marked = d.withColumn("_m", packed.scalar())
-
-    candidates, slots = [], []
-    for i, c in enumerate(columns):
-        inside = [F.col(c).between(F.col(f"_m.lo_{i}_{j}"), F.col(f"_m.hi_{i}_{j}")) for j in range(len(probs))]
-        candidates.append(F.when(reduce(or_, inside), F.struct(F.lit(i).alias("f"), F.col(c).alias("v"))))
-        slots += [
-            F.struct(
-                F.lit(i).alias("f"), F.lit(j).alias("q"), F.first(f"_m.lo_{i}_{j}").alias("lo"),
-                F.first(f"_m.hi_{i}_{j}").alias("hi"), F.count_if(F.col(c) < F.col(f"_m.lo_{i}_{j}")).alias("below"),
-                F.count(c).alias("n"),
-            )
-            for j in range(len(probs))
-        ]
-    values = (
-        marked.select(*by, F.explode(F.filter(F.array(*candidates), lambda e: e.isNotNull())).alias("e"))
-        .groupBy(*by, "e.f", "e.v")
-        .agg(F.count(F.lit(1)).alias("k"))
-    )
-    counts = marked.groupBy(*by).agg(F.array(*slots).alias("b")).select(*by, F.explode("b").alias("b")).select(*by, "b.*")
-    # One row per group, column and probability against the distinct values inside the brackets.
-    left, right = F.broadcast(counts).alias("c"), values.alias("v")
-    on = [F.col(f"c.{c}").eqNullSafe(F.col(f"v.{c}")) for c in (*by, "f")]
-    on.append(F.col("v.v").between(F.col("c.lo"), F.col("c.hi")))
-    joined = right.join(left, on, "inner").select(
-        *[F.col(f"c.{c}") for c in (*by, "f", "q", "n", "below")], "v.v", "v.k"
-    )
-    upto = F.col("below") + F.sum("k").over(Window.partitionBy(*by, "f", "q").orderBy("v"))
-    probs_of = F.array(*[F.lit(float(p)) for p in probs])
-    names = F.array(*[F.lit(c) for c in columns])
-    joined = joined.withColumns(
-        {"pos": F.element_at(probs_of, F.col("q") + 1) * (F.col("n") - 1), "upto": upto}
-    )
-    at = {
-        "x0": F.min(F.when(F.col("upto") > F.floor("pos"), F.col("v"))),
-        "x1": F.min(F.when(F.col("upto") > F.ceil("pos"), F.col("v"))),
-    }
-    out = joined.groupBy(*by, "f", "q").agg(
-        F.first("n").alias("n"), F.first("pos").alias("pos"), *[e.alias(n) for n, e in at.items()]
-    )
-    value = F.col("x0") + (F.col("x1") - F.col("x0")) * (F.col("pos") - F.floor("pos"))
-    checked = F.when(
-        (F.col("n") > 0) & (F.col("x0").isNull() | F.col("x1").isNull()),
-        F.raise_error(F.lit("a quantile fell outside its bracket")).cast("double"),
-    ).otherwise(value)
-    return out.select(
-        *by,
-        F.element_at(names, F.col("f") + 1).alias("feature"),
-        F.col("q").alias("p_index"),
-        F.element_at(probs_of, F.col("q") + 1).alias("p"),
-        checked.alias("quantile"),
-    )
+    by, ranks = list(by), 2 * len(probs) * len(columns)
+    small = not by or df.select(*by).distinct().limit(broadcast_rows // ranks + 1).count() * ranks <= broadcast_rows
+    sent = F.broadcast if small else lambda x: x
+    pairs = [F.struct(F.lit(i).alias("f"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)]
+    rows = df.select(*by, F.explode(F.array(*pairs)).alias("_e")).select(*by, "_e.f", "_e.v")
+    rows = rows.select(*by, "f", "v", ordered_bits(F.col("v")).alias("_bits")).where("_bits IS NOT NULL")
 
+    wanted, bucket = None, [*by, "f"]
+    for shift in SHIFTS:
+        inside = rows
+        if wanted is not None:
+            inside = _same(rows.withColumn("_in", F.shiftright("_bits", above)), sent(wanted.select(*bucket).distinct()), bucket, "left_semi")
+        counts = inside.groupBy(*bucket, F.shiftright("_bits", shift).alias("_out")).agg(F.count(F.lit(1)).alias("_k"), F.min("v").alias("_v"))
+        within = Window.partitionBy(*bucket)
+        counts = counts.withColumns({"_before": F.sum("_k").over(within.orderBy("_out")) - F.col("_k"), "_n": F.sum("_k").over(within)})
+        here = lambda rank: (F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_k"))
+        if wanted is None:
+            held = counts.withColumn("_r", F.explode(F.filter(F.array(*_ranks(probs)), lambda r: here(r["rank"])))).select(*counts.columns, "_r.*")
+        else:
+            held = _same(counts, sent(wanted), bucket, "inner").where(here(F.col("rank")))
+        wanted = held.select(*by, "f", "q", "side", "pos", F.col("_out").alias("_in"), (F.col("rank") - F.col("_before")).alias("rank"), F.col("_v").alias("value"))
+        bucket, above = [*by, "f", "_in"], shift
+    ends = wanted.groupBy(*by, "f", "q", "pos").agg(*[F.max(F.when(F.col("side") == s, F.col("value"))).alias(f"_x{s}") for s in (0, 1)])
+    value = F.col("_x0") + (F.col("_x1") - F.col("_x0")) * (F.col("pos") - F.floor("pos"))
+    names, marks = F.array(*[F.lit(c) for c in columns]), F.array(*[F.lit(float(p)) for p in probs])
+    return ends.select(
+        *by, F.element_at(names, F.col("f") + 1).alias("feature"), F.col("q").alias("p_index"),
+        F.element_at(marks, F.col("q") + 1).alias("p"), value.alias("quantile"))
 
-def wide_quantiles(
-    df: DataFrame,
-    columns: Sequence[str],
-    probs: Sequence[float],
-    by: Sequence[str] = (),
-    accuracy: int = ACCURACY,
-) -> DataFrame:
+
+def _ranks(probs: Sequence[float]) -> list[Column]:
+    """Both neighbours of each wanted position among ``_n`` values."""
+    out = []
+    for q, p in enumerate(probs):
+        pos = F.lit(float(p)) * (F.col("_n") - 1)
+        out += [F.struct(F.lit(q).alias("q"), F.lit(s).alias("side"), pos.alias("pos"), end(pos).cast("bigint").alias("rank"))
+                for s, end in enumerate((F.floor, F.ceil))]
+    return out
+
+
+def _same(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -> DataFrame:
+    """Join on equal columns, NULL equal to NULL."""
+    right = right.withColumnsRenamed({c: f"_same_{c}" for c in on})
+    test = [F.col(c).eqNullSafe(F.col(f"_same_{c}")) for c in on]
+    return left.join(right, test, how).drop(*[f"_same_{c}" for c in on])
+
+
+def wide_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """:func:`exact_quantiles` as one row per group with columns ``{column}_q{index}``."""
-    long = exact_quantiles(df, columns, probs, by, accuracy)
+    long = exact_quantiles(df, columns, probs, by)
     return long.groupBy(*by).agg(
         *[
             F.max(F.when((F.col("feature") == c) & (F.col("p_index") == j), F.col("quantile"))).alias(f"{c}_q{j}")

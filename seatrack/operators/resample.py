@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from seatrack import schema as S
 from seatrack.operators.clean import clamp, dedup_on_key
-from seatrack.operators.ordered import DAY, Track, known_neighbours, next_time
+from seatrack.operators.ordered import DAY, Track, join_key_values, join_per_key, key_values, known_neighbours, next_time
 
 
 def bucket(order: str, seconds: int) -> Column:
@@ -95,8 +95,8 @@ def to_fixed_grid(df: DataFrame, track: Track, step_s: int = 10, on_collision: s
 
 def day_origin(df: DataFrame, track: Track) -> DataFrame:
     """Adds ``_origin``: midnight of the first day of each key, the origin of its buckets."""
-    first = df.groupBy(*track.key).agg((F.floor(F.min(track.order) / DAY) * DAY).alias("_origin"))
-    return df.join(first, list(track.key), "left")
+    first = key_values(df, track, _origin=("min", F.floor(F.col(track.order) / DAY) * DAY))
+    return join_key_values(df, first, track)
 
 
 def _slot_from_origin(df: DataFrame, track: Track, seconds: int) -> tuple[DataFrame, Column]:
@@ -123,11 +123,11 @@ def grid_hits(df: DataFrame, track: Track, seconds: int, columns: Sequence[str])
     """Rows exactly on the grid (first per time), with ``_until``, the slot of the last row of the key."""
     unique = dedup_on_key(df, [*track.key, track.order], [track.order, *track.tie])
     d, slot = _slot_from_origin(unique, track, seconds)
-    ends = df.groupBy(*track.key).agg(F.max(track.order).alias("_last"), F.min(track.order).alias("_begin"))
+    ends = key_values(df, track, _last=("max", F.col(track.order)), _begin=("min", F.col(track.order)))
     hits = d.where(slot == F.col(track.order)).select(*track.key, track.order, *columns)
     origin = F.floor(F.col("_begin") / DAY) * DAY
     until = origin + F.floor((F.col("_last") - origin) / seconds) * seconds
-    return hits.join(ends.select(*track.key, until.alias("_until")), list(track.key), "left")
+    return join_key_values(hits, ends.select(*track.parts, until.alias("_until")), track)
 
 
 def filled_grid(
@@ -192,8 +192,8 @@ def drop_gappy_keys(
         near = F.coalesce(np_ - pp <= max_gap_s, F.lit(False))
         adjacent = np_ - F.col(track.order) <= step_s
         bad = bad | (unknown & ~near) | (~unknown & np_.isNotNull() & ~near & ~adjacent)
-    good = d.groupBy(*track.key).agg(F.count_if(bad).alias("_bad")).where("_bad = 0")
-    return d.join(good.select(*track.key), list(track.key), "left_semi")
+    good = key_values(d, track, _bad=("max", F.coalesce(bad, F.lit(False)))).where("NOT _bad")
+    return join_key_values(d, good.select(*track.parts), track, "left_semi")
 
 
 def resample_linear(
@@ -218,7 +218,7 @@ def resample_with_mode(
 ) -> DataFrame:
     """Exact grid hits, ends filled both ways, one label per key (its mode), all-NULL rows dropped."""
     # The label joins the few hits, not the grid; as one value per key it fills like any other column.
-    hits = grid_hits(df, track, seconds, columns).join(key_mode(df, track.key, label), list(track.key), "left")
+    hits = join_per_key(grid_hits(df, track, seconds, columns), key_mode(df, track.key, label), track, chunks_of=df)
     both = [*columns, label]
     d = filled_grid(hits, track.without_tie(), seconds, columns, [label], both, both, until="_until")
     return d.na.drop("all", subset=list(columns))

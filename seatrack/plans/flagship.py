@@ -28,10 +28,11 @@ def trawling_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     meta = raw.select("mmsi", "gear_type").distinct()
     track = Track(tie=("event_id",))
     d = clean.dedup_on_key(raw, ["mmsi", "ts"], ["event_id"])
-    d = clean.drop_class_b(d)
-    d = clean.drop_unknown_gear(joins.join_metadata(d, meta))
-    d = clean.label_trawling(d, "label").select("mmsi", "epoch", "event_id", "label")
-    d = gap_seconds(bucket_first(d, track, 3600), track)
+    d = clean.drop_class_b(d).select("mmsi", "epoch", "event_id", "nav_status")
+    # Gear is one value per vessel: it joins the hourly rows, on vessel and day, which the windows of the gaps share.
+    d = joins.join_metadata(bucket_first(d, track, 3600), meta, track=track)
+    d = clean.label_trawling(clean.drop_unknown_gear(d), "label").select("mmsi", "epoch", "event_id", "label")
+    d = gap_seconds(d, track)
     return d.groupBy("mmsi").agg(
         F.count(F.lit(1)).alias("hours"), F.sum("label").alias("trawling_hours"), F.max("gap_s").alias("longest_gap_s")
     )

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from seatrack import schema as S
 from seatrack.operators import clean, degrade, joins, metrics, models, profile, resample, risk, series, split
-from seatrack.operators.ordered import Track
+from seatrack.operators.ordered import Track, join_key_values, join_per_key, key_values
 from seatrack.sources import readers, writers
 from seatrack.sources.staging import stage
 
@@ -21,7 +21,7 @@ from seatrack.sources.staging import stage
 def label_fishing(raw: DataFrame, meta: DataFrame, ship_type: str = "Fishing", column: str = "ship_type") -> DataFrame:
     """Fishing ships with their gear type and the trawling label."""
     d = clean.keep_ship_type(raw, ship_type, column)
-    return clean.label_trawling(joins.join_metadata(d, meta))
+    return clean.label_trawling(joins.join_metadata(d, meta, track=Track()))
 
 
 def prepare(
@@ -35,7 +35,7 @@ def prepare(
     """
     d = clean.drop_unknown_gear(clean.drop_class_b(messages))
     d = d.select(*track.key, "ts", track.order, *track.tie, *S.STATIC, *S.CONTINUOUS)
-    d = clean.drop_hollow_vessels(d, S.CONTINUOUS, track.key)
+    d = clean.drop_hollow_vessels(d, S.CONTINUOUS, track.key, track)
     d = stage(clean.filter_monthly_iqr(d, exact=exact), "inliers")
     for c in ("width", "length"):
         d = clean.filter_quantile_range(d, c, exact=exact, keep_null=keep_null_static)
@@ -65,8 +65,8 @@ def prepare_early(
     d = series.interpolate(d, bare, ["rot", "sog", "cog", "heading"], by="row")
     d = stage(clean.label_to_int(d), "interpolated")
     d = stage(series.lag_columns(d, bare, ["latitude", "longitude"], [1, 5]), "lagged")
-    d = series.forecasting_target(d, bare, steps)
-    return d.join(assignment, list(track.key), "inner")
+    d = join_per_key(d, assignment, bare, "inner")
+    return series.forecasting_target(d, bare, steps)
 
 
 def export_with_stats(prepared: DataFrame, path: str, version: str, mode: str = "train", horizon: int = 0) -> DataFrame:
@@ -117,10 +117,11 @@ def cable_risk(
     times and meet the rows on (vessel, time).
     """
     rows = stage(scoring_rows(messages, track, step_s), "scoring")
-    begin = rows.groupBy(*track.key).agg(F.min(track.order).alias("_begin"))
+    begin = key_values(rows, track, _begin=("min", F.col(track.order)))
     t = F.col(track.order)
     ends = rows.select(*track.key, track.order, "latitude", "longitude")
-    ends = risk.near_cable(ends, segments, near_m, name="_close").where("_close").join(begin, list(track.key))
+    ends = risk.near_cable(ends, segments, near_m, name="_close").where("_close")
+    ends = join_key_values(ends, begin, track, "inner")
     past = (t - F.col("_begin")) / step_s + 1 - size  # rows before the window
     span = F.sequence(t - (size - 1) * step_s, t, F.lit(step_s).cast("bigint"))
     members = ends.where((past >= 0) & (past % step == 0)).select(

@@ -244,7 +244,7 @@ def _(spark, sf):
     "SELECT event_id, m.mmsi, g.gear_type FROM raw m LEFT JOIN (SELECT mmsi, min(gear_type) AS gear_type FROM raw GROUP BY mmsi) g ON m.mmsi = g.mmsi"))
 def _(spark, sf):
     m = messages(spark, sf, True)
-    return joins.join_metadata(m, m.select("mmsi", "gear_type").distinct()).select("event_id", "mmsi", "gear_type")
+    return joins.join_metadata(m, m.select("mmsi", "gear_type").distinct(), track=Track()).select("event_id", "mmsi", "gear_type")
 
 
 @query("j2_valid_vessel_days", sql_with("""SELECT event_id, mmsi FROM msg WHERE (mmsi, CAST(ts AS DATE)) IN (

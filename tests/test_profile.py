@@ -105,3 +105,32 @@ def test_scores_with_nothing_predicted(spark):
     d = spark.createDataFrame([(0, 0), (1, 0)], "t int, p int")
     r = metrics.classification_scores(d, "t", "p").first()
     assert (r.accuracy, r.precision, r.recall, r.f1_score) == (0.5, 0.0, 0.0, 0.0)
+
+
+def test_ordered_bits(spark):
+    import struct
+
+    from seatrack.operators.quantiles import ordered_bits
+
+    rng = random.Random(11)
+    values = [0.0, -0.0, 1.0, -1.0, 2.0, 0.5, 1e308, 5e-324, -5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, math.inf, -math.inf, math.pi]
+    values += [math.ldexp(1.0, e) for e in range(-1074, 1024, 7)] + [math.nextafter(math.ldexp(1.0, e), s) for e in range(-1000, 1023, 13) for s in (0.0, math.inf)]
+    values += [struct.unpack("<d", rng.randbytes(8))[0] for _ in range(2000)]
+    d = spark.createDataFrame([(v,) for v in [*values, None, math.nan]], "x double")
+    for r in d.select("x", ordered_bits(d["x"]).alias("b")).collect():
+        if r.x is None or math.isnan(r.x):
+            assert r.b is None
+        else:
+            size = struct.unpack("<q", struct.pack("<d", abs(r.x)))[0]
+            assert r.b == (-size if r.x < 0 else size)
+
+
+@pytest.mark.parametrize("limit", [0, 100_000])
+def test_quantiles_of_values_that_share_their_leading_bits(spark, limit):
+    """Groups of very different sizes, with NULL as a group; broadcast or not."""
+    rng = random.Random(2)
+    data = [(None, 1e9 + rng.random() * 1e-6) for _ in range(3000)] + [(1, 7.0)] + [(2, float(rng.randrange(3))) for _ in range(5000)] + [(3, None)]
+    d = spark.createDataFrame(data, "g int, x double").repartition(5)
+    got = {(r.g, r.p): r.quantile for r in exact_quantiles(d, ["x"], [0.1, 0.5, 0.9], ["g"], limit).collect()}
+    want = {(g, p): float(np.quantile([x for k, x in data if k == g], p)) for g in (None, 1, 2) for p in (0.1, 0.5, 0.9)}
+    assert got == pytest.approx(want, rel=1e-15, abs=0)
