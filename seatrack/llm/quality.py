@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 WORD_GAP = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
+#: Lines in more than this share of a host's documents are above its limit, but never those in so few of them or fewer.
+SHARE, LEAST = 0.05, 3
 
 
 GAPS = " \t\n\x0b\f\r"
@@ -99,17 +101,19 @@ def _left_by_row(rows: DataFrame, more: DataFrame) -> DataFrame:
 
 
 def frequent_lines(rows: DataFrame, lines: DataFrame, share: float, least: int) -> DataFrame:
-    """(host, line hash) of lines found in more distinct texts of a host than its limit.
+    """(host, line hash) of lines found in more distinct documents of a host than its limit.
 
-    Exact copies of a text count once: what recurs because a whole text was copied is no boilerplate. All
-    counts combine before the shuffle, so neither a host nor a line is gathered in one task.
+    Rows alike in key and text are one document; a line counts once in a document. The limit is ``share`` of the host's documents,
+    and ``least`` where that is fewer, so it acts on hosts of every size. All counts combine before the shuffle, so neither a host nor
+    a line is gathered in one task.
     """
-    hosts = (rows.select("_host", "_digest").distinct().groupBy("_host").agg(F.count("*").alias("_texts"))
+    document = F.xxhash64("_key", "_digest").alias("_doc")
+    hosts = (rows.select("_host", document).distinct().groupBy("_host").agg(F.count("*").alias("_docs"))
              .withColumnRenamed("_host", "_h"))
-    found = (lines.select("_host", "_hash", "_digest").distinct().groupBy("_host", "_hash")
+    found = (lines.select("_host", "_hash", document).distinct().groupBy("_host", "_hash")
              .agg(F.count("*").alias("_in")).filter(F.col("_in") > least))
     return (found.join(hosts, F.col("_host").eqNullSafe(F.col("_h")))
-            .filter(F.col("_in") > F.greatest(F.lit(least), F.col("_texts") * share))
+            .filter(F.col("_in") > F.greatest(F.lit(least), F.col("_docs") * share))
             .select(F.col("_host").alias("_h"), F.col("_hash").alias("_over")))
 
 
@@ -119,12 +123,12 @@ def _hits(rows: DataFrame, share: float, least: int) -> DataFrame:
     return lines.join(over, (lines["_hash"] == over["_over"]) & lines["_host"].eqNullSafe(over["_h"]))
 
 
-def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", share: float = 0.005,
-                  least: int = 50, depleted: float = 0.5, min_words: int = 20) -> DataFrame:
+def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", share: float = SHARE,
+                  least: int = LEAST, depleted: float = 0.5, min_words: int = 20) -> DataFrame:
     """One row per document: key, the measures, ``base_failed``, ``n_frequent_words`` and ``kept``.
 
     A line (lower case, single spaces) is above the limit of its host if it is in more than ``least`` and
-    more than ``share`` of the host's distinct texts. A document is depleted if without these lines it
+    more than ``share`` of the host's distinct documents. A document is depleted if without these lines it
     has fewer than ``min_words`` words, or lost more than ``depleted`` of them. A null host is a host of
     its own; a null text has no words and fails; repeated rows each get their row.
     """
@@ -139,7 +143,7 @@ def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", host
 
 
 def without_frequent_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source",
-                           share: float = 0.005, least: int = 50) -> DataFrame:
+                           share: float = SHARE, least: int = LEAST) -> DataFrame:
     """One row (key, text) per document: the text without its lines above the limit of the host."""
     rows = _with_row(docs, key, text, host)
     gone = (_hits(rows, share, least).groupBy("_key", "_host", "_digest").agg(F.collect_set("_hash").alias("_gone")))

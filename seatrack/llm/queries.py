@@ -37,13 +37,13 @@ windows AS (
 repeated AS (SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY r, win) > 1),
 covered AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(generate_series(i, i + 7)) AS p FROM repeated) GROUP BY r),
 lines AS (
-  SELECT r, source, text, line, list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS lw
-  FROM (SELECT r, source, text, unnest(string_split(text, chr(10))) AS line FROM docs)),
-solid AS (SELECT r, source, text, line, len(lw) AS n, lower(array_to_string(lw, ' ')) AS norm FROM lines WHERE len(lw) > 0),
+  SELECT r, doc_id, source, text, line, list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS lw
+  FROM (SELECT r, doc_id, source, text, unnest(string_split(text, chr(10))) AS line FROM docs)),
+solid AS (SELECT r, doc_id, source, text, line, len(lw) AS n, lower(array_to_string(lw, ' ')) AS norm FROM lines WHERE len(lw) > 0),
 dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM solid GROUP BY r),
-hosts AS (SELECT source, count(DISTINCT text) AS n FROM docs GROUP BY source),
+hosts AS (SELECT source, count(DISTINCT (doc_id, text)) AS n FROM docs GROUP BY source),
 freq AS (SELECT s.source, norm FROM solid s JOIN hosts h ON s.source IS NOT DISTINCT FROM h.source
-  GROUP BY s.source, norm, h.n HAVING count(DISTINCT text) > greatest(50, h.n * 0.005)),
+  GROUP BY s.source, norm, h.n HAVING count(DISTINCT (doc_id, text)) > greatest({quality.LEAST}, h.n * {quality.SHARE})),
 lost AS (SELECT r, sum(s.n) AS n FROM solid s JOIN freq f ON s.source IS NOT DISTINCT FROM f.source AND s.norm = f.norm GROUP BY r),
 m AS (
   SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
