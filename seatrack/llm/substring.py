@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seatrack.llm import blocks, tokens
+from seatrack.llm.collocations import sorted_arrays
 from seatrack.llm.components import components
-from seatrack.llm.store import stage
+from seatrack.llm.ngrams import Shards, _pack, _unpack, mapped, write_array
+from seatrack.llm.store import release, shared_path, stage
 
 REACH = 4
 WIDE = 24
@@ -19,6 +21,8 @@ WIDTH = 5
 BANDS = 3
 SIMILAR = 0.8
 _COLUMNS = 1 << 14
+#: Characters of all texts for one shard of keys, and keys of a task that are combined at once.
+SHARD_CHARS, _FLUSH = 1 << 25, 1 << 22
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 _SEEDS = tokens.mix(np.arange(101, 101 + BANDS, dtype=np.uint64))
 
@@ -93,20 +97,32 @@ def _column(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x)
 
 
-def _places(wide: bool):
-    """Small paragraphs with their places, or with ``wide`` also those of the other levels."""
+def _repeats(near: Shards, again: Shards, min_words: int):
+    """Places of the paragraphs that recur: small ones in a class or held by two documents, others in a class of similar ones."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, off, data in tokens.chunks(b.column("_text")):
                 h, rows, parts = levels(off, data)
-                for level, (begin, end, new) in enumerate(_whole(h, parts if wide else parts[:1])):
-                    begin, end = begin[new], end[new]
+                for level, (begin, end, new) in enumerate(_whole(h, parts)):
+                    some = new & (end - begin >= min_words) if level else new
+                    begin, end = begin[some], end[some]
+                    digest, back = np.unique(tokens.hash_runs(h, begin, end), return_inverse=True)
+                    shard, place, there = near.find(digest)
+                    root = digest.copy()
+                    for k in np.unique(shard[there]):
+                        at = there & (shard == k)
+                        root[at] = mapped(near.files[k][1], "<u8")[place[at]]
+                    held = there if level else there | again.find(digest)[2]
+                    some = np.flatnonzero(held[back])
+                    if not len(some):
+                        continue
+                    begin, end = begin[some], end[some]
                     row = np.searchsorted(rows, begin, "right") - 1
                     take = pa.array(row + i)
                     yield pa.RecordBatch.from_arrays(
                         [b.column("_key").take(take), b.column("_text_hash").take(take), _column(begin - rows[row]), _column(end - begin),
-                         _column(tokens.hash_runs(h, begin, end)), pa.array(np.full(len(begin), level > 0))],
-                        ["_key", "_text_hash", "start", "words", "digest", "wide"])
+                         _column(root[back[some]]), pa.array(np.full(len(some), level > 0))],
+                        ["_key", "_text_hash", "start", "words", "class", "wide"])
 
     return run
 
@@ -119,49 +135,146 @@ def _long(h: np.ndarray, parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator
             yield begin[some], end[some]
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for _, _, off, data in tokens.chunks(b.column("_text")):
-            h, _, parts = levels(off, data)
-            s, found, digests = _shingles(h), [], []
-            values = [tokens.mix(s ^ seed) for seed in _SEEDS]
-            for level, part in enumerate(parts):
-                # Every level has bands of its own, as a line would meet the paragraphs in it; pairs across levels are not sought.
-                begin, end = next(_long(h, [part]), (None, None))
-                if begin is None:
+def _bands(h: np.ndarray, parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Bands of all paragraphs with their digests, each pair once and in order of the bands."""
+    s, found, digests = _shingles(h), [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    values = [tokens.mix(s ^ seed) for seed in _SEEDS]
+    for level, part in enumerate(parts):
+        # Every level has bands of its own, as a line would meet the paragraphs in it; pairs across levels are not sought.
+        begin, end = next(_long(h, [part]), (None, None))
+        if begin is None:
+            continue
+        # The last shingles would leave the paragraph.
+        starts = np.column_stack([begin, end - WIDTH + 1]).ravel()
+        found += [tokens.mix(np.minimum.reduceat(v, starts)[::2] + seed + np.uint64(level)) for v, seed in zip(values, _SEEDS)]
+        digests += [tokens.hash_runs(h, begin, end)] * BANDS
+    band, digest = np.concatenate(found), np.concatenate(digests)
+    order = np.lexsort((digest, band))
+    band, digest = band[order], digest[order]
+    new = np.ones(len(band), bool)
+    new[1:] = (band[1:] != band[:-1]) | (digest[1:] != digest[:-1])
+    return band[new], digest[new]
+
+
+def _one_each(keys: np.ndarray, values: np.ndarray, twice: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, a value of each, and whether it has two values."""
+    order = np.argsort(keys, kind="stable")
+    keys, values, twice = keys[order], values[order], twice[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    if not len(first):
+        return keys, values, twice
+    low = np.minimum.reduceat(values, first)
+    return keys[first], low, np.logical_or.reduceat(twice, first) | (low != np.maximum.reduceat(values, first))
+
+
+def _held_twice(shards: int):
+    """Packed tables of a task: digests of small paragraphs with a document each (kind 0), bands with a digest each (kind 1)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = [[], []]
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for kind, parts in enumerate(held):
+                if not parts:
                     continue
-                # The last shingles would leave the paragraph.
-                starts = np.column_stack([begin, end - WIDTH + 1]).ravel()
-                found += [tokens.mix(np.minimum.reduceat(v, starts)[::2] + seed + np.uint64(level)) for v, seed in zip(values, _SEEDS)]
-                digests += [tokens.hash_runs(h, begin, end)] * BANDS
-            if found:
-                # A paragraph that recurs in this part of the input is sent once.
-                pairs = np.unique(np.column_stack([np.concatenate(found), np.concatenate(digests)]), axis=0)
-                yield pa.RecordBatch.from_arrays([_column(pairs[:, 0].copy()), _column(pairs[:, 1].copy())], ["band", "digest"])
-
-
-def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for _, _, off, data in tokens.chunks(b.column("_text")):
-            h, _, parts = levels(off, data)
-            s = _shingles(h)
-            for begin, end in _long(h, parts):
-                digest, some = np.unique(tokens.hash_runs(h, begin, end), return_index=True)
-                begin, n = begin[some], (end - begin)[some] - WIDTH + 1
-                ends = n.cumsum()
-                at = np.repeat(begin - (ends - n), n) + np.arange(n.sum())
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), _column(s[at]))
-                yield pa.RecordBatch.from_arrays([_column(digest), lists], ["digest", "shingles"])
-
-
-def _colliding(rows: pa.Table, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows of the blocks that hold two paragraphs at least."""
-    digest = rows.column("digest").to_numpy()
-    size = np.diff(np.concatenate([[0], ends]))
-    first = np.repeat(digest[ends - size], size)
-    many = np.add.reduceat(digest != first, ends - size) > 0
-    keep = pa.array(np.repeat(many, size))
-    yield from rows.select(["band", "digest"]).filter(keep).to_batches()
+                keys, values, twice = _one_each(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+                parts.clear()
+                ends = np.searchsorted((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32), np.arange(shards + 1).astype(np.uint64))
+                for k in range(shards):
+                    x, y = ends[k], ends[k + 1]
+                    if x < y:
+                        rise = keys[x:y].copy()
+                        rise[1:] -= keys[x:y - 1]
+                        data = [_pack(rise), _pack(np.where(twice[x:y], np.uint64(0), values[x:y])), _pack(twice[x:y].astype("u1"))]
+                        yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([k], pa.int32()), pa.array([data], pa.list_(pa.binary()))], ["kind", "shard", "data"])
+
+        for b in batches:
+            document = b.column("_document").to_numpy().view(np.uint64)
+            for i, _, off, data in tokens.chunks(b.column("_text")):
+                h, rows, parts = levels(off, data)
+                begin, end = parts[0]
+                own = document[i + np.searchsorted(rows, begin, "right") - 1] if len(begin) else np.zeros(0, np.uint64)
+                held[0].append((tokens.hash_runs(h, begin, end), own, np.zeros(len(begin), bool)))
+                band, digest = _bands(h, parts)
+                held[1].append((band, digest, np.zeros(len(band), bool)))
+                if sum(len(x[0]) for kind in held for x in kind) > _FLUSH:
+                    yield from flush()
+        yield from flush()
+
+    return run
+
+
+def _write_twice(folder: str):
+    """Sorted arrays of the keys that have two values over all tasks."""
+    def finish(kind: int, parts: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
+        keys, _, twice = _one_each(*(np.concatenate(x) for x in zip(*[
+            (np.cumsum(_unpack(k, "<u8"), dtype=np.uint64), _unpack(v, "<u8"), _unpack(t, "u1").astype(bool)) for k, v, t in parts], strict=True)))
+        keys = keys[twice]
+        if len(keys):
+            yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([str(int(keys[0]))]), pa.array([len(keys)]), pa.array([[write_array(f"{folder}/kind{kind}", keys)]], pa.list_(pa.string()))],
+                                             ["kind", "first", "n", "files"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = None, []
+        for b in batches:
+            for kind, shard, data in zip(b.column("kind").to_pylist(), b.column("shard").to_pylist(), b.column("data"), strict=True):
+                if (kind, shard) != now and parts:
+                    yield from finish(now[0], parts)
+                    parts = []
+                now = kind, shard
+                parts.append(data.as_py())
+        if parts:
+            yield from finish(now[0], parts)
+
+    return run
+
+
+def held_twice(rows: DataFrame) -> tuple[Shards, Shards]:
+    """Digests of small paragraphs that two documents hold, and bands that two paragraphs hold, as mapped sorted arrays.
+
+    Tasks keep one entry a key, so a very frequent paragraph or band is sent once by each; one in ``SHARD_CHARS`` characters makes a shard.
+    """
+    shards = max(1, -(-(rows.agg(F.sum(F.length("_text"))).first()[0] or 0) // SHARD_CHARS))
+    parts = rows.select(F.xxhash64("_key", "_text_hash").alias("_document"), "_text").mapInArrow(_held_twice(shards), "kind int, shard int, data array<binary>")
+    written = stage(parts.repartition(2 * shards, "kind", "shard").sortWithinPartitions("kind", "shard").mapInArrow(
+        _write_twice(shared_path(rows.sparkSession, "held-twice")), "kind int, first string, n long, files array<string>"), "held-twice")
+    listed = sorted(written.collect(), key=lambda r: int(r["first"]))
+    found = [[r for r in listed if r["kind"] == kind] for kind in (0, 1)]
+    return tuple(Shards([int(r["first"]) for r in x], [r["n"] for r in x], [r["files"] for r in x]) for x in found)
+
+
+def _meeting(shared: Shards):
+    """Bands that two paragraphs hold, with the digests that hold them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, _, off, data in tokens.chunks(b.column("_text")):
+                h, _, parts = levels(off, data)
+                band, digest = _bands(h, parts)
+                there = shared.find(band)[2]
+                yield pa.RecordBatch.from_arrays([_column(band[there]), _column(digest[there])], ["band", "digest"])
+
+    return run
+
+
+def _contents(wanted: Shards):
+    """Shingles of the wanted paragraphs; they are looked up in mapped arrays, so the others aren't sent."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, _, off, data in tokens.chunks(b.column("_text")):
+                h, _, parts = levels(off, data)
+                s = _shingles(h)
+                for begin, end in _long(h, parts):
+                    digest, some = np.unique(tokens.hash_runs(h, begin, end), return_index=True)
+                    there = wanted.find(digest)[2]
+                    digest, some = digest[there], some[there]
+                    if not len(digest):
+                        continue
+                    begin, n = begin[some], (end - begin)[some] - WIDTH + 1
+                    ends = n.cumsum()
+                    at = np.repeat(begin - (ends - n), n) + np.arange(n.sum())
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), _column(s[at]))
+                    yield pa.RecordBatch.from_arrays([_column(digest), lists], ["digest", "shingles"])
+
+    return run
 
 
 def _similar(rows: pa.Table, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -201,15 +314,21 @@ def similar_paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
     Three bands of one minimum over five-word shingles meet 99 % of the pairs at similarity 0.8 and more
     above. Bands held by one paragraph alone end there; only for the others shingles are fetched and compared.
     """
-    rows = _rows(docs, docs.columns[0], text).select("_text")
-    bands = rows.mapInArrow(_bands, "band long, digest long")
-    meeting = stage(blocks.in_blocks(bands, "band", "digest", _colliding, "band long, digest long"), "bands")
-    wanted = stage(meeting.select("digest").distinct(), "band-digests")
-    contents = rows.mapInArrow(_contents, "digest long, shingles array<long>").join(wanted.withColumnRenamed("digest", "w"), F.col("digest") == F.col("w"))
-    contents = stage(contents.select("digest", "shingles").dropDuplicates(["digest"]), "band-contents")
-    compared = meeting.distinct().join(contents.withColumnRenamed("digest", "d"), F.col("digest") == F.col("d")).select("band", "digest", "shingles")
-    links = blocks.in_blocks(compared, "band", "digest", _similar, "a long, b long", limit=512)
-    return components(links, "a", "b", "paragraphs")
+    rows = _rows(docs, docs.columns[0], text)
+    return _similar_classes(rows, held_twice(rows)[1])
+
+
+def _similar_classes(rows: DataFrame, shared: Shards) -> DataFrame:
+    rows = rows.select("_text")
+    meeting = stage(rows.mapInArrow(_meeting(shared), "band long, digest long").distinct(), "bands")
+    wanted = sorted_arrays(meeting.select("digest").distinct(), ["digest"], "band-digests")
+    contents = stage(rows.mapInArrow(_contents(wanted), "digest long, shingles array<long>").dropDuplicates(["digest"]), "band-contents")
+    compared = meeting.join(contents.withColumnRenamed("digest", "d"), F.col("digest") == F.col("d")).select("band", "digest", "shingles")
+    links = stage(blocks.in_blocks(compared, "band", "digest", _similar, "a long, b long", limit=512), "similar")
+    release(meeting, contents)
+    classes = components(links, "a", "b", "paragraphs")
+    release(links)
+    return classes
 
 
 def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 18) -> DataFrame:
@@ -224,19 +343,14 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """
     rows = _rows(docs, key, text)
     kind = rows.schema["_key"].dataType.simpleString()
-    schema = f"_key {kind}, _text_hash long, start long, words long, digest long, wide boolean"
-    places = rows.mapInArrow(_places(False), schema)
-    document = F.xxhash64("_key", "_text_hash")
-    again = (places.groupBy("digest").agg(F.min(document).alias("low"), F.max(document).alias("high"))
-             .filter("low <> high").select(F.col("digest").alias("_node"), F.col("digest").alias("_root")))
-    near = stage(similar_paragraphs(docs.select(text), text), "similar")
-    exact = again.join(near.select(F.col("_node").alias("n")), F.col("_node") == F.col("n"), "left_anti")
-    classes = stage(near.withColumn("_near", F.lit(True)).union(exact.withColumn("_near", F.lit(False))), "classes")
-    found = stage(rows.mapInArrow(_places(True), schema).filter(f"NOT wide OR words >= {int(min_words)}").join(classes, F.col("digest") == F.col("_node"))
-                  .filter("NOT wide OR _near").select("_key", "_text_hash", "start", "words", F.col("_root").alias("class"), "wide"), "repeats")
+    schema = f"_key {kind}, _text_hash long, start long, words long, class long, wide boolean"
+    again, shared = held_twice(rows)
+    near = sorted_arrays(_similar_classes(rows, shared), ["_node", "_root"], "similar")
+    found = stage(rows.mapInArrow(_repeats(near, again, int(min_words)), schema), "repeats")
     whole = found.filter("wide").select("_key", "_text_hash", "start", (F.col("start") + F.col("words")).alias("stop"),
                                         F.xxhash64(F.array("class")).alias("code"), F.col("class").alias("component"))
     spans = stage(_spans(found.filter("NOT wide").drop("wide"), min_words).union(whole), "spans")
+    release(found)
     document = F.struct(F.col("_key").isNull().alias("n"), F.col("_key").alias("k"), F.col("_text_hash").alias("h"))
     keepers = stage(spans.groupBy("code").agg(F.min(document).alias("keep"), F.max(document).alias("last")).filter("NOT keep <=> last")
                     .select(F.col("code").alias("c"), "keep"), "keepers")
