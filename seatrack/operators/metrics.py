@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seatrack.operators.ordered import row_numbers
+from seatrack.sources.staging import release, stage
+
 
 def _ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
@@ -126,14 +129,20 @@ def position_errors(df: DataFrame, pairs: Sequence[tuple[str, str]], by: Sequenc
     return df.groupBy(*by).agg(F.avg(mae).alias("mae"), F.avg(mse).alias("mse"), F.count(F.lit(1)).alias("n"))
 
 
+#: Records of a run that are searched together.
+RECORD_BLOCK = 1000
+
+
 def early_stopping(
     history: DataFrame, run: Sequence[str], epoch: str, metric: str, patience: int = 5, min_delta: float = 0.0,
     higher_is_better: bool = False, chunk: int = 1000,
 ) -> DataFrame:
     """Best epoch and value of each run and the epoch at which training stops (NULL if it does not).
 
-    Only an epoch that beats all earlier ones can count as an improvement, so the fold runs over those
-    alone. Records are found inside blocks of epochs that carry the best value of the blocks before.
+    Only a record, an epoch that beats all earlier ones, can count as an improvement. Each record points to the first later
+    one that is better by more than ``min_delta``, if that comes within ``patience`` epochs; the last improvement is the end of the chain from
+    the first record, found by doubling the pointers. Records are found inside blocks of epochs that carry the best value of the blocks
+    before, and pointers by searching blocks of records, so no run is gathered in one task. A NULL metric is an epoch without improvement.
     """
     run = list(run)
     sign = -1.0 if higher_is_better else 1.0
@@ -152,34 +161,54 @@ def early_stopping(
             "_prev": F.least(F.col("_best_before"), F.min("_v").over(local.rowsBetween(Window.unboundedPreceding, -1))),
         }
     )
-    record = F.col("_prev").isNull() | (F.col("_v") < F.col("_prev"))
-    # Every value is reduced in the map tasks; the array holds the records only.
-    per_run = d.groupBy(*run).agg(
-        F.sort_array(F.collect_list(F.when(record, F.struct("_i", "_e", "_v")))).alias("_records"),
-        F.max("_i").alias("_last"),
-    )
-    state = F.struct(
-        F.lit(None).cast("bigint").alias("at"), F.lit(None).cast("bigint").alias("epoch"),
-        F.lit(None).cast("double").alias("best"), F.lit(None).cast("bigint").alias("stop"),
+    record = F.col("_v").isNotNull() & (F.col("_prev").isNull() | (F.col("_v") < F.col("_prev")))
+    records = row_numbers(d.where(record).select(*run, "_i", "_e", "_v", "_c"), run, [F.col("_e").asc()], F.col("_c"), "_j")
+    records = stage(records.select(*run, "_j", "_i", "_e", "_v", F.floor((F.col("_j") - 1) / RECORD_BLOCK).alias("_b")), "records")
+    pointers = stage(_improvements(records, run, patience, float(min_delta)), "improvements")
+    while True:
+        ahead = pointers.select(*run, F.col("_to").alias("_at"), F.col("_j").alias("_from")).join(
+            pointers.select(*run, F.col("_j").alias("_at"), F.col("_to").alias("_further")), [*run, "_at"])
+        doubled = stage(ahead.select(*run, F.col("_from").alias("_j"), F.col("_further").alias("_to"), (F.col("_at") != F.col("_further")).alias("_moved")), "improvements")
+        going = not doubled.where("_j = 1 AND _moved").isEmpty()
+        release(pointers)
+        pointers = doubled
+        if not going:
+            break
+    best = pointers.where("_j = 1").select(*run, F.col("_to").alias("_j")).join(records, [*run, "_j"])
+    last = d.groupBy(*run).agg(F.max("_i").alias("_last"))
+    out = last.join(best.select(*run, "_i", "_e", "_v"), run, "left")
+    return out.select(
+        *run, F.col("_e").alias("best_epoch"), (F.col("_v") * sign).alias("best_value"),
+        F.when(F.col("_last") - F.col("_i") >= patience, F.col("_i") + patience).alias("stop_after"),
     )
 
-    def step(s: Column, x: Column) -> Column:
-        stopped = s["stop"].isNotNull()
-        better = s["at"].isNull() | (x["_v"] < s["best"] - F.lit(float(min_delta)))
-        late = s["at"].isNotNull() & (x["_i"] - s["at"] > patience)
-        moved = F.struct(x["_i"].alias("at"), x["_e"].alias("epoch"), x["_v"].alias("best"), s["stop"].alias("stop"))
-        halted = F.struct(s["at"].alias("at"), s["epoch"].alias("epoch"), s["best"].alias("best"),
-                          (s["at"] + patience).alias("stop"))
-        return F.when(stopped, s).when(better & late, halted).when(better, moved).otherwise(s)
-
-    folded = per_run.withColumn("_s", F.aggregate("_records", state, step))
-    stop = F.coalesce(
-        F.col("_s.stop"),
-        F.when(F.col("_last") - F.col("_s.at") >= patience, F.col("_s.at") + patience),
-    )
-    return folded.select(
-        *run, F.col("_s.epoch").alias("best_epoch"), (F.col("_s.best") * sign).alias("best_value"),
-        stop.alias("stop_after"),
-    )
 
+def _improvements(records: DataFrame, run: list[str], patience: int, min_delta: float) -> DataFrame:
+    """``_to``: the record that improves on record ``_j`` in time, else ``_j`` itself.
 
+    Values of the records of a run fall, so a wanted value lies in the first block whose least value is below it. Blocks are
+    few; for each the first and last block that its records can point to are found by one ordered pass over block limits.
+    """
+    blocks = records.groupBy(*run, "_b").agg(
+        F.sort_array(F.collect_list(F.struct("_j", "_i", "_v"))).alias("_rows"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    limits = blocks.select(*run, "_b", "_low", "_high", F.max("_b").over(Window.partitionBy(*run)).alias("_end"))
+    marks = limits.select(*run, "_b", "_end", F.explode(F.array(
+        F.struct(F.col("_low").alias("at"), F.lit(2).alias("kind")),
+        F.struct((F.col("_high") - min_delta).alias("at"), F.lit(0).alias("kind")),
+        F.struct((F.col("_low") - min_delta).alias("at"), F.lit(1).alias("kind")))).alias("_m"))
+    below = Window.partitionBy(*run).orderBy("_m.at", "_m.kind").rowsBetween(Window.unboundedPreceding, 0)
+    marks = marks.withColumn("_t", F.last(F.when(F.col("_m.kind") == 2, F.col("_b")), True).over(below))
+    spans = marks.where("_m.kind < 2").groupBy(*run, "_b").agg(
+        F.max(F.when(F.col("_m.kind") == 0, F.col("_t"))).alias("_first"),
+        F.coalesce(F.max(F.when(F.col("_m.kind") == 1, F.col("_t"))), F.max("_end")).alias("_final")).where("_first IS NOT NULL")
+    wanted = records.join(spans, [*run, "_b"]).select(
+        *run, "_j", "_i", (F.col("_v") - min_delta).alias("_below"), F.explode(F.sequence("_first", "_final")).alias("_t"))
+    order = Window.partitionBy(*run).orderBy("_b")
+    targets = blocks.select(*run, F.col("_b").alias("_t"), "_rows", "_low").join(
+        limits.select(*run, F.col("_b").alias("_t"), F.lag("_low").over(order).alias("_before")), [*run, "_t"])
+    met = wanted.join(targets, [*run, "_t"]).where(
+        (F.col("_low") < F.col("_below")) & (F.col("_before").isNull() | (F.col("_before") >= F.col("_below"))))
+    first = F.get("_rows", F.size(F.filter("_rows", lambda r: r["_v"] >= F.col("_below"))))
+    met = met.select(*run, "_j", "_i", first.alias("_x")).where(F.col("_x._i") - F.col("_i") <= patience)
+    return records.select(*run, "_j").join(met.select(*run, "_j", F.col("_x._j").alias("_next")), [*run, "_j"], "left").select(
+        *run, "_j", F.coalesce("_next", "_j").alias("_to"))

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -15,7 +17,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seatrack.operators.metrics import classification_scores
@@ -170,77 +172,95 @@ def forest_predict(df: DataFrame, models: dict[str, object], features: Sequence[
 
 # --- window scoring -----------------------------------------------------------------------------
 
-# A model takes windows [n, rows, features] and returns logits [n] and forecasts [n, steps, 2].
-Model = Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]
+
+@dataclass(frozen=True)
+class WindowModel:
+    """A classifier and a forecaster over windows ``[n, rows, features]``."""
+
+    classify: Callable[[np.ndarray], np.ndarray]  # logits [n]
+    forecast: Callable[[np.ndarray], np.ndarray]  # positions [n, steps, 2]
+
 
 SCORE_FIELDS = "label int, probability double, logit double, forecast array<struct<latitude:double,longitude:double>>"
 
 
+def _by_length(column: pa.Array, rows: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Windows of the given rows as tensors, those of equal length together; NULL values are NaN."""
+    values = column.values.to_numpy(zero_copy_only=False)
+    offsets = column.offsets.to_numpy()
+    sizes = np.diff(offsets)[rows]
+    for size in np.unique(sizes):
+        some = rows[sizes == size]
+        at = offsets[some][:, None] + np.arange(size)
+        yield some, values[at].reshape(len(some), size // width, width).astype(np.float32)
+
+
 def score_windows(
-    windows: DataFrame, load_models: Callable[[], tuple[Model, Model]], features: Sequence[str],
+    windows: DataFrame, load_models: Callable[[], tuple[WindowModel, WindowModel]], features: Sequence[str],
     position_features: Sequence[str] = ("latitude", "longitude"), window: str = "window", fallback: str = "used_fallback",
     threshold: float = 0.5,
 ) -> DataFrame:
     """Classify each window and forecast the positive ones.
 
     ``load_models`` gives the full and the position-only model and is called once per task. Windows
-    flagged as fallback go to the position-only model. Rows travel in Arrow batches; one row is one
-    window, so nothing is collected per vessel.
+    flagged as fallback go to the position-only model. Windows travel as flat Arrow lists that become tensors without an object per row;
+    all windows of a batch are classified first, and only the positive ones reach the forecaster. Columns other than the window pass through.
     """
     features, position_features = list(features), list(position_features)
-    # The model input as flat arrays next to the untouched columns.
-    flat = windows.withColumns(
-        {
-            "_full": F.flatten(F.transform(window, lambda r: F.array(*[r[c].cast("float") for c in features]))),
-            "_position": F.flatten(F.transform(window, lambda r: F.array(*[r[c].cast("float") for c in position_features]))),
-            "_n": F.size(window),
-        }
-    ).drop(window)
-    kept = [c for c in flat.columns if not c.startswith("_")]
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        full, simple = load_models()
+    def flat(columns: list[str]) -> Column:
+        return F.flatten(F.transform(window, lambda r: F.array(*[r[c].cast("float") for c in columns])))
+
+    chosen = F.when(F.col(fallback), flat(position_features)).otherwise(flat(features))
+    rows = windows.withColumn("_values", chosen).drop(window)
+    kept = [c for c in rows.columns if c != "_values"]
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models = [(m, w) for m, w in zip(load_models(), (len(features), len(position_features)), strict=True)]
         for batch in batches:
+            values, simple = batch.column("_values"), batch.column(fallback).fill_null(False).to_numpy(zero_copy_only=False)
+            parts = [(m, w, np.flatnonzero(simple == k)) for k, (m, w) in enumerate(models)]
             logits = np.zeros(len(batch))
-            forecasts: list[object] = [None] * len(batch)
-            for use_simple in (False, True):
-                pos = np.flatnonzero(batch[fallback].to_numpy(dtype=bool) == use_simple)
-                column, width, model = (
-                    ("_position", len(position_features), simple) if use_simple else ("_full", len(features), full)
-                )
-                for n in np.unique(batch["_n"].to_numpy()[pos]) if len(pos) else []:
-                    some = pos[batch["_n"].to_numpy()[pos] == n]
-                    x = np.stack(batch[column].iloc[some].to_list()).reshape(len(some), int(n), width)
-                    z, f = model(x.astype(np.float32))
-                    logits[some] = z
-                    for k, i in enumerate(some):
-                        forecasts[i] = f[k]
+            for m, width, some in parts:
+                for at, x in _by_length(values, some, width):
+                    logits[at] = m.classify(x)
             probability = 1.0 / (1.0 + np.exp(-logits))
             label = (probability >= threshold).astype(np.int32)
-            out = batch[kept].copy()
-            out["label"], out["probability"], out["logit"] = label, probability, logits
-            out["forecast"] = [
-                [{"latitude": float(a), "longitude": float(b)} for a, b in f] if hit else None
-                for f, hit in zip(forecasts, label, strict=True)
-            ]
-            yield out
-
-    fields = [f"{f.name} {f.dataType.simpleString()}" for f in flat.schema.fields if f.name in kept]
-    return flat.mapInPandas(score, ", ".join([*fields, SCORE_FIELDS]))
-
-
-def linear_window_model(features: Sequence[str], weights: dict[str, float], bias: float, steps: int = 20) -> Model:
-    """Stand-in model: logit from feature means, forecast by holding the last movement."""
+            steps, paths = np.zeros(len(batch), np.int64), []
+            for m, width, some in parts:
+                for at, x in _by_length(values, some[label[some] == 1], width):
+                    path = np.asarray(m.forecast(x), dtype=float)
+                    steps[at] = path.shape[1]
+                    paths.append((at, path))
+            ends = steps.cumsum()
+            points = np.zeros((int(ends[-1]) if len(ends) else 0, 2))
+            for at, path in paths:
+                points[(ends[at] - steps[at])[:, None] + np.arange(path.shape[1])] = path
+            positions = pa.StructArray.from_arrays([pa.array(points[:, 0]), pa.array(points[:, 1])], ["latitude", "longitude"])
+            offsets = pa.array(np.concatenate([[0], ends]), pa.int32(), mask=np.append(label == 0, False))
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c) for c in kept], pa.array(label), pa.array(probability), pa.array(logits), pa.ListArray.from_arrays(offsets, positions)],
+                [*kept, "label", "probability", "logit", "forecast"])
+
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in kept]
+    return rows.mapInArrow(score, ", ".join([*fields, SCORE_FIELDS]))
+
+
+def linear_window_model(
+    features: Sequence[str], weights: dict[str, float], bias: float, steps: int = 20,
+    scale: tuple[float, float] = (1.0, 1.0), shift: tuple[float, float] = (0.0, 0.0),
+) -> WindowModel:
+    """Stand-in model: logit from feature means, forecast by holding the last movement, in units of ``scale`` from ``shift``."""
     w = np.array([weights.get(c, 0.0) for c in features])
-    lat, lon = list(features).index("latitude"), list(features).index("longitude")
+    place = [list(features).index("latitude"), list(features).index("longitude")]
 
-    def model(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        x = x.astype(np.float64)
-        logits = np.nan_to_num(x.mean(axis=1)) @ w + bias
-        last = x[:, -1, [lat, lon]]
-        move = last - x[:, -2, [lat, lon]] if x.shape[1] > 1 else np.zeros_like(last)
-        ahead = last[:, None, :] + move[:, None, :] * np.arange(1, steps + 1)[None, :, None]
-        return logits, ahead
+    def classify(x: np.ndarray) -> np.ndarray:
+        return np.nan_to_num(x.astype(np.float64).mean(axis=1)) @ w + bias
 
-    return model
+    def forecast(x: np.ndarray) -> np.ndarray:
+        x = x.astype(np.float64)
+        last = x[:, -1, place]
+        move = last - x[:, -2, place] if x.shape[1] > 1 else np.zeros_like(last)
+        return (last[:, None, :] + move[:, None, :] * np.arange(1, steps + 1)[None, :, None]) * scale + shift
 
+    return WindowModel(classify, forecast)

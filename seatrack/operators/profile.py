@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 from itertools import combinations_with_replacement
+from operator import add
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +18,7 @@ from seatrack.operators.clean import numeric_columns, skewness_of
 from seatrack.operators.ordered import Track, previous_time
 from seatrack.operators.quantiles import wide_quantiles
 from seatrack.operators.selection import single_row
+from seatrack.sources.staging import stage
 
 
 def _long(row: DataFrame, columns: Sequence[str], parts: Sequence[str], name: str = "feature") -> DataFrame:
@@ -187,42 +191,144 @@ def null_patterns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def mcar_test(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def pattern_sums(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Sufficient statistics of each NULL pattern: ``pattern, n``, sums ``s`` and products ``ss`` of the standardised columns.
+
+    Columns are shifted by their mean and divided by their deviation first, so that sums of squares keep their precision; ``shift``
+    and ``scale`` say how. NULL adds nothing. All sums combine in the map tasks; rows without any value are left out.
+    """
+    row = df.agg(*[e for i, c in enumerate(columns) for e in (F.coalesce(F.avg(c), F.lit(0.0)).alias(f"m{i}"), F.coalesce(F.nullif(F.stddev_pop(c), F.lit(0.0)), F.lit(1.0)).alias(f"d{i}"))])
+    d = df.withColumn("_s", single_row(row))
+    bits = [F.when(F.col(c).isNull(), F.lit(1 << i)).otherwise(F.lit(0)) for i, c in enumerate(columns)]
+    z = [((F.col(c).cast("double") - F.col(f"_s.m{i}")) / F.col(f"_s.d{i}")).alias(f"z{i}") for i, c in enumerate(columns)]
+    d = d.select(reduce(add, bits).cast("bigint").alias("pattern"), "_s", *z).where(F.col("pattern") != (1 << len(columns)) - 1)
+    names = [f"z{i}" for i in range(len(columns))]
+    total = lambda e: F.coalesce(F.sum(e), F.lit(0.0))
+    return d.groupBy("pattern").agg(
+        F.count(F.lit(1)).alias("n"), F.array(*[total(c) for c in names]).alias("s"),
+        F.array(*[total(F.col(a) * F.col(b)) for a in names for b in names]).alias("ss"),
+        F.array(*[F.first(f"_s.m{i}") for i in range(len(columns))]).alias("shift"), F.array(*[F.first(f"_s.d{i}") for i in range(len(columns))]).alias("scale"))
+
+
+def _seen(pattern: int, p: int) -> np.ndarray:
+    return np.array([not (pattern >> i) & 1 for i in range(p)])
+
+
+def _expected(mean: np.ndarray, cov: np.ndarray):
+    """E step of one batch of patterns: sums and products with the missing values filled in by regression on the seen ones."""
+    p = len(mean)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            n, t1, t2 = 0, np.zeros(p), np.zeros((p, p))
+            for pattern, count, s, ss in zip(batch["pattern"], batch["n"], batch["s"], batch["ss"], strict=True):
+                o = _seen(int(pattern), p)
+                s, ss = np.asarray(s), np.asarray(ss).reshape(p, p)
+                # Filled row = a + B x over the seen x; B is the identity there.
+                b = np.zeros((p, int(o.sum())))
+                b[o] = np.eye(int(o.sum()))
+                b[~o] = cov[np.ix_(~o, o)] @ np.linalg.pinv(cov[np.ix_(o, o)])
+                a = mean - b @ mean[o]
+                rest = np.zeros((p, p))
+                rest[np.ix_(~o, ~o)] = cov[np.ix_(~o, ~o)] - b[~o] @ cov[np.ix_(o, ~o)]
+                first = b @ s[o]
+                n += count
+                t1 += count * a + first
+                t2 += count * (np.outer(a, a) + rest) + np.outer(a, first) + np.outer(first, a) + b @ ss[np.ix_(o, o)] @ b.T
+            yield pd.DataFrame({"n": [n], "t1": [t1.tolist()], "t2": [t2.ravel().tolist()]})
+
+    return run
+
+
+def _moments(table: DataFrame, p: int, rounds: int, tolerance: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """Maximum-likelihood mean and covariance of the standardised columns by EM; one row comes back from each round."""
+    mean, cov = np.zeros(p), np.eye(p)
+    for _ in range(rounds):
+        parts = table.mapInPandas(_expected(mean, cov), "n long, t1 array<double>, t2 array<double>")
+        row = parts.agg(F.sum("n").alias("n"), F.array(*[F.sum(F.get("t1", i)) for i in range(p)]).alias("t1"),
+                        F.array(*[F.sum(F.get("t2", i)) for i in range(p * p)]).alias("t2")).first()
+        new = np.array(row["t1"]) / row["n"]
+        new_cov = np.array(row["t2"]).reshape(p, p) / row["n"] - np.outer(new, new)
+        moved = max(np.abs(new - mean).max(), np.abs(new_cov - cov).max())
+        mean, cov = new, new_cov
+        if moved < tolerance:
+            break
+    return mean, cov, row["n"]
+
+
+def mcar_test(df: DataFrame, columns: Sequence[str], moments: str = "em", rounds: int = 200, tolerance: float = 1e-8) -> DataFrame:
     """Little's test of "missing completely at random": statistic, degrees of freedom, p value.
 
-    Spark reduces the table to one row per NULL pattern and one row of pairwise moments; only these
-    (at most 2**columns rows) reach the driver, where the small matrix algebra is done.
+    ``moments``: ``em`` takes the maximum-likelihood mean and covariance that the test is defined on, ``available`` those of the
+    known values and pairs. The table is read once for each and reduced to one row of sums per NULL pattern, which stay in Spark;
+    every round of EM and the statistic are aggregates over these rows.
     """
     columns = list(columns)
+    p = len(columns)
+    table = stage(pattern_sums(df, columns), "null-patterns")
+    table = table.coalesce(1 + table.count() // 1000)
+    if table.isEmpty():
+        return df.sparkSession.createDataFrame([(0.0, 0, 1.0)], "statistic double, dof int, p_value double")
+    if moments == "em":
+        mean, cov, n = _moments(table, p, rounds, tolerance)
+        cov = cov * n / max(n - 1, 1)
+    else:
+        mean, cov = _available_moments(df, columns, table)
+
+    def distances(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            d2 = np.zeros(len(batch))
+            for k, (pattern, count, s) in enumerate(zip(batch["pattern"], batch["n"], batch["s"], strict=True)):
+                o = _seen(int(pattern), p)
+                away = np.asarray(s)[o] / count - mean[o]
+                d2[k] = count * float(away @ np.linalg.pinv(cov[np.ix_(o, o)]) @ away)
+            yield pd.DataFrame({"d2": d2, "seen": [int(_seen(int(x), p).sum()) for x in batch["pattern"]]})
+
+    out = table.select("pattern", "n", "s").mapInPandas(distances, "d2 double, seen int").agg(
+        F.sum("d2").alias("statistic"), F.greatest(F.sum("seen") - p, F.lit(0)).cast("int").alias("dof"))
+    return out.withColumn("p_value", chi2_tail(F.col("statistic"), F.col("dof")))
+
+
+def _available_moments(df: DataFrame, columns: Sequence[str], table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Means of the known values and covariances of the known pairs, standardised like the patterns."""
     pairs = list(combinations_with_replacement(range(len(columns)), 2))
-    moments = df.agg(
-        *[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)],
-        *[F.covar_samp(columns[i], columns[j]).alias(f"s{i}_{j}") for i, j in pairs],
-    ).first()
-    patterns = null_patterns(df, columns).collect()
-    mean = np.array([moments[f"m{i}"] for i in range(len(columns))], dtype=float)
+    row = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)], *[F.covar_samp(columns[i], columns[j]).alias(f"s{i}_{j}") for i, j in pairs]).first()
+    first = table.select("shift", "scale").first()
+    shift, scale = np.array(first["shift"]), np.array(first["scale"])
     cov = np.zeros((len(columns), len(columns)))
     for i, j in pairs:
-        cov[i, j] = cov[j, i] = moments[f"s{i}_{j}"] or 0.0
-    d2, dof = 0.0, -len(columns)
-    for row in sorted(patterns, key=lambda r: r["pattern"]):
-        seen = [i for i in range(len(columns)) if not (row["pattern"] >> i) & 1]
-        if not seen:
-            continue
-        dof += len(seen)
-        diff = np.array([row[f"{columns[i]}_mean"] for i in seen]) - mean[seen]
-        d2 += row["n"] * float(diff @ np.linalg.pinv(cov[np.ix_(seen, seen)]) @ diff)
-    return df.sparkSession.createDataFrame(
-        [(float(d2), int(max(dof, 0)), _chi2_tail(d2, dof))], "statistic double, dof int, p_value double"
-    )
+        cov[i, j] = cov[j, i] = (row[f"s{i}_{j}"] or 0.0) / (scale[i] * scale[j])
+    return (np.array([row[f"m{i}"] if row[f"m{i}"] is not None else shift[i] for i in range(len(columns))]) - shift) / scale, cov
 
 
-def _chi2_tail(x: float, k: int) -> float:
-    """Upper tail of the chi-square distribution by the Wilson-Hilferty normal approximation."""
-    if k <= 0:
-        return 1.0
-    z = ((x / k) ** (1 / 3) - (1 - 2 / (9 * k))) / math.sqrt(2 / (9 * k))
-    return 0.5 * math.erfc(z / math.sqrt(2))
+def chi2_tail(x: Column, dof: Column, terms: int = 400) -> Column:
+    """Upper tail of the chi-square distribution, by the incomplete gamma function at (dof / 2, x / 2).
+
+    Below a + 1 the power series of the lower function is summed, above it the continued fraction of the upper one is evaluated (modified Lentz).
+    Zero degrees of freedom give 1.
+    """
+    a, z = F.greatest(dof, F.lit(1)) / 2.0, x / 2.0
+    half = dof % 2 == 1
+    # log gamma(a): steps of one from 1/2 or 1.
+    start = F.when(half, F.lit(0.5)).otherwise(F.lit(1.0))
+    base = F.when(half, F.lit(0.5 * math.log(math.pi))).otherwise(F.lit(0.0))
+    log_gamma = base + F.aggregate(F.sequence(F.lit(0), F.greatest((a - start).cast("int"), F.lit(0))), F.lit(0.0), lambda s, k: s + F.when(k < a - start, F.log(start + k)).otherwise(0.0))
+    scale = F.exp(a * F.log(z) - z - log_gamma)
+    steps = F.sequence(F.lit(1), F.lit(terms) + (4 * F.sqrt(a)).cast("int"))
+    series = F.aggregate(steps, F.struct((1.0 / a).alias("t"), (1.0 / a).alias("s")), lambda s, k: F.struct((s["t"] * z / (a + k)).alias("t"), (s["s"] + s["t"] * z / (a + k)).alias("s")))["s"]
+    tiny = F.lit(1e-300)
+    b0 = z + 1.0 - a
+    b0 = F.when(F.abs(b0) < tiny, tiny).otherwise(b0)
+
+    def lentz(s: Column, k: Column) -> Column:
+        an, b = -k * (k - a), b0 + 2.0 * k
+        d = 1.0 / F.when(F.abs(an * s["d"] + b) < tiny, tiny).otherwise(an * s["d"] + b)
+        c = F.when(F.abs(b + an / s["c"]) < tiny, tiny).otherwise(b + an / s["c"])
+        return F.struct(c.alias("c"), d.alias("d"), (s["h"] * d * c).alias("h"))
+
+    fraction = F.aggregate(steps, F.struct((1.0 / tiny).alias("c"), (1.0 / b0).alias("d"), (1.0 / b0).alias("h")), lentz)["h"]
+    tail = F.when(z < a + 1.0, 1.0 - scale * series).otherwise(scale * fraction)
+    return F.when((dof <= 0) | (x <= 0), F.lit(1.0)).otherwise(F.least(F.greatest(tail, F.lit(0.0)), F.lit(1.0)))
 
 
 def track_bounds(df: DataFrame, key: Sequence[str] = ("mmsi",), order: str = "epoch") -> DataFrame:

@@ -15,6 +15,7 @@ from seatrack import schema as S
 from seatrack.functions.geo import along, boxes_meet, local_metres, point_segment_sq, segments_within
 
 CELL = 0.1  # degrees
+SLACK = 1e-9  # of a cell
 SEGMENT = ("lon1", "lat1", "lon2", "lat2")
 
 
@@ -134,11 +135,28 @@ def first_forecast_in_zone(df: DataFrame, segments: DataFrame, metres: float = S
     return d.withColumn(name, F.get("_steps", 0)).drop("_steps")
 
 
+def cells_passed(steps: DataFrame, cell: float = CELL) -> DataFrame:
+    """Cells (``_cx, _cy``) that the line from (``_ax, _ay``) to (``_bx, _by``) passes, by columns of cells.
+
+    In each column the line covers one range of rows, so their number grows with the length of the line and not with
+    the box around it. Ranges reach a billionth of a cell further, so that rounding loses no cell.
+    """
+    low, high = F.least("_ax", "_bx"), F.greatest("_ax", "_bx")
+    d = steps.withColumn("_cx", F.explode(F.sequence(F.floor(low / cell - SLACK), F.floor(high / cell + SLACK))))
+    run = F.col("_bx") - F.col("_ax")
+    # A line within one column covers the rows of both its ends.
+    at = lambda x: F.when(high - low < cell * SLACK, F.lit(None).cast("double")).otherwise(F.col("_ay") + (F.col("_by") - F.col("_ay")) * F.try_divide(x - F.col("_ax"), run))
+    left = at(F.greatest(low, F.col("_cx") * cell))
+    right = at(F.least(high, (F.col("_cx") + 1) * cell))
+    first, last = F.coalesce(F.least(left, right), F.least("_ay", "_by")), F.coalesce(F.greatest(left, right), F.greatest("_ay", "_by"))
+    return d.withColumn("_cy", F.explode(F.sequence(F.floor(first / cell - SLACK), F.floor(last / cell + SLACK))))
+
+
 def path_crosses_zone(df: DataFrame, segments: DataFrame, metres: float = S.CRITICAL_ZONE_M, path: str = "forecast",
                       name: str = "crosses_zone") -> DataFrame:
     """Whether the line through the forecast positions touches the zone.
 
-    Each step of a distinct path meets the segments of all cells its bounding box covers; a lone position
+    Each step of a distinct path meets the segments of the cells that its line passes; a lone position
     is a step of length zero.
     """
     r = zone_radius(metres)
@@ -147,8 +165,7 @@ def path_crosses_zone(df: DataFrame, segments: DataFrame, metres: float = S.CRIT
     steps = steps.withColumn("_b", ahead).where("_b IS NOT NULL").select(
         "_path", F.col("_a.longitude").alias("_ax"), F.col("_a.latitude").alias("_ay"),
         F.col("_b.longitude").alias("_bx"), F.col("_b.latitude").alias("_by"))
-    for cell, a, b in (("_cx", "_ax", "_bx"), ("_cy", "_ay", "_by")):
-        steps = steps.withColumn(cell, F.explode(F.sequence(F.floor(F.least(a, b) / CELL), F.floor(F.greatest(a, b) / CELL))))
+    steps = cells_passed(steps)
     step, ends = tuple(F.col(c) for c in ("_ax", "_ay", "_bx", "_by")), tuple(F.col(c) for c in SEGMENT)
     near = steps.join(cable_cells(segments, r, r), ["_cx", "_cy"])
     hits = near.where(boxes_meet(step, ends, r) & segments_within(step, ends, r)).select("_path").distinct().withColumn("_touches", F.lit(True))

@@ -38,7 +38,7 @@ def prepare(
     d = clean.drop_hollow_vessels(d, S.CONTINUOUS, track.key, track)
     d = stage(clean.filter_monthly_iqr(d, exact=exact), "inliers")
     for c in ("width", "length"):
-        d = clean.filter_quantile_range(d, c, exact=exact, keep_null=keep_null_static)
+        d = stage(clean.filter_quantile_range(d, c, exact=exact, keep_null=keep_null_static), "in-range")
     d = resample.align(d.drop("ts"), track, step_s)
     track = track.without_tie()
     d = stage(resample.grid_neighbours(d, track, [*S.CONTINUOUS, *S.STATIC]), "neighbours")
@@ -107,7 +107,7 @@ def vessels_for_scoring(
 
 def cable_risk(
     messages: DataFrame, track: Track, segments: DataFrame, stats: DataFrame,
-    load_models: Callable[[], tuple[models.Model, models.Model]], step_s: int = 10, size: int = 30, step: int = 10,
+    load_models: Callable[[], tuple[models.WindowModel, models.WindowModel]], step_s: int = 10, size: int = 30, step: int = 10,
     near_m: float = S.ENTRY_ZONE_M, critical_m: float = S.CRITICAL_ZONE_M, entry_m: float = S.ENTRY_ZONE_M,
 ) -> DataFrame:
     """Score the sliding windows of all vessels whose last position is near a cable.
@@ -135,7 +135,7 @@ def cable_risk(
 
 def latest_risk(
     messages: DataFrame, track: Track, segments: DataFrame, stats: DataFrame,
-    load_models: Callable[[], tuple[models.Model, models.Model]], step_s: int = 10, size: int = 30,
+    load_models: Callable[[], tuple[models.WindowModel, models.WindowModel]], step_s: int = 10, size: int = 30,
     near_m: float = S.ENTRY_ZONE_M, critical_m: float = S.CRITICAL_ZONE_M, entry_m: float = S.ENTRY_ZONE_M,
 ) -> DataFrame:
     """One row per vessel: its newest full window, scored if it ends near a cable.
@@ -164,7 +164,7 @@ def latest_risk(
 
 def risk_of_windows(
     windows: DataFrame, track: Track, segments: DataFrame, stats: DataFrame,
-    load_models: Callable[[], tuple[models.Model, models.Model]],
+    load_models: Callable[[], tuple[models.WindowModel, models.WindowModel]],
     critical_m: float = S.CRITICAL_ZONE_M, entry_m: float = S.ENTRY_ZONE_M, keep_negative: bool = False,
 ) -> DataFrame:
     """Completeness check, normalisation, model and risk level of windows near a cable.

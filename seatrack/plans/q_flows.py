@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from seatrack import schema as S
 from seatrack.fixtures import messages, sql_with
-from seatrack.operators import profile
+from seatrack.operators import profile, series
 from seatrack.operators.ordered import Track
 from seatrack.plans import flows
 from seatrack.plans.q_degrade import FEATURES, TRACK, trajectories
-from seatrack.plans.q_models import TRAIN_STATS, load_linear_models, train_stats
+from seatrack.plans.q_models import TRAIN_STATS, linear_scores_sql, load_linear_models, train_stats
 from seatrack.plans.q_clean import split_sql
-from seatrack.plans.q_risk import segments
+from seatrack.plans.q_risk import NEAR_SQL, SEG_SQL, cross_sql, segments, steps_sql
 from seatrack.plans.q_series import grid_sql, neighbours_sql
 from seatrack.plans.q_sources import new_path
 from seatrack.plans.registry import query, rounded
@@ -53,12 +53,11 @@ _PREPARE_SQL = [
 
 
 @query("e2_prepare", sql_with("""SELECT * FROM (SELECT mmsi, epoch, latitude, longitude, CASE WHEN rot < -90 THEN -90 WHEN rot > 90 THEN 90 ELSE rot END AS rot,
- CASE WHEN sog < 0 THEN 0 WHEN sog > 40 THEN 40 ELSE sog END AS sog, cog, heading, draught, width, length, trawling, lead(latitude, 1) OVER w AS future_lat_1, lead(longitude, 4) OVER w AS future_lon_4
+ CASE WHEN sog < 0 THEN 0 WHEN sog > 40 THEN 40 ELSE sog END AS sog, cog, heading, draught, width, length, trawling, """ + ", ".join(f"lead({c}, {i}) OVER w AS future_{n}_{i}" for i in range(1, 5) for c, n in (("latitude", "lat"), ("longitude", "lon"))) + """
  FROM whole WINDOW w AS (PARTITION BY mmsi ORDER BY epoch)) WHERE future_lon_4 IS NOT NULL""", *_PREPARE_SQL))
 def _(spark, sf):
     d = flows.prepare(messages(spark, sf), T, _STEP, _GAP, horizon=4, exact=True)
-    ahead = [F.get("future", 0)["latitude"].alias("future_lat_1"), F.get("future", 3)["longitude"].alias("future_lon_4")]
-    return d.select("mmsi", "epoch", *S.CONTINUOUS, *S.STATIC, *ahead)
+    return series.wide_future(d.select("mmsi", "epoch", *S.CONTINUOUS, *S.STATIC, "future"), 4)
 
 
 _EARLY = ["event_id", "epoch", "k", "gear_type", "latitude", "longitude", "rot", "sog", "cog", "heading", "draught", "trawling"]
@@ -113,26 +112,59 @@ def _(spark, sf):
     return d.select("mmsi", "epoch", "trawling", *S.MODEL_FEATURES)
 
 
-def _risk_columns(d):
-    return d.select(
-        "mmsi", "window_no", "window_start", "window_end", "fishing_confidence", "risk_level", "used_fallback",
-        F.size("forecast").alias("steps"), F.size("input").alias("positions"),
-    )
+_POSITIONS = [
+    "one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY mmsi, epoch ORDER BY event_id) AS rk FROM msg WHERE mobile_type = 'Class A') WHERE rk = 1)",
+    grid_sql(3600, _ALL, "one"), neighbours_sql(_ALL, "epoch", "grid", order="epoch", extra="mmsi, epoch"),
+    "track AS (SELECT mmsi, epoch, row_number() OVER (PARTITION BY mmsi ORDER BY epoch) - 1 AS slot_no, count(*) OVER (PARTITION BY mmsi) AS n_slots, " +
+    ", ".join(_CLAMPED.get(c, c) + f" AS {c}" for c in _ALL) + " FROM (SELECT mmsi, epoch, " + ", ".join(f"{_row_line(c)} AS {c}" for c in S.CONTINUOUS) + ", " +
+    ", ".join(f"coalesce({c}_p, {c}_n) AS {c}" for c in S.STATIC) + " FROM nb))",
+]
+
+
+def _near_sql(metres):
+    """Windows whose last position (``ends``) is near a cable."""
+    d = NEAR_SQL.replace("event_id", "mmsi, window_no").replace("FROM msg, seg", "FROM ends, seg").replace("near AS", "distances AS")
+    return [d, f"close AS (SELECT mmsi, window_no FROM distances WHERE m <= {metres})"]
+
 
+_RISK = [
+    *linear_scores_sql("member", 30, "mmsi, window_no", "min(epoch) AS window_start, max(epoch) AS window_end, " + " OR ".join(f"count({c}) < 30" for c in S.MODEL_FEATURES) + " AS used_fallback",
+                       {c: f"({c} - CAST({m} AS DOUBLE)) / CAST({d} AS DOUBLE)" for c, (m, d) in _Z.items()}),
+    "fc AS (SELECT mmsi || '/' || window_no AS event_id, step - 1 AS i, latitude AS lat, longitude AS lon FROM ahead)",
+    cross_sql(), steps_sql(3738), steps_sql(1602).replace("hit AS", "alarm AS"),
+    """rated AS (SELECT s.*, s.mmsi || '/' || s.window_no AS event_id, CASE WHEN label = 0 THEN 0 WHEN crosses_zone THEN 3 WHEN inside THEN 2 ELSE 1 END AS risk_level
+ FROM scored s LEFT JOIN crossing c ON c.event_id = s.mmsi || '/' || s.window_no LEFT JOIN (SELECT * FROM hit WHERE i = 0) h ON h.event_id = s.mmsi || '/' || s.window_no),
+alerts AS (SELECT event_id, bool_or(inside) AS zone_alert FROM alarm GROUP BY event_id)""",
+]
+
+
+def _forecast_rows(d, *names):
+    """One row per forecast position, or one without where there is no forecast."""
+    d = d.select(*names, F.size("input").alias("positions"), F.posexplode_outer("forecast").alias("step", "_p"))
+    return d.select(*names, "positions", (F.col("step") + 1).alias("step"), F.round("_p.latitude", 6).alias("latitude"), F.round("_p.longitude", 6).alias("longitude"))
 
-@query("e7_cable_risk")
+
+@query("e7_cable_risk", sql_with("""SELECT r.mmsi, r.window_no, window_start, window_end, round(probability, 4) AS fishing_confidence, CAST(risk_level AS INT) AS risk_level, zone_alert, used_fallback,
+ CAST(30 AS INT) AS positions, step, round(latitude, 6) AS latitude, round(longitude, 6) AS longitude FROM rated r JOIN ahead a ON a.mmsi = r.mmsi AND a.window_no = r.window_no JOIN alerts t ON t.event_id = r.event_id WHERE label = 1""",
+    SEG_SQL, *_POSITIONS, "ends AS (SELECT mmsi, (slot_no - 29) // 10 AS window_no, latitude, longitude FROM track WHERE slot_no >= 29 AND (slot_no - 29) % 10 = 0)", *_near_sql("3738"),
+    "member AS (SELECT k.*, c.window_no, slot_no - 10 * c.window_no + 1 AS pos FROM track k JOIN close c ON c.mmsi = k.mmsi AND k.slot_no BETWEEN 10 * c.window_no AND 10 * c.window_no + 29)", *_RISK))
 def _(spark, sf):
     d = flows.cable_risk(messages(spark, sf), T, segments(spark), train_stats(spark), load_linear_models, 3600, 30, 10)
-    return _risk_columns(d)
+    return _forecast_rows(d, "mmsi", "window_no", "window_start", "window_end", "fishing_confidence", "risk_level", "zone_alert", "used_fallback")
 
 
-@query("e7b_latest_risk")
+@query("e7b_latest_risk", sql_with("""SELECT v.mmsi, v.status, v.window_start, v.window_end, label, round(logit, 6) AS logit, round(probability, 6) AS probability, CASE WHEN label = 1 THEN zone_alert END AS zone_alert,
+ CAST(risk_level AS INT) AS risk_level, used_fallback, CASE WHEN v.status = 'scored' THEN CAST(30 AS INT) ELSE CAST(NULL AS INT) END AS positions, step, round(latitude, 6) AS latitude, round(longitude, 6) AS longitude
+ FROM vessels v LEFT JOIN rated r ON r.mmsi = v.mmsi LEFT JOIN ahead a ON a.mmsi = r.mmsi LEFT JOIN alerts t ON t.event_id = r.event_id""",
+    SEG_SQL, *_POSITIONS, "ends AS (SELECT mmsi, 0 AS window_no, latitude, longitude FROM track WHERE slot_no = n_slots - 1)", *_near_sql("20000"),
+    """vessels AS (SELECT k.mmsi, CASE WHEN count(*) < 30 THEN 'too few rows' WHEN bool_or(c.mmsi IS NOT NULL) THEN 'scored' ELSE 'not near a cable' END AS status, min(epoch) AS window_start, max(epoch) AS window_end
+ FROM track k LEFT JOIN close c ON c.mmsi = k.mmsi WHERE slot_no >= n_slots - 30 GROUP BY k.mmsi)""",
+    "member AS (SELECT k.*, 0 AS window_no, slot_no - n_slots + 31 AS pos FROM track k JOIN vessels v ON v.mmsi = k.mmsi AND v.status = 'scored' WHERE slot_no >= n_slots - 30)", *_RISK))
 def _(spark, sf):
     d = flows.latest_risk(messages(spark, sf), T, segments(spark), train_stats(spark), load_linear_models, 3600, 30, near_m=20_000.0)
-    return d.select(
-        "mmsi", "status", "window_start", "window_end", "label", "logit", "probability", "zone_alert", "risk_level",
-        "used_fallback", F.size("forecast").alias("steps"), F.size("input").alias("positions"),
-    )
+    d = d.withColumns({"logit": F.round("logit", 6), "probability": F.round("probability", 6), "input": F.col("input")})
+    out = _forecast_rows(d, "mmsi", "status", "window_start", "window_end", "label", "logit", "probability", "zone_alert", "risk_level", "used_fallback")
+    return out.withColumn("positions", F.nullif("positions", F.lit(-1)))
 
 
 @query("e8_degradation_study")

@@ -27,22 +27,41 @@ def train_stats(spark):
     return spark.sql(f"SELECT * FROM VALUES {values} AS t(feature, mean, std)")
 
 
+_LINEAR = {"sog": -0.8, "cog": 0.3, "draught": 0.5}, 0.2
+_SIMPLE = {"latitude": 0.7, "longitude": -0.2}, 0.1
+FORECAST_STEPS = 20
+
+
 def load_linear_models():
     """Linear stand-ins for the full and the position-only model, forecasting in degrees."""
     mean = {f: m for f, m, _ in TRAIN_STATS}
     std = {f: s for f, _, s in TRAIN_STATS}
+    degrees = {"scale": (std["latitude"], std["longitude"]), "shift": (mean["latitude"], mean["longitude"]), "steps": FORECAST_STEPS}
+    return (models.linear_window_model(S.MODEL_FEATURES, *_LINEAR, **degrees),
+            models.linear_window_model(S.POSITION_FEATURES, *_SIMPLE, **degrees))
+
 
-    def in_degrees(model):
-        def run(x):
-            z, f = model(x)
-            f = f * [std["latitude"], std["longitude"]] + [mean["latitude"], mean["longitude"]]
-            return z, f
+def linear_scores_sql(rows: str, size: int, key: str, keep: str, values: dict[str, str]) -> list[str]:
+    """The stand-ins in SQL over ``rows`` (key columns, ``pos`` from 1 to ``size`` in a window, features): views up to ``scored`` and ``ahead``.
 
-        return run
+    ``values`` gives the normalised features; windows with a NULL in one of them go to the position-only model.
+    """
+    mean, std = {f: m for f, m, _ in TRAIN_STATS}, {f: s for f, _, s in TRAIN_STATS}
+    z = {c: f"CAST(CAST({e} AS FLOAT) AS DOUBLE)" for c, e in values.items()}
 
-    full = models.linear_window_model(S.MODEL_FEATURES, {"sog": -0.8, "cog": 0.3, "draught": 0.5}, 0.2)
-    simple = models.linear_window_model(S.POSITION_FEATURES, {"latitude": 0.7, "longitude": -0.2}, 0.1)
-    return in_degrees(full), in_degrees(simple)
+    def logit(model):
+        weights, bias = model
+        parts = [f"CAST({w} AS DOUBLE) * (CASE WHEN count({z[c]}) = count(*) THEN avg({z[c]}) ELSE 0 END)" for c, w in weights.items()]
+        return " + ".join([*parts, f"CAST({bias} AS DOUBLE)"])
+
+    at = lambda c, p: f"max(CASE WHEN pos = {p} THEN {z[c]} END)"
+    ends = ", ".join(f"{at(c, size)} AS {c}_last, {at(c, size - 1)} AS {c}_before" for c in S.POSITION_FEATURES)
+    path = ", ".join(f"({c}_last + ({c}_last - {c}_before) * step) * CAST({std[c]} AS DOUBLE) + CAST({mean[c]} AS DOUBLE) AS {c}" for c in S.POSITION_FEATURES)
+    return [
+        f"judged AS (SELECT {key}, {keep}, {logit(_LINEAR)} AS full_logit, {logit(_SIMPLE)} AS simple_logit, {ends} FROM {rows} GROUP BY {key})",
+        f"scored AS (SELECT *, 1 / (1 + exp(-logit)) AS probability, CAST(1 / (1 + exp(-logit)) >= 0.5 AS INT) AS label FROM (SELECT *, CASE WHEN used_fallback THEN simple_logit ELSE full_logit END AS logit FROM judged))",
+        f"ahead AS (SELECT {key}, CAST(step AS INT) AS step, {path} FROM scored, range(1, {FORECAST_STEPS + 1}) AS steps(step) WHERE label = 1)",
+    ]
 
 
 def _labelled(spark, sf):
@@ -107,12 +126,21 @@ def _(spark, sf):
     return rounded(d.select("event_id", "sog", "cog"), 6)
 
 
-@query("m6_score_windows")
+_M6 = linear_scores_sql("member", 5, "mmsi, window_no", "count(sog) < 5 OR count(draught) < 5 AS used_fallback", {c: c for c in S.MODEL_FEATURES})
+
+
+@query("m6_score_windows", sql_with("""SELECT s.mmsi, s.window_no, label, round(probability, 6) AS probability, step, round(latitude, 6) AS latitude, round(longitude, 6) AS longitude
+ FROM scored s LEFT JOIN ahead a ON a.mmsi = s.mmsi AND a.window_no = s.window_no""",
+    "num AS (SELECT *, row_number() OVER (PARTITION BY mmsi ORDER BY epoch, event_id) - 1 AS rn FROM msg)",
+    "member AS (SELECT n.*, w.window_no, rn - 2 * w.window_no + 1 AS pos FROM num n JOIN (SELECT mmsi, CAST((rn - 4) / 2 AS BIGINT) AS window_no FROM num WHERE rn >= 4 AND rn % 2 = 0) w ON n.mmsi = w.mmsi AND n.rn BETWEEN 2 * w.window_no AND 2 * w.window_no + 4)",
+    *_M6))
 def _(spark, sf):
     w = series.sliding_windows(messages(spark, sf), T, S.MODEL_FEATURES, 5, 2)
     w = w.withColumn("used_fallback", F.exists("window", lambda r: r["sog"].isNull() | r["draught"].isNull()))
     scored = models.score_windows(w, load_linear_models, S.MODEL_FEATURES)
-    return scored.select("mmsi", "window_no", "label", F.round("probability", 6).alias("probability"), F.size("forecast").alias("steps"))
+    ahead = F.posexplode_outer("forecast").alias("step", "_p")
+    d = scored.select("mmsi", "window_no", "label", "probability", ahead)
+    return rounded(d.select("mmsi", "window_no", "label", "probability", (F.col("step") + 1).alias("step"), "_p.latitude", "_p.longitude"), 6)
 
 
 _FLIP = "CASE WHEN event_id % 9 = 0 THEN 1 - trawling ELSE trawling END"

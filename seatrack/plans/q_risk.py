@@ -140,22 +140,22 @@ def forecasts(spark, sf):
     return d.select("event_id", "k", moved.alias("forecast"))
 
 
-def _steps_sql(metres):
+def steps_sql(metres):
     return f"""hit AS (SELECT event_id, i, min({sq_sql('lon', 'lat', 'tt')}) < {degrees(metres)} * {degrees(metres)} AS inside
  FROM (SELECT fc.*, seg.*, {along_sql('lon', 'lat')} AS tt FROM fc, seg) GROUP BY event_id, i)"""
 
 
-@query("g2_any_forecast_in_zone", sql_with("SELECT event_id, bool_or(inside) AS any_in_zone FROM hit GROUP BY event_id", SEG_SQL, FORECAST_SQL, _steps_sql(1602)))
+@query("g2_any_forecast_in_zone", sql_with("SELECT event_id, bool_or(inside) AS any_in_zone FROM hit GROUP BY event_id", SEG_SQL, FORECAST_SQL, steps_sql(1602)))
 def _(spark, sf):
     return risk.any_forecast_in_zone(forecasts(spark, sf), segments(spark)).select("event_id", "any_in_zone")
 
 
-@query("g3_first_forecast_in_zone", sql_with("SELECT event_id, CAST(min(i) FILTER (inside) AS INT) AS first_in_zone FROM hit GROUP BY event_id", SEG_SQL, FORECAST_SQL, _steps_sql(1602)))
+@query("g3_first_forecast_in_zone", sql_with("SELECT event_id, CAST(min(i) FILTER (inside) AS INT) AS first_in_zone FROM hit GROUP BY event_id", SEG_SQL, FORECAST_SQL, steps_sql(1602)))
 def _(spark, sf):
     return risk.first_forecast_in_zone(forecasts(spark, sf), segments(spark)).select("event_id", "first_in_zone")
 
 
-@query("g4_forecast_zone_steps", sql_with("SELECT event_id, CAST(i AS INT) AS step FROM hit WHERE inside", SEG_SQL, FORECAST_SQL, _steps_sql(3738)))
+@query("g4_forecast_zone_steps", sql_with("SELECT event_id, CAST(i AS INT) AS step FROM hit WHERE inside", SEG_SQL, FORECAST_SQL, steps_sql(3738)))
 def _(spark, sf):
     d = risk.forecast_zone_steps(forecasts(spark, sf), segments(spark), 3738)
     return d.select("event_id", F.explode("zone_steps").alias("step"))
@@ -166,7 +166,7 @@ def _(spark, sf):
     return risk.near_cable(messages(spark, sf), segments(spark), 3738).select("event_id", "near_cable")
 
 
-def _cross_sql():
+def cross_sql():
     """Path steps against segments: proper crossing or one of four point-segment distances."""
     def d2(px, py, ax, ay, bx, by):
         t = f"least(greatest(coalesce((({px} - {ax}) * ({bx} - {ax}) + ({py} - {ay}) * ({by} - {ay})) / nullif(({bx} - {ax}) * ({bx} - {ax}) + ({by} - {ay}) * ({by} - {ay}), 0), 0), 0), 1)"
@@ -183,13 +183,13 @@ def _cross_sql():
 crossing AS (SELECT event_id, bool_or({cross} OR {near}) AS crosses_zone FROM step, seg WHERE qx IS NOT NULL GROUP BY event_id)"""
 
 
-@query("g6_path_crosses_zone", sql_with("SELECT event_id, crosses_zone FROM crossing", SEG_SQL, FORECAST_SQL, _cross_sql()))
+@query("g6_path_crosses_zone", sql_with("SELECT event_id, crosses_zone FROM crossing", SEG_SQL, FORECAST_SQL, cross_sql()))
 def _(spark, sf):
     return risk.path_crosses_zone(forecasts(spark, sf), segments(spark)).select("event_id", "crosses_zone")
 
 
 @query("g7_risk_level", sql_with("""SELECT f.event_id, CASE WHEN k < 40 THEN 0 WHEN crosses_zone THEN 3 WHEN inside THEN 2 ELSE 1 END AS risk_level
- FROM fc f JOIN crossing c ON f.event_id = c.event_id JOIN hit h ON h.event_id = f.event_id AND h.i = 0 WHERE f.i = 0""", SEG_SQL, FORECAST_SQL, _cross_sql(), _steps_sql(3738)))
+ FROM fc f JOIN crossing c ON f.event_id = c.event_id JOIN hit h ON h.event_id = f.event_id AND h.i = 0 WHERE f.i = 0""", SEG_SQL, FORECAST_SQL, cross_sql(), steps_sql(3738)))
 def _(spark, sf):
     d = forecasts(spark, sf).withColumn("label", F.when(F.col("k") >= 40, 1).otherwise(0))
     return risk.risk_levels(d, segments(spark)).select("event_id", "risk_level")

@@ -4,10 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
+from weakref import WeakKeyDictionary
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
 
 def staging_root(spark: SparkSession) -> str:
     """Shared folder named by ``spark.checkpoint.dir``; a temporary one only in local mode."""
@@ -32,5 +39,30 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{staging_root(spark)}/seatrack/{label}-{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with _tidy(spark):
+        df.write.mode("errorifexists").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+@contextmanager
+def _tidy(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the writes inside go when the writes end, as nobody reads them after that."""
+    before = spark.conf.get(CLEANUP, None)
+    if before is not None:  # known to this Spark
+        spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is not None:
+            spark.conf.set(CLEANUP, before)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete staged tables whose readers have all been written; other frames are left alone."""
+    for df in tables:
+        path = _PATHS.pop(df, None)
+        if path:
+            fs, inner = pafs.FileSystem.from_uri(path)
+            fs.delete_dir(inner)

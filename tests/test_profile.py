@@ -134,3 +134,73 @@ def test_quantiles_of_values_that_share_their_leading_bits(spark, limit):
     got = {(r.g, r.p): r.quantile for r in exact_quantiles(d, ["x"], [0.1, 0.5, 0.9], ["g"], limit).collect()}
     want = {(g, p): float(np.quantile([x for k, x in data if k == g], p)) for g in (None, 1, 2) for p in (0.1, 0.5, 0.9)}
     assert got == pytest.approx(want, rel=1e-15, abs=0)
+
+
+def test_long_falling_history(spark):
+    """Every epoch is a record: pointers are searched block by block and doubled."""
+    from pyspark.sql import functions as F
+
+    n = 20_000
+    h = spark.range(n).select(F.lit("r").alias("run"), F.col("id").alias("epoch"), (1.0 - F.col("id") / n).alias("v"))
+    for delta, patience, best, stop in ((0.0, 3, n - 1, None), (0.01, 5, 0, 1 + 5), (0.01, 250, None, None)):
+        r = metrics.early_stopping(h, ["run"], "epoch", "v", patience, delta, chunk=500).first()
+        if best is None:  # an improvement about every 201 epochs
+            at = i = 0
+            for i in range(n):
+                if 1.0 - i / n < 1.0 - at / n - delta:
+                    at = i
+            best = at
+        assert (r.best_epoch, r.stop_after) == (best, stop)
+
+
+def test_stopping_without_values(spark):
+    rows = [("a", i, None) for i in range(6)] + [("b", 0, None), ("b", 1, 3.0), ("b", 2, None), ("b", 3, 4.0)]
+    h = spark.createDataFrame(rows, "run string, epoch int, v double")
+    got = {r.run: (r.best_epoch, r.best_value, r.stop_after) for r in metrics.early_stopping(h, ["run"], "epoch", "v", 2).collect()}
+    assert got == {"a": (None, None, None), "b": (1, 3.0, 4)}
+
+
+def test_mcar_moments_are_maximum_likelihood(spark):
+    """Against EM over the rows in NumPy, with correlated columns of very different sizes."""
+    rng = np.random.default_rng(5)
+    n, p = 600, 4
+    x = rng.normal(size=(n, p)) @ rng.normal(size=(p, p)) * [1, 100, 0.01, 5] + [1e6, 3, 0, -40]
+    x[rng.random((n, p)) < 0.2] = np.nan
+    x[0] = np.nan
+    mean, cov = np.nanmean(x, 0), np.diag(np.nanvar(x, 0))
+    known = x[~np.isnan(x).all(1)]
+    for _ in range(3000):
+        filled, rest = np.empty_like(known), np.zeros((p, p))
+        for k, row in enumerate(known):
+            o = ~np.isnan(row)
+            b = cov[np.ix_(~o, o)] @ np.linalg.inv(cov[np.ix_(o, o)])
+            filled[k] = row
+            filled[k, ~o] = mean[~o] + b @ (row[o] - mean[o])
+            rest[np.ix_(~o, ~o)] += cov[np.ix_(~o, ~o)] - b @ cov[np.ix_(o, ~o)]
+        new = filled.mean(0)
+        cov, mean, old = (filled - new).T @ (filled - new) / len(known) + rest / len(known), new, mean
+        if np.abs((new - old) / np.sqrt(np.diag(cov))).max() < 1e-12:
+            break
+    cov = cov * len(known) / (len(known) - 1)
+    d2, dof = 0.0, -p
+    for pattern in {tuple(np.isnan(r)) for r in known}:
+        some, o = known[(np.isnan(known) == pattern).all(1)], ~np.array(pattern)
+        away = some[:, o].mean(0) - mean[o]
+        d2, dof = d2 + len(some) * away @ np.linalg.inv(cov[np.ix_(o, o)]) @ away, dof + o.sum()
+    d = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in r) for r in x], "a double, b double, c double, d double")
+    r = profile.mcar_test(d, ["a", "b", "c", "d"]).first()
+    assert r.statistic == pytest.approx(d2, rel=1e-6) and r.dof == dof
+    other = profile.mcar_test(d, ["a", "b", "c", "d"], moments="available").first()
+    assert other.dof == dof and other.statistic != pytest.approx(d2, rel=1e-6)
+
+
+def test_chi_square_tail(spark):
+    """Against known quantiles of the distribution and its closed form for two degrees of freedom."""
+    from pyspark.sql import functions as F
+
+    points = [(3.841458820694124, 1, 0.05), (5.991464547107979, 2, 0.05), (18.307038053275146, 10, 0.05), (124.34211340400407, 100, 0.05),
+              (0.0039321400000195, 1, 0.95), (6.634896601021213, 1, 0.01), (23.209251158954356, 10, 0.01), (0.0, 3, 1.0), (5.0, 0, 1.0)]
+    points += [(x, 2, math.exp(-x / 2)) for x in (0.1, 1.0, 3.0, 10.0, 60.0)]
+    d = spark.createDataFrame(points, "x double, k int, p double")
+    for r in d.select("*", profile.chi2_tail(F.col("x"), F.col("k")).alias("got")).collect():
+        assert r.got == pytest.approx(r.p, rel=1e-6)

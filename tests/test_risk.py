@@ -140,3 +140,18 @@ def test_many_segments_agree_with_brute_force(spark):
         least = min((closest(*p) for p in dense), default=9.0)
         assert x.crosses_zone or least > r
         assert not x.crosses_zone or least <= r + 0.002
+
+
+def test_cells_of_long_steps(spark):
+    """The cells of a line against points along it; their number grows with its length, not with its box."""
+    rng = random.Random(3)
+    steps = [(rng.uniform(-3, 3), rng.uniform(-3, 3), rng.uniform(-3, 3), rng.uniform(-3, 3)) for _ in range(40)]
+    steps += [(1.0, 1.0, 1.0, 1.0), (0.25, -2.0, 0.25, 2.0), (-2.0, 0.35, 2.0, 0.35), (0.0, 0.0, 60.0, 80.0), (0.3, 0.1, 0.3 + 1e-12, 2.0)]
+    d = spark.createDataFrame([(i, *s) for i, s in enumerate(steps)], "i int, _ax double, _ay double, _bx double, _by double")
+    got = {}
+    for r in risk.cells_passed(d).select("i", "_cx", "_cy").collect():
+        got.setdefault(r.i, set()).add((r["_cx"], r["_cy"]))
+    for i, (ax, ay, bx, by) in enumerate(steps):
+        seen = {(math.floor((ax + (bx - ax) * k / 9973) / risk.CELL), math.floor((ay + (by - ay) * k / 9973) / risk.CELL)) for k in range(9974)}
+        assert seen <= got[i]
+        assert len(got[i]) <= 3 * (abs(bx - ax) + abs(by - ay)) / risk.CELL + 9
