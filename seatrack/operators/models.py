@@ -6,7 +6,6 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
@@ -16,13 +15,13 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.feature import Imputer, VectorAssembler
-from pyspark.ml.regression import RandomForestRegressor
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seatrack.operators.metrics import classification_scores
 from seatrack.operators.selection import single_row
-from seatrack.sources.staging import stage
+from seatrack.sources.staging import release, stage
 
 
 def standard_scale(train: DataFrame, others: Sequence[DataFrame], columns: Sequence[str]) -> list[DataFrame]:
@@ -67,9 +66,9 @@ def compare_classifiers(
     train: DataFrame, val: DataFrame, features: Sequence[str], label: str, impute: str = "zero",
     models: dict[str, object] | None = None, name: str = "clean",
 ) -> DataFrame:
-    """Scores on the validation set of each model fitted on the training set."""
+    """Scores on the validation set of each model fitted on the training set; rows without a label take no part."""
     features = list(features)
-    train, val = _as_double(train, [*features, label]), _as_double(val, [*features, label])
+    train, val = (_as_double(d.where(F.col(label).isNotNull()), [*features, label]) for d in (train, val))
     if impute == "zero":
         train, val = train.na.fill(0.0, features), val.na.fill(0.0, features)
         head = []
@@ -103,40 +102,21 @@ def feature_importance(model, features: Sequence[str], spark) -> DataFrame:
 # --- multi-output linear forecaster -------------------------------------------------------------
 
 
-def moment_matrix(df: DataFrame, features: Sequence[str], targets: Sequence[str]) -> DataFrame:
-    """Sums of products of (1, features) with (1, features, targets) as rows ``(i, j, v)``.
-
-    Every task adds up its batches and emits one small matrix, so the shuffle does not grow with rows.
-    """
-    columns = [*features, *targets]
-    p = len(features) + 1
-
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = None
-        for batch in batches:
-            a = np.column_stack([np.ones(len(batch)), batch.to_numpy(dtype=float)])
-            part = a[:, :p].T @ a
-            total = part if total is None else total + part
-        if total is not None:
-            i, j = np.indices(total.shape)
-            yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "v": total.ravel()})
-
-    d = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).na.drop()
-    return d.mapInPandas(sums, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
-
-
 def linear_coefficients(df: DataFrame, features: Sequence[str], targets: Sequence[str]) -> list[tuple[str, str, float]]:
-    """Least squares for all targets at once from one pass: rows (target, term, coefficient).
+    """Least squares for each target: rows (target, term, coefficient); rows with a NULL go.
 
-    Only the (features + 1) x (features + targets + 1) moments reach the driver.
+    Spark's weighted least squares reads the written vectors once per target; collinear features go to its iterative solver.
     """
-    p, q = len(features) + 1, len(targets)
-    m = np.zeros((p, p + q))
-    for r in moment_matrix(df, features, targets).collect():
-        m[r["i"], r["j"]] = r["v"]
-    beta = np.linalg.lstsq(m[:, :p], m[:, p:], rcond=None)[0]
-    terms = ["(intercept)", *features]
-    return [(t, terms[i], float(beta[i, k])) for k, t in enumerate(targets) for i in range(p)]
+    features = list(features)
+    rows = _as_double(df.select(*features, *targets), [*features, *targets]).na.drop()
+    vectors = VectorAssembler(inputCols=features, outputCol="_features").transform(rows).select("_features", *targets)
+    vectors = stage(vectors, "regression-vectors")
+    out: list[tuple[str, str, float]] = []
+    for t in targets:
+        fitted = LinearRegression(featuresCol="_features", labelCol=t, solver="normal", regParam=0.0, maxIter=500, tol=1e-12).fit(vectors)
+        out += [(t, "(intercept)", float(fitted.intercept)), *((t, c, float(v)) for c, v in zip(features, fitted.coefficients.toArray(), strict=True))]
+    release(vectors)
+    return out
 
 
 def linear_predict(df: DataFrame, coefficients: Sequence[tuple[str, str, float]], suffix: str = "_pred") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from seatrack import schema as S
 from seatrack.operators.clean import clamp, dedup_on_key
-from seatrack.operators.ordered import DAY, Track, join_key_values, join_per_key, key_values, known_neighbours, next_time
+from seatrack.operators.ordered import DAY, Track, join_key_values, join_per_key, key_values, known_neighbours, next_time, time_blocks
 
 
 def bucket(order: str, seconds: int) -> Column:
@@ -158,8 +158,16 @@ def expand_grid(
     t = F.col(track.order)
     last = F.coalesce(F.col("_next") - step_s, F.col(until) if until else t)
     d = _emit_slots(d, track, last, step_s)
-    at, own = F.col("_slot"), F.col("_slot") == t
-    values = {}
+    at = F.col("_slot")
+    values = _slot_values(track, at, lines, fills, hold, back, max_gap_s)
+    return d.select(*track.key, at.alias(track.order), *[v.alias(c) for c, v in values.items()])
+
+
+def _slot_values(
+    track: Track, at: Column, lines: Sequence[str], fills: Sequence[str], hold: Sequence[str], back: Sequence[str], max_gap_s: int | None
+) -> dict[str, Column]:
+    """Values of a slot at or after a message, from the message and its known neighbours."""
+    own, values = at == F.col(track.order), {}
     for c in dict.fromkeys([*lines, *fills]):
         pv, pp, nv, np_ = (F.col(f"{c}__{e}") for e in ("pv", "pp", "nv", "np"))
         options = [F.when(own, F.col(c))]
@@ -171,7 +179,30 @@ def expand_grid(
         if c in back:
             options.append(nv)
         values[c] = F.coalesce(*options)
-    return d.select(*track.key, at.alias(track.order), *[v.alias(c) for c, v in values.items()])
+    return values
+
+
+def expand_with_future(
+    d: DataFrame, track: Track, step_s: int, lines: Sequence[str], fills: Sequence[str] = (), hold: Sequence[str] = (), back: Sequence[str] = (),
+    max_gap_s: int = 300, horizon: int = 120, columns: Sequence[str] = ("latitude", "longitude"), name: str = "future",
+) -> DataFrame:
+    """:func:`expand_grid` with the next ``horizon`` positions of each slot, for messages at most ``max_gap_s`` apart.
+
+    A message and the slots up to the next one form a segment, whose positions follow from the message alone. Each message is given the
+    first ``horizon`` positions of the segments after it; a slot takes the rest of its own segment and then these. So the one
+    window runs over messages, and nothing is shuffled once slots are produced.
+    """
+    t, reach = F.col(track.order), max_gap_s + horizon * step_s
+    slots = F.sequence(t, F.greatest(F.coalesce(F.col("_next") - step_s, t), t), F.lit(step_s).cast("bigint"))
+    values = lambda at: _slot_values(track, at, lines, fills, hold, back, max_gap_s)
+    d = d.withColumn("_segment", F.transform(slots, lambda at: F.struct(*[values(at)[c].alias(c) for c in columns])))
+    d, w = time_blocks(d, track, 0, reach)
+    after = F.slice(F.flatten(F.collect_list("_segment").over(w.rangeBetween(1, reach))), 1, horizon)
+    d = d.withColumn("_after", after).where("_core")
+    d = d.withColumn("_slots", slots).select("*", F.posexplode("_slots").alias("_place", "_slot"))
+    future = F.slice(F.concat(F.slice("_segment", F.col("_place") + 2, F.size("_segment")), F.col("_after")), 1, horizon)
+    at = F.col("_slot")
+    return d.select(*track.key, at.alias(track.order), *[v.alias(c) for c, v in values(at).items()], future.alias(name))
 
 
 def drop_gappy_keys(

@@ -44,9 +44,8 @@ def prepare(
     d = stage(resample.grid_neighbours(d, track, [*S.CONTINUOUS, *S.STATIC]), "neighbours")
     hold = ["width", "length", "trawling", "rot", "heading", "draught"]
     d = resample.drop_gappy_keys(d, track, step_s, S.CONTINUOUS, hold, max_gap_s)
-    d = resample.expand_grid(d, track, step_s, S.CONTINUOUS, S.STATIC, hold, max_gap_s=max_gap_s)
-    d = series.future_positions(clean.clamp(d), track, horizon, grid_step_s=step_s)
-    return clean.require_full_future(d, horizon)
+    d = resample.expand_with_future(d, track, step_s, S.CONTINUOUS, S.STATIC, hold, max_gap_s=max_gap_s, horizon=horizon)
+    return clean.require_full_future(clean.clamp(d), horizon)
 
 
 def prepare_early(

@@ -97,3 +97,24 @@ def test_key_values(spark):
     got = ordered.join_key_values(m, ordered.key_values(m, T, a=("min", F.col("epoch")), b=("max", F.col("sog") > 5), n=("sum", F.lit(1))), T)
     want = m.join(m.groupBy("mmsi").agg(F.min("epoch").alias("a"), F.max(F.col("sog") > 5).alias("b"), F.count("*").alias("n")), "mmsi")
     assert sorted(map(str, got.select("event_id", "a", "b", "n").collect())) == sorted(map(str, want.select("event_id", "a", "b", "n").collect()))
+
+
+def test_nothing_is_shuffled_after_the_grid_is_produced(plain):
+    out = flows.prepare(messages(plain, SF), T, 21_600, 864_000, 4, exact=True)
+    names = [n.nodeName() for n in nodes(out._jdf.queryExecution().executedPlan())]
+    grid = names.index("Generate")
+    assert not {"Exchange", "Window", "Sort"} & set(names[:grid]) and "Window" in names[grid:]
+
+
+def test_future_of_the_grid_equals_a_window_over_it(spark):
+    """Positions carried by messages against leads over the expanded grid, with holes of several slots."""
+    from seatrack.operators import series
+
+    rows = [(1, 60 * i, 0.5 * i, -1.0 * i) for i in range(90) if i % 7 not in (2, 3, 4)] + [(2, 60 * i, None if i % 2 else 1.0 * i, 2.0) for i in range(21)] + [(3, 0, 1.0, 1.0)]
+    d = spark.createDataFrame(rows, "mmsi long, epoch long, latitude double, longitude double").repartition(5)
+    for track in (Track(), Track(chunk_s=600)):
+        near = resample.grid_neighbours(d, track, ["latitude", "longitude"])
+        got = resample.expand_with_future(near, track, 60, ["latitude", "longitude"], max_gap_s=300, horizon=6)
+        grid = resample.expand_grid(near, track, 60, ["latitude", "longitude"], max_gap_s=300)
+        want = series.future_positions(grid, track, 6, grid_step_s=60)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect()))
