@@ -138,6 +138,50 @@ def apply_corruption(
     return d.drop("copy_no")
 
 
+def corruption_marks(
+    df: DataFrame, levels: Sequence[float], row_key: Sequence[str], shares: Mapping[str, float],
+    duplicate_percent: float = 30, key: str = "trajectory_id", label: str = "label", seed: int = 42,
+) -> DataFrame:
+    """The rows once, with what every variant of :func:`all_corrupted_versions` makes of them.
+
+    ``blank_{c}``: the cells with missing values; ``weight``, ``weight_irregular``, ``weight_dupes``, ``weight_dupes_irregular``: how often
+    a row is there without and with irregular sampling and duplicates; ``label_{i}``: the label under the i-th level of noise. So a
+    model is fitted on a variant by choosing cells, label and weight, and no variant is written.
+    """
+    present, row_key = [c for c in shares if c in df.columns], list(row_key)
+    ids = df.where(F.col(label) == 1).select(key).distinct().withColumn("_h", row_hash(seed, key))
+    noise = single_row(hash_cuts(ids, [], "_h", {f"l{i}": share(p) for i, p in enumerate(levels)}))
+    d = missing_flags(df, row_key, {c: shares[c] for c in present}, seed)
+    d = d.withColumns({f"blank_{c}": F.when(~F.col(f"_hit_{c}"), F.col(c)) for c in present}).drop(*[f"_hit_{c}" for c in present])
+    d = d.withColumns({"_noise": noise, "_id": row_hash(seed, key)})
+    d = d.withColumns({f"label_{i}": F.when(F.coalesce(F.col("_id") <= F.col(f"_noise.l{i}"), F.lit(False)), 0).otherwise(F.col(label)) for i in range(len(levels))})
+    copies = add_duplicates(df.select(*row_key, key), row_key, duplicate_percent, seed)
+    for rows, keys, name in ((df.select(*row_key, key), row_key, ""), (copies, [*row_key, "copy_no"], "_dupes")):
+        kept = drop_irregularly(rows, keys, key, seed=seed).groupBy(*row_key).agg(F.count(F.lit(1)).alias(f"weight{name}_irregular"))
+        d = d.join(kept, row_key, "left").na.fill(0, [f"weight{name}_irregular"])
+    times = copies.groupBy(*row_key).agg(F.count(F.lit(1)).alias("weight_dupes"))
+    return d.join(times, row_key, "left").withColumn("weight", F.lit(1).cast("bigint")).drop("_noise", "_id")
+
+
+def variant_columns(steps: Sequence[str], level: float | None, levels: Sequence[float], label: str = "label") -> tuple[str, str]:
+    """Weight and label column of :func:`corruption_marks` for a variant."""
+    weight = "_".join(["weight", *[s for s in ("dupes", "irregular") if s in steps]])
+    return weight, label if level is None else f"label_{list(levels).index(level)}"
+
+
+def variant_counts(marks: DataFrame, levels: Sequence[float], label: str = "label") -> DataFrame:
+    """Rows and rows with label 1 of every variant, from one pass over the marks; ``clean`` is the data as it was."""
+    variants = [("clean", (), None), *corruption_variants(levels)]
+    sums, entries = {}, []
+    for name, steps, level in variants:
+        w, y = variant_columns(steps, level, levels, label)
+        sums[f"_n_{w}"] = F.sum(w)
+        sums[f"_p_{w}_{y}"] = F.coalesce(F.sum(F.when(F.col(y) == 1, F.col(w))), F.lit(0))
+        entries.append(F.struct(F.lit(name).alias("corruption"), F.col(f"_n_{w}").alias("rows"), F.col(f"_p_{w}_{y}").alias("positive_rows")))
+    row = marks.agg(*[e.alias(n) for n, e in sums.items()])
+    return row.select(F.explode(F.array(*entries)).alias("_e")).select("_e.*")
+
+
 def all_corrupted_versions(
     df: DataFrame, levels: Sequence[float], row_key: Sequence[str], shares: Mapping[str, float],
     duplicate_percent: float = 30, key: str = "trajectory_id", label: str = "label", seed: int = 42,

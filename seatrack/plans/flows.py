@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -217,6 +218,45 @@ def study_inputs(
     return series.future_value(d, t, horizon=horizon)
 
 
+def robustness_study(
+    train: DataFrame, val: DataFrame, row_key: Sequence[str], features: Sequence[str], shares: Mapping[str, float], levels: Sequence[float],
+    fitted: Mapping[str, object] | None = None, key: str = "trajectory_id", label: str = "label", seed: int = 42,
+) -> DataFrame:
+    """Scores of each classifier fitted on each corrupted version of the training rows, on one common validation set.
+
+    One row per (corruption, model) with the size of the training set. Rows without a label go first; missing values become 0. The versions are
+    weights, labels and cells of one table (:func:`seatrack.operators.degrade.corruption_marks`), and all models score the validation set in one pass.
+    """
+    fitted, features = dict(fitted or models.classifiers(label, seed)), list(features)
+    train, val = (d.where(F.col(label).isNotNull()) for d in (train, val))
+    marks = degrade.corruption_marks(train, levels, row_key, shares, key=key, label=label, seed=seed)
+    blank = [f"blank_{c}" if c in shares else c for c in features]
+    weights = ["weight", "weight_dupes", "weight_irregular", "weight_dupes_irregular"]
+    labels = [label, *[f"label_{i}" for i in range(len(levels))]]
+    doubles = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in dict.fromkeys([*features, *blank])}
+    d = marks.withColumns(doubles)
+    for name, columns in (("_whole", features), ("_blank", blank)):
+        d = VectorAssembler(inputCols=columns, outputCol=name).transform(d)
+    table = stage(d.select("_whole", "_blank", *weights, *[F.col(c).cast("double").alias(c) for c in labels]), "corruption-marks")
+    scored = VectorAssembler(inputCols=features, outputCol="features").transform(
+        val.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features})).select("features", F.col(label).alias("_truth"))
+    names = []
+    for corruption, steps, level in [("clean", (), None), *degrade.corruption_variants(levels)]:
+        w, y = degrade.variant_columns(steps, level, levels, label)
+        rows = table.where(F.col(w) > 0).select(
+            F.col("_blank" if "missing" in steps else "_whole").alias("features"), F.col(w).cast("double").alias("_weight"), F.col(y).alias(label))
+        for model_name, model in fitted.items():
+            column = f"_p{len(names)}"
+            one = model.copy().setWeightCol("_weight").setPredictionCol(column).setRawPredictionCol(f"{column}_raw").setProbabilityCol(f"{column}_prob").fit(rows)
+            scored = one.transform(scored).drop(f"{column}_raw", f"{column}_prob")
+            names.append((corruption, model_name))
+    guesses = F.array(*[F.struct(F.lit(c).alias("corruption"), F.lit(m).alias("model"), F.col(f"_p{i}").alias("prediction")) for i, (c, m) in enumerate(names)])
+    long = scored.select("_truth", F.explode(guesses).alias("_g")).select("_truth", "_g.*")
+    scores = metrics.classification_scores(long, "_truth", "prediction", ["corruption", "model"])
+    return scores.join(degrade.variant_counts(table, levels, label), "corruption").select(
+        "corruption", "model", "rows", "positive_rows", "accuracy", "precision", "recall", "f1_score")
+
+
 def degradation_study(
     trajectories: DataFrame, track: Track, row_key: Sequence[str], features: Sequence[str],
     shares: Mapping[str, float], lags: Sequence[int] = (1, 5), horizon: int = 5, seed: int = 42, **degradation,

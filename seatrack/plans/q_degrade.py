@@ -77,13 +77,41 @@ def _(spark, sf):
     return degrade.drop_irregularly(trajectories(spark, sf), ["event_id"]).select("event_id", "trajectory_id")
 
 
-@query("d7_all_corrupted_versions")
+LEVELS = [10, 20, 30, 40]
+
+
+def variants_sql(part, clean=False):
+    """``part(name, rows, lost, missing)`` of every corrupted version, in one query over ``VARIANT_VIEWS``."""
+    parts = []
+    for name, steps, level in [*([("clean", (), None)] if clean else []), *degrade.corruption_variants(LEVELS)]:
+        rows = ("copies" if "dupes" in steps else "plain") + ("_left" if "irregular" in steps else "")
+        lost = "FALSE" if level is None else f"trajectory_id IN (SELECT trajectory_id FROM noisy WHERE rk <= floor(n * CAST({level / 100} AS DOUBLE)))"
+        parts.append(part(name, rows, lost, "missing" in steps))
+    return " UNION ALL ".join(parts)
+
+
+def _left_sql(name, key):
+    return f"""{name}_left AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trajectory_id ORDER BY md5({key})) AS rk, count(*) OVER (PARTITION BY trajectory_id) AS n,
+ CAST(1 AS DOUBLE) + CAST(9 AS DOUBLE) * ((CAST('0x' || substr(md5('42:share|' || CAST(trajectory_id AS VARCHAR)), 1, 15) AS BIGINT) % 1000000) / CAST(1000000 AS DOUBLE)) AS pct FROM {name})
+ WHERE rk > floor(n * (pct / CAST(100 AS DOUBLE))))"""
+
+
+VARIANT_VIEWS = [
+    TRAJ_SQL, DUPES_SQL, "plain AS (SELECT event_id, trajectory_id, label FROM traj)",
+    "copies AS (SELECT event_id, trajectory_id, label, 0 AS copy_no FROM idx UNION ALL SELECT x.event_id, x.trajectory_id, x.label, row_number() OVER (PARTITION BY x.event_id) AS copy_no FROM idx x JOIN draws d ON x.i = d.i)",
+    _left_sql("plain", "'42|' || CAST(event_id AS VARCHAR)"), _left_sql("copies", "'42|' || CAST(event_id AS VARCHAR) || '|' || CAST(copy_no AS VARCHAR)"),
+    "noisy AS (SELECT trajectory_id, row_number() OVER (ORDER BY md5('42|' || CAST(trajectory_id AS VARCHAR))) AS rk, count(*) OVER () AS n FROM (SELECT DISTINCT trajectory_id FROM traj WHERE label = 1))",
+]
+_CELLS = ", ".join(f'c."{c}" AS "{c}"' for c in S.MISSING_SHARES)
+
+
+@query("d7_all_corrupted_versions", sql_with(
+    variants_sql(lambda name, rows, lost, missing: f"SELECT '{name}' AS variant, r.event_id, CASE WHEN {lost} THEN 0 ELSE r.label END AS label, {_CELLS} FROM (SELECT event_id, trajectory_id, label FROM {rows}) r JOIN {'holes' if missing else 'whole'} c ON c.event_id = r.event_id"),
+    *VARIANT_VIEWS, "whole AS (SELECT event_id, " + ", ".join(f'"{c}"' for c in S.MISSING_SHARES) + " FROM traj)",
+    "holes AS (SELECT event_id, " + ", ".join(_missing_sql(c, p) for c, p in S.MISSING_SHARES.items()) + " FROM traj)"))
 def _(spark, sf):
-    d = degrade.all_corrupted_versions(trajectories(spark, sf), [10, 20, 30, 40], ["event_id"], S.MISSING_SHARES)
-    return d.groupBy("variant").agg(
-        F.count(F.lit(1)).alias("rows"), F.sum("label").alias("positive_rows"),
-        F.count_if(F.col("distanceToShore").isNull()).alias("missing_cells"),
-    )
+    d = degrade.all_corrupted_versions(trajectories(spark, sf), LEVELS, ["event_id"], S.MISSING_SHARES)
+    return d.select("variant", "event_id", "label", *S.MISSING_SHARES)
 
 
 @query("d8_degrade_zero_impute", sql_with("SELECT event_id, " + ", ".join(f'coalesce("{c}", 0.0) AS "{c}"' for c in S.MISSING_SHARES) + " FROM (SELECT event_id, " + ", ".join(

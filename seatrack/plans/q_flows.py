@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from seatrack import schema as S
 from seatrack.fixtures import messages, sql_with
-from seatrack.operators import profile, series
+from seatrack.operators import degrade, models, profile, series, split
 from seatrack.operators.ordered import Track
 from seatrack.plans import flows
-from seatrack.plans.q_degrade import FEATURES, TRACK, trajectories
+from seatrack.plans.q_degrade import FEATURES, LEVELS, TRACK, VARIANT_VIEWS, trajectories, variants_sql
 from seatrack.plans.q_models import TRAIN_STATS, linear_scores_sql, load_linear_models, train_stats
 from seatrack.plans.q_clean import split_sql
 from seatrack.plans.q_risk import NEAR_SQL, SEG_SQL, cross_sql, segments, steps_sql
@@ -167,6 +167,20 @@ def _(spark, sf):
     return out.withColumn("positions", F.nullif("positions", F.lit(-1)))
 
 
+@query("e9_corruption_counts", sql_with(variants_sql(lambda name, rows, lost, _: f"SELECT '{name}' AS corruption, count(*) AS rows, count(*) FILTER (label = 1 AND NOT {lost}) AS positive_rows FROM {rows}",
+                                                     clean=True), *VARIANT_VIEWS))
+def _(spark, sf):
+    marks = degrade.corruption_marks(trajectories(spark, sf), LEVELS, ["event_id"], S.MISSING_SHARES)
+    return degrade.variant_counts(marks, LEVELS)
+
+
+@query("e9b_robustness_study")
+def _(spark, sf):
+    d = split.split_rows(trajectories(spark, sf), "trajectory_id", "label", 0.7, 0.1)
+    tree = {"decision_tree": models.classifiers("label")["decision_tree"]}
+    return rounded(flows.robustness_study(d.where("split = 'train'"), d.where("split = 'test'"), ["event_id"], FEATURES, S.MISSING_SHARES, [20], tree), 6)
+
+
 @query("e8_degradation_study")
 def _(spark, sf):
     d = flows.degradation_study(

@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 
 import pytest
+from conftest import SF
 from pyspark.sql import functions as F
 
 from seatrack.operators import degrade, split
@@ -73,3 +74,36 @@ def test_all_versions_equal_the_chains(rows):
 
 def test_variant_count():
     assert len(degrade.corruption_variants([10, 20, 30, 40])) == 39
+
+
+def test_marks_stand_for_every_variant(spark):
+    """Weights, labels and cells of the marked table against the written versions."""
+    from seatrack import schema as S
+    from seatrack.plans.q_degrade import trajectories
+
+    levels, d = [10, 40], trajectories(spark, SF)
+    marks = degrade.corruption_marks(d, levels, ["event_id"], S.MISSING_SHARES)
+    want = {r["variant"]: (r["n"], r["p"]) for r in degrade.all_corrupted_versions(d, levels, ["event_id"], S.MISSING_SHARES).groupBy("variant").agg(
+        F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("p")).collect()}
+    got = {r["corruption"]: (r["rows"], r["positive_rows"]) for r in degrade.variant_counts(marks, levels).collect()}
+    assert got.pop("clean") == (d.count(), d.where("label = 1").count()) and got == want
+    written = degrade.add_missing_values(d, ["event_id"], S.MISSING_SHARES)
+    for c in S.MISSING_SHARES:
+        assert marks.where(F.col(f"blank_{c}").isNull()).count() == written.where(F.col(c).isNull()).count()
+
+
+def test_robustness_study_scores_every_version(spark):
+    from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
+
+    from seatrack import schema as S
+    from seatrack.plans import flows
+    from seatrack.plans.q_degrade import FEATURES, trajectories
+
+    d = trajectories(spark, SF).withColumn("label", F.when(F.col("event_id") % 10 != 0, F.col("label")))
+    fitted = {"tree": DecisionTreeClassifier(featuresCol="features", labelCol="label", maxDepth=3), "line": LogisticRegression(featuresCol="features", labelCol="label", maxIter=5)}
+    rows = flows.robustness_study(d.where("event_id % 3 > 0"), d.where("event_id % 3 = 0"), ["event_id"], FEATURES, S.MISSING_SHARES, [30], fitted).collect()
+    names = {"clean", *[n for n, _, _ in degrade.corruption_variants([30])]}
+    assert {(r["corruption"], r["model"]) for r in rows} == {(n, m) for n in names for m in fitted} and len(rows) == 2 * len(names)
+    assert all(0 <= r["accuracy"] <= 1 and 0 <= r["f1_score"] <= 1 for r in rows)
+    assert {r["rows"] for r in rows if r["corruption"] == "clean"} == {d.where("event_id % 3 > 0 AND label IS NOT NULL").count()}
+    assert all(r["positive_rows"] <= r["rows"] for r in rows)
