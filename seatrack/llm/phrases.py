@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 KEEP = 64
 _BITS = 48
@@ -157,5 +158,5 @@ def phrase_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
 
 def _batch(rows: list[tuple], kind, schema: str) -> pa.RecordBatch:
     names = [c.split()[0] for c in schema.split(", ")]
-    types = [pa.from_numpy_dtype(np.int64) if kind.simpleString() == "bigint" else None, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    types = [to_arrow_type(kind), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)

@@ -269,3 +269,13 @@ def test_decontamination_of_nothing(spark):
     some = decontaminate.automata(spark.createDataFrame([("q", "a b")], "item_id string, text string"))
     assert decontaminate.contamination(table(spark, []), some).count() == 0
     assert marks(decontaminate.contamination(docs, some)) == hits([(1, "a b c"), (2, None)], [("q", "a b")])
+
+
+@pytest.mark.parametrize("kind", ["int", "long", "smallint"])
+def test_phrase_fingerprints_of_integer_keys(spark, kind):
+    from seatrack.llm import phrases
+
+    docs = spark.createDataFrame([(1, "abc abd abe"), (2, "xyz " * 30), (None, None), (3, "")], f"doc_id {kind}, text string")
+    rows = phrases.phrase_fingerprints(docs, buckets=2)
+    assert rows.schema["doc_id"].dataType == docs.schema["doc_id"].dataType
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_chars"]) for r in rows.collect()) == [(False, 1, 11), (False, 2, 120), (False, 3, 0), (True, 0, 0)]
