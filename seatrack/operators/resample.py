@@ -54,15 +54,17 @@ def align(df: DataFrame, track: Track, step_s: int, on_collision: str = "first")
 def _emit_slots(d: DataFrame, track: Track, last: Column, step_s: int) -> DataFrame:
     """Adds ``_slot``: the slot of each row and the empty ones up to ``last``.
 
-    A gap is cut into pieces of at most a day, dealt by key and piece, before the slots are produced: no
-    array is longer than a day, and a long gap is filled by many tasks.
+    A gap of more than a day is cut into pieces of at most a day, dealt by key and piece, before the slots are produced: no
+    array is longer than a day, and a long gap is filled by many tasks. All other rows stay where they are.
     """
     t, step = F.col(track.order), F.lit(step_s).cast("bigint")
     day = max(DAY - DAY % step_s, step_s)
-    pieces = d.withColumn("_end", F.greatest(last, t))
-    pieces = pieces.withColumn("_from", F.explode(F.sequence(t, F.col("_end"), F.lit(day).cast("bigint")))).repartition(*track.key, "_from")
+    d = d.withColumn("_end", F.greatest(last, t))
+    wide = F.col("_end") - t >= day
+    near = d.where(~wide).withColumn("_slot", F.explode(F.sequence(t, F.col("_end"), step))).drop("_end")
+    pieces = d.where(wide).withColumn("_from", F.explode(F.sequence(t, F.col("_end"), F.lit(day).cast("bigint")))).repartition(*track.key, "_from")
     to = F.least(F.col("_end"), F.col("_from") + day - step_s)
-    return pieces.withColumn("_slot", F.explode(F.sequence("_from", to, step))).drop("_from", "_end")
+    return near.unionByName(pieces.withColumn("_slot", F.explode(F.sequence("_from", to, step))).drop("_from", "_end"))
 
 
 def fill_grid(
