@@ -82,7 +82,7 @@ def missing_flags(df: DataFrame, row_key: Sequence[str], shares: Mapping[str, fl
     factor = F.element_at(
         F.create_map(*[x for c, p in shares.items() for x in (F.lit(c), F.lit(float(p) / 100.0))]), F.col("feature")
     )
-    cuts = hash_cuts(hashes, ["feature"], "_h", {"cut": F.floor(F.col("n") * factor)})
+    cuts = hash_cuts(hashes, ["feature"], "_h", {"cut": F.floor(F.col("n") * factor)}, few=True)
     row = cuts.agg(*[F.max(F.when(F.col("feature") == c, F.col("cut"))).alias(c) for c in shares])
     d = df.withColumn("_cut", single_row(row))
     hit = {f"_hit_{c}": F.coalesce(row_hash(f"{seed}:{c}", *row_key) <= F.col(f"_cut.{c}"), F.lit(False)) for c in shares}

@@ -5,7 +5,9 @@ import math
 import pytest
 from conftest import SF
 from pyspark.sql import functions as F
+from test_joins import nodes
 
+from seatrack.fixtures import messages
 from seatrack.operators import degrade, split
 from seatrack.operators.selection import hash_cuts, row_hash
 
@@ -107,3 +109,25 @@ def test_robustness_study_scores_every_version(spark):
     assert all(0 <= r["accuracy"] <= 1 and 0 <= r["f1_score"] <= 1 for r in rows)
     assert {r["rows"] for r in rows if r["corruption"] == "clean"} == {d.where("event_id % 3 > 0 AND label IS NOT NULL").count()}
     assert all(r["positive_rows"] <= r["rows"] for r in rows)
+
+
+def test_no_broadcast_holds_a_row_of_the_table(spark):
+    """Compressed files say little of the size of hashes: only tables of cuts and buckets may be broadcast."""
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        m = messages(spark, SF).select("event_id", "mmsi", "gear_type", "sog", "rot")
+        for d in (split.split_rows(m).where("split = 'train'"), degrade.missing_flags(m, ["event_id"], {"sog": 5.0, "rot": 20.0}), degrade.drop_irregularly(m, ["event_id"], "mmsi")):
+            for node in nodes(d._jdf.queryExecution().executedPlan()):
+                if node.nodeName() == "BroadcastExchange":
+                    names = {str(node.output().apply(i)).split("#")[0] for i in range(node.output().size())}
+                    assert not names & {"event_id", "_h"}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def test_split_rows_marks_every_row_that_has_a_key(spark):
+    m = messages(spark, SF).select("event_id", F.when(F.col("mmsi") % 7 != 0, F.col("mmsi")).alias("mmsi"), "gear_type")
+    pairs = split.assign_splits(m, "mmsi", "gear_type")
+    want = m.join(pairs.withColumnsRenamed({"mmsi": "k", "gear_type": "g"}), (F.col("mmsi") == F.col("k")) & F.col("gear_type").eqNullSafe(F.col("g"))).select("event_id", "split")
+    assert sorted(map(str, split.split_rows(m).select("event_id", "split").collect())) == sorted(map(str, want.collect()))
