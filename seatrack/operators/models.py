@@ -44,12 +44,27 @@ def _as_double(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("double") for c in columns})
 
 
+#: Rows of vectors that are worth a task of their own.
+TASK_ROWS = 5_000
+
+
+def vector_table(df: DataFrame, label: str) -> DataFrame:
+    """The written rows, dealt evenly over all cores.
+
+    Vectors of few distinct values compress so well that Spark reads millions of them in two tasks, and every pass of a fit would run in
+    these two. More tasks than cores are of no use: each sends sums for all open nodes of all trees.
+    """
+    table = stage(df, label)
+    tasks = min(df.sparkSession.sparkContext.defaultParallelism, -(-table.count() // TASK_ROWS))
+    return table.repartition(max(tasks, 1))
+
+
 def random_forest(train: DataFrame, features: Sequence[str], label: str, trees: int = 100, depth: int = 10, seed: int = 42):
     """Assembler and random forest fitted on rows complete in the features."""
     assembler = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
     forest = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=trees, maxDepth=depth, seed=seed)
     vectors = assembler.transform(_as_double(train, [*features, label])).select("features", label)
-    return PipelineModel([assembler, forest.fit(stage(vectors, "training-vectors"))])
+    return PipelineModel([assembler, forest.fit(vector_table(vectors, "training-vectors"))])
 
 
 def classifiers(label: str, seed: int = 42) -> dict[str, object]:
@@ -79,8 +94,8 @@ def compare_classifiers(
     head.append(VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep"))
     prepared = Pipeline(stages=head).fit(train)
     # Every model makes many passes over the training vectors.
-    fit_on = stage(prepared.transform(train).select("features", label), "training-vectors")
-    check_on = stage(prepared.transform(val).select("features", label), "validation-vectors")
+    fit_on = vector_table(prepared.transform(train).select("features", label), "training-vectors")
+    check_on = vector_table(prepared.transform(val).select("features", label), "validation-vectors")
     out = None
     for model_name, model in (models or classifiers(label)).items():
         scored = model.fit(fit_on).transform(check_on)
@@ -133,7 +148,7 @@ def forest_regressors(train: DataFrame, features: Sequence[str], targets: Sequen
     assembled = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip").transform(
         _as_double(train, [*features, *targets])
     ).select("features", *targets)
-    assembled = stage(assembled, "training-vectors")  # each target makes many passes over it
+    assembled = vector_table(assembled, "training-vectors")  # each target makes many passes over it
     return {
         t: RandomForestRegressor(featuresCol="features", labelCol=t, predictionCol=f"{t}_pred", numTrees=trees,
                                  maxDepth=10, seed=seed).fit(assembled)
