@@ -207,10 +207,13 @@ def known_neighbours(
     offset = F.lit(0)
     if track.chunk_s is not None:
         aggs = [F.count(F.lit(1)).alias("_n")]
+        # Rows of one time are told apart by the tie, as in the windows below.
+        rank = F.struct("_pos", *track.tie) if track.tie and position != "row" else F.col("_pos")
         for c in columns:
-            aggs += [F.max_by(c, here[c]).alias(f"{c}__pv"), F.max(here[c]).alias(f"{c}__pp")]
+            known = F.when(F.col(c).isNotNull(), rank)
+            aggs += [F.max_by(c, known).alias(f"{c}__pv"), F.max(here[c]).alias(f"{c}__pp")]
             if ahead:
-                aggs += [F.min_by(c, here[c]).alias(f"{c}__nv"), F.min(here[c]).alias(f"{c}__np")]
+                aggs += [F.min_by(c, known).alias(f"{c}__nv"), F.min(here[c]).alias(f"{c}__np")]
         if next_name:
             aggs.append(F.min(track.order).alias("_first"))
         per = d.groupBy(*parts).agg(*aggs)

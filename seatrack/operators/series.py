@@ -114,9 +114,9 @@ def future_value(df: DataFrame, track: Track, columns: Sequence[str] = ("latitud
 
 
 def on_line(c: str) -> Column:
-    """Value on the straight line between the known neighbours."""
+    """Value on the straight line between the known neighbours; where both are of the row's own time, that of the one before."""
     pv, nv, pp, np_ = (F.col(f"{c}__{e}") for e in ("pv", "nv", "pp", "np"))
-    return pv + (nv - pv) * ((F.col("_pos") - pp) / F.nullif(np_ - pp, F.lit(0)))
+    return pv + (nv - pv) * F.coalesce((F.col("_pos") - pp) / F.nullif(np_ - pp, F.lit(0)), F.lit(0.0))
 
 
 def interpolate(

@@ -165,3 +165,21 @@ def test_time_grid_is_complete(spark):
     b = spark.createDataFrame([("a", 86_000, 300_000), ("b", 5, 5)], "k string, min_epoch bigint, max_epoch bigint")
     got = sorted((r.k, r.t) for r in resample.time_grid(b, ["k"], 1000, "t").collect())
     assert got == [("a", t) for t in range(86_000, 300_001, 1000)] + [("b", 5)]
+
+
+def test_rows_of_one_time_are_told_apart_by_the_tie(spark):
+    """The last known value of a day, and the next of another, come from the last and first row of their time."""
+    rng = random.Random(5)
+    data = [(i, "a", 10 * (i // 6), rng.choice([None, float(i)])) for i in range(600)]
+    rng.shuffle(data)
+    d = spark.createDataFrame(data, "id bigint, k string, t bigint, v double").repartition(7).cache()
+    chunked, plain = Track(("k",), "t", ("id",), 10), Track(("k",), "t", ("id",), None)
+    same(known_neighbours(d, chunked, ["v"]), known_neighbours(d, plain, ["v"]))
+    same(series.interpolate_time(d, chunked, ["v"], None), series.interpolate_time(d, plain, ["v"], None))
+
+
+def test_a_row_between_known_rows_of_its_own_time_is_filled(spark):
+    d = spark.createDataFrame([(1, "a", 5, 2.0), (2, "a", 5, None), (3, "a", 5, 4.0), (4, "a", 9, None)], "id bigint, k string, t bigint, v double")
+    for limit in (None, 300):
+        got = series.interpolate_time(d, Track(("k",), "t", ("id",)), ["v"], limit).orderBy("id").collect()
+        assert [r.v for r in got] == [2.0, 2.0, 4.0, None]
