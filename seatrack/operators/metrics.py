@@ -135,7 +135,7 @@ RECORD_BLOCK = 1000
 
 def early_stopping(
     history: DataFrame, run: Sequence[str], epoch: str, metric: str, patience: int = 5, min_delta: float = 0.0,
-    higher_is_better: bool = False, chunk: int = 1000,
+    higher_is_better: bool = False, chunk: int = 1000, tie: Sequence[str] = (),
 ) -> DataFrame:
     """Best epoch and value of each run and the epoch at which training stops (NULL if it does not).
 
@@ -143,10 +143,11 @@ def early_stopping(
     one that is better by more than ``min_delta``, if that comes within ``patience`` epochs; the last improvement is the end of the chain from
     the first record, found by doubling the pointers. Records are found inside blocks of epochs that carry the best value of the blocks
     before, and pointers by searching blocks of records, so no run is gathered in one task. A NULL metric is an epoch without improvement.
+    Values of one epoch are taken in the order of ``tie``, then the best first.
     """
-    run = list(run)
+    run, ties = list(run), [f"_t{i}" for i in range(len(tie))]
     sign = -1.0 if higher_is_better else 1.0
-    d = history.select(*run, F.col(epoch).cast("bigint").alias("_e"), (F.col(metric) * sign).alias("_v"))
+    d = history.select(*run, F.col(epoch).cast("bigint").alias("_e"), (F.col(metric) * sign).alias("_v"), *[F.col(c).alias(t) for c, t in zip(tie, ties, strict=True)])
     d = d.withColumn("_c", F.floor(F.col("_e") / chunk))
     per = d.groupBy(*run, "_c").agg(F.min("_v").alias("_m"), F.count(F.lit(1)).alias("_k"))
     blocks = Window.partitionBy(*run).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
@@ -154,7 +155,7 @@ def early_stopping(
         *run, "_c", F.min("_m").over(blocks).alias("_best_before"),
         F.coalesce(F.sum("_k").over(blocks), F.lit(0)).alias("_off"),
     )
-    local = Window.partitionBy(*run, "_c").orderBy("_e")
+    local = Window.partitionBy(*run, "_c").orderBy("_e", *ties, F.col("_v").asc_nulls_last())
     d = d.join(per, [*run, "_c"], "left").withColumns(
         {
             "_i": F.col("_off") + F.row_number().over(local),
@@ -162,7 +163,7 @@ def early_stopping(
         }
     )
     record = F.col("_v").isNotNull() & (F.col("_prev").isNull() | (F.col("_v") < F.col("_prev")))
-    records = row_numbers(d.where(record).select(*run, "_i", "_e", "_v", "_c"), run, [F.col("_e").asc()], F.col("_c"), "_j")
+    records = row_numbers(d.where(record).select(*run, "_i", "_e", "_v", "_c"), run, [F.col("_i").asc()], F.col("_c"), "_j")
     records = stage(records.select(*run, "_j", "_i", "_e", "_v", F.floor((F.col("_j") - 1) / RECORD_BLOCK).alias("_b")), "records")
     pointers = stage(_improvements(records, run, patience, float(min_delta)), "improvements")
     while True:

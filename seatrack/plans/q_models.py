@@ -215,7 +215,7 @@ def _(spark, sf):
  CASE WHEN h.loss < w.best - CAST(0.5 AS DOUBLE) THEN 0 ELSE w.bad + 1 END, NOT (h.loss < w.best - CAST(0.5 AS DOUBLE)) AND w.bad + 1 >= 15
  FROM w JOIN hist h ON h.run = w.run AND h.i = w.i + 1 WHERE NOT w.stopped) SELECT * FROM w)"""))
 def _(spark, sf):
-    h = messages(spark, sf).where("sog IS NOT NULL").select(F.col("mmsi").alias("run"), "epoch", "sog")
-    return metrics.early_stopping(h, ["run"], "epoch", "sog", patience=15, min_delta=0.5, chunk=86_400)
+    h = messages(spark, sf).where("sog IS NOT NULL").select(F.col("mmsi").alias("run"), "epoch", "sog", "event_id")
+    return metrics.early_stopping(h, ["run"], "epoch", "sog", patience=15, min_delta=0.5, chunk=86_400, tie=["event_id"])
 
 

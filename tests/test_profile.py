@@ -101,6 +101,27 @@ def test_early_stopping_equals_a_loop(spark, higher, delta):
         assert got[run] == (at, best, stop)
 
 
+def test_early_stopping_with_several_values_of_one_epoch(spark):
+    rng = random.Random(3)
+    rows = [(run, e, i, rng.choice([None, rng.uniform(0, 1) * 40 / (e + 5)])) for run in range(8) for e in range(1, 20) for i in range(5)]
+    h = spark.createDataFrame(rng.sample(rows, len(rows)), "run int, epoch int, id int, v double").repartition(5).cache()
+    for tie in (["id"], []):
+        got = {r.run: (r.best_epoch, r.best_value, r.stop_after) for r in metrics.early_stopping(h, ["run"], "epoch", "v", 12, 0.05, chunk=7, tie=tie).collect()}
+        for run in range(8):
+            best = at = stop = None
+            bad = 0
+            order = sorted([r for r in rows if r[0] == run], key=lambda r: (r[1], r[2] if tie else 0, r[3] is None, r[3] or 0.0))
+            for i, (_, e, _, v) in enumerate(order, 1):
+                if v is not None and (best is None or v < best - 0.05):
+                    best, at, bad = v, e, 0
+                elif best is not None:
+                    bad += 1
+                    if bad >= 12:
+                        stop = i
+                        break
+            assert got[run] == (at, best, stop)
+
+
 def test_scores_with_nothing_predicted(spark):
     d = spark.createDataFrame([(0, 0), (1, 0)], "t int, p int")
     r = metrics.classification_scores(d, "t", "p").first()
