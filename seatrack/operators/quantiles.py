@@ -24,13 +24,39 @@ def ordered_bits(x: Column) -> Column:
 
     It is the bit pattern of the absolute value, negated for negative values, found with exact arithmetic on powers of two.
     """
+    return _signed(x, _pattern(x, _exponent(x, _near(x))))
+
+
+def with_ordered_bits(df: DataFrame, value: str, name: str = "_bits") -> DataFrame:
+    """Adds :func:`ordered_bits` of a column, step by step: as one expression every use of a step would compute it again."""
+    x = F.col(value)
+    d = df.withColumn("_near", _near(x)).withColumn("_exponent", _exponent(x, F.col("_near")))
+    d = d.withColumn("_pattern", _pattern(x, F.col("_exponent")))
+    return d.withColumn(name, _signed(x, F.col("_pattern"))).drop("_near", "_exponent", "_pattern")
+
+
+def _two(e: Column) -> Column:
+    return F.pow(F.lit(2.0), e.cast("double"))
+
+
+def _near(x: Column) -> Column:
+    size = F.abs(x)
+    return F.greatest(F.floor(F.log2(F.when((size > 0) & (size < float("inf")), size))), F.lit(-1022))
+
+
+def _exponent(x: Column, near: Column) -> Column:
+    """The logarithm may miss by one next to a power of two."""
     size = F.abs(x)
-    near = F.greatest(F.floor(F.log2(F.when((size > 0) & (size < float("inf")), size))), F.lit(-1022))
-    two = lambda e: F.pow(F.lit(2.0), e.cast("double"))
-    # The logarithm may miss by one next to a power of two.
-    exponent = near + F.when(size >= two(near + 1), 1).when((size < two(near)) & (near > -1022), -1).otherwise(0)
-    bits = (exponent + 1022) * F.lit(1 << 52) + (size / two(exponent - 52)).cast("bigint")
-    bits = F.when(size == 0, F.lit(0)).when(size == float("inf"), F.lit(2047 << 52)).otherwise(bits).cast("bigint")
+    return near + F.when(size >= _two(near + 1), 1).when((size < _two(near)) & (near > -1022), -1).otherwise(0)
+
+
+def _pattern(x: Column, exponent: Column) -> Column:
+    size = F.abs(x)
+    bits = (exponent + 1022) * F.lit(1 << 52) + (size / _two(exponent - 52)).cast("bigint")
+    return F.when(size == 0, F.lit(0)).when(size == float("inf"), F.lit(2047 << 52)).otherwise(bits).cast("bigint")
+
+
+def _signed(x: Column, bits: Column) -> Column:
     return F.when(x.isNotNull() & ~F.isnan(x), F.when(x < 0, -bits).otherwise(bits))
 
 
@@ -47,7 +73,7 @@ def exact_quantiles(
     sent = F.broadcast if small else lambda x: x
     pairs = [F.struct(F.lit(i).alias("f"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)]
     rows = df.select(*by, F.explode(F.array(*pairs)).alias("_e")).select(*by, "_e.f", "_e.v")
-    rows = rows.select(*by, "f", "v", ordered_bits(F.col("v")).alias("_bits")).where("_bits IS NOT NULL")
+    rows = with_ordered_bits(rows.where("v IS NOT NULL AND NOT isnan(v)"), "v")
 
     wanted, bucket = None, [*by, "f"]
     for shift in SHIFTS:

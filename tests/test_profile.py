@@ -122,6 +122,15 @@ def test_early_stopping_with_several_values_of_one_epoch(spark):
             assert got[run] == (at, best, stop)
 
 
+def test_quantiles_compute_each_step_of_the_bits_once(spark):
+    from seatrack.operators.quantiles import exact_quantiles
+
+    d = exact_quantiles(spark.range(10).selectExpr("CAST(id AS DOUBLE) AS v"), ["v"], [0.5])
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.upper().count("LOG2(") == 7  # a round has its own and those of the rounds before, each twice
+    assert d.first().quantile == 4.5
+
+
 def test_scores_with_nothing_predicted(spark):
     d = spark.createDataFrame([(0, 0), (1, 0)], "t int, p int")
     r = metrics.classification_scores(d, "t", "p").first()
