@@ -120,11 +120,12 @@ def cable_risk(
     begin = key_values(rows, track, _begin=("min", F.col(track.order)))
     t = F.col(track.order)
     ends = rows.select(*track.key, track.order, "latitude", "longitude")
-    ends = risk.near_cable(ends, segments, near_m, name="_close").where("_close")
-    ends = join_key_values(ends, begin, track, "inner")
     past = (t - F.col("_begin")) / step_s + 1 - size  # rows before the window
+    ends = join_key_values(ends, begin, track, "inner").where((past >= 0) & (past % step == 0))
+    # Distances cost far more than the join, so only the ends of windows are compared with the cables.
+    ends = risk.near_cable(ends, segments, near_m, name="_close").where("_close")
     span = F.sequence(t - (size - 1) * step_s, t, F.lit(step_s).cast("bigint"))
-    members = ends.where((past >= 0) & (past % step == 0)).select(
+    members = ends.select(
         *track.key, F.floor(past / step).alias("window_no"), F.explode(span).alias(track.order))
     windows = rows.join(members, [*track.key, track.order]).groupBy(*track.key, "window_no").agg(
         F.min(track.order).alias("window_start"), F.max(track.order).alias("window_end"),

@@ -37,6 +37,16 @@ def test_cable_risk_equals_scoring_every_window(spark):
     assert len(first.forecast) == 20 and len(first.input) == 12 and 0.5 <= first.fishing_confidence <= 1
 
 
+def test_only_ends_of_windows_are_compared_with_cables(spark, monkeypatch):
+    seen, near = [], risk.near_cable
+    monkeypatch.setattr(risk, "near_cable", lambda df, *a, **k: seen.append(df) or near(df, *a, **k))
+    m = messages(spark, SF).where("mmsi % 8 = 0")
+    flows.cable_risk(m, T, segments(spark), train_stats(spark), load_linear_models, 3600, 12, 5, near_m=15_000.0)
+    rows = stage(flows.scoring_rows(m, T, 3600), "test-rows")
+    windows = rows.groupBy("mmsi").agg(F.floor((F.count(F.lit(1)) - 12) / 5 + 1).alias("n")).where("n > 0").agg(F.sum("n")).first()[0]
+    assert [d.count() for d in seen] == [windows] and windows
+
+
 def test_latest_risk_answers_for_every_vessel(spark):
     m, seg, stats = messages(spark, SF), segments(spark), train_stats(spark)
     rows = flows.latest_risk(m, T, seg, stats, load_linear_models, 3600, 12, near_m=60_000.0).collect()
