@@ -187,6 +187,7 @@ def known_neighbours(
     ahead: bool = True,
     own_ahead: bool = True,
     next_name: str | None = None,
+    last_name: str | None = None,
 ) -> DataFrame:
     """Last and next known value of each column, seen from every row (the row itself included).
 
@@ -194,7 +195,7 @@ def known_neighbours(
     ``{c}__nv`` / ``{c}__np``, and ``_pos``, the position of the row: its time or its row number.
     The next known value is read over the reversed order, never over an unbounded following frame.
     ``own_ahead=False`` looks for the next value only after the row; ``next_name`` also adds the time
-    of the row after.
+    of the row after, ``last_name`` the time of the last row of the key.
     """
     key, parts = list(track.key), track.parts
     d = df.withColumn("_chunk", track.chunk())
@@ -216,12 +217,16 @@ def known_neighbours(
                 aggs += [F.min_by(c, known).alias(f"{c}__nv"), F.min(here[c]).alias(f"{c}__np")]
         if next_name:
             aggs.append(F.min(track.order).alias("_first"))
+        if last_name:
+            aggs.append(F.max(track.order).alias("_top"))
         per = d.groupBy(*parts).agg(*aggs)
         per = per.withColumn("_off", F.coalesce(F.sum("_n").over(_earlier(key)), F.lit(0)))
         shift = F.col("_off") if position == "row" else F.lit(0)
         carry = [F.col("_off")]
         if next_name:
             carry.append(F.lead("_first").over(Window.partitionBy(*key).orderBy("_chunk")).alias("_after"))
+        if last_name:
+            carry.append(F.max("_top").over(Window.partitionBy(*key)).alias(last_name))
         for c in columns:
             carry += [
                 F.last(f"{c}__pv", True).over(_earlier(key)).alias(f"{c}__cpv"),
@@ -240,6 +245,8 @@ def known_neighbours(
     added: dict[str, Column] = {}
     if next_name:
         added[next_name] = F.lead(track.order).over(_local(parts, track.asc()))
+    if last_name and track.chunk_s is None:
+        added[last_name] = F.max(track.order).over(Window.partitionBy(*key))
     for c in columns:
         added[f"{c}__pv"] = F.last(c, True).over(back)
         added[f"{c}__pp"] = F.last(here[c], True).over(back) + offset

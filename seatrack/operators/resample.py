@@ -51,15 +51,19 @@ def align(df: DataFrame, track: Track, step_s: int, on_collision: str = "first")
     return df.withColumn(track.order, bucket(track.order, step_s))
 
 
-def _emit_slots(d: DataFrame, track: Track, last: Column, step_s: int) -> DataFrame:
-    """Adds ``_slot``: the slot of each row and the empty ones up to ``last``.
+def _emit_slots(d: DataFrame, track: Track, last: Column, step_s: int, since: Column | None = None) -> DataFrame:
+    """Adds ``_slot``: the slot of each row and the empty ones up to ``last``, without those before ``since``.
 
     A gap of more than a day is cut into pieces of at most a day, dealt by key and piece, before the slots are produced: no
-    array is longer than a day, and a long gap is filled by many tasks. All other rows stay where they are.
+    array is longer than a day, and a long gap is filled by many tasks. All other rows stay where they are. ``since`` bounds the
+    slots of a key, and with them the arrays.
     """
     t, step = F.col(track.order), F.lit(step_s).cast("bigint")
     day = max(DAY - DAY % step_s, step_s)
     d = d.withColumn("_end", F.greatest(last, t))
+    if since is not None:
+        d = d.where(F.col("_end") >= since)
+        return d.withColumn("_slot", F.explode(F.sequence(F.greatest(t, since), F.col("_end"), step))).drop("_end")
     wide = F.col("_end") - t >= day
     near = d.where(~wide).withColumn("_slot", F.explode(F.sequence(t, F.col("_end"), step))).drop("_end")
     pieces = d.where(wide).withColumn("_from", F.explode(F.sequence(t, F.col("_end"), F.lit(day).cast("bigint")))).repartition(*track.key, "_from")
@@ -135,31 +139,36 @@ def grid_hits(df: DataFrame, track: Track, seconds: int, columns: Sequence[str])
 def filled_grid(
     df: DataFrame, track: Track, step_s: int, lines: Sequence[str], fills: Sequence[str] = (),
     hold: Sequence[str] = (), back: Sequence[str] = (), max_gap_s: int | None = None, until: str | None = None,
+    newest: int | None = None,
 ) -> DataFrame:
     """Complete grid with filled values, computed while the slots are produced.
 
     Times must lie on the grid, one row per slot. ``lines`` are interpolated over time (between known
     values at most ``max_gap_s`` apart), ``hold`` columns then keep their last known value and ``back``
     columns take the next one. The neighbours are found among the messages, before the grid is expanded,
-    so neither windows nor shuffles run over the much larger grid.
+    so neither windows nor shuffles run over the much larger grid. ``newest`` asks for only so many slots of each key, the last ones.
     """
-    d = grid_neighbours(df, track, list(dict.fromkeys([*lines, *fills])))
-    return expand_grid(d, track, step_s, lines, fills, hold, back, max_gap_s, until)
+    d = grid_neighbours(df, track, list(dict.fromkeys([*lines, *fills])), "_last" if newest else None)
+    return expand_grid(d, track, step_s, lines, fills, hold, back, max_gap_s, until, newest)
 
 
-def grid_neighbours(df: DataFrame, track: Track, columns: Sequence[str]) -> DataFrame:
+def grid_neighbours(df: DataFrame, track: Track, columns: Sequence[str], last_name: str | None = None) -> DataFrame:
     """Messages on the grid with the known neighbours of each column and ``_next``, the next slot taken."""
-    return known_neighbours(df, track, columns, own_ahead=False, next_name="_next")
+    return known_neighbours(df, track, columns, own_ahead=False, next_name="_next", last_name=last_name)
 
 
 def expand_grid(
     d: DataFrame, track: Track, step_s: int, lines: Sequence[str], fills: Sequence[str] = (), hold: Sequence[str] = (),
-    back: Sequence[str] = (), max_gap_s: int | None = None, until: str | None = None,
+    back: Sequence[str] = (), max_gap_s: int | None = None, until: str | None = None, newest: int | None = None,
 ) -> DataFrame:
-    """Second half of :func:`filled_grid`: every row emits its slot and the empty ones after it."""
+    """Second half of :func:`filled_grid`: every row emits its slot and the empty ones after it.
+
+    With ``newest``, only the last slots of each key are produced; ``_last`` is the time of the last row of the key.
+    """
     t = F.col(track.order)
     last = F.coalesce(F.col("_next") - step_s, F.col(until) if until else t)
-    d = _emit_slots(d, track, last, step_s)
+    end = F.greatest("_last", until) if until else F.col("_last")
+    d = _emit_slots(d, track, last, step_s, end - (newest - 1) * step_s if newest else None)
     at = F.col("_slot")
     values = _slot_values(track, at, lines, fills, hold, back, max_gap_s)
     return d.select(*track.key, at.alias(track.order), *[v.alias(c) for c, v in values.items()])
@@ -270,13 +279,13 @@ def upsample(
 
 def scoring_grid(
     df: DataFrame, track: Track, step_s: int = 10, exact_only: bool = False,
-    continuous: Sequence[str] = tuple(S.CONTINUOUS), static: Sequence[str] = tuple(S.STATIC),
+    continuous: Sequence[str] = tuple(S.CONTINUOUS), static: Sequence[str] = tuple(S.STATIC), newest: int | None = None,
 ) -> DataFrame:
     """Grid for scoring: static columns filled both ways, continuous ones interpolated without a gap
-    limit and held at the ends, known limits clamped."""
+    limit and held at the ends, known limits clamped. ``newest`` asks for only so many slots of each key, the last ones."""
     columns = [*continuous, *static]
     if exact_only:
         d, until = grid_hits(df, track, step_s, columns), "_until"
     else:
         d, until = align(df.select(*track.key, track.order, *track.tie, *columns), track, step_s), None
-    return clamp(filled_grid(d, track.without_tie(), step_s, continuous, static, columns, columns, until=until))
+    return clamp(filled_grid(d, track.without_tie(), step_s, continuous, static, columns, columns, until=until, newest=newest))

@@ -87,11 +87,11 @@ def training_sequences(
     return series.sequences(d, track, features, label, length)
 
 
-def scoring_rows(messages: DataFrame, track: Track, step_s: int = 10) -> DataFrame:
-    """Class A messages, one per vessel and time, on a filled grid; values not yet normalised."""
+def scoring_rows(messages: DataFrame, track: Track, step_s: int = 10, newest: int | None = None) -> DataFrame:
+    """Class A messages, one per vessel and time, on a filled grid (or its ``newest`` slots per vessel); values not yet normalised."""
     d = clean.drop_class_b(messages, "class_a").select(*track.key, track.order, *track.tie, *S.CONTINUOUS, *S.STATIC)
     d = clean.dedup_on_key(d, [*track.key, track.order], list(track.tie) or [track.order])
-    return resample.scoring_grid(d, track, step_s)
+    return resample.scoring_grid(d, track, step_s, newest=newest)
 
 
 def vessels_for_scoring(
@@ -144,8 +144,7 @@ def latest_risk(
     ``status`` is ``scored``, ``not near a cable`` or ``too few rows``; label, logit, probability and
     risk level (0 for a negative label) are NULL unless scored, ``zone_alert`` and forecast unless positive.
     """
-    rows = stage(scoring_rows(messages, track, step_s), "scoring")
-    newest = series.last_rows(rows, track.without_tie(), size)  # at most `size` rows per vessel from here on
+    newest = scoring_rows(messages, track, step_s, newest=size)  # at most `size` rows per vessel, no other slot is produced
     entry = F.struct(track.order, *S.MODEL_FEATURES)
     windows = newest.groupBy(*track.key).agg(
         F.lit(0).cast("bigint").alias("window_no"), F.min(track.order).alias("window_start"),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from seatrack import schema as S
 from seatrack.fixtures import messages
-from seatrack.operators import clean, models, risk, series
+from seatrack.operators import clean, models, resample, risk, series
 from seatrack.operators.ordered import Track
 from seatrack.plans import flows
 from seatrack.plans.q_models import load_linear_models, train_stats
@@ -47,6 +47,16 @@ def test_only_ends_of_windows_are_compared_with_cables(spark, monkeypatch):
     assert [d.count() for d in seen] == [windows] and windows
 
 
+def test_newest_slots_equal_the_end_of_the_whole_grid(spark):
+    rows = [(v, e, None if e % 7 == 0 else float(e % 30), 1.0) for v in (1, 2, 3) for e in (5, 1_000, 90_000, 400_000, 400_090, 1_000_000 * v)]
+    d = spark.createDataFrame([*rows, (4, 77, None, None)], "mmsi int, epoch bigint, sog double, rot double")
+    for track in (Track(), Track(chunk_s=None)):
+        for step, exact in ((3600, False), (35_000, False), (500, True)):
+            whole, part = (resample.scoring_grid(d, track, step, exact, ["sog"], ["rot"], newest=n) for n in (None, 30))
+            want = series.last_rows(whole, track, 30).drop("back").collect()
+            assert sorted(map(tuple, part.collect()), key=str) == sorted(map(tuple, want), key=str) and len(want) > 30
+
+
 def test_latest_risk_answers_for_every_vessel(spark):
     m, seg, stats = messages(spark, SF), segments(spark), train_stats(spark)
     rows = flows.latest_risk(m, T, seg, stats, load_linear_models, 3600, 12, near_m=60_000.0).collect()
