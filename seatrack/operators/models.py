@@ -15,10 +15,11 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.feature import Imputer, VectorAssembler
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seatrack.operators.forest import BinnedForest, fit_forest
 from seatrack.operators.metrics import classification_scores
 from seatrack.operators.selection import single_row
 from seatrack.sources.staging import release, stage
@@ -143,26 +144,19 @@ def linear_predict(df: DataFrame, coefficients: Sequence[tuple[str, str, float]]
     return df.withColumns(out)
 
 
-def forest_regressors(train: DataFrame, features: Sequence[str], targets: Sequence[str], trees: int = 100, seed: int = 42):
+def forest_regressors(train: DataFrame, features: Sequence[str], targets: Sequence[str], trees: int = 100, seed: int = 42) -> dict[str, BinnedForest]:
     """One random-forest regressor per target: ``{target: fitted model}``."""
-    assembled = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip").transform(
-        _as_double(train, [*features, *targets])
-    ).select("features", *targets)
-    assembled = vector_table(assembled, "training-vectors")  # each target makes many passes over it
-    return {
-        t: RandomForestRegressor(featuresCol="features", labelCol=t, predictionCol=f"{t}_pred", numTrees=trees,
-                                 maxDepth=10, seed=seed).fit(assembled)
-        for t in targets
-    }
+    table = stage(_as_double(train.select(*features, *targets), [*features, *targets]), "training-rows")
+    fitted = {t: fit_forest(table, features, t, classify=False, trees=trees, seed=seed) for t in targets}
+    release(table)
+    return fitted
 
 
-def forest_predict(df: DataFrame, models: dict[str, object], features: Sequence[str]) -> DataFrame:
-    d = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip").transform(
-        _as_double(df, features)
-    )
-    for m in models.values():
-        d = m.transform(d)
-    return d.drop("features")
+def forest_predict(df: DataFrame, models: dict[str, BinnedForest], features: Sequence[str]) -> DataFrame:
+    d = _as_double(df, features)
+    for t, m in models.items():
+        d = m.transform(d, f"{t}_pred")
+    return d
 
 
 # --- window scoring -----------------------------------------------------------------------------
