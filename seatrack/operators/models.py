@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Pipeline
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
@@ -60,12 +60,9 @@ def vector_table(df: DataFrame, label: str) -> DataFrame:
     return table.repartition(max(tasks, 1))
 
 
-def random_forest(train: DataFrame, features: Sequence[str], label: str, trees: int = 100, depth: int = 10, seed: int = 42):
-    """Assembler and random forest fitted on rows complete in the features."""
-    assembler = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
-    forest = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=trees, maxDepth=depth, seed=seed)
-    vectors = assembler.transform(_as_double(train, [*features, label])).select("features", label)
-    return PipelineModel([assembler, forest.fit(vector_table(vectors, "training-vectors"))])
+def random_forest(train: DataFrame, features: Sequence[str], label: str, trees: int = 100, depth: int = 10, seed: int = 42) -> BinnedForest:
+    """Random forest fitted on rows complete in the features."""
+    return fit_forest(train, features, label, classify=True, trees=trees, depth=depth, seed=seed)
 
 
 def classifiers(label: str, seed: int = 42) -> dict[str, object]:

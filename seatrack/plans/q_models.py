@@ -205,7 +205,7 @@ def _(spark, sf):
 def _(spark, sf):
     train, _ = _labelled(spark, sf)
     fitted = models.random_forest(train, _X, "trawling")
-    return models.feature_importance(fitted.stages[-1], _X, spark)
+    return models.feature_importance(fitted, _X, spark)
 
 
 @query("m13_early_stopping", sql_with("""SELECT run, arg_max(best_epoch, i) AS best_epoch, arg_max(best, i) AS best_value, min(i) FILTER (stopped) AS stop_after FROM walk GROUP BY run""",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import functions as F
@@ -38,6 +39,19 @@ def test_regressor_matches_spark_and_holds_each_cell_once(spark, monkeypatch):
     assert max(cells) <= 20 and sum(np.frombuffer(b["sizes"], np.int64).sum() for b in blocks) == 40_000
 
 
+def test_importance_matches_spark_and_rows_are_read_as_blocks(spark, monkeypatch):
+    blocks = _seen(monkeypatch)
+    d = spark.range(6_000).selectExpr("CAST(id % 50 AS DOUBLE) AS a", "CAST(pmod(hash(id), 1000) AS DOUBLE) AS b", "CAST(id % 3 AS INT) AS c", "CAST(id % 50 > 30 OR pmod(hash(id), 1000) > 800 AS INT) AS y")
+    x = ["a", "b", "c"]
+    got = models.feature_importance(models.random_forest(d, x, "y", trees=20, depth=4), x, spark).collect()
+    vectors = VectorAssembler(inputCols=x, outputCol="features").transform(d)
+    fitted = RandomForestClassifier(labelCol="y", numTrees=20, maxDepth=4, seed=1).fit(vectors)
+    want = models.feature_importance(fitted, x, spark).collect()
+    assert [r.feature for r in got] == [r.feature for r in want] == ["a", "b", "c"]
+    assert np.allclose([r.importance for r in got], [r.importance for r in want], atol=0.1)
+    assert 1 <= len(blocks) <= spark.sparkContext.defaultParallelism and sum(np.frombuffer(b["sizes"], np.int64).sum() for b in blocks) == 6_000
+
+
 @pytest.mark.parametrize("classify", [True, False])
 def test_first_split_is_the_best_of_the_drawn_rows(spark, monkeypatch, classify):
     blocks = _seen(monkeypatch)
