@@ -52,6 +52,16 @@ def test_importance_matches_spark_and_rows_are_read_as_blocks(spark, monkeypatch
     assert 1 <= len(blocks) <= spark.sparkContext.defaultParallelism and sum(np.frombuffer(b["sizes"], np.int64).sum() for b in blocks) == 6_000
 
 
+def test_scores_follow_the_rule_and_work_is_done_per_cell(spark, monkeypatch):
+    asked, walk = [], forest.Tree.walk
+    monkeypatch.setattr(forest.Tree, "walk", lambda t, flat, start, depth: asked.append(len(start)) or walk(t, flat, start, depth))
+    d = spark.range(6_000).selectExpr("CAST(id % 10 AS DOUBLE) AS a", "CAST(id % 3 AS INT) AS b", "CAST(id % 10 > 6 OR id % 3 = 2 AS INT) AS y")
+    fitted = models.random_forest(d, ["a", "b"], "y", trees=20)
+    assert fitted.transform(d).where("prediction <> y").count() == 0
+    a, b, y = np.array(d.collect(), dtype=float).T
+    assert (fitted.predict([a, b]) == y).all() and set(asked) == {30}
+
+
 @pytest.mark.parametrize("classify", [True, False])
 def test_first_split_is_the_best_of_the_drawn_rows(spark, monkeypatch, classify):
     blocks = _seen(monkeypatch)
