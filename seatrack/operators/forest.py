@@ -3,6 +3,7 @@
 The trees are those of ``pyspark.ml``: at most 32 bins a feature, Poisson(1) draws of every row for every tree, a random subset of the features
 for every node, Gini or variance, no split without gain, leaves of one parent with the same prediction merged. ``pyspark.ml`` keeps an array of all
 draws with each row and looks nodes up in boxed maps, a microsecond for each row, tree and level; here a task does the same for a block of rows at once.
+A classifier's rows of the same bins and class are one entry with their number, whichever task read them, so passes grow with the different rows.
 """
 
 from __future__ import annotations
@@ -21,8 +22,12 @@ from pyspark.sql import functions as F
 from seatrack.sources.staging import release, stage
 
 #: Rows that one block holds, and rows that are worth a task of their own.
-BLOCK_ROWS, TASK_ROWS = 131_072, 5_000
+BLOCK_ROWS, TASK_ROWS = 524_288, 5_000
+#: Rows that one entry stands for at most, so that very frequent ones are dealt out too.
+ENTRY_ROWS = 4_096
 BINS = 32
+#: Bins of 5 bits that a long holds, and values that stand for a block when quantiles are sought.
+PER_LONG, RANKS = 12, 2_048
 #: Impurity under which a node counts as pure.
 PURE = 1e-12
 _BLOCK = "block long, cells binary, sizes binary, labels binary"
@@ -71,10 +76,11 @@ _DRAW = np.where(_FROM == _TO, _FROM, 255).astype(np.uint8)
 
 def _draws(seed: int, block: int, tree: int, n: int) -> np.ndarray:
     """How often each row of a block is in a tree's sample: the same in every pass."""
-    chance = np.random.default_rng([seed, 0, block, tree]).random(n)
-    out = _DRAW.take((chance * 65_536).astype(np.uint16))
+    rng = np.random.default_rng([seed, 0, block, tree])
+    chance = rng.bit_generator.random_raw(-(-n // 4)).view(np.uint16)[:n]
+    out = _DRAW.take(chance)
     between = np.flatnonzero(out == 255)
-    out[between] = np.searchsorted(_POISSON, chance[between], side="right")
+    out[between] = np.searchsorted(_POISSON, (chance[between] + rng.random(len(between))) / 65_536, side="right")
     return out
 
 
@@ -96,6 +102,28 @@ def _distinct(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(new)
 
 
+def _coded(cells: np.ndarray) -> list[np.ndarray]:
+    """The bins of each row in as few longs as hold them."""
+    return [(cells[:, i:i + PER_LONG].astype(np.int64) << 5 * np.arange(cells[:, i:i + PER_LONG].shape[1])).sum(1) for i in range(0, cells.shape[1], PER_LONG)]
+
+
+def _decoded(codes: Sequence[np.ndarray], wide: int) -> np.ndarray:
+    return np.stack([codes[i // PER_LONG] >> 5 * (i % PER_LONG) & BINS - 1 for i in range(wide)], 1).astype(np.uint8)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches together, until they hold the rows of a block."""
+    parts, size = [], 0
+    for b in batches:
+        parts.append(b)
+        size += len(b)
+        if size >= BLOCK_ROWS:
+            yield pa.Table.from_batches(parts)
+            parts, size = [], 0
+    if size:
+        yield pa.Table.from_batches(parts)
+
+
 @dataclass
 class BinnedForest:
     """A fitted forest; ``classes`` is 0 for a regressor."""
@@ -134,9 +162,13 @@ class BinnedForest:
 
         @F.pandas_udf("double")
         def score(*values: pd.Series) -> pd.Series:
-            return pd.Series(self.predict([v.to_numpy() for v in values]))
+            rows = np.stack([v.to_numpy(np.float64) for v in values])
+            out, known = np.full(rows.shape[1], np.nan), ~np.isnan(rows).any(0)
+            out[known] = self.predict(rows[:, known])
+            return pd.Series(out)  # NaN arrives as NULL
 
-        return df.where(complete(self.features)).withColumn(prediction, score(*[F.col(c).cast("double") for c in self.features]))
+        # Complete rows are told here, as conditions on the features would make Spark derive each of them again; so would a deterministic score.
+        return df.withColumn(prediction, score.asNondeterministic()(*[F.col(c).cast("double") for c in self.features])).where(F.col(prediction).isNotNull())
 
 
 def complete(features: Sequence[str]) -> Column:
@@ -147,16 +179,34 @@ def complete(features: Sequence[str]) -> Column:
 
 
 def _edges(rows: DataFrame, features: Sequence[str]) -> list[np.ndarray]:
-    """Upper ends of all bins but the last: between all values of a feature of few, else quantiles of all rows."""
-    shares = F.array(*[F.lit(i / BINS) for i in range(1, BINS)])
-    row = rows.agg(*[e for i, c in enumerate(features) for e in (F.percentile_approx(c, shares, 1_000).alias(f"q{i}"), F.approx_count_distinct(c, 0.02).alias(f"n{i}"))]).first()
-    few = [i for i in range(len(features)) if row[f"n{i}"] <= BINS + 4]
-    held = rows.agg(F.lit(0), *[F.collect_set(features[i]).alias(f"v{i}") for i in few]).first()
-    out = []
-    for i in range(len(features)):
-        values = np.unique(held[f"v{i}"]) if i in few else []
-        out.append((values[1:] + values[:-1]) / 2 if 0 < len(values) <= BINS else np.unique(row[f"q{i}"]))
-    return out
+    """Upper ends of all bins but the last: between all values of a feature of few, else quantiles of all rows.
+
+    Of each block of rows so many evenly spaced ranks stand for all, a rank being off by 1 / RANKS of the rows at most.
+    """
+
+    def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _gathered(batches):
+            for i, c in enumerate(features):
+                v = np.sort(block[c].to_numpy())
+                ranks = v if len(v) <= RANKS else v[((np.arange(RANKS) + 0.5) * len(v) / RANKS).astype(np.int64)]
+                distinct = v[np.append(True, v[1:] != v[:-1])]
+                yield pa.RecordBatch.from_pydict({"feature": pa.array([i], pa.int32()), "ranks": [ranks.tobytes()], "weight": [len(v) / len(ranks)],
+                                                  "few": pa.array([distinct.tobytes() if len(distinct) <= BINS else None], pa.binary())})
+
+    def merge(part: pd.DataFrame) -> pd.DataFrame:
+        few = None if part["few"].isna().any() else np.unique(np.concatenate([np.frombuffer(f) for f in part["few"]]))
+        if few is not None and len(few) <= BINS:
+            edges = (few[1:] + few[:-1]) / 2
+        else:
+            ranks = [np.frombuffer(r) for r in part["ranks"]]
+            weights, ranks = np.repeat(part["weight"].to_numpy(), [len(r) for r in ranks]), np.concatenate(ranks)
+            order = ranks.argsort(kind="stable")
+            upto = weights[order].cumsum()
+            edges = np.unique(ranks[order][np.searchsorted(upto, np.arange(1, BINS) / BINS * upto[-1])])
+        return pd.DataFrame({"feature": part["feature"].iloc[:1], "edges": [edges.tobytes()]})
+
+    found = rows.mapInArrow(summaries, "feature int, ranks binary, weight double, few binary").groupBy("feature").applyInPandas(merge, "feature int, edges binary").collect()
+    return [np.frombuffer(e) for _, e in sorted(found)]
 
 
 def fit_forest(
@@ -167,7 +217,8 @@ def fit_forest(
     Each level is one pass: tasks add up histograms of all open nodes, one task per tree's histograms chooses its splits, and the splits alone reach the driver.
     """
     features = list(features)
-    held = stage(df.where(complete(features)).select(*[F.col(c).cast("double").alias(f"f{i}") for i, c in enumerate(features)], F.col(label).cast("double").alias("y")), "training-rows")
+    written = stage(df.select(*[F.col(c).cast("double").alias(f"f{i}") for i, c in enumerate(features)], F.col(label).cast("double").alias("y")), "training-rows")
+    held = written.where(complete([f"f{i}" for i in range(len(features))]))  # not before: Spark would derive the features once for each condition
     n, labelled, top, least, whole, mean = held.agg(F.count("*"), F.count(F.when(~F.isnan("y"), F.col("y"))), F.max("y"), F.min("y"), F.min(F.col("y") == F.floor("y")), F.avg("y")).first()
     if not n or labelled < n:
         raise ValueError("a forest needs rows, and a label in each of them")
@@ -177,30 +228,33 @@ def fit_forest(
     edges, center, wide = _edges(held, [f"f{i}" for i in range(len(features))]), 0.0 if classify else float(mean), len(features)
     cores = df.sparkSession.sparkContext.defaultParallelism
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def block(parts: list[pa.RecordBatch], at: int) -> pa.RecordBatch:
-            rows = pa.Table.from_batches(parts)
-            cells, y = _cells([rows[f"f{i}"].to_numpy() for i in range(wide)], edges), rows["y"].to_numpy() - center
-            order, starts = _distinct(np.column_stack([cells, y.astype(np.int64)]) if classes else cells)
-            labels = y[order[starts]].astype(np.int64) if classes else y[order]
-            sizes = np.diff(starts, append=len(y))
-            return pa.RecordBatch.from_pydict({"block": pa.array([(TaskContext.get().partitionId() << 32) + at], pa.int64()), "cells": [cells[order[starts]].tobytes()],
-                                               "sizes": [sizes.tobytes()], "labels": [labels.tobytes()]})
-
-        parts, size, at = [], 0, 0
+    def block(cells: np.ndarray, sizes: np.ndarray, labels: np.ndarray, at: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"block": pa.array([(TaskContext.get().partitionId() << 32) + at], pa.int64()), "cells": [cells.tobytes()],
+                                           "sizes": [sizes.astype(np.int64).tobytes()], "labels": [labels.tobytes()]})
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts.append(b)
-            size += len(b)
-            if size >= BLOCK_ROWS:
-                yield block(parts, at)
-                parts, size, at = [], 0, at + 1
-        if size:
-            yield block(parts, at)
+            yield pa.RecordBatch.from_arrays([*_coded(_cells([b[f"f{i}"].to_numpy() for i in range(wide)], edges)), b["y"].cast(pa.int64())], [*codes, "y"])
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for at, rows in enumerate(_gathered(batches)):
+            if classes:
+                yield block(_decoded([rows[c].to_numpy() for c in codes], wide), rows["size"].to_numpy(), rows["y"].to_numpy(), at)
+                continue
+            cells = _cells([rows[f"f{i}"].to_numpy() for i in range(wide)], edges)
+            order, starts = _distinct(cells)
+            yield block(cells[order[starts]], np.diff(starts, append=len(order)), rows["y"].to_numpy()[order] - center, at)
+
+    codes = [f"c{i}" for i in range(-(-wide // PER_LONG))]
     tasks = max(1, min(cores, -(-n // TASK_ROWS)))
-    packed = stage(held.repartition(tasks).mapInArrow(pack, _BLOCK), "training-blocks")
-    release(held)
-    blocks = packed.repartition(tasks).persist()
+    entries = held
+    if classes:
+        part = F.explode(F.expr(f"sequence(0L, (count - 1) DIV {ENTRY_ROWS})"))
+        counted = held.mapInArrow(code, ", ".join(f"{c} long" for c in [*codes, "y"])).groupBy(*codes, "y").count()
+        entries = counted.select("*", part.alias("part")).select(*codes, "y", F.expr(f"least({ENTRY_ROWS}, count - {ENTRY_ROWS} * part)").alias("size"))
+    packed = stage(entries.repartition(tasks).mapInArrow(pack, _BLOCK), "training-blocks")
+    release(written)
+    blocks = packed.repartitionByRange(tasks, "block").persist()  # as they were packed: the same number in each task
     grown = [Tree(np.zeros(1, np.intp), np.full(1, BINS), np.zeros(2, np.intp), np.zeros((1, classes or 3)), np.zeros(1)) for _ in range(trees)]
     open_nodes = [np.zeros(1, np.intp) for _ in range(trees)]
     width = classes or 3
@@ -222,32 +276,22 @@ def _pass(blocks, grown, open_nodes, live, level, last, classes, wide, k, seed,
     width = classes or 3
 
     def histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        ways = {t: (*_steps(grown[t], open_nodes[t], level), _subsets(seed, t, level, len(open_nodes[t]), wide, k).T.copy()) for t in live}
+        sums = {}
         for batch in batches:
             for b in batch.to_pylist():
                 sizes, labels = np.frombuffer(b["sizes"], np.int64), np.frombuffer(b["labels"], np.int64 if classes else np.float64)
-                flat, starts, n = np.frombuffer(b["cells"], np.uint8), np.cumsum(sizes) - sizes, int(sizes.sum())
-
-                def by_cell(values: np.ndarray, starts=starts, n=n) -> np.ndarray:
-                    return values if len(starts) == n else np.add.reduceat(values, starts)
-
+                flat, ends = np.frombuffer(b["cells"], np.uint8), np.cumsum(sizes)
+                n, room = int(ends[-1]), _Room(len(sizes), int(ends[-1]))
+                bins = (flat.reshape(-1, wide) * np.intp(classes) + labels[:, None]).astype(np.min_scalar_type(BINS * classes)).ravel() if classes else flat
                 for t in live:
-                    draws = _draws(seed, b["block"], t, n).astype(np.float64)
-                    columns = [by_cell(draws)] if classes else [by_cell(draws), by_cell(draws * labels), by_cell(draws * labels * labels)]
-                    number = np.full(len(grown[t].cut), -1)
-                    number[open_nodes[t]] = np.arange(len(open_nodes[t]))
-                    at = np.flatnonzero(columns[0])
-                    node = number.take(grown[t].walk(flat, at * wide, level))
-                    some = np.flatnonzero(node >= 0)
-                    node, at = (node, at) if len(some) == len(at) else (node.take(some), at.take(some))
-                    columns = [c.take(at) for c in columns]
-                    may, size = _subsets(seed, t, level, len(open_nodes[t]), wide, k), len(open_nodes[t]) * k * BINS * width
-                    total = sums.setdefault(t, np.zeros(size))
-                    first, places = node * (k * BINS * width) + (labels.take(at) if classes else 0), at * wide
-                    for j in range(k):
-                        key = flat.take(places + may[:, j].take(node)).astype(np.intp) * width + first + j * BINS * width
-                        for i, values in enumerate(columns):
-                            total += np.bincount(key + i, values, size)
+                    draws = _draws(seed, b["block"], t, n)
+                    columns = [_by_cell(v, ends, room) for v in ([draws] if classes else [draws, draws * labels, draws * labels * labels])]
+                    found = _histograms(flat, bins, columns, *ways[t], wide, classes or 1, room)
+                    if t in sums:
+                        sums[t] += found
+                    else:
+                        sums[t] = found
         for t, s in sums.items():
             yield pa.RecordBatch.from_pydict({"tree": pa.array([t], pa.int32()), "split": [s.tobytes()]})
 
@@ -274,6 +318,68 @@ def _pass(blocks, grown, open_nodes, live, level, last, classes, wide, k, seed,
     return sent.repartition(tasks, "tree").groupBy("tree").applyInPandas(choose, _SPLIT)
 
 
+class _Room:
+    """Arrays that every tree of a block uses anew: fresh ones of this length cost more than what is done in them."""
+
+    def __init__(self, m: int, n: int):
+        self.upto, self.ends, self.draws = np.empty(n, np.int32), np.empty(m + 1, np.int32), np.empty(m)
+        self.node, self.place, self.key, self.starts = (np.empty(m, np.intp) for _ in range(4))
+        self.cell, self.cut, self.right = np.empty(m, np.uint8), np.empty(m, np.uint8), np.empty(m, bool)
+
+
+def _by_cell(values: np.ndarray, ends: np.ndarray, room: _Room) -> np.ndarray:
+    """Sums of the rows of each cell; draws are whole, so that differences of sums up to a row are exact."""
+    if values.dtype != np.uint8:
+        return values if len(ends) == len(values) else np.add.reduceat(values, np.append(0, ends[:-1]))
+    if len(ends) == len(values):
+        np.copyto(room.draws, values)
+        return room.draws
+    np.cumsum(values, dtype=np.int32, out=room.upto)
+    room.ends[0] = 0
+    room.upto.take(ends - 1, out=room.ends[1:], mode="clip")
+    return np.subtract(room.ends[1:], room.ends[:-1], out=room.draws)
+
+
+def _steps(t: Tree, nodes: np.ndarray, level: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """Feature and cut at each place of each level, where the places below p are 2p and 2p + 1; the number of the open node at each place of the last one, or -1."""
+    at, steps = np.zeros(1, np.intp), []
+    for _ in range(level):
+        steps.append((t.feature[at], t.cut[at].astype(np.uint8)))
+        at = t.child.reshape(-1, 2)[at].ravel()
+    number = np.full(len(t.cut), -1)
+    number[nodes] = np.arange(len(nodes))
+    return steps, number[at]
+
+
+def _histograms(flat, bins, columns, steps, number, may, wide: int, inner: int, room: _Room) -> np.ndarray:
+    """Sums of the columns by open node, feature it may split at, and bin, for the cells that are drawn at all."""
+    drawn = np.flatnonzero(columns[0] > 0)
+    m = len(drawn)
+    starts, columns = np.multiply(drawn, wide, out=room.starts[:m]), [c.take(drawn) for c in columns]
+    node, place, cell, cut, right = (a[:m] for a in (room.node, room.place, room.cell, room.cut, room.right))
+    node.fill(0)
+    for feature, bound in steps:
+        np.add(feature.take(node, out=place, mode="clip"), starts, out=place)
+        np.greater(flat.take(place, out=cell, mode="clip"), bound.take(node, out=cut, mode="clip"), out=right)
+        np.left_shift(node, 1, out=node)
+        np.add(node, right, out=node)
+    number.take(node, out=place, mode="clip")
+    np.copyto(node, place)
+    if (number < 0).any():
+        some = np.flatnonzero(node >= 0)
+        node, starts, columns = node.take(some), starts.take(some), [c.take(some) for c in columns]
+        m = len(some)
+    size, place, key = BINS * inner, room.place[:m], room.key[:m]
+    total = np.empty((may.shape[1], len(may), BINS, inner * len(columns)))
+    first = node * size
+    for j, feature in enumerate(may):
+        np.add(feature.take(node, out=place, mode="clip"), starts, out=place)
+        np.add(first, bins.take(place), out=key)
+        for i, values in enumerate(columns):
+            total[:, j, :, i * inner:(i + 1) * inner] = np.bincount(key, values, len(total) * size).reshape(-1, BINS, inner)
+    return total
+
+
 def _grow(t: Tree, nodes: np.ndarray, at: np.ndarray, width: int, root: bool) -> tuple[Tree, np.ndarray]:
     """The tree with the chosen splits of its open nodes, and the nodes that are open then."""
     stats = at[:, 4:4 + width], at[:, 4 + width:]

@@ -104,3 +104,55 @@ def test_leaves_with_one_prediction_are_merged():
                     np.array([[9.0, 5], [9, 1], [0, 4], [5, 1], [4, 0]]), np.array([4.0, 1, 0, 0, 0]))
     merged = forest._merged(t, 2)
     assert merged.child.tolist() == [1, 2, 1, 1, 2, 2, 3, 3, 4, 4] and merged.weight.tolist() == [4, 0, 0, 0, 0]
+
+
+def test_rows_of_one_cell_and_class_are_one_entry_whichever_task_read_them(spark, monkeypatch):
+    blocks = _seen(monkeypatch)
+    monkeypatch.setattr(forest, "ENTRY_ROWS", 1_000)
+    d = spark.range(60_000).repartition(8).selectExpr("CAST(id % 5 AS DOUBLE) AS a", "CAST(IF(id % 100 < 90, 0, id % 4) AS DOUBLE) AS b", "CAST(id % 5 > 2 AS INT) AS y")
+    fitted = forest.fit_forest(d, ["a", "b"], "y", True, trees=5, depth=4)
+    sizes = np.concatenate([np.frombuffer(b["sizes"], np.int64) for b in blocks])
+    assert sizes.sum() == 60_000 and sizes.max() <= 1_000  # 5 cells hold 54,000 rows and more
+    assert len(sizes) <= 20 + 60  # before: up to 20 in each of 8 tasks, of any size
+    assert fitted.transform(d).where("prediction <> y").count() == 0
+
+
+def test_features_are_derived_once_for_a_row(spark, monkeypatch):
+    d = spark.range(2_000).selectExpr("CAST(regexp_extract(CAST(id AS STRING), '([0-9]+)', 1) AS DOUBLE) AS x", "CAST(id % 2 AS INT) AS y")
+    plans, write = [], forest.stage
+    monkeypatch.setattr(forest, "stage", lambda df, label: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, label))
+    fitted = forest.fit_forest(d, ["x"], "y", True, trees=2, depth=2)
+    plans.append(fitted.transform(d)._jdf.queryExecution().executedPlan().toString())
+    assert plans[0].count("regexp_extract") == 1 and plans[-1].count("regexp_extract") == 1 and plans[-1].count("score(") <= 2
+
+
+def test_edges_are_quantiles_of_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(forest, "BLOCK_ROWS", 20_000)
+    d = spark.range(0, 100_000, 1, 3).selectExpr("CAST(id AS DOUBLE) AS a", "CAST(pmod(hash(id), 7) AS DOUBLE) AS b", "CAST(IF(id < 60000, 5, id) AS DOUBLE) AS c")
+    a, b, c = forest._edges(d, ["a", "b", "c"])
+    assert np.abs(a - np.arange(1, 32) * 3_125).max() <= 100 and b.tolist() == [0.5, 1.5, 2.5, 3.5, 4.5, 5.5]
+    assert c[0] == 5 and len(c) == 13 and np.abs(c[1:] - np.arange(20, 32) * 3_125).max() <= 100
+    assert forest._edges(d.where("a < 64"), ["a"])[0].tolist() == list(range(1, 63, 2))  # few rows: exact
+
+
+def test_bins_in_longs_and_histograms_against_direct_counts():
+    rng = np.random.default_rng(0)
+    cells = rng.integers(0, forest.BINS, (500, 14)).astype(np.uint8)
+    codes = forest._coded(cells)
+    assert len(codes) == 2 and (forest._decoded(codes, 14) == cells).all()
+    sizes, labels = rng.integers(1, 5, 500), rng.integers(0, 2, 500)
+    ends = sizes.cumsum()
+    draws = forest._draws(1, 2, 3, int(ends[-1]))
+    room = forest._Room(500, int(ends[-1]))
+    column = forest._by_cell(draws, ends, room)
+    assert (column == np.add.reduceat(draws.astype(int), ends - sizes)).all()
+    t = forest.Tree(np.array([3, 9, 0, 0, 0]), np.array([15, 7, 32, 32, 32]), np.array([1, 2, 3, 4, 2, 2, 3, 3, 4, 4]), np.zeros((5, 2)), np.zeros(5))
+    open_nodes, may = np.array([3, 4]), np.array([[0, 5], [13, 2]])
+    bins = (cells * 2 + labels[:, None]).astype(np.uint8)
+    got = forest._histograms(cells.ravel(), bins.ravel(), [column], *forest._steps(t, open_nodes, 2), may.T.copy(), 14, 2, room)
+    node = np.where(cells[:, 3] > 15, 2, np.where(cells[:, 9] > 7, 4, 3))  # 2 is a leaf already
+    want = np.zeros((2, 2, forest.BINS, 2))
+    for i in np.flatnonzero(node > 2):
+        for j in range(2):
+            want[node[i] - 3, j, cells[i, may[node[i] - 3, j]], labels[i]] += column[i]
+    assert (got == want).all()
