@@ -20,9 +20,13 @@ WIDE = 24
 WIDTH = 5
 BANDS = 3
 SIMILAR = 0.8
-_COLUMNS = 1 << 14
+_COLUMNS, _PAIRS = 1 << 14, 1 << 20
 #: Characters of all texts for one shard of keys, and keys of a task that are combined at once.
 SHARD_CHARS, _FLUSH = 1 << 25, 1 << 22
+#: Longs of a sketch, and shingles from which a paragraph has all of them.
+SKETCH, _MANY = 4, 48
+#: Sketches of a band that are compared in one block.
+SKETCHES = 4096
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 _SEEDS = tokens.mix(np.arange(101, 101 + BANDS, dtype=np.uint64))
 
@@ -135,9 +139,9 @@ def _long(h: np.ndarray, parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator
             yield begin[some], end[some]
 
 
-def _bands(h: np.ndarray, parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Bands of all paragraphs with their digests, each pair once and in order of the bands."""
-    s, found, digests = _shingles(h), [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+def _bands(h: np.ndarray, s: np.ndarray, parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, ...]:
+    """Bands of all paragraphs with their digests, first shingles and numbers of shingles, each pair once and in order of the bands."""
+    found = [[np.zeros(0, t)] for t in (np.uint64, np.uint64, np.int64, np.int64)]
     values = [tokens.mix(s ^ seed) for seed in _SEEDS]
     for level, part in enumerate(parts):
         # Every level has bands of its own, as a line would meet the paragraphs in it; pairs across levels are not sought.
@@ -145,15 +149,17 @@ def _bands(h: np.ndarray, parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[n
         if begin is None:
             continue
         # The last shingles would leave the paragraph.
-        starts = np.column_stack([begin, end - WIDTH + 1]).ravel()
-        found += [tokens.mix(np.minimum.reduceat(v, starts)[::2] + seed + np.uint64(level)) for v, seed in zip(values, _SEEDS)]
-        digests += [tokens.hash_runs(h, begin, end)] * BANDS
-    band, digest = np.concatenate(found), np.concatenate(digests)
-    order = np.lexsort((digest, band))
-    band, digest = band[order], digest[order]
+        starts, digest = np.column_stack([begin, end - WIDTH + 1]).ravel(), tokens.hash_runs(h, begin, end)
+        for v, seed in zip(values, _SEEDS, strict=True):
+            band = tokens.mix(np.minimum.reduceat(v, starts)[::2] + seed + np.uint64(level))
+            for x, more in zip(found, (band, digest, begin, end - begin - WIDTH + 1), strict=True):
+                x.append(more)
+    found = [np.concatenate(x) for x in found]
+    order = np.lexsort((found[1], found[0]))
+    band, digest, begin, n = (x[order] for x in found)
     new = np.ones(len(band), bool)
     new[1:] = (band[1:] != band[:-1]) | (digest[1:] != digest[:-1])
-    return band[new], digest[new]
+    return band[new], digest[new], begin[new], n[new]
 
 
 def _one_each(keys: np.ndarray, values: np.ndarray, twice: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -194,7 +200,7 @@ def _held_twice(shards: int):
                 begin, end = parts[0]
                 own = document[i + np.searchsorted(rows, begin, "right") - 1] if len(begin) else np.zeros(0, np.uint64)
                 held[0].append((tokens.hash_runs(h, begin, end), own, np.zeros(len(begin), bool)))
-                band, digest = _bands(h, parts)
+                band, digest, _, _ = _bands(h, _shingles(h), parts)
                 held[1].append((band, digest, np.zeros(len(band), bool)))
                 if sum(len(x[0]) for kind in held for x in kind) > _FLUSH:
                     yield from flush()
@@ -242,19 +248,66 @@ def held_twice(rows: DataFrame) -> tuple[Shards, Shards]:
     return tuple(Shards([int(r["first"]) for r in x], [r["n"] for r in x], [r["files"] for r in x]) for x in found)
 
 
+def _sketches(s: np.ndarray, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Which of 64 * ``SKETCH`` bits the ``n`` shingles from each place on set.
+
+    A bit in which two paragraphs differ comes of a shingle that one of them alone has, so two sets differ in no fewer shingles than their sketches in bits.
+    """
+    ends = n.cumsum()
+    bits = tokens.mix(s[np.repeat(begin - (ends - n), n) + np.arange(n.sum())] + np.uint64(7))
+    word, bit = (bits >> np.uint64(6)) % np.uint64(SKETCH), np.uint64(1) << (bits & np.uint64(63))
+    return np.column_stack([np.bitwise_or.reduceat(np.where(word == k, bit, np.uint64(0)), ends - n) for k in range(SKETCH)])
+
+
 def _meeting(shared: Shards):
-    """Bands that two paragraphs hold, with the digests that hold them."""
+    """Bands that two paragraphs hold, with the digests that hold them, their numbers of shingles and sketches."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, _, off, data in tokens.chunks(b.column("_text")):
                 h, _, parts = levels(off, data)
-                band, digest = _bands(h, parts)
+                s = _shingles(h)
+                band, digest, begin, n = _bands(h, s, parts)
                 there = shared.find(band)[2]
-                yield pa.RecordBatch.from_arrays([_column(band[there]), _column(digest[there])], ["band", "digest"])
+                band, digest = band[there], digest[there]
+                if not len(band):
+                    continue
+                _, some, back = np.unique(digest, return_index=True, return_inverse=True)
+                begin, n = begin[there][some], n[there][some]
+                sketch, short = _sketches(s, begin, n), n < _MANY
+                sketch[short, 0] = np.bitwise_or.reduce(sketch[short], axis=1)
+                size = np.where(short, 1, SKETCH)[back]
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, size.cumsum()), pa.int32()), _column(sketch[back][np.arange(SKETCH) < size[:, None]]))
+                yield pa.RecordBatch.from_arrays([_column(band), _column(digest), pa.array(n[back].astype(np.int32)), lists], ["band", "digest", "n", "sketch"])
 
     return run
 
 
+def _candidates(rows: pa.Table, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Of each block the paragraphs that may be similar to another: their sets differ in a ninth of both sizes at most, and so do the sketches."""
+    band, digest, n = (rows.column(c).to_numpy() for c in ("band", "digest", "n"))
+    column = rows.column("sketch").combine_chunks()
+    at, values = column.offsets.to_numpy(), column.values.to_numpy().view(np.uint64)
+    full, sketch = np.diff(at) > 1, np.zeros((len(n), SKETCH), np.uint64)
+    sketch[full] = values[at[:-1][full][:, None] + np.arange(SKETCH)]
+    folded = np.where(full, np.bitwise_or.reduce(sketch, axis=1), values[at[:-1]])
+    least = np.where(full, np.bitwise_count(sketch).sum(1, dtype=np.int64), np.bitwise_count(folded))  # so many shingles it has at least
+    keep, begin = np.zeros(len(n), bool), 0
+    for end in ends:
+        step = max(1, _PAIRS // (end - begin))
+        for i in range(begin, end, step):
+            j = min(i + step, end)
+            room = n[i:j, None] + n[None, begin:end]
+            a, b = np.nonzero((9 * np.bitwise_count(folded[i:j, None] ^ folded[None, begin:end]).astype(np.int32) <= room) & (digest[i:j, None] != digest[None, begin:end]))
+            a, b = a + i, b + begin
+            both = np.flatnonzero(full[a] & full[b])
+            far = both[9 * np.bitwise_count(sketch[a[both]] ^ sketch[b[both]]).sum(1, dtype=np.int32) > n[a[both]] + n[b[both]]]
+            near = (4 * least[a] <= 5 * n[b]) & (4 * least[b] <= 5 * n[a])
+            near[far] = False
+            keep[a[near]] = keep[b[near]] = True
+        begin = end
+    yield pa.RecordBatch.from_arrays([pa.array(band[keep]), pa.array(digest[keep])], ["band", "digest"])
+
+
 def _contents(wanted: Shards):
     """Shingles of the wanted paragraphs; they are looked up in mapped arrays, so the others aren't sent."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,7 +365,8 @@ def similar_paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
     """(``_node``, ``_root``) over paragraph digests: classes of different paragraphs that are similar.
 
     Three bands of one minimum over five-word shingles meet 99 % of the pairs at similarity 0.8 and more
-    above. Bands held by one paragraph alone end there; only for the others shingles are fetched and compared.
+    above. Bands held by one paragraph alone end there; of the others go those whose sketches are too far from all they meet, and only for the rest
+    shingles are fetched and compared.
     """
     rows = _rows(docs, docs.columns[0], text)
     return _similar_classes(rows, held_twice(rows)[1])
@@ -320,7 +374,9 @@ def similar_paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def _similar_classes(rows: DataFrame, shared: Shards) -> DataFrame:
     rows = rows.select("_text")
-    meeting = stage(rows.mapInArrow(_meeting(shared), "band long, digest long").distinct(), "bands")
+    met = stage(rows.mapInArrow(_meeting(shared), "band long, digest long, n int, sketch array<long>").distinct(), "met")
+    meeting = stage(blocks.in_blocks(met, "band", "digest", _candidates, "band long, digest long", limit=SKETCHES).distinct(), "bands")
+    release(met)
     wanted = sorted_arrays(meeting.select("digest").distinct(), ["digest"], "band-digests")
     contents = stage(rows.mapInArrow(_contents(wanted), "digest long, shingles array<long>").dropDuplicates(["digest"]), "band-contents")
     compared = meeting.join(contents.withColumnRenamed("digest", "d"), F.col("digest") == F.col("d")).select("band", "digest", "shingles")
@@ -354,10 +410,11 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     document = F.struct(F.col("_key").isNull().alias("n"), F.col("_key").alias("k"), F.col("_text_hash").alias("h"))
     keepers = stage(spans.groupBy("code").agg(F.min(document).alias("keep"), F.max(document).alias("last")).filter("NOT keep <=> last")
                     .select(F.col("code").alias("c"), "keep"), "keepers")
-    # Dealt by document here, so that the join below is free to split the rows of a frequent span.
-    extra = (spans.join(keepers, (F.col("code") == F.col("c")) & ~document.eqNullSafe(F.col("keep"))).select("_key", "_text_hash", "start", "stop", "component", "keep")
-             .repartition("_key", "_text_hash"))
-    order = Window.partitionBy("_key", "_text_hash").orderBy("start", "stop")
+    # Written before it is dealt by document: the join is free to split the rows of a frequent span, and what it has shuffled goes before more is.
+    extra = stage(spans.join(keepers, (F.col("code") == F.col("c")) & ~document.eqNullSafe(F.col("keep"))).select("_key", "_text_hash", "start", "stop", "component", "keep"), "extra")
+    release(spans, keepers)
+    extra = extra.repartition("_key", "_text_hash")
+    order = Window.partitionBy("_key", "_text_hash").orderBy("start", "stop", "keep")  # spans of one place in the same order on every run
     reached = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
     joined = (F.col("start") < reached) | ((F.col("start") == reached) & F.lag("keep").over(order).eqNullSafe(F.col("keep")))
     runs = extra.withColumn("_new", F.when(joined, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
