@@ -26,6 +26,8 @@ BLOCK_ROWS, TASK_ROWS = 524_288, 5_000
 #: Rows that one entry stands for at most, so that very frequent ones are dealt out too.
 ENTRY_ROWS = 4_096
 BINS = 32
+#: Bytes of one tree's histograms that the driver adds up itself.
+DRIVER_BYTES = 1 << 26
 #: Bins of 5 bits that a long holds, and values that stand for a block when quantiles are sought.
 PER_LONG, RANKS = 12, 2_048
 #: Impurity under which a node counts as pure.
@@ -171,6 +173,24 @@ class BinnedForest:
         return df.withColumn(prediction, score.asNondeterministic()(*[F.col(c).cast("double") for c in self.features])).where(F.col(prediction).isNotNull())
 
 
+@dataclass
+class BoostedForest(BinnedForest):
+    """Trees that add up: the first one whole, the others times ``step``; class 1 where the sum is above 0."""
+
+    step: float
+
+    def predict(self, values: Sequence[np.ndarray]) -> np.ndarray:
+        cells = _cells(values, self.edges)
+        if not len(cells):
+            return np.zeros(0)
+        order, starts = _distinct(cells)
+        flat, places = cells[order[starts]].ravel(), np.arange(len(starts)) * cells.shape[1]
+        score = sum((self.step if i else 1.0) * _value(t.stats, 0)[t.walk(flat, places, self.depth), 0] for i, t in enumerate(self.trees))
+        out = np.empty(len(cells))
+        out[order] = np.repeat((score > 0).astype(float), np.diff(starts, append=len(cells)))
+        return out
+
+
 def complete(features: Sequence[str]) -> Column:
     known = F.lit(True)
     for c in features:
@@ -209,13 +229,8 @@ def _edges(rows: DataFrame, features: Sequence[str]) -> list[np.ndarray]:
     return [np.frombuffer(e) for _, e in sorted(found)]
 
 
-def fit_forest(
-    df: DataFrame, features: Sequence[str], label: str, classify: bool, trees: int = 100, depth: int = 10, seed: int = 42,
-) -> BinnedForest:
-    """A forest of the rows complete in the features, with ceil(sqrt) of them per node, or ceil(a third) for a regressor.
-
-    Each level is one pass: tasks add up histograms of all open nodes, one task per tree's histograms chooses its splits, and the splits alone reach the driver.
-    """
+def _packed(df: DataFrame, features: Sequence[str], label: str, classify: bool) -> tuple[DataFrame, list[np.ndarray], int, float, int]:
+    """Blocks of the rows complete in the features, upper ends of the bins, number of classes or 0, mean of a regressor's labels, and tasks."""
     features = list(features)
     written = stage(df.select(*[F.col(c).cast("double").alias(f"f{i}") for i, c in enumerate(features)], F.col(label).cast("double").alias("y")), "training-rows")
     held = written.where(complete([f"f{i}" for i in range(len(features))]))  # not before: Spark would derive the features once for each condition
@@ -224,7 +239,7 @@ def fit_forest(
         raise ValueError("a forest needs rows, and a label in each of them")
     if classify and (least < 0 or not whole):
         raise ValueError("classes are numbers from 0 on")
-    classes, k = (int(top) + 1, int(np.ceil(np.sqrt(len(features))))) if classify else (0, -(-len(features) // 3))
+    classes = int(top) + 1 if classify else 0
     edges, center, wide = _edges(held, [f"f{i}" for i in range(len(features))]), 0.0 if classify else float(mean), len(features)
     cores = df.sparkSession.sparkContext.defaultParallelism
 
@@ -254,7 +269,11 @@ def fit_forest(
         entries = counted.select("*", part.alias("part")).select(*codes, "y", F.expr(f"least({ENTRY_ROWS}, count - {ENTRY_ROWS} * part)").alias("size"))
     packed = stage(entries.repartition(tasks).mapInArrow(pack, _BLOCK), "training-blocks")
     release(written)
-    blocks = packed.repartitionByRange(tasks, "block").persist()  # as they were packed: the same number in each task
+    return packed, edges, classes, center, tasks
+
+
+def _trees(blocks: DataFrame, trees: int, depth: int, classes: int, wide: int, k: int, seed: int, tasks: int, weights=None, least: int = 1) -> list[Tree]:
+    """Each level is one pass; ``weights`` of a block's entries stand for its draws."""
     grown = [Tree(np.zeros(1, np.intp), np.full(1, BINS), np.zeros(2, np.intp), np.zeros((1, classes or 3)), np.zeros(1)) for _ in range(trees)]
     open_nodes = [np.zeros(1, np.intp) for _ in range(trees)]
     width = classes or 3
@@ -262,16 +281,90 @@ def fit_forest(
         live = [t for t in range(trees) if len(open_nodes[t])]
         if not live:
             break
-        chosen = _pass(blocks, grown, open_nodes, live, level, level == depth - 1, classes, wide, k, seed, tasks).collect()
-        for row in chosen:
-            at = np.frombuffer(row["split"], np.float64).reshape(-1, 4 + 2 * width)
-            grown[row["tree"]], open_nodes[row["tree"]] = _grow(grown[row["tree"]], open_nodes[row["tree"]], at, width, level == 0)
+        for t, split in _pass(blocks, grown, open_nodes, live, level, level == depth - 1, classes, wide, k, seed, tasks, weights, least):
+            at = np.frombuffer(split, np.float64).reshape(-1, 4 + 2 * width)
+            grown[t], open_nodes[t] = _grow(grown[t], open_nodes[t], at, width, level == 0)
+    return [_merged(t, classes) for t in grown]
+
+
+def fit_forest(
+    df: DataFrame, features: Sequence[str], label: str, classify: bool, trees: int = 100, depth: int = 10, seed: int = 42,
+) -> BinnedForest:
+    """A forest of the rows complete in the features, with ceil(sqrt) of them per node, or ceil(a third) for a regressor.
+
+    Each level is one pass: tasks add up histograms of all open nodes, one task per tree's histograms chooses its splits, and the splits alone reach the driver.
+    """
+    features = list(features)
+    packed, edges, classes, center, tasks = _packed(df, features, label, classify)
+    wide = len(features)
+    k = int(np.ceil(np.sqrt(wide))) if classify else -(-wide // 3)
+    blocks = packed.repartitionByRange(tasks, "block").persist()  # as they were packed: the same number in each task
+    grown = _trees(blocks, trees, depth, classes, wide, k, seed, tasks)
     blocks.unpersist()
     release(packed)
-    return BinnedForest(features, edges, [_merged(t, classes) for t in grown], classes, center, depth)
+    return BinnedForest(features, edges, grown, classes, center, depth)
+
+
+def fit_tree(df: DataFrame, features: Sequence[str], label: str, depth: int = 10, least: int = 1, seed: int = 42) -> BinnedForest:
+    """A decision tree of all rows complete in the features, with ``least`` of them in a leaf."""
+    features = list(features)
+    packed, edges, classes, center, tasks = _packed(df, features, label, True)
+    blocks = packed.repartitionByRange(tasks, "block").persist()
+    grown = _trees(blocks, 1, depth, classes, len(features), len(features), seed, tasks, lambda b: np.frombuffer(b["sizes"], np.int64).astype(float), least)
+    blocks.unpersist()
+    release(packed)
+    return BinnedForest(features, edges, grown, classes, center, depth)
+
+
+def fit_boosted(
+    df: DataFrame, features: Sequence[str], label: str, trees: int = 20, depth: int = 10, step: float = 0.3, share: float = 0.5, seed: int = 42,
+) -> BoostedForest:
+    """Gradient-boosted regression trees for classes 0 and 1 under log loss, as ``GBTClassifier`` has them.
+
+    Rows of the same bins and class have the same score and residual throughout, so an entry keeps one of each; a tree sees ``share`` of its rows,
+    drawn anew. Small histograms of one tree are added up by the driver.
+    """
+    features = list(features)
+    packed, edges, classes, _, tasks = _packed(df, features, label, True)
+    if classes > 2:
+        release(packed)
+        raise ValueError("boosted trees tell two classes apart")
+    wide = len(features)
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in batch.to_pylist():
+                truth = 2.0 * np.frombuffer(b["labels"], np.int64) - 1
+                yield pa.RecordBatch.from_pylist([{**b, "labels": truth.tobytes(), "truth": truth.tobytes(), "scores": np.zeros(len(truth)).tobytes()}], batches_of)
+
+    def onward(tree: Tree, weight: float):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for b in batch.to_pylist():
+                    truth, flat = np.frombuffer(b["truth"]), np.frombuffer(b["cells"], np.uint8)
+                    scores = np.frombuffer(b["scores"]) + weight * _value(tree.stats, 0)[tree.walk(flat, np.arange(len(truth)) * wide, depth), 0]
+                    residual = 4 * truth / (1 + np.exp(2 * truth * scores))
+                    yield pa.RecordBatch.from_pylist([{**b, "labels": residual.tobytes(), "scores": scores.tobytes()}], batches_of)
+
+        return run
+
+    def drawn(round_: int):
+        return lambda b: np.random.default_rng([seed, 2, b["block"], round_]).binomial(np.frombuffer(b["sizes"], np.int64), share).astype(float)
+
+    kinds = f"{_BLOCK}, truth binary, scores binary"
+    batches_of = pa.schema([("block", pa.int64()), *((c, pa.binary()) for c in ("cells", "sizes", "labels", "truth", "scores"))])
+    blocks, grown = stage(packed.mapInArrow(begin, kinds), "boosting-blocks"), []
+    release(packed)
+    for i in range(trees):
+        if grown:  # written anew: plans of tables kept one upon the other would grow with the trees
+            before, blocks = blocks, stage(blocks.mapInArrow(onward(grown[-1], 1.0 if i == 1 else step), kinds), "boosting-blocks")
+            release(before)
+        grown += _trees(blocks, 1, depth, 0, wide, wide, seed + i, tasks, drawn(i))
+    release(blocks)
+    return BoostedForest(features, edges, grown, 0, 0.0, depth, step)
 
 
-def _pass(blocks, grown, open_nodes, live, level, last, classes, wide, k, seed, tasks) -> DataFrame:
+def _pass(blocks, grown, open_nodes, live, level, last, classes, wide, k, seed, tasks, weights=None, least=1) -> list[tuple[int, bytes]]:
     """Per tree the best split of each open node: feature or -1, cut, gain times draws, 1 and 2 for a left and right child that stays open, sums left and right."""
     width = classes or 3
 
@@ -281,11 +374,11 @@ def _pass(blocks, grown, open_nodes, live, level, last, classes, wide, k, seed,
         for batch in batches:
             for b in batch.to_pylist():
                 sizes, labels = np.frombuffer(b["sizes"], np.int64), np.frombuffer(b["labels"], np.int64 if classes else np.float64)
-                flat, ends = np.frombuffer(b["cells"], np.uint8), np.cumsum(sizes)
+                flat, ends = np.frombuffer(b["cells"], np.uint8), np.cumsum(sizes if weights is None else np.ones_like(sizes))
                 n, room = int(ends[-1]), _Room(len(sizes), int(ends[-1]))
                 bins = (flat.reshape(-1, wide) * np.intp(classes) + labels[:, None]).astype(np.min_scalar_type(BINS * classes)).ravel() if classes else flat
                 for t in live:
-                    draws = _draws(seed, b["block"], t, n)
+                    draws = _draws(seed, b["block"], t, n) if weights is None else weights(b)
                     columns = [_by_cell(v, ends, room) for v in ([draws] if classes else [draws, draws * labels, draws * labels * labels])]
                     found = _histograms(flat, bins, columns, *ways[t], wide, classes or 1, room)
                     if t in sums:
@@ -303,7 +396,7 @@ def _pass(blocks, grown, open_nodes, live, level, last, classes, wide, k, seed,
         whole = left[:, :, -1:, :]
         right = whole - left
         (nl, il), (nr, ir), (n, i) = (_impurity(s, classes) for s in (left, right, whole))
-        gain = np.where((nl > 0) & (nr > 0), i - (nl * il + nr * ir) / np.maximum(n, 1), -1.0).reshape(len(total), -1)
+        gain = np.where((nl >= least) & (nr >= least), i - (nl * il + nr * ir) / np.maximum(n, 1), -1.0).reshape(len(total), -1)
         best = gain.argmax(1)
         j, cut = best // BINS, best % BINS
         gained = gain[nodes, best]
@@ -315,7 +408,11 @@ def _pass(blocks, grown, open_nodes, live, level, last, classes, wide, k, seed,
         return pd.DataFrame({"tree": [t], "split": [np.ascontiguousarray(out).tobytes()]})
 
     sent = blocks.mapInArrow(histograms, _SPLIT)
-    return sent.repartition(tasks, "tree").groupBy("tree").applyInPandas(choose, _SPLIT)
+    if len(grown) == 1 and 8 * tasks * len(open_nodes[0]) * k * BINS * width < DRIVER_BYTES:
+        chosen = choose(pd.DataFrame(sent.collect(), columns=["tree", "split"])).itertuples(index=False)
+    else:
+        chosen = sent.repartition(tasks, "tree").groupBy("tree").applyInPandas(choose, _SPLIT).collect()
+    return [(r.tree, r.split) for r in chosen]
 
 
 class _Room:
