@@ -272,7 +272,7 @@ def _packed(df: DataFrame, features: Sequence[str], label: str, classify: bool)
     return packed, edges, classes, center, tasks
 
 
-def _trees(blocks: DataFrame, trees: int, depth: int, classes: int, wide: int, k: int, seed: int, tasks: int, weights=None, least: int = 1) -> list[Tree]:
+def _trees(blocks: DataFrame, trees: int, depth: int, classes: int, wide: int, k: int, seed: int, tasks: int, weights=None) -> list[Tree]:
     """Each level is one pass; ``weights`` of a block's entries stand for its draws."""
     grown = [Tree(np.zeros(1, np.intp), np.full(1, BINS), np.zeros(2, np.intp), np.zeros((1, classes or 3)), np.zeros(1)) for _ in range(trees)]
     open_nodes = [np.zeros(1, np.intp) for _ in range(trees)]
@@ -281,7 +281,7 @@ def _trees(blocks: DataFrame, trees: int, depth: int, classes: int, wide: int, k
         live = [t for t in range(trees) if len(open_nodes[t])]
         if not live:
             break
-        for t, split in _pass(blocks, grown, open_nodes, live, level, level == depth - 1, classes, wide, k, seed, tasks, weights, least):
+        for t, split in _pass(blocks, grown, open_nodes, live, level, level == depth - 1, classes, wide, k, seed, tasks, weights):
             at = np.frombuffer(split, np.float64).reshape(-1, 4 + 2 * width)
             grown[t], open_nodes[t] = _grow(grown[t], open_nodes[t], at, width, level == 0)
     return [_merged(t, classes) for t in grown]
@@ -305,17 +305,6 @@ def fit_forest(
     return BinnedForest(features, edges, grown, classes, center, depth)
 
 
-def fit_tree(df: DataFrame, features: Sequence[str], label: str, depth: int = 10, least: int = 1, seed: int = 42) -> BinnedForest:
-    """A decision tree of all rows complete in the features, with ``least`` of them in a leaf."""
-    features = list(features)
-    packed, edges, classes, center, tasks = _packed(df, features, label, True)
-    blocks = packed.repartitionByRange(tasks, "block").persist()
-    grown = _trees(blocks, 1, depth, classes, len(features), len(features), seed, tasks, lambda b: np.frombuffer(b["sizes"], np.int64).astype(float), least)
-    blocks.unpersist()
-    release(packed)
-    return BinnedForest(features, edges, grown, classes, center, depth)
-
-
 def fit_boosted(
     df: DataFrame, features: Sequence[str], label: str, trees: int = 20, depth: int = 10, step: float = 0.3, share: float = 0.5, seed: int = 42,
 ) -> BoostedForest:
@@ -364,7 +353,7 @@ def fit_boosted(
     return BoostedForest(features, edges, grown, 0, 0.0, depth, step)
 
 
-def _pass(blocks, grown, open_nodes, live, level, last, classes, wide, k, seed, tasks, weights=None, least=1) -> list[tuple[int, bytes]]:
+def _pass(blocks, grown, open_nodes, live, level, last, classes, wide, k, seed, tasks, weights=None) -> list[tuple[int, bytes]]:
     """Per tree the best split of each open node: feature or -1, cut, gain times draws, 1 and 2 for a left and right child that stays open, sums left and right."""
     width = classes or 3
 
@@ -396,7 +385,7 @@ def _pass(blocks, grown, open_nodes, live, level, last, classes, wide, k, seed,
         whole = left[:, :, -1:, :]
         right = whole - left
         (nl, il), (nr, ir), (n, i) = (_impurity(s, classes) for s in (left, right, whole))
-        gain = np.where((nl >= least) & (nr >= least), i - (nl * il + nr * ir) / np.maximum(n, 1), -1.0).reshape(len(total), -1)
+        gain = np.where((nl > 0) & (nr > 0), i - (nl * il + nr * ir) / np.maximum(n, 1), -1.0).reshape(len(total), -1)
         best = gain.argmax(1)
         j, cut = best // BINS, best % BINS
         gained = gain[nodes, best]

@@ -20,7 +20,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seatrack.operators.forest import BinnedForest, fit_boosted, fit_forest, fit_tree
+from seatrack.operators.forest import BinnedForest, fit_boosted, fit_forest
 from seatrack.operators.metrics import classification_scores
 from seatrack.operators.selection import single_row
 from seatrack.sources.staging import release, stage
@@ -99,9 +99,8 @@ class BinnedClassifier:
 
 
 def binned_classifiers(label: str, seed: int = 42) -> dict[str, object]:
-    """The same models for rows without weights; trees are binned, as ``pyspark.ml`` takes a microsecond for each row, tree and level."""
+    """The same models for rows without weights; many trees are fitted on bins, as ``pyspark.ml`` takes a microsecond for each row, tree and level."""
     return classifiers(label, seed) | {
-        "decision_tree": BinnedClassifier(fit_tree, label, {"depth": 10, "least": 2, "seed": seed}),
         "random_forest": BinnedClassifier(fit_forest, label, {"classify": True, "trees": 100, "depth": 10, "seed": seed}),
         "boosted_trees": BinnedClassifier(fit_boosted, label, {"trees": 20, "depth": 10, "step": 0.3, "share": 0.5, "seed": seed}),
     }
