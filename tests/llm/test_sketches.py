@@ -7,6 +7,7 @@ import random
 import numpy as np
 import pyarrow as pa
 
+import corpus_pipeline
 from seatrack.llm import substring
 
 
@@ -35,7 +36,8 @@ def test_similar_sets_stay_and_others_go():
     assert len(found) < 10
 
 
-def test_contents_of_paragraphs_that_meet_by_chance_are_not_sent(spark, monkeypatch):
+def _sent(monkeypatch):
+    """Rows of every table that is written."""
     sent, write = {}, substring.stage
 
     def watch(rows, label):
@@ -44,12 +46,26 @@ def test_contents_of_paragraphs_that_meet_by_chance_are_not_sent(spark, monkeypa
         return out
 
     monkeypatch.setattr(substring, "stage", watch)
-    draw = random.Random(3)
+    return sent
+
+
+def _texts(draw):
     word = lambda n: "".join(draw.choices("abcdefghijkl", k=n))
     phrase = " ".join(word(5) for _ in range(12))
     rows = [(k, " ".join(word(6) for _ in range(15)) + f" {phrase} " + " ".join(word(6) for _ in range(15))) for k in range(60)]
     line = [word(6) for _ in range(40)]
-    rows += [(60, " ".join(line)), (61, " ".join([*line[:-1], "another"]))]
-    found = {r._node: r._root for r in substring.similar_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    return [*rows, (60, " ".join(line)), (61, " ".join([*line[:-1], "another"]))]
+
+
+def test_contents_of_paragraphs_that_meet_by_chance_are_not_sent(spark, monkeypatch):
+    sent = _sent(monkeypatch)
+    found = {r._node: r._root for r in substring.similar_paragraphs(spark.createDataFrame(_texts(random.Random(3)), "doc_id long, text string")).collect()}
     assert sent["met"] > 60 and 2 <= sent["band-contents"] <= 8
     assert len(found) >= 2 and len(set(found.values())) < len(found)
+
+
+def test_stage_of_the_pipeline_sends_no_more(spark, monkeypatch):
+    sent, rows = _sent(monkeypatch), _texts(random.Random(3))
+    left = {r.doc_id: r.text for r in corpus_pipeline.passages(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
+    assert 2 <= sent["band-contents"] <= 8 and sent["extra"] >= 1
+    assert left[60] == rows[60][1] and left.get(61) != rows[61][1]
